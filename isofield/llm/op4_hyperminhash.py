@@ -6,8 +6,9 @@ register borrows from a filled one in an order fixed for all documents, so short
 
 Plan at scale: texts are read once for sketches; all that is shuffled is a sketch (256 bytes) for each distinct
 set and 32 band keys for it. Equal sets meet by aggregation, never as pairs. Texts are read again only for
-distinct sets that share a band with another one. Within a bucket links go to one hub; only buckets that still
-hold several components are taken up again, with other hubs, then pair by pair. So a group of n copies costs
+distinct sets that share a band with another one. Within a bucket links go to one hub, at first to the
+member whose bands are most common; only buckets that still hold several components are taken up again: what is apart
+from the hub is compared with everything else around that hub, block by block within a task, which gives links and no pairs. So a group of n copies costs
 order n rows, and no link between different texts is lost after banding.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ BANDS, ROWS = 32, 4
 #: A pair with a lower estimate is not verified: 0.8 less ten standard deviations of 128 registers, so that
 #: short texts, whose registers depend on each other, are safe as well.
 LEAST_ESTIMATE = 0.45
+#: Rows of a block in the comparison of what hubs leave apart.
+BLOCK = 1000
 
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U) + U(77)).reshape(REGISTERS, REGISTERS), axis=1)
 _EDGES = (np.arange(REGISTERS, dtype=U) << U(64 - INDEX_BITS)).astype(U)
@@ -127,6 +131,53 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "u binary, v binary, nu bigint, nv bigint")
 
 
+def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between members of a bucket that its hub left in different components.
+
+    A node that isn't in its hub's component meets every other node that shares a bucket of this hub, in blocks of about ``BLOCK`` rows on either
+    side, with whole sets. At most one link for each node, component and block comes back. Small groups share a task.
+    """
+    now = entries.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("root")).join(hubs, "key")
+    split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2").select("key")
+    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    around = now.where("node <> hub").join(split, "key").select("hub", "node", "n", "root").distinct().join(hub_root, "hub", "left")
+    around = stored(around.withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "around-hubs")
+    sizes = around.groupBy("hub").agg(F.count("*").alias("c"), F.sum(F.col("apart").cast("int")).alias("o")).where("o > 0 and c > 1")
+    shared = max(1, around.count() // (4 * BLOCK))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    group = F.when(F.col("c") > BLOCK, F.xxhash64("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(shared)))
+    sizes = sizes.select("hub", group.alias("group"), blocks("c").alias("mbs"), blocks("o").alias("obs"))
+    full = around.join(sizes, "hub").join(members, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["hub", "node", "n", "root", "members"]
+    held_rows = full.select("group", own("mbs").alias("mb"), each("obs").alias("ob"), F.lit(False).alias("ask"), *columns)
+    asks_rows = full.where("apart").select("group", each("mbs").alias("mb"), own("obs").alias("ob"), F.lit(True).alias("ask"), *columns)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        u, v = [], []
+        a, b = rows[~rows["ask"]], rows[rows["ask"]]
+        by_hub = dict(list(a.groupby("hub", sort=False)))
+        for hub, asks in b.groupby("hub", sort=False):
+            if (held := by_hub.get(hub)) is None:
+                continue
+            owner = np.repeat(np.arange(len(held)), held["n"].to_numpy())
+            every = np.concatenate(held["members"].to_list())
+            n, node, root = held["n"].to_numpy(), held["node"].to_list(), held["root"].to_list()
+            for x, nx, rx, sx in zip(asks["node"], asks["n"], asks["root"], asks["members"], strict=True):
+                sx = np.sort(sx)
+                both = np.bincount(owner[sx[np.minimum(np.searchsorted(sx, every), len(sx) - 1)] == every], minlength=len(held))
+                known = {rx}
+                for i in np.flatnonzero(100 * both >= percent * (n + nx - both)):
+                    if root[i] not in known:
+                        known.add(root[i])
+                        u.append(x)
+                        v.append(node[i])
+        return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object)})
+
+    return stored(held_rows.union(asks_rows).groupBy("group", "mb", "ob").applyInPandas(compare, "u binary, v binary"), "links-of-the-rest")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |A and B| >= percent * |A or B| over their k-word shingle sets.
 
@@ -147,8 +198,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     band = lambda i: F.xxhash64(i, F.substr(F.col("sketch"), i * F.lit(2 * ROWS) + 1, F.lit(2 * ROWS)))
     keyed = classes.select("node", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     entries = stored(keyed.join(crowded, "key"), "bands")
+    # a text from which many copies were made has the values that are common in all its bands
+    central = stored(entries.groupBy("node").agg(F.sum("size").alias("central")), "central")
+    entries = stored(entries.join(central, "node").select("node", "n", "key", "central"), "band-entries")
 
     busy = entries.select("node").distinct()
     chosen = classes.join(busy, "node").select("node", F.col("min_doc").alias("doc_id"))
@@ -158,41 +212,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = full_sets(found, k).join(busy, "node", "left_semi").groupBy("node").agg(F.first("members").alias("members"))
     members = stored(members, "members")
 
-    links = tried = roots = None
-    for step in range(3):
-        if roots is None:
-            open_ = entries.withColumn("root", F.col("node"))
-        else:
-            now = entries.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("root"))
-            split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-            open_ = stored(now.join(split, "key"), "open-bands")
-            if not open_.take(1):
-                break
-        if step < 2:
-            rank = F.lit(0).cast("bigint") if step == 0 else F.xxhash64("node", "key")
-            hub = open_.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "root")).alias("hub"))
-            pairs = open_.join(hub, "key").where("node <> hub.node and root <> hub.root").select("node", "n", F.col("hub.node").alias("other"), F.col("hub.n").alias("m"))
-        else:
-            a, b = open_.alias("a"), open_.alias("b")
-            pairs = a.join(b, F.expr(f"a.key = b.key and a.node < b.node and a.root <> b.root and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)")).select(F.col("a.node").alias("node"), F.col("a.n").alias("n"), F.col("b.node").alias("other"), F.col("b.n").alias("m"))
-        swap = F.col("node") > F.col("other")
-        pairs = pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v"), F.when(swap, F.col("m")).otherwise(F.col("n")).alias("nu"), F.when(swap, F.col("n")).otherwise(F.col("m")).alias("nv")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        s = classes.select("node", "sketch")
-        pairs = pairs.join(s.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v").select("u", "v", "nu", "nv", "su", "sv")
-        left, right = members.select(F.col("node").alias("u"), F.col("members").alias("mu")), members.select(F.col("node").alias("v"), F.col("members").alias("mv"))
-        both = F.size(F.array_intersect("mu", "mv"))
-        checked = _estimated(pairs).join(left, "u").join(right, "v").select("u", "v", (100 * both >= percent * (F.col("nu") + F.col("nv") - both)).alias("linked"))
-        checked = stored(checked, "checked")
-        more = checked.where("linked").select("u", "v")
-        tried = checked.select("u", "v") if tried is None else tried.union(checked.select("u", "v"))
-        if not more.take(1):
-            continue
-        links = more if links is None else links.union(more)
-        roots = connected_components(links)
-
-    placed = classes.select("node", "min_doc", F.col("node").alias("root")) if links is None else classes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = F.min(F.struct((-F.col("central")).alias("rank"), "node", "n")).alias("hub")
+    hubs = stored(entries.groupBy("key").agg(first).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("m")), "hubs")
+    pairs = entries.join(hubs, "key").where(f"node <> hub and 100 * least(n, m) >= {percent} * greatest(n, m)").select(F.col("node").alias("u"), F.col("hub").alias("v"), F.col("n").alias("nu"), F.col("m").alias("nv")).distinct()
+    s = classes.select("node", "sketch")
+    pairs = pairs.join(s.select(F.col("node").alias("u"), F.col("sketch").alias("su")), "u").join(s.select(F.col("node").alias("v"), F.col("sketch").alias("sv")), "v").select("u", "v", "nu", "nv", "su", "sv")
+    left, right = members.select(F.col("node").alias("u"), F.col("members").alias("mu")), members.select(F.col("node").alias("v"), F.col("members").alias("mv"))
+    both = F.size(F.array_intersect("mu", "mv"))
+    checked = _estimated(pairs).join(left, "u").join(right, "v").where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
+    links = stored(checked, "links-to-hubs")
+    roots = connected_components(links)
+    rest = _rest(entries, hubs, roots, members, percent)
+    if rest.take(1):
+        roots = connected_components(links.union(rest))
+
+    placed = classes.select("node", "min_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = placed.groupBy("root").agg(F.min("min_doc").alias("component_id"))
     ids = stored(placed.join(smallest, "root").select("node", "component_id", F.hex("root").alias("group_key")), "components")
     out = all_docs.join(ids, "node", "left")
