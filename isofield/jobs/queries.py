@@ -1,4 +1,349 @@
-"""Registered queries of the level-set library and the SQL they are held against."""
+"""Registered queries of the level-set library and the SQL they are held against.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+All read the given tables: level sets from lineitem (whole numbers, so that results are exact), hits and schedules from events, a mesh from
+the height field.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import random
+from ..functions.grid import AXES, KEY, Boundary, Grid, quantise
+from ..operators import algebra, analytics, meshing, motion
+from ..operators.stencil import cells
+from ..sources.heightfield import SQL, carved, heights, level_set
+from ..streaming import streamed_rates
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _layer(points: DataFrame, n: int, to: int = 0) -> DataFrame:
+    return points.where(F.col("layer") == n).withColumn("layer", F.lit(to))
+
+
+COUNTS = "count(*)::BIGINT AS n_points, sum((abs(phi) * 2 <= 1000)::INT)::BIGINT AS n_active, sum(phi)::BIGINT AS sum_phi"
+
+#: Values of layer 0 and layer 2 side by side at every point that either holds, absent ones far by sign.
+SIDES = f"""WITH {SQL},
+u AS (SELECT x, y, z, max(phi) FILTER (layer = 0) AS a, max(phi) FILTER (layer = 2) AS b FROM ls WHERE layer IN (0, 2) GROUP BY x, y, z),
+n AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER d, first_value(a IGNORE NULLS) OVER p) AS na,
+                coalesce(last_value(b IGNORE NULLS) OVER d, first_value(b IGNORE NULLS) OVER p) AS nb FROM u
+      WINDOW d AS (PARTITION BY x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             p AS (PARTITION BY x, y ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT x, y, z, coalesce(a, CASE WHEN na < 0 THEN -1099511627776 ELSE 1099511627776 END) AS pa,
+             coalesce(b, CASE WHEN nb < 0 THEN -1099511627776 ELSE 1099511627776 END) AS pb FROM n)"""
+
+#: Every point of a level set ``src`` with its six neighbours' signs.
+SIGNS = """q AS (SELECT layer, x AS sx, y AS sy, z AS sz, phi AS own, unnest([x - 1, x + 1, x, x, x, x]) AS x, unnest([y, y, y - 1, y + 1, y, y]) AS y,
+             unnest([z, z, z, z, z - 1, z + 1]) AS z FROM {src}),
+m AS (SELECT layer, x, y, z, phi, 0 AS k, NULL::INT AS sx, NULL::INT AS sy, NULL::INT AS sz, NULL::BIGINT AS own FROM {src}
+      UNION ALL SELECT layer, x, y, z, NULL, 1, sx, sy, sz, own FROM q),
+w AS (SELECT *, coalesce(last_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                         first_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM m),
+pr AS (SELECT layer, sx AS x, sy AS y, sz AS z, any_value(own) AS phi FROM w WHERE k = 1 GROUP BY layer, sx, sy, sz HAVING bool_or(coalesce((own < 0) <> (near < 0), false)))"""
+
+
+@query(f"WITH {SQL} SELECT layer, {COUNTS} FROM ls GROUP BY layer")
+def band_summary(spark, sf):
+    return algebra.summary(level_set(spark, sf))
+
+
+def _combined(how: str, value: str):
+    @query(f"{SIDES}, r AS (SELECT 0 AS layer, x, y, z, {value} AS phi FROM s WHERE abs({value}) < 1099511627776) SELECT layer, {COUNTS} FROM r GROUP BY layer")
+    def run(spark, sf):
+        ls = level_set(spark, sf)
+        return algebra.summary(algebra.combine(_layer(ls, 0), _layer(ls, 2), how))
+
+    QUERIES[how], ORACLES[how] = QUERIES.pop("run"), ORACLES.pop("run")
+
+
+_combined("union", "least(pa, pb)")
+_combined("intersection", "greatest(pa, pb)")
+_combined("difference", "greatest(pa, -pb)")
+
+
+@query(f"{SIDES}, un AS (SELECT 0 AS layer, x, y, z, least(pa, pb) AS phi FROM s WHERE abs(least(pa, pb)) < 1099511627776), {SIGNS.format(src='un')} SELECT layer, {COUNTS} FROM pr GROUP BY layer")
+def union_prune(spark, sf):
+    ls = level_set(spark, sf)
+    return algebra.summary(algebra.prune(algebra.combine(_layer(ls, 0), _layer(ls, 2), "union")))
+
+
+@query(f"WITH {SQL} SELECT layer, count(*)::BIGINT AS n_points, sum((abs(phi) * 2 <= 1000)::INT)::BIGINT AS n_active, sum(-phi)::BIGINT AS sum_phi FROM ls GROUP BY layer")
+def complement(spark, sf):
+    return algebra.summary(algebra.complement(level_set(spark, sf)))
+
+
+@query(f"WITH {SQL}, {SIGNS.format(src='ls')} SELECT layer, x, y, z, phi FROM pr")
+def prune(spark, sf):
+    return algebra.prune(level_set(spark, sf)).select(*KEY, "phi")
+
+
+@query(f"""WITH {SQL}, a0 AS (SELECT * FROM ls WHERE abs(phi) * 2 <= 1000),
+q AS (SELECT layer, unnest([x - 1, x + 1, x, x, x, x]) AS x, unnest([y, y, y - 1, y + 1, y, y]) AS y, unnest([z, z, z, z, z - 1, z + 1]) AS z, phi FROM a0),
+g AS (SELECT layer, x, y, z, min(phi) + 1000 AS up, max(phi) - 1000 AS down FROM q GROUP BY layer, x, y, z),
+n AS (SELECT g.* FROM g ANTI JOIN a0 USING (layer, x, y, z)),
+m AS (SELECT layer, x, y, z, phi, 0 AS k, NULL::BIGINT AS up, NULL::BIGINT AS down FROM a0 UNION ALL SELECT layer, x, y, z, NULL, 1, up, down FROM n),
+w AS (SELECT *, coalesce(last_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                         first_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM m),
+e AS (SELECT layer, x, y, z, CASE WHEN near >= 0 THEN up ELSE down END AS phi FROM w WHERE k = 1 AND near IS NOT NULL),
+r AS (SELECT layer, x, y, z, phi FROM a0 UNION ALL SELECT * FROM e WHERE abs(phi) * 2 <= 3000)
+SELECT layer, {COUNTS} FROM r GROUP BY layer""")
+def expand(spark, sf):
+    return algebra.summary(algebra.expand(algebra.reduce_width(level_set(spark, sf), 1000), 3000))
+
+
+@query(f"WITH {SQL} SELECT layer, {COUNTS} FROM ls WHERE abs(phi) * 2 <= 1200 GROUP BY layer")
+def reduce_band(spark, sf):
+    return algebra.summary(algebra.reduce_width(level_set(spark, sf), 1200))
+
+
+@query(f"WITH {SQL} SELECT a.x, a.y, a.z, 2 * a.phi - 3 * b.phi AS phi FROM ls a JOIN ls b USING (x, y, z) WHERE a.layer = 0 AND b.layer = 1")
+def linear_combination(spark, sf):
+    ls = level_set(spark, sf)
+    return algebra.linear_combination(_layer(ls, 0), _layer(ls, 1), 2, -3).select(*AXES, "phi")
+
+
+@query(f"{SIDES} SELECT count(*) FILTER ((pa < 0) <> (pb < 0))::BIGINT AS other_sign, count(*) FILTER (pa > pb)::BIGINT AS above, count(*) FILTER (pa < pb)::BIGINT AS below FROM s")
+def compare_layers(spark, sf):
+    ls = level_set(spark, sf)
+    a, b = _layer(ls, 0), _layer(ls, 2)
+    found = None
+    for test, name in (("signs", "other_sign"), ("le", "above"), ("ge", "below")):
+        n = algebra.violations(a, b, test).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        found = n if found is None else found.union(n)
+    return found.groupBy().pivot("name", ["other_sign", "above", "below"]).agg(F.max("n"))
+
+
+@query(f"""WITH {SQL}, t AS (SELECT x, y, z, phi FROM ls WHERE layer = 2 AND abs(phi) * 2 <= 1000),
+j AS (SELECT t.*, max(CASE WHEN b.layer = 1 AND t.phi >= b.phi THEN 1 ELSE 0 END) AS s1, max(CASE WHEN b.layer = 0 AND t.phi >= b.phi THEN 1 ELSE 0 END) AS s0
+      FROM t LEFT JOIN ls b ON b.x = t.x AND b.y = t.y AND b.z = t.z AND b.layer < 2 GROUP BY t.x, t.y, t.z, t.phi)
+SELECT x, y, z, phi, CASE WHEN s1 = 0 THEN 0 WHEN s0 = 0 THEN 1 ELSE 2 END::INT AS material FROM j""")
+def top_material(spark, sf):
+    return analytics.top_material(level_set(spark, sf), 3)
+
+
+#: The level set less a slab between 10 and 14 at odd x, in every layer.
+CARVED = f"""WITH {SQL},
+sb AS (SELECT layer, x, y, z::INT AS z, greatest(10000 - z * 1000, z * 1000 - 14000) AS phi FROM (SELECT layer, x, y, unnest(range(9, 16)) AS z FROM (SELECT DISTINCT layer, x, y FROM ls WHERE x % 2 = 1)) WHERE abs(greatest(10000 - z * 1000, z * 1000 - 14000)) <= 1500),
+u AS (SELECT layer, x, y, z, max(a) AS a, max(b) AS b FROM (SELECT layer, x, y, z, phi AS a, NULL::BIGINT AS b FROM ls UNION ALL SELECT layer, x, y, z, NULL, phi FROM sb) GROUP BY layer, x, y, z),
+n AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER d, first_value(a IGNORE NULLS) OVER p) AS na,
+                coalesce(last_value(b IGNORE NULLS) OVER d, first_value(b IGNORE NULLS) OVER p) AS nb FROM u
+      WINDOW d AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             p AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT layer, x, y, z, greatest(coalesce(a, CASE WHEN na < 0 THEN -1099511627776 ELSE 1099511627776 END),
+             -coalesce(b, CASE WHEN nb < 0 THEN -1099511627776 ELSE 1099511627776 END)) AS phi FROM n),
+cv AS (SELECT * FROM s WHERE abs(phi) < 1099511627776)"""
+
+
+@query(f"""{CARVED}, v AS (SELECT *, coalesce(phi < min(phi) OVER (PARTITION BY layer, x, y ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS visible FROM cv)
+SELECT layer, visible, count(*)::BIGINT AS n, sum(z)::BIGINT AS sum_z FROM v WHERE abs(phi) * 2 <= 1000 GROUP BY layer, visible""")
+def visibility(spark, sf):
+    v = analytics.active(analytics.visible(carved(level_set(spark, sf))))
+    return v.groupBy("layer", "visible").agg(F.count("*").alias("n"), F.sum("z").alias("sum_z"))
+
+
+RUNS = f"""{CARVED},
+r0 AS (SELECT layer, x, y, z, CASE WHEN phi < 0 THEN -1 ELSE 1 END AS sgn FROM cv),
+r1 AS (SELECT *, CASE WHEN lag(sgn) OVER (PARTITION BY layer, x, y ORDER BY z) = sgn THEN 0 ELSE 1 END AS c FROM r0),
+r2 AS (SELECT *, sum(c) OVER (PARTITION BY layer, x, y ORDER BY z) AS run FROM r1),
+r3 AS (SELECT layer, x, y, run, any_value(sgn) AS sgn, min(z) AS a FROM r2 GROUP BY layer, x, y, run),
+rn AS (SELECT layer, x, y, run::INT AS run, sgn, CASE WHEN lag(run) OVER o IS NULL THEN -1073741824 ELSE a END::INT AS z_from, coalesce(lead(a) OVER o - 1, 1073741824)::INT AS z_to FROM r3
+       WINDOW o AS (PARTITION BY layer, x, y ORDER BY run))"""
+
+
+@query(f"{RUNS} SELECT layer, x, y, run, sgn::INT AS sign, z_from, z_to FROM rn")
+def sign_runs(spark, sf):
+    return analytics.runs(carved(level_set(spark, sf)))
+
+
+@query()
+def connectivity(spark, sf):
+    return analytics.connected(carved(level_set(spark, sf)))
+
+
+@query(f"""WITH {SQL} SELECT l.layer, l.x, l.y, l.z, (a.phi - b.phi)::BIGINT AS g2x, (c.phi - d.phi)::BIGINT AS g2y, (e.phi - f.phi)::BIGINT AS g2z FROM ls l
+LEFT JOIN ls a ON a.layer = l.layer AND a.x = l.x + 1 AND a.y = l.y AND a.z = l.z LEFT JOIN ls b ON b.layer = l.layer AND b.x = l.x - 1 AND b.y = l.y AND b.z = l.z
+LEFT JOIN ls c ON c.layer = l.layer AND c.x = l.x AND c.y = l.y + 1 AND c.z = l.z LEFT JOIN ls d ON d.layer = l.layer AND d.x = l.x AND d.y = l.y - 1 AND d.z = l.z
+LEFT JOIN ls e ON e.layer = l.layer AND e.x = l.x AND e.y = l.y AND e.z = l.z + 1 LEFT JOIN ls f ON f.layer = l.layer AND f.x = l.x AND f.y = l.y AND f.z = l.z - 1
+WHERE abs(l.phi) * 2 <= 1000""")
+def gradient(spark, sf):
+    return analytics.active(analytics.gradient(level_set(spark, sf))).select(*KEY, "g2x", "g2y", "g2z")
+
+
+@query()
+def point_normals(spark, sf):
+    ls = level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)
+    return analytics.normals(ls).where(F.abs("phi") <= 0.5)
+
+
+@query()
+def mean_curvature(spark, sf):
+    """Of active points, in a band that is wide enough for the eighteen neighbours."""
+    wide = algebra.expand(level_set(spark, sf), 7000, 1000, start=3000).withColumn("phi", F.col("phi") / 1000.0)
+    return analytics.curvature(wide).where(F.abs("phi") <= 0.5)
+
+
+CELLS = f"""WITH {SQL}, k AS (SELECT unnest(range(0, 8)) AS c),
+tc AS (SELECT DISTINCT layer, x - (c & 1) AS x, y - (c >> 1 & 1) AS y, z - (c >> 2 & 1) AS z FROM ls, k),
+q AS (SELECT layer, x AS cx, y AS cy, z AS cz, c, x + (c & 1) AS x, y + (c >> 1 & 1) AS y, z + (c >> 2 & 1) AS z FROM tc, k),
+m AS (SELECT layer, x, y, z, phi, 0 AS k, NULL AS cx, NULL AS cy, NULL AS cz, NULL AS c FROM ls UNION ALL SELECT layer, x, y, z, NULL, 1, cx, cy, cz, c FROM q),
+w AS (SELECT *, coalesce(last_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                         first_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM m),
+cl AS (SELECT layer, cx AS x, cy AS y, cz AS z, sum(CASE WHEN near >= 0 THEN 1 << c ELSE 0 END)::INT AS code FROM w WHERE k = 1 GROUP BY layer, cx, cy, cz HAVING count(near) = 8)"""
+
+
+@query(f"{CELLS} SELECT layer, code, count(*)::BIGINT AS n FROM cl GROUP BY layer, code")
+def marching_cases(spark, sf):
+    return cells(level_set(spark, sf)).groupBy("layer", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"{CELLS} SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, code FROM cl WHERE code NOT IN (0, 255)")
+def sign_change_cells(spark, sf):
+    return cells(level_set(spark, sf)).where("code not in (0, 255)").select(*KEY, "code")
+
+
+@query()
+def surface_triangles(spark, sf):
+    return meshing.surface(level_set(spark, sf), AXES)
+
+
+@query()
+def surface_segments(spark, sf):
+    return meshing.surface(level_set(spark, sf), ["x", "z"])
+
+
+@query(f"""WITH {SQL}, p AS (SELECT x, y, z, max(phi) FILTER (layer = 2) AS phi, list(struct_pack(l := layer, phi := phi) ORDER BY layer DESC) AS held FROM ls GROUP BY x, y, z),
+t AS (SELECT *, list_extract(held, 1).phi AS p2, list_extract(held, 2).l AS l1, list_extract(held, 2).phi AS p1, list_extract(held, 3).phi AS p0 FROM p WHERE phi IS NOT NULL AND abs(phi) * 2 <= 1000)
+SELECT 3 AS n_layers, count(*)::BIGINT AS n_points, sum(coalesce(p1 - p2, 0))::BIGINT AS upper, sum(coalesce(p0 - p1, 0))::BIGINT AS lower FROM t""")
+def layer_thickness(spark, sf):
+    """Thickness of what lies between the layers at active points of the top one: the distances at which rates change."""
+    ls = level_set(spark, sf).withColumn("rate", F.lit(-1.0))
+    top = motion.layered_rates(ls.withColumn("phi", F.col("phi") / 1000.0)).select("x", "y", "z", "rates")
+    gap = lambda i: F.coalesce(F.round((F.get("rates", F.lit(i))["stop"] - F.when(F.lit(i) == 0, F.col("phi")).otherwise(F.get("rates", F.lit(i - 1))["stop"])) * 1000).cast("bigint"), F.lit(0))
+    top = top.withColumn("phi", F.lit(None).cast("double"))
+    own = ls.where("layer = 2").select("x", "y", "z", (F.col("phi") / 1000.0).alias("__p"))
+    t = top.join(own, AXES).withColumn("phi", F.col("__p"))
+    return t.agg(F.lit(3).alias("n_layers"), F.count("*").alias("n_points"), F.sum(gap(0)).alias("upper"), F.sum(gap(1)).alias("lower"))
+
+
+@query("""WITH e AS (SELECT event_type, (event_id % 97)::INT AS t, (event_id % 7 + 1)::INT AS period, user_id FROM events),
+r AS (SELECT DISTINCT event_type, t + i * period AS t FROM (SELECT *, unnest(range(0, 5)) AS i FROM e) WHERE t + i * period <= 100)
+SELECT event_type, t::INT AS t FROM (SELECT * FROM r UNION SELECT DISTINCT event_type, 0 FROM e UNION SELECT DISTINCT event_type, 100 FROM e)""")
+def output_schedule(spark, sf):
+    """Output times of each event type as a process: stated times, repeated five times by a period, with start and end, up to 100."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", (F.col("event_id") % 97).cast("int").alias("t"), (F.col("event_id") % 7 + 1).cast("int").alias("period"))
+    times = e.distinct().select("event_type", F.explode(F.expr("transform(sequence(0, 4), i -> t + i * period)")).alias("t")).where("t <= 100")
+    ends = e.select("event_type").distinct().select("event_type", F.explode(F.array(F.lit(0), F.lit(100))).alias("t"))
+    return times.union(ends).distinct()
+
+
+@query("""WITH k AS (SELECT l_orderkey::BIGINT AS o, l_linenumber AS n, (l_partkey - 3 * l_suppkey)::BIGINT AS i FROM lineitem),
+m AS (SELECT *, ((i - 5) % 40 + 40) % 40 AS p, ((i - 5) % 80 + 80) % 80 AS q FROM k)
+SELECT o, n, (p + 5)::INT AS periodic, (CASE WHEN q > 40 THEN 80 - q ELSE q END + 5)::INT AS mirrored, q > 40 AS turned, CASE WHEN i BETWEEN 5 AND 45 THEN i END::INT AS open_end FROM m""")
+def boundary_mapping(spark, sf):
+    k = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") - 3 * F.col("l_suppkey")).alias("i"))
+    g = lambda b: Grid({"x": 5}, {"x": 45}, {"x": b})
+    return k.select("o", "n", g(Boundary.PERIODIC).wrap("x", "i").alias("periodic"), g(Boundary.REFLECTIVE).wrap("x", "i").alias("mirrored"), g(Boundary.REFLECTIVE).reversed("x", "i").alias("turned"), g(Boundary.INFINITE).wrap("x", "i").alias("open_end"))
+
+
+def _mesh(spark, sf) -> DataFrame:
+    """Triangles over the grid of columns, two a column; material by height. Node id: x * 64 + y."""
+    h = heights(spark, sf).where("layer = 2")
+    i, right, up, both = (F.expr(f"cast((x + {a}) * 64 + y + {b} as int)") for a, b in ((0, 0), (1, 0), (0, 1), (1, 1)))
+    return h.select(F.expr("cast(h div 10000 as int)").alias("material"), F.explode(F.array(F.array(i, right, both), F.array(i, both, up))).alias("nodes"))
+
+
+MESH = f"""WITH {SQL}, el AS (SELECT x, y, (h // 10000)::INT AS material, unnest([0, 1]) AS half, x * 64 + y AS i FROM hf WHERE layer = 2),
+f AS (SELECT material, unnest(CASE half WHEN 0 THEN [i, i, i + 64] ELSE [i, i, i + 1] END) AS a, unnest(CASE half WHEN 0 THEN [i + 64, i + 65, i + 65] ELSE [i + 65, i + 1, i + 65] END) AS b FROM el),
+g AS (SELECT a, b, min(material) AS mat_low, max(material) AS mat_high, count(*) AS n FROM f GROUP BY a, b),
+fc AS (SELECT a, b, mat_low, CASE WHEN n = 1 THEN (SELECT max(material) + 1 FROM el) ELSE mat_high END::INT AS mat_high FROM g)"""
+
+
+@query(f"{MESH} SELECT a::INT AS node_a, b::INT AS node_b, mat_low, mat_high FROM fc WHERE mat_low <> mat_high")
+def material_faces(spark, sf):
+    f = meshing.interfaces(_mesh(spark, sf))
+    return f.select(F.col("face")[0].alias("node_a"), F.col("face")[1].alias("node_b"), "mat_low", "mat_high")
+
+
+@query(f"{MESH}, s AS (SELECT unnest(range(mat_low, least(mat_high, 5))) AS material FROM fc WHERE mat_low < least(mat_high, 5)) SELECT material::INT AS material, count(*)::BIGINT AS n_faces FROM s GROUP BY material")
+def material_surfaces(spark, sf):
+    s = meshing.surfaces_by_material(meshing.interfaces(_mesh(spark, sf)), 5)
+    return s.groupBy("material").agg(F.count("*").alias("n_faces"))
+
+
+@query(f"{MESH}, h AS (SELECT material, a, b FROM f GROUP BY material, a, b HAVING count(*) % 2 = 1) SELECT material, count(*)::BIGINT AS n_faces FROM h GROUP BY material")
+def hull_faces(spark, sf):
+    e = _mesh(spark, sf)
+    faces = e.select("material", F.explode(F.expr("transform(array(array(0, 1), array(0, 2), array(1, 2)), p -> array_sort(array(nodes[p[0]], nodes[p[1]])))")).alias("face"))
+    return meshing.hull_surfaces(faces).groupBy("material").agg(F.count("*").alias("n_faces"))
+
+
+@query(f"WITH {SQL} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM ls")
+def bounding_box(spark, sf):
+    return meshing.bounding_box(level_set(spark, sf))
+
+
+TABLE = [(0.0, 0.0), (10.0, 5.0), (20.0, 25.0), (40.0, 15.0)]
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN q <= 0 THEN 0 WHEN q < 10 THEN q * 0.5::DOUBLE WHEN q < 20 THEN 5.0::DOUBLE + (q - 10.0::DOUBLE) * 2.0::DOUBLE
+ WHEN q < 40 THEN 25.0::DOUBLE + (q - 20.0::DOUBLE) * -0.5::DOUBLE ELSE 15 END::DOUBLE AS y FROM (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem)""")
+def interpolate_table(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", analytics.interpolated(F.col("l_quantity"), TABLE).alias("y"))
+
+
+@query("SELECT user_id AS active_pid, sum(round(value * 100)::BIGINT)::BIGINT AS rate, count(*)::BIGINT AS n_hits FROM events GROUP BY user_id")
+def rates_reduce(spark, sf):
+    """Hits from events: what each brings, summed by surface point in whole hundredths."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.groupBy(F.col("user_id").alias("active_pid")).agg(F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("rate"), F.count("*").alias("n_hits"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS start, user_id AS active_pid, sum(round(value * 100)::BIGINT)::BIGINT AS rate, count(*)::BIGINT AS n_hits FROM events GROUP BY 1, 2")
+def rates_by_hour(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return streamed_rates(e.select("ts", F.col("user_id").alias("active_pid"), F.round(F.col("value") * 100).cast("bigint").alias("weight")))
+
+
+@query(f"WITH {SQL} SELECT layer, x, y, z, least(greatest(round((phi / 1500.0::DOUBLE + 1) * 255 / 2), 0), 255)::BIGINT AS code FROM ls")
+def quantise_distance(spark, sf):
+    return level_set(spark, sf).select(*KEY, quantise("phi", 8, 1500.0).alias("code"))
+
+
+@query(f"WITH {SQL}, n AS (SELECT a.phi AS p, b.phi AS q FROM ls a JOIN ls b ON a.layer = b.layer AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 AND a.x BETWEEN b.x - 1 AND b.x + 1) SELECT count(*)::BIGINT AS n FROM n WHERE abs(p - q) * 10 > 11000")
+def inconsistent_pairs(spark, sf):
+    return algebra.inconsistent(level_set(spark, sf)).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {random.state_sql(42, 'l_orderkey', 'l_linenumber')} AS state FROM lineitem")
+def counter_random(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return li.select("l_orderkey", "l_linenumber", random.state(42, F.col("l_orderkey"), F.col("l_linenumber")).alias("state"))
+
+
+@query(f"""WITH {SQL}, r AS (SELECT l_orderkey AS ray, l_linenumber AS n, (l_partkey // 20)::INT AS x, l_quantity::INT AS y FROM lineitem),
+s AS (SELECT layer, x, y, z FROM ls WHERE abs(phi) * 2 <= 1000),
+t AS (SELECT x, y, max(z) AS z, arg_max(layer, z * 4 + layer) AS layer FROM s GROUP BY x, y)
+SELECT r.ray, r.n, t.z, t.layer FROM r JOIN t ON t.x = r.x AND t.y = r.y""")
+def first_hit_down(spark, sf):
+    """Rays straight down, one a line of lineitem: the first active point that each meets, of equal ones that of the higher layer."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rays = li.select(F.col("l_orderkey").alias("ray"), F.col("l_linenumber").alias("n"), F.expr("cast(l_partkey div 20 as int)").alias("x"), F.col("l_quantity").cast("int").alias("y"))
+    top = analytics.active(level_set(spark, sf)).groupBy("x", "y").agg(F.max(F.struct("z", "layer")).alias("hit"))
+    return rays.join(top, ["x", "y"]).select("ray", "n", "hit.z", "hit.layer")

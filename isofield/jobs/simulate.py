@@ -1,0 +1,161 @@
+"""A run: layers move through processes on a simulated clock, with the output schedule of each process."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.grid import AXES, KEY, Grid
+from ..functions.models import Model, model
+from ..functions.storage import stored
+from ..operators import algebra, analytics, motion, particles
+from ..sources.parameters import output_times
+
+
+@dataclass
+class Process:
+    """One entry of the process list. source: rays for a generation count, for models with particles."""
+
+    name: str
+    time: float
+    parameters: dict[str, Any] = field(default_factory=dict)
+    add_layer: int = 0
+    scheme: str = "engquist_osher"
+    max_step: float = float("inf")
+    outputs: list[float] = field(default_factory=list)
+    start_cycles: int = 0
+    cycles: int = 0
+
+    @classmethod
+    def of(cls, settings: dict[str, Any]) -> Process:
+        return cls(settings["model_name"], float(settings.get("process_time", 0)), settings.get("parameters") or {}, int(settings.get("add_layer", 0)), max_step=float(settings.get("max_time_step", "inf")), outputs=output_times(settings), start_cycles=int(settings.get("start_iteration_cycles", 0)), cycles=int(settings.get("iteration_cycles", 0)))
+
+
+@dataclass
+class Step:
+    number: int
+    time: float
+    dt: float
+    layers: DataFrame
+    output: bool
+
+
+def surface_points(layers: DataFrame, grid: Grid | None, axes: list[str]) -> DataFrame:
+    """Active points of the top layer with normal, material, connected and visible; phi in cells."""
+    top = layers.agg(F.max("layer")).first()[0]
+    own = layers.where(F.col("layer") == top)
+    n = analytics.normals(own, grid, axes).where(F.abs("phi") <= 0.5)
+    m = analytics.top_material(layers, top + 1, 1.0).select("x", "y", "z", "material")
+    v = analytics.visible(own, axes[-1]).select("x", "y", "z", "visible")
+    c = analytics.connected(own).where("connected").select("x", "y", "z_from", "z_to")
+    near = n.join(c, ["x", "y"], "left").groupBy(*KEY, *[a for a in n.columns if a not in KEY]).agg(F.max(F.coalesce(F.col("z").between(F.col("z_from") - 1, F.col("z_to") + 1), F.lit(False))).alias("connected"))
+    return near.join(m, ["x", "y", "z"], "left").join(v, ["x", "y", "z"], "left").withColumn("material", F.coalesce("material", F.lit(0)))
+
+
+def with_rates(points: DataFrame, m: Model, p: dict[str, Any], layers: DataFrame) -> DataFrame:
+    """Points with arrays rates and coverages. Fluxes of each kind of particle are traced from one cell above the highest point."""
+    empty = F.array().cast("array<double>")
+    out = points
+    if not m.particles:
+        return out.withColumn("rates", empty).withColumn("coverages", empty)
+    top = points.agg(F.max("z")).first()[0]
+    places = points.select("x", "y").distinct().select(F.xxhash64("x", "y").bitwiseAND((1 << 30) - 1).alias("place"), "x", "y", F.lit(top + 2).alias("z"))
+    for kind in range(m.particles):
+        stick = float((p.get("sticking_probabilities") or [p.get("sticking_probability", 1.0)])[0])
+        rays = particles.generate(places, int(p.get("statistical_accuracy", 10)), float(p.get("flux", 1.0)), int(p.get("random_seed", 0)), float(p.get("start_angle_distribution", 1.0)), kind)
+        r = particles.traced(rays, points, stick, float(p.get("stop_criterion", 0.1)), kind)
+        out = out.join(r.select(F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"), F.col("rate").alias(f"__r{kind}")), ["x", "y", "z"], "left")
+    held = [F.coalesce(F.col(f"__r{k}"), F.lit(0.0)) for k in range(m.particles)]
+    out = out.withColumn("rates", F.concat(F.array(*held), F.array_repeat(F.lit(0.0), max(0, m.rates - m.particles)))).withColumn("coverages", empty)
+    covers = m.coverages(p)
+    return out.withColumn("coverages", F.array(*[F.coalesce(c, F.lit(0.0)) for c in covers])) if covers else out
+
+
+def steps(layers: DataFrame, process: Process, grid: Grid | None = None, axes: list[str] = AXES, rates: Callable[[DataFrame, Model, dict, DataFrame], DataFrame] = with_rates) -> Iterator[Step]:
+    """The states of ``layers`` (phi in cells) in a process, from one step to the next.
+
+    Every step is one chain of transformations; the global time step is the one number that the driver reads, and each new state is stored,
+    so that steps do not pile up lineage.
+    """
+    m = model(process.name)
+    layers = algebra.add_layers(layers, process.add_layer)
+    t, number = 0.0, 0
+    due = [x for x in process.outputs if x >= 0]
+    while t < process.time:
+        number += 1
+        top = layers.agg(F.max("layer")).first()[0]
+        pts = rates(surface_points(layers, grid, axes), m, process.parameters, layers)
+        pts = stored(pts.withColumn("velocity", m.velocity(process.parameters)), "surface")
+        fastest = pts.agg(F.max(F.abs("velocity"))).first()[0] or 0.0
+        ahead = [x for x in [*due, process.time] if x > t + 1e-12]
+        dt = min([process.max_step, *[x - t for x in ahead], motion.CFL / fastest if fastest > 0 else float("inf")])
+        wide = algebra.expand(layers, 5.0, 1.0)
+        # a band point moves with its nearest active point on its axis lines
+        near = _carried(wide.where(F.col("layer") == top), pts, axes)
+        own = motion.slopes(near, 1, axes, grid)
+        after = own.select(*KEY, (F.col("phi") - dt * motion.speed_term(F.col("velocity"), process.scheme)).alias("phi")).where(F.abs("phi") <= 1.5)
+        lower = layers.where(F.col("layer") < top)
+        if top > 0:
+            cover = after.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(top - 1))))
+            after = after.unionByName(algebra.prune(algebra.combine(lower, cover, "intersection")))
+        layers = stored(after, "layers")
+        t += dt
+        yield Step(number, t, dt, layers, any(abs(x - t) < 1e-9 for x in due))
+
+
+def _carried(band: DataFrame, pts: DataFrame, axes: list[str], reach: int = 3) -> DataFrame:
+    """Band points with the velocity of the nearest active point on an axis line through them (ties: the axis that comes first, then the lower side)."""
+    moves = F.array(*[F.struct(F.lit(abs(s)).alias("d"), F.lit(i).alias("i"), *[F.lit(s if b == a else 0).alias(b) for b in AXES]) for i, a in enumerate(axes) for s in range(-reach, reach + 1) if s or not i])
+    sent = pts.select("layer", *AXES, "velocity", F.explode(moves).alias("o"))
+    sent = sent.select("layer", *[(F.col(a) + F.col(f"o.{a}")).cast("int").alias(a) for a in AXES], F.struct("o.d", "o.i", F.col("o.x").alias("sx"), F.col("o.y").alias("sy"), F.col("o.z").alias("sz"), "velocity").alias("v"))
+    best = sent.groupBy(*KEY).agg(F.min("v").alias("v"))
+    return band.join(best, KEY, "left").select(*KEY, "phi", F.coalesce("v.velocity", F.lit(0.0)).alias("velocity"))
+
+
+def run(layers: DataFrame, processes: list[Process], grid: Grid | None = None, axes: list[str] = AXES) -> tuple[DataFrame, list[Step]]:
+    """The layers after all processes, and the steps on the way."""
+    taken: list[Step] = []
+    for p in processes:
+        if p.name == "Planarization":
+            layers = planarized(layers, float(p.parameters["coordinate"]), axes[-1])
+        elif p.name in ("Mask", "BooleanOperation"):
+            raise ValueError(f"{p.name} takes a level set: call masked or booleaned")
+        else:
+            for s in steps(layers, p, grid, axes):
+                taken.append(s)
+                layers = s.layers
+    return layers, taken
+
+
+def planarized(layers: DataFrame, at: float, axis: str = "z", unit: float = 1.0) -> DataFrame:
+    """Every layer cut off above ``at``: the intersection with the half space below, in the columns that the layers have."""
+    columns = layers.select("layer", "x", "y").distinct()
+    z = F.explode(F.sequence(F.lit(int(at) - 2), F.lit(int(at) + 3)))
+    half = columns.select("layer", "x", "y", z.alias("z")).withColumn("phi", (F.col("z") - F.lit(at)) * unit).where(F.abs("phi") <= 1.5 * unit)
+    return algebra.combine(layers, half.withColumn("phi", F.col("phi").cast(layers.schema["phi"].dataType)), "intersection")
+
+
+def masked(layers: DataFrame, mask: DataFrame) -> DataFrame:
+    """A mask under all layers: the mask less the solids there are is the new layer 0, and all others, one up, take it in."""
+    top = layers.agg(F.max("layer")).first()[0]
+    new = algebra.combine(mask.withColumn("layer", F.lit(0)), layers.where(F.col("layer") == top).withColumn("layer", F.lit(0)), "difference")
+    copies = mask.withColumn("layer", F.explode(F.sequence(F.lit(1), F.lit(top + 1))))
+    return new.unionByName(algebra.combine(layers.withColumn("layer", F.col("layer") + 1), copies, "union"))
+
+
+def booleaned(layers: DataFrame, shape: DataFrame, level: int, invert: bool = False) -> DataFrame:
+    """A shape put into the top ``level`` layers (positive: union) or taken from them (negative: intersection)."""
+    top = layers.agg(F.max("layer")).first()[0]
+    first = top - abs(level) + 1
+    shape = algebra.complement(shape) if invert else shape
+    copies = shape.withColumn("layer", F.explode(F.sequence(F.lit(first), F.lit(top))))
+    touched = algebra.combine(layers.where(F.col("layer") >= first), copies, "union" if level > 0 else "intersection")
+    return layers.where(F.col("layer") < first).unionByName(touched)
+
+
+def velocities(points: DataFrame, name: str, p: dict[str, Any]) -> Column:
+    return model(name).velocity(p)

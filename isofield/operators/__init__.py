@@ -1 +1 @@
-
+"""Operators on level sets, meshes and particles."""

@@ -1,0 +1,141 @@
+"""Moving surfaces: upwind integration, the global time step, and the step itself. phi in cells, velocities in cells a second."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.grid import AXES, KEY, Grid
+from .algebra import combine, prune
+from .analytics import active
+from .stencil import neighbour_values
+
+#: The largest part of a cell that a surface may pass in a step.
+CFL = 0.4999
+
+
+def _differences(a: str, order: int) -> tuple[Column, Column]:
+    """One-sided differences backward and forward along an axis; an absent neighbour counts as level."""
+    phi, m, p = F.col("phi"), F.col(f"{a}m1"), F.col(f"{a}p1")
+    back, fore = F.coalesce(phi - m, F.lit(0.0)), F.coalesce(p - phi, F.lit(0.0))
+    if order == 1:
+        return back, fore
+    curve = F.coalesce(p - 2 * phi + m, F.lit(0.0))
+    behind, ahead = F.coalesce(phi - 2 * m + F.col(f"{a}m2"), curve), F.coalesce(F.col(f"{a}p2") - 2 * p + phi, curve)
+    lesser = lambda u, v: F.when(u * v <= 0, F.lit(0.0)).otherwise(F.when(F.abs(u) < F.abs(v), u).otherwise(v))
+    return back + lesser(curve, behind) / 2, fore - lesser(curve, ahead) / 2
+
+
+def slopes(points: DataFrame, order: int = 1, axes: list[str] = AXES, grid: Grid | None = None) -> DataFrame:
+    """``points`` with grad_out and grad_in: the upwind gradient's size for a surface that moves outward or inward."""
+    v = neighbour_values(points, order, grid)
+    out, inn, mid, jump = F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    for a in axes:
+        b, f = _differences(a, order)
+        out += F.greatest(b, F.lit(0.0)) ** 2 + F.least(f, F.lit(0.0)) ** 2
+        inn += F.least(b, F.lit(0.0)) ** 2 + F.greatest(f, F.lit(0.0)) ** 2
+        mid += ((b + f) / 2) ** 2
+        jump += (f - b) / 2
+    return v.select(*points.columns, F.sqrt(out).alias("grad_out"), F.sqrt(inn).alias("grad_in"), F.sqrt(mid).alias("grad_mid"), jump.alias("jump"))
+
+
+def speed_term(velocity: Column, scheme: str = "engquist_osher", dissipation: float = 1.0) -> Column:
+    """Velocity times the gradient: upwind, or central with artificial dissipation (none where the velocity is 0)."""
+    if scheme == "engquist_osher":
+        return F.when(velocity > 0, velocity * F.col("grad_out")).otherwise(velocity * F.col("grad_in"))
+    if scheme == "lax_friedrichs":
+        return velocity * F.col("grad_mid") - F.when(velocity == 0, F.lit(0.0)).otherwise(dissipation * F.col("jump"))
+    raise ValueError(f"no scheme {scheme}")
+
+
+def layered_rates(points: DataFrame) -> DataFrame:
+    """Active points of the top layer (x, y, z, phi) with rates: an array of (rate, stop) from the top down.
+
+    ``points`` has a column rate (d phi / dt times -1) on every layer's row. A layer's rate holds until phi has risen to the next layer's value (stop); the lowest has none.
+    """
+    top = points.agg(F.max("layer")).first()[0]
+    down = Window.partitionBy("x", "y", "z").orderBy(F.col("layer").desc())
+    s = points.withColumn("stop", F.lead("phi").over(down))
+    g = s.groupBy("x", "y", "z").agg(F.max(F.when(F.col("layer") == top, F.col("phi"))).alias("phi"), F.array_sort(F.collect_list(F.struct((-F.col("layer")).alias("order"), "rate", "stop"))).alias("rates"))
+    return active(g.where(F.col("phi").isNotNull()), 1.0)
+
+
+def time_step(points: DataFrame, cfl: float = CFL) -> Column | float:
+    """The largest step in which no point with column rates passes more than ``cfl`` cells: one distributed minimum.
+
+    Time is summed through the layers: a layer of thickness d at rate r takes d / r, until the distance is used up.
+    """
+    start = F.struct(F.lit(float(cfl)).alias("left"), F.lit(0.0).alias("t"), F.col("phi").cast("double").alias("phi"), F.lit(False).alias("done"))
+
+    def take(s: Column, r: Column) -> Column:
+        thick = F.coalesce(r["stop"] - s["phi"], F.lit(float("inf")))
+        inward = (r["rate"] < 0) & (thick < s["left"])
+        t = F.when(r["rate"] == 0, F.lit(float("inf"))).otherwise(F.when(inward, thick).otherwise(s["left"]) / F.abs(r["rate"]))
+        skip = s["done"] | (inward & (thick <= 0))
+        return F.when(skip, s).otherwise(F.struct(F.when(inward, s["left"] - thick).otherwise(F.lit(0.0)).alias("left"), (s["t"] + t).alias("t"), F.when(inward, r["stop"]).otherwise(s["phi"]).cast("double").alias("phi"), (~inward).alias("done")))
+
+    found = points.select(F.aggregate("rates", start, take)["t"].alias("t")).agg(F.min("t")).first()[0]
+    return float("inf") if found is None else found
+
+
+def consumed(t: float) -> Column:
+    """phi after ``t`` seconds at the column rates: each layer's rate until its stop, then the next one's."""
+    start = F.struct(F.lit(float(t)).alias("left"), F.col("phi").cast("double").alias("phi"))
+
+    def take(s: Column, r: Column) -> Column:
+        goes = s["phi"] - r["rate"] * s["left"]
+        stops = (r["rate"] < 0) & r["stop"].isNotNull() & (goes > r["stop"])
+        used = F.when(stops, F.greatest((r["stop"] - s["phi"]) / -r["rate"], F.lit(0.0))).otherwise(s["left"])
+        return F.when(s["left"] <= 0, s).otherwise(F.struct((s["left"] - used).alias("left"), F.when(stops, F.greatest(r["stop"], s["phi"])).otherwise(goes).cast("double").alias("phi")))
+
+    return F.aggregate("rates", start, take)["phi"]
+
+
+#: Neighbours in the order in which the first of equal values counts.
+ORDER = [("x", 1), ("y", 1), ("z", 1), ("x", -1), ("y", -1), ("z", -1)]
+
+
+def rebuild(moved: DataFrame, data: list[str] = (), axes: list[str] = AXES) -> DataFrame:
+    """A level set one cell wide from active points after a step (layer, x, y, z, phi and ``data`` columns).
+
+    Points that moved out of half a cell are dropped if no neighbour lies on the other side, and held to half a cell if one does that overshot as well; points next to
+    the surface on which it has come are made at neighbour +- 1 and take over the data of the neighbour that gave the value (first of
+    equal ones in the order +x +y +z -x -y -z).
+    """
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(s if b == a else 0).alias(b) for b in AXES]) for i, (a, s) in enumerate(ORDER) if a in axes])
+    row = F.struct(F.col("phi"), *[F.col(c) for c in data])
+    near = moved.select("layer", *AXES, row.alias("row"), F.explode(steps).alias("o"))
+    near = near.select("layer", *[(F.col(a) - F.col(f"o.{a}")).cast("int").alias(a) for a in AXES], "o.i", "row")
+    up = F.min(F.when(F.col("row.phi") <= 0.5, F.struct(F.col("row.phi").alias("v"), "i", "row")))
+    down = F.max(F.when(F.col("row.phi") >= -0.5, F.struct(F.col("row.phi").alias("v"), (-F.col("i")).alias("i"), "row")))
+    around = near.groupBy(*KEY).agg(up.alias("up"), down.alias("down"), F.min("row.phi").alias("low"), F.max("row.phi").alias("high"))
+    own = moved.select(*KEY, row.alias("own"))
+    both = around.join(own, KEY, "full_outer")
+    p = F.col("own.phi")
+    crossed = F.when(p > 0.5, F.col("low") < -0.5).otherwise(F.col("high") > 0.5)
+    inside = F.abs(p) <= 0.5
+    held = F.when(inside, p).when(F.coalesce(crossed, F.lit(False)), F.when(p > 0, F.lit(0.5)).otherwise(F.lit(-0.5)))
+    # an absent point beside one that went beyond it: the surface now passes here
+    new_out, new_in = F.col("low") < -0.5, F.col("high") > 0.5
+    made = F.when(new_out & (F.col("low") + 1 <= 0.5), F.col("low") + 1).when(new_in & (F.col("high") - 1 >= -0.5), F.col("high") - 1)
+    source = F.when(new_out & (F.col("low") + 1 <= 0.5), F.col("up.row")).otherwise(F.col("down.row"))
+    value = F.when(p.isNotNull(), held).otherwise(made)
+    carried = [F.when(p.isNotNull(), F.col(f"own.{c}")).otherwise(source[c]).alias(c) for c in data]
+    return both.select(*KEY, value.alias("phi"), *carried).where(F.col("phi").isNotNull())
+
+
+def step(layers: DataFrame, rate: Column, dt: float, scheme: str = "engquist_osher", order: int = 1, axes: list[str] = AXES, grid: Grid | None = None, unit: float = 1.0) -> DataFrame:
+    """All layers after ``dt`` seconds: the top one moves by ``rate`` (cells a second, outward positive) in its band; lower ones are cut where it has gone below.
+
+    The band must be wide enough for the differences (three cells for first order).
+    """
+    top = layers.agg(F.max("layer")).first()[0]
+    own = layers.where(F.col("layer") == top)
+    moved = slopes(own, order, axes, grid)
+    after = moved.select(*KEY, (F.col("phi") - dt * speed_term(rate, scheme)).alias("phi")).where(F.abs("phi") <= 2.5 * unit)
+    lower = layers.where(F.col("layer") < top)
+    if not lower.take(1):
+        return after
+    numbers = [r[0] for r in lower.select("layer").distinct().collect()]  # a few layers
+    cover = after.withColumn("layer", F.explode(F.array(*[F.lit(n) for n in sorted(numbers)])))
+    return after.unionByName(prune(combine(lower, cover, "intersection")))

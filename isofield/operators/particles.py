@@ -1,0 +1,99 @@
+"""Particles: generation, flight through the grid to the first surface cell, re-emission, and the sum of what they bring.
+
+Flight is relational: a ray is exploded into the columns of the grid that it crosses, these meet the surface by an equi-join on the cell, and the
+nearest meeting of a ray is an aggregate. No grid is broadcast, whatever its size.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.random import cosine_direction, uniform
+from ..functions.storage import stored
+
+RAY = ["pid", "px", "py", "pz", "dx", "dy", "dz", "flux", "weight", "gen"]
+
+
+def generate(places: DataFrame, per_place: int, flux: float, seed: int, order: float = 1.0, kind: int = 0) -> DataFrame:
+    """``per_place`` particles from every start place (place id, x, y, z of its low corner, one cell wide): evenly drawn in the cell, moving down with
+    a distribution cos**order about -z. flux is shared among the particles of a place. Draws depend on seed, kind, place and number only."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(per_place - 1)))
+    p = places.select("place", "x", "y", "z", n.alias("n"))
+    u = [uniform(seed, F.lit(kind), F.col("place"), F.col("n"), F.lit(i)) for i in range(4)]
+    down = (F.lit(0.0), F.lit(0.0), F.lit(-1.0))
+    d = cosine_direction(down, u[2], u[3], order)
+    pid = F.col("place").cast("bigint") * per_place + F.col("n")
+    return p.select(pid.alias("pid"), (F.col("x") + u[0]).alias("px"), (F.col("y") + u[1]).alias("py"), F.col("z").cast("double").alias("pz"), *[c.alias(a) for c, a in zip(d, ("dx", "dy", "dz"), strict=True)], F.lit(flux / per_place).alias("flux"), F.lit(1.0).alias("weight"), F.lit(0).alias("gen")).where("dz < 0")
+
+
+def replicated(places: DataFrame, images: list[tuple[int, int]]) -> DataFrame:
+    """Start places repeated at the given offsets, for boundaries that are extended."""
+    at = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in images]))
+    return places.withColumn("__i", at).withColumn("x", F.col("x") + F.col("__i.a")).withColumn("y", F.col("y") + F.col("__i.b")).drop("__i")
+
+
+def first_hits(rays: DataFrame, surface: DataFrame, reach: int = 64, period: tuple[int, int] | None = None) -> DataFrame:
+    """Rays with the surface point that they meet first: ax, ay, az, t. Rays that meet none within ``reach`` cells don't come back.
+
+    ``surface``: x, y, z, h (height of the surface in the cell's column at that point, in cells) and the normal nx, ny, nz. A ray is followed in steps of half a cell along its
+    direction; a step's cell is joined to the surface points of its cell; it hits the tangent plane of such a point in front of it and
+    within one cell of the point. ``period``: columns repeat by these numbers of cells.
+    """
+    steps = F.explode(F.sequence(F.lit(0), F.lit(2 * reach)))
+    r = rays.withColumn("__k", steps)
+    s = F.col("__k") / 2.0
+    cell = {a: F.floor(F.col(f"p{a}") + s * F.col(f"d{a}") + 0.5).cast("int") for a in "xyz"}
+    r = r.select(*RAY, *[c.alias(f"c{a}") for a, c in cell.items()]).distinct()
+    keys = {"x": F.col("cx"), "y": F.col("cy")}
+    if period is not None:
+        keys = {a: F.pmod(c, F.lit(n)).cast("int") for (a, c), n in zip(keys.items(), period, strict=True)}
+    r = r.withColumns({"kx": keys["x"], "ky": keys["y"]})
+    m = r.join(surface.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("z").alias("cz"), "nx", "ny", "nz", F.col("phi").alias("phi")), ["kx", "ky", "cz"])
+    facing = -(F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz"))
+    gap = (F.col("px") - F.col("cx")) * F.col("nx") + (F.col("py") - F.col("cy")) * F.col("ny") + (F.col("pz") - F.col("cz")) * F.col("nz") + F.col("phi")
+    m = m.withColumn("cosine", facing).where("cosine > 0").withColumn("t", gap / F.col("cosine")).where("t > 1e-6")
+    far = sum(((F.col(f"p{a}") + F.col("t") * F.col(f"d{a}") - F.col(f"c{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    m = m.where(far <= 1.0)
+    hit = F.min(F.struct("t", F.col("kx").alias("ax"), F.col("ky").alias("ay"), F.col("cz").alias("az"), "nx", "ny", "nz", "cosine")).alias("hit")
+    return m.groupBy(*RAY).agg(hit).select(*RAY, "hit.*")
+
+
+def deposited(hits: DataFrame, absorbed: Column, name: str = "rate") -> DataFrame:
+    """Sum of flux * weight * absorbed by surface point; partial sums before the shuffle."""
+    return hits.groupBy("ax", "ay", "az").agg(F.sum(F.col("flux") * F.col("weight") * absorbed).alias(name))
+
+
+def reemitted(hits: DataFrame, sticking: Column, stop: float, seed: int, order: float = 1.0) -> DataFrame:
+    """The next generation: what doesn't stick leaves the point about its normal while its weight is ``stop`` or more."""
+    left = F.col("weight") * (1 - sticking)
+    u1, u2 = (uniform(seed, F.lit(7 + i), F.col("pid"), F.col("gen")) for i in range(2))
+    d = cosine_direction((F.col("nx"), F.col("ny"), F.col("nz")), u1, u2, order)
+    start = [F.col(f"p{a}") + F.col("t") * F.col(f"d{a}") + 1e-3 * F.col(f"n{a}") for a in "xyz"]
+    return hits.where(left >= stop).select("pid", *[c.alias(f"p{a}") for c, a in zip(start, "xyz", strict=True)], *[c.alias(a) for c, a in zip(d, ("dx", "dy", "dz"), strict=True)], "flux", left.alias("weight"), (F.col("gen") + 1).alias("gen"))
+
+
+def traced(rays: DataFrame, surface: DataFrame, sticking: float, stop: float, seed: int, reach: int = 64, period: tuple[int, int] | None = None, most: int = 200) -> DataFrame:
+    """Rate by surface point after all generations. Every generation is a stored table, and the loop ends when none is left."""
+    total, now = None, rays
+    for _ in range(most):
+        hits = stored(first_hits(now, surface, reach, period), "hits")
+        part = deposited(hits, F.lit(sticking))
+        total = part if total is None else total.unionByName(part)
+        now = stored(reemitted(hits, F.lit(sticking), stop, seed), "rays")
+        if not now.take(1):
+            break
+    return total.groupBy("ax", "ay", "az").agg(F.sum("rate").alias("rate"))
+
+
+def receptor_hits(hits: DataFrame, radius: float) -> Column:
+    """Whether a meeting falls on the receptor disc of a point: its distance from the disc's centre is at most ``radius``."""
+    away = sum(((F.col(f"p{a}") + F.col("t") * F.col(f"d{a}") - F.col(f"a{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+    return away <= radius * radius
+
+
+def disc_area(radius: float) -> float:
+    return math.pi * radius * radius
+
