@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick, stored
-from .components import connected_components
+from ..operators.components import connected_components
 from .wordhash import NOT_SPACE, U, chunks, mix, shingles, words
 
 REGISTERS, INDEX_BITS, MANTISSA_BITS = 128, 7, 10
