@@ -13,6 +13,7 @@ Every id crosses the network once.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,8 @@ END = 50256
 LENGTH = 2048
 SHARD = 1024
 KEY = 0x1F2E3D4C5B6A7988
-MEMO = 250_000
+#: White space as the pattern understands it, in runs too long for it.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 def read_ranks(path: str) -> bytes:
@@ -41,50 +43,35 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-@lru_cache(maxsize=1)
-def _encoding(ranks: bytes):
+@lru_cache(maxsize=2)
+def _encoding(ranks: bytes, pattern: str = PATTERN):
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
 class Tokeniser:
     """Ids of a text as little-endian uint16 bytes.
 
-    A space between two characters that aren't white space always begins a piece, so a text is encoded word by word, and
-    words already seen are looked up; texts with other runs of white space are encoded whole. The ids are the same.
+    The splitting pattern backtracks over white space, which ends in an error on runs of about a million characters. Long runs are
+    therefore cut out where the pattern would cut them: all of a run but its last character is one piece; at the text's end, all of it.
     """
 
     def __init__(self, ranks: bytes):
-        self.encoding = _encoding(ranks)
-        self.memo: dict[str, bytes | None] = {}
+        self.ranks, self.encoding = ranks, _encoding(ranks)
 
-    def whole(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
-
-    def _new(self, word: str) -> bytes | None:
-        """Of a space and the word; None if the word is empty or begins or ends with white space."""
-        out = None if not word or word[0].isspace() or word[-1].isspace() else self.whole(" " + word)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = out
-        return out
+    def ids(self, text: str) -> list[int]:
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out += self.encoding.encode_ordinary(text[at : run.start()])
+            out += _encoding(self.ranks, r"[\s\S]+").encode_ordinary(text[run.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
 
     def __call__(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return self.whole(text)
-        get, missing = self.memo.get, object()
-        out = [self.whole(first)]
-        for w in rest:
-            ids = get(w, missing)
-            if ids is missing:
-                ids = self._new(w)
-            if ids is None:
-                return self.whole(text)
-            out.append(ids)
-        return b"".join(out)
+        return np.array(self.ids(text), "<u2").tobytes()
 
 
 def feistel(slot: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.ndarray:

@@ -120,10 +120,16 @@ def test_tokens_round_trip(spark, docs, tmp_path):
     assert [r["slot"] for r in got] == list(range(3, min(9, len(rows)))) and [bytes(r["tokens"]) for r in got] == [bytes(r["tokens"]) for r in rows[3:9]]
 
 
-@pytest.mark.parametrize("text", ["a  b c", "a b \n c\n\nd e", " lead x", "trail ", "x y z", "a b\tc d", "'s 's 'll x", "", " "])
+@pytest.mark.parametrize("text", ["a  b \n c", " lead x", "", " " * 10_000 + "ab c", "x" + "\n" * 12_345 + "y z", "a " + " " * 20_000, "b" + "\t" * 10_001 + " word", "\u3000" * 15_000 + "q"])
 def test_tokeniser_equals_the_plain_one(text):
     t = order.Tokeniser(order.read_ranks(order.VOCABULARY))
-    assert t(text) == t.whole(text)
+    assert t.ids(text) == t.encoding.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n " * 700_000 + "x", "a" * 1_000_000])
+def test_tokeniser_takes_very_long_pieces(text):
+    t = order.Tokeniser(order.read_ranks(order.VOCABULARY))
+    assert t.encoding.decode(t.ids(text)) == text
 
 
 def test_viterbi():
