@@ -15,6 +15,7 @@ from ..functions import random
 from ..functions.grid import AXES, KEY, Boundary, Grid, quantise
 from ..operators import algebra, analytics, meshing, motion
 from ..operators.stencil import cells
+from ..operators.weno import weno_slopes
 from ..sources.heightfield import SQL, carved, heights, level_set
 from ..streaming import streamed_rates
 
@@ -347,3 +348,16 @@ def first_hit_down(spark, sf):
     rays = li.select(F.col("l_orderkey").alias("ray"), F.col("l_linenumber").alias("n"), F.expr("cast(l_partkey div 20 as int)").alias("x"), F.col("l_quantity").cast("int").alias("y"))
     top = analytics.active(level_set(spark, sf)).groupBy("x", "y").agg(F.max(F.struct("z", "layer")).alias("hit"))
     return rays.join(top, ["x", "y"]).select("ray", "n", "hit.z", "hit.layer")
+
+
+@query(f"""WITH {SQL}, v AS (SELECT p.layer, p.x, p.y, p.z, b.phi - a.phi AS d1, p.phi - b.phi AS d2, c.phi - p.phi AS d3, d.phi - c.phi AS d4 FROM ls p
+  JOIN ls a ON a.layer = p.layer AND a.y = p.y AND a.z = p.z AND a.x = p.x - 2 JOIN ls b ON b.layer = p.layer AND b.y = p.y AND b.z = p.z AND b.x = p.x - 1
+  JOIN ls c ON c.layer = p.layer AND c.y = p.y AND c.z = p.z AND c.x = p.x + 1 JOIN ls d ON d.layer = p.layer AND d.y = p.y AND d.z = p.z AND d.x = p.x + 2),
+w AS (SELECT layer, x, y, z, d1::DOUBLE AS d1, d2::DOUBLE AS d2, d3::DOUBLE AS d3, d4::DOUBLE AS d4 FROM v),
+r AS (SELECT *, (1e-6::DOUBLE + (d1 - d2) * (d1 - d2)) / (1e-6::DOUBLE + (d2 - d3) * (d2 - d3)) AS rb, (1e-6::DOUBLE + (d4 - d3) * (d4 - d3)) / (1e-6::DOUBLE + (d3 - d2) * (d3 - d2)) AS ra FROM w)
+SELECT layer, x, y, z, round((d2 + d3 - (d1 - 2.0::DOUBLE * d2 + d3) / (1.0::DOUBLE + 2.0::DOUBLE * rb * rb)) / 2.0::DOUBLE * 1000)::BIGINT AS below,
+       round((d3 + d2 - (d4 - 2.0::DOUBLE * d3 + d2) / (1.0::DOUBLE + 2.0::DOUBLE * ra * ra)) / 2.0::DOUBLE * 1000)::BIGINT AS above FROM r""")
+def weno_slopes_x(spark, sf):
+    """Slopes of third order along x in millionths, where both are known."""
+    s = weno_slopes(level_set(spark, sf), 3, ["x"]).where("x_below is not null and x_above is not null")
+    return s.select(*KEY, F.round(F.col("x_below") * 1000).cast("bigint").alias("below"), F.round(F.col("x_above") * 1000).cast("bigint").alias("above"))

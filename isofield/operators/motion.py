@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY, Grid
-from .algebra import combine, prune
+from .algebra import combine, linear_combination, prune
 from .analytics import active
 from .stencil import neighbour_values
 
@@ -139,3 +139,17 @@ def step(layers: DataFrame, rate: Column, dt: float, scheme: str = "engquist_osh
     numbers = [r[0] for r in lower.select("layer").distinct().collect()]  # a few layers
     cover = after.withColumn("layer", F.explode(F.array(*[F.lit(n) for n in sorted(numbers)])))
     return after.unionByName(prune(combine(lower, cover, "intersection")))
+
+
+def runge_kutta(points: DataFrame, advance, order: int = 2) -> DataFrame:
+    """One step of Runge-Kutta type (strong stability, order 1 to 3) from ``advance``, which makes a plain step of a level set.
+
+    Each stage is a plain step of the last stage's result, averaged with the start by a full join on the points.
+    """
+    shares = {1: [], 2: [0.5], 3: [0.75, 1 / 3]}
+    if order not in shares:
+        raise ValueError(f"no order {order}; there are 1, 2 and 3")
+    now = advance(points)
+    for share in shares[order]:
+        now = linear_combination(points, advance(now), share, 1 - share)
+    return now

@@ -10,7 +10,8 @@ from isofield.functions.grid import KEY, Boundary, Grid, dequantise, quantise, s
 from isofield.jobs.simulate import Process, planarized, run
 from isofield.operators import algebra, analytics, meshing, motion, particles
 from isofield.operators.components import connected_components
-from isofield.sources import meshes, parameters, shapes
+from isofield.operators.weno import weno_slopes
+from isofield.sources import meshes, parameters, shapes, writers
 from isofield.streaming import streamed_rates
 
 G = Grid({"x": 0, "y": 0, "z": -6}, {"x": 12, "y": 6, "z": 6}, {"x": Boundary.PERIODIC, "y": Boundary.PERIODIC})
@@ -215,3 +216,37 @@ def test_stream(spark, tmp_path):
     q = streamed_rates(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("rates").select("rate", "n_hits").collect()) == sorted(tuple(r) for r in streamed_rates(t).select("rate", "n_hits").collect()) == [(4.0, 1), (5.0, 2)]
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_weno_slopes_converge(spark, order):
+    worst = []
+    for n in (20, 40):
+        line = spark.range(n).select(F.lit(0).alias("layer"), F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.lit(0).alias("z"), F.sin(F.col("id") / n).alias("phi"))
+        rows = weno_slopes(line, order, ["x"]).where("x_below is not null and x_above is not null").collect()
+        assert len(rows) == n - order - 1
+        worst.append(max(abs(s * n - math.cos(r["x"] / n)) for r in rows for s in (r["x_below"], r["x_above"])))
+    assert worst[0] < 1e-2 and worst[1] < worst[0] / 2
+    assert weno_slopes(line.where("x < 0"), order, ["x"]).count() == 0
+    with pytest.raises(ValueError):
+        weno_slopes(line, 4)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_runge_kutta_plane(spark, order):
+    plane = spark.range(-4, 5).select(F.lit(0).alias("layer"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("id").cast("int").alias("z"), F.col("id").cast("double").alias("phi"))
+    out = points(motion.runge_kutta(plane, lambda p: p.withColumn("phi", F.col("phi") - 0.25), order))
+    assert out == {(0, 0, 0, z): z - 0.25 for z in range(-4, 5)}
+    decay = points(motion.runge_kutta(plane, lambda p: p.withColumn("phi", F.col("phi") * 0.9), order))
+    assert abs(decay[0, 0, 0, 4] / 4 - math.exp(-0.1)) < (6e-3, 2e-4, 5e-6)[order - 1]
+
+
+def test_writers(spark, two, tmp_path):
+    a, _ = two
+    writers.write_points(a, str(tmp_path / "points"))
+    assert points(spark.read.parquet(str(tmp_path / "points"))) == points(a)
+    rates = analytics.active(a, 1.0).withColumn("rate", F.col("x") * 0.5)
+    writers.write_rates(rates, str(tmp_path / "rates"), delta=0.1)
+    lines = [line.split(" ") for p in sorted((tmp_path / "rates").glob("part-*")) for line in p.read_text().splitlines()]
+    assert len(lines) == rates.count() and all(len(r) == 4 and float(r[3]) == pytest.approx(float(r[0]) * 5) for r in lines)
+    assert [float(r[2]) for r in lines] == sorted(float(r[2]) for r in lines)
