@@ -2,12 +2,15 @@
 
 Paragraph-like blocks pass points (for length and commas) to their ancestors, less with every level; an element's
 points count by one minus its link density. The best container and siblings that score well with it are kept; menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are left out wherever they stand.
+headers, footers, sidebars, notices, adverts, forms, comments and the like are left out wherever they stand. Element names, roles and
+hidden marks are final. A class or id is not: a name of the text itself beside it, a <main> inside, or more text
+than the rest of the page with few links lets an element in (the last not for ``ASIDE``, what readers or third parties say).
 One pass over the pages; each page is parsed on its own.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections.abc import Iterator
@@ -23,12 +26,18 @@ RAW = set("script style template noscript textarea title iframe xmp noembed nofr
 SKIP = RAW | set("head nav footer aside form button select option svg math canvas object audio video map dialog menu fieldset datalist label input".split())
 BLOCK = set("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = set("p pre blockquote td dd li h2 h3 h4 h5 h6".split())
+#: Elements of running text, which belong to the container beside them whatever they score.
+BESIDE = set("p ul ol dl blockquote table pre figure h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - set("caption td th tr tbody thead tfoot body html".split())
 #: An opening element ends an open one of these, looked for up to the given container.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id or role that mark an element as not being the text, or as being it.
 LEAVE = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion comment comments disqus reply replies respond discussion sidebar side footer foot header masthead topbar nav navbar navigation menu breadcrumb breadcrumbs pagination pager related recommended share sharing social cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login widget toolbar tags meta skip hidden outbrain taboola search contentinfo complementary rail legal copyright".split())
 HOLD = set("article content entry main post story text body blog page".split())
+#: Words of LEAVE that stay out however much text they hold.
+ASIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion comment comments disqus reply replies respond discussion cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login hidden outbrain taboola nav navbar navigation menu".split())
+#: A class that begins so tells of what the page has or lacks, not what the element is.
+ABOUT = set("has no not non with without".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -36,12 +45,18 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "points", "weight", "leave", "hold")
+    __slots__ = ("name", "parent", "parts", "points", "weight", "leave", "hold", "soft", "aside")
 
-    def __init__(self, name: str, parent: Node | None, marks: set[str] = frozenset(), hidden: bool = False):  # noqa: F821
+    def __init__(self, name: str, parent: Node | None, called: list[set[str]] = (), hidden: bool = False):  # noqa: F821
+        """``called``: the words of each class and id; ``hidden``: out by another attribute."""
         self.name, self.parent, self.parts, self.points = name, parent, [], 0.0
-        self.hold = name in ("article", "main") or bool(marks & HOLD)
-        self.leave = name in SKIP or hidden or (bool(marks & LEAVE) and name not in ("html", "body", "article", "main"))
+        self.hold = name in ("article", "main") or any(c & HOLD for c in called)
+        told = [c & LEAVE for c in called]
+        own = name not in ("html", "body", "article", "main") and any(told) and not any(c & HOLD and not t for c, t in zip(called, told, strict=True))
+        self.aside = own and any(t & ASIDE for t in told)
+        self.leave = name in SKIP or hidden or own
+        #: left out by class or id alone
+        self.soft = own and not (name in SKIP or name == "header" or hidden)
 
 
 def parse(page: str) -> Node:
@@ -82,15 +97,18 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node is not root and node.name in own:
                 here = node.parent
-        marks, hidden = set(), False
+        called, hidden = [], False
         if len(token) > len(found[0]) + 1:
             for key, value in _ATTRIBUTE.findall(token[len(found[0]) : -1 if token.endswith(">") else None]):
                 key = key.lower()
-                if key in ("class", "id", "role"):
-                    marks.update(_WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).lower()))
+                if key in ("class", "id"):
+                    names = [_WORDS.findall(c) for c in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).lower().split()]
+                    called += [set(c) for c in names if c and c[0] not in ABOUT]
+                elif key == "role":
+                    hidden = hidden or (name not in ("html", "body", "article", "main") and not LEAVE.isdisjoint(_WORDS.findall(value.lower())))
                 elif key == "hidden" or (key == "aria-hidden" and "true" in value) or (key == "style" and re.search(r"display\s*:\s*none", value)):
                     hidden = True
-        node = Node(name, here, marks, hidden)
+        node = Node(name, here, called, hidden)
         here.parts.append(node)
         if name in VOID:
             continue
@@ -162,11 +180,76 @@ def _sizes(root: Node) -> dict[int, tuple[int, int]]:
     return sizes
 
 
+def _points(own: str) -> int:
+    return 1 + own.count(",") + min(3, len(own) // 100)
+
+
+def _let_in(root: Node) -> None:
+    """Takes back ``leave`` where only a class or id says so and the element is the page's text after all."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [p for p in node.parts if not isinstance(p, str) and (p.soft or not _left_out(p))]
+    if not any(n.soft for n in order):
+        return
+    # text of its own, points of its paragraphs, size, size within links, whether it holds a <main>
+    own = {id(n): [[], 0, 0, 0, n.name == "main"] for n in order}
+    for node in reversed(order):
+        texts, _, _, _, main = x = own[id(node)]
+        texts += [t for p in node.parts if isinstance(p, str) and (t := p.strip())]
+        size = sum(map(len, texts))
+        x[2] += size
+        if node.name == "a":
+            x[3] = x[2]
+        flows = node.name in PARAGRAPH or node.name in BLOCK or node.name == "div" or node is root
+        if flows and texts and x[3] <= 0.6 * x[2]:
+            x[1] += _points(" ".join(texts))
+        up = own[id(node.parent)] if node is not root else None
+        if up:
+            if not flows:
+                up[0] += texts
+                up[2] += x[2] - size
+            else:
+                up[2] += x[2]
+            # what stays out adds nothing to those around it
+            up[1] += 0 if node.aside else x[1]
+            up[3] += x[3]
+            up[4] |= main
+    inside, edge = 0, []
+
+    def enter(node: Node) -> None:
+        nonlocal inside
+        stack = [node]
+        while stack:
+            n = stack.pop()
+            inside += own[id(n)][1]
+            for p in n.parts:
+                if isinstance(p, str) or id(p) not in own:
+                    continue
+                inside -= 0 if p.aside else own[id(p)][1]
+                if p.soft and own[id(p)][4]:
+                    p.leave = False
+                if not p.leave:
+                    stack.append(p)
+                elif not p.aside:
+                    heapq.heappush(edge, (-own[id(p)][1], len(edge), id(p), p))
+
+    enter(root)
+    while edge and -edge[0][0] > inside:
+        node = heapq.heappop(edge)[-1]
+        _, _, size, links, _ = own[id(node)]
+        if links < 0.25 * max(1, size):
+            node.leave = False
+            enter(node)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page; empty for null, empty or text-free pages."""
     if not page:
         return ""
     root = parse(page)
+    _let_in(root)
     sizes = _sizes(root)
     density = lambda n: sizes[id(n)][1] / max(1, sizes[id(n)][0])
     nodes = list(_walk(root))
@@ -178,7 +261,7 @@ def main_text(page: str | None) -> str:
         own = " ".join(p for p in node.parts if isinstance(p, str)) if direct else text_of(node)
         if not own.strip() or density(node) > 0.6:
             continue
-        points = 1 + own.count(",") + min(3, len(own) // 100)
+        points = _points(own)
         for level, up in enumerate([node, *_up(node)] if direct else _up(node)):
             up.points += points * (1 if level == 0 else 0.5 if level == 1 else 1 / (level * 3))
             scored[id(up)] = up
@@ -198,13 +281,11 @@ def main_text(page: str | None) -> str:
     for part in best.parent.parts if best.parent else []:
         if isinstance(part, str) or _left_out(part):
             continue
-        if part is best or (id(part) in scored and value(part) >= least and part.name == best.name):
+        if part is best or (id(part) in scored and value(part) >= least and (part.name == best.name or density(part) < 0.5)):
             chosen.append(part)
-        elif part.name == "p" and best.name not in ("article", "main"):
-            size = sizes[id(part)][0]
-            if (size > 80 and density(part) < 0.25) or (0 < size <= 80 and density(part) == 0 and text_of(part).endswith((".", "!", "?"))):
-                chosen.append(part)
-        elif part.name in ("h1", "h2") and best.name not in ("article", "main") and sizes[id(part)][0]:
+        elif best.name in ("article", "main") or not sizes[id(part)][0]:
+            continue
+        elif part.name in ("h1", "h2") or (part.name in BESIDE and density(part) < 0.25):
             chosen.append(part)
     return " ".join(t for t in map(text_of, chosen) if t)
 
