@@ -30,10 +30,11 @@ from .wordhash import NOT_SPACE, chunks, shingles, words
 
 #: Labelled documents of each class that the fit takes at most.
 SAMPLE = 10_000
-#: A feature counts beyond this many standard deviations.
-LEAST_Z = 5.0
-#: Weight of the prior against the counts; score of a token without a feature that counts.
-PRIOR_SHARE, BACKGROUND = 0.02, -1.0
+#: A feature counts beyond this many standard deviations; how far it counts is left to the prior, which shrinks rare ones.
+LEAST_Z = 2.0
+#: Weight of the prior against the counts; documents that it adds to those, of which the curve part chooses; score of a token
+#: without a feature that counts.
+PRIOR_SHARE, PRIORS, BACKGROUND = 0.02, (0.5, 2.0, 8.0, 32.0), -1.0
 PREFIXES = (4, 5, 6)
 #: Tokens whose score a task keeps at hand; beyond it the memory is emptied, results stay the same.
 MEMO = 300_000
@@ -155,31 +156,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = stored(counts.where("t + c > 1"), "toxic-features")
     docs_in = {r["toxic"]: r["count"] for r in rows.where("part = 0").groupBy("toxic").count().collect()}
     nt, nc = docs_in.get(1, 0) + 1.0, docs_in.get(0, 0) + 1.0
-    prior = PRIOR_SHARE * (F.col("t") + F.col("c")) + 0.5
-    odds = lambda y, n: F.log((y + prior * n / (nt + nc) * 2) / (n + 1))
-    z = counts.withColumn("odds", odds(F.col("t"), F.lit(nt)) - odds(F.col("c"), F.lit(nc)))
-    z = z.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("t") + prior * nt / (nt + nc) * 2) + 1 / (F.col("c") + prior * nc / (nt + nc) * 2)))
-    kept = z.where(F.abs("z") >= LEAST_Z).select("feature", "odds", "z").collect()  # bounded by the sample
-    model.odds = {r["feature"]: (r["odds"], r["z"]) for r in kept}
-    told = rows.sparkSession.sparkContext.broadcast(model)
+    told = rows.sparkSession.sparkContext.broadcast(_models(counts, nt, nc))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(told.value)
+        memos = [Memo(m) for m in told.value]
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                s = [memo[t] for t in tokens(text)]
-                bins = Counter(round(x, 1) for x in s) if not toxic else Counter()
-                yield pa.RecordBatch.from_arrays([pa.array([toxic], pa.int32()), pa.array([len(s)], pa.int64()), pa.array([[x[2] for x in segments(s)]], pa.list_(pa.float64())), pa.array([list(bins)], pa.list_(pa.float64())), pa.array([list(bins.values())], pa.list_(pa.int64()))], ["toxic", "n", "sums", "bins", "counts"])
-
-    held = rows.where("part = 1").select("text", "toxic").mapInArrow(scored, "toxic int, n bigint, sums array<double>, bins array<double>, counts array<bigint>").toPandas()  # at most 2 * sample rows of numbers
+                found = tokens(text)
+                for i, memo in enumerate(memos):
+                    s = [memo[t] for t in found]
+                    bins = Counter(round(x, 1) for x in s) if not toxic else Counter()
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([toxic], pa.int32()), pa.array([len(s)], pa.int64()), pa.array([[x[2] for x in segments(s)]], pa.list_(pa.float64())), pa.array([list(bins)], pa.list_(pa.float64())), pa.array([list(bins.values())], pa.list_(pa.int64()))], ["prior", "toxic", "n", "sums", "bins", "counts"])
+
+    held = rows.where("part = 1").select("text", "toxic").mapInArrow(scored, "prior int, toxic int, n bigint, sums array<double>, bins array<double>, counts array<bigint>").toPandas()  # at most 2 * sample rows of numbers a prior
+    tried = [_calibrated(m, held[held["prior"] == i], n_toxic / n_clean) for i, m in enumerate(told.value)]
+    return min(tried, key=lambda x: x[0])[1]
+
+
+def _models(counts: DataFrame, nt: float, nc: float) -> list[Model]:
+    """A model without curve for each of ``PRIORS``; counts: feature, t, c (toxic and clean documents that hold it)."""
+    of = []
+    for base in PRIORS:
+        prior = PRIOR_SHARE * (F.col("t") + F.col("c")) + base
+        odds = lambda y, n: F.log((y + prior * n / (nt + nc) * 2) / (n + 1))  # noqa: B023, E731
+        o = odds(F.col("t"), F.lit(nt)) - odds(F.col("c"), F.lit(nc))
+        z = o / F.sqrt(1 / (F.col("t") + prior * nt / (nt + nc) * 2) + 1 / (F.col("c") + prior * nc / (nt + nc) * 2))
+        of.append(F.when(F.abs(z) >= LEAST_Z, F.struct(o.alias("odds"), z.alias("z"))))
+    kept = counts.select("feature", F.array(*of).alias("of")).where(F.exists("of", lambda x: x.isNotNull())).collect()  # bounded by the sample
+    return [Model(odds={r["feature"]: (r["of"][i]["odds"], r["of"][i]["z"]) for r in kept if r["of"][i]}) for i in range(len(PRIORS))]
+
+
+def _calibrated(model: Model, held: pd.DataFrame, ratio: float) -> tuple[float, Model]:
+    """(loss on the curve part, ``model`` with statistics and curve from it)."""
     total: Counter = Counter()
-    for bins, counts_ in zip(held["bins"], held["counts"], strict=True):
-        for x, c in zip(bins, counts_, strict=True):
+    for bins, counts in zip(held["bins"], held["counts"], strict=True):
+        for x, c in zip(bins, counts, strict=True):
             total[x] += int(c)
     model.rate, model.scale = _extreme(total, max((o for o, _ in model.odds.values()), default=1.0) + BACKGROUND)
     xs = np.array([math.log1p(sum(_logs(model, n, s))) for n, s in zip(held["n"], held["sums"], strict=True)])
-    model.curve = _logistic(xs, held["toxic"].to_numpy().astype(float), n_toxic / n_clean)
-    return model
+    y = held["toxic"].to_numpy().astype(float)
+    model.curve = _logistic(xs, y, ratio)
+    p = np.clip(1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * xs, -50, 50))), 1e-9, 1 - 1e-9)
+    weight = np.where(y > 0, ratio * (1 - y).sum() / max(1.0, y.sum()), 1.0)
+    return float(-(weight * np.log(np.where(y > 0, p, 1 - p))).sum()), model
 
 
 def _logs(model: Model, n: int, sums) -> list[float]:
