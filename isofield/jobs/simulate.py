@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -56,8 +57,9 @@ def surface_points(layers: DataFrame, grid: Grid | None, axes: list[str]) -> Dat
     return near.join(m, ["x", "y", "z"], "left").join(v, ["x", "y", "z"], "left").withColumn("material", F.coalesce("material", F.lit(0)))
 
 
-def with_rates(points: DataFrame, m: Model, p: dict[str, Any], layers: DataFrame) -> DataFrame:
-    """Points with arrays rates and coverages. Fluxes of each kind of particle are traced from one cell above the highest point."""
+def with_rates(points: DataFrame, m: Model, p: dict[str, Any], layers: DataFrame, grid: Grid | None = None, axes: list[str] = AXES) -> DataFrame:
+    """Points with arrays rates and coverages. Fluxes of each kind of particle are traced from one cell above the highest point, on through
+    the periodic and mirrored sides of ``grid``."""
     empty = F.array().cast("array<double>")
     out = points
     if not m.particles:
@@ -67,7 +69,7 @@ def with_rates(points: DataFrame, m: Model, p: dict[str, Any], layers: DataFrame
     for kind in range(m.particles):
         stick = float((p.get("sticking_probabilities") or [p.get("sticking_probability", 1.0)])[0])
         rays = particles.generate(places, int(p.get("statistical_accuracy", 10)), float(p.get("flux", 1.0)), int(p.get("random_seed", 0)), float(p.get("start_angle_distribution", 1.0)), kind)
-        r = particles.traced(rays, points, stick, float(p.get("stop_criterion", 0.1)), kind)
+        r = particles.traced(rays, points, stick, float(p.get("stop_criterion", 0.1)), kind, grid=grid, axes=axes)
         out = out.join(r.select(F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"), F.col("rate").alias(f"__r{kind}")), ["x", "y", "z"], "left")
     held = [F.coalesce(F.col(f"__r{k}"), F.lit(0.0)) for k in range(m.particles)]
     out = out.withColumn("rates", F.concat(F.array(*held), F.array_repeat(F.lit(0.0), max(0, m.rates - m.particles)))).withColumn("coverages", empty)
@@ -82,6 +84,8 @@ def steps(layers: DataFrame, process: Process, grid: Grid | None = None, axes: l
     so that steps do not pile up lineage.
     """
     m = model(process.name)
+    if rates is with_rates:
+        rates = partial(with_rates, grid=grid, axes=axes)
     layers = algebra.add_layers(layers, process.add_layer)
     t, number = 0.0, 0
     due = [x for x in process.outputs if x >= 0]

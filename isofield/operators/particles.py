@@ -11,10 +11,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.grid import AXES, Boundary, Grid
 from ..functions.random import cosine_direction, uniform
 from ..functions.storage import stored
 
 RAY = ["pid", "px", "py", "pz", "dx", "dy", "dz", "flux", "weight", "gen"]
+#: Cells after which a ray that neither meets the surface nor leaves its box is taken for endless.
+FARTHEST = 1 << 22
 
 
 def generate(places: DataFrame, per_place: int, flux: float, seed: int, order: float = 1.0, kind: int = 0) -> DataFrame:
@@ -35,26 +38,61 @@ def replicated(places: DataFrame, images: list[tuple[int, int]]) -> DataFrame:
     return places.withColumn("__i", at).withColumn("x", F.col("x") + F.col("__i.a")).withColumn("y", F.col("y") + F.col("__i.b")).drop("__i")
 
 
-def first_hits(rays: DataFrame, surface: DataFrame, reach: int = 64, period: tuple[int, int] | None = None) -> DataFrame:
-    """Rays with the surface point that they meet first: ax, ay, az, t. Rays that meet none within ``reach`` cells don't come back.
+def first_hits(rays: DataFrame, surface: DataFrame, reach: int = 64, period: tuple[int, int] | None = None, grid: Grid | None = None, axes: list[str] = AXES) -> DataFrame:
+    """Rays with the surface point that they meet first: ax, ay, az, t. Rays that leave the surface's box without meeting one don't come back.
 
-    ``surface``: x, y, z, h (height of the surface in the cell's column at that point, in cells) and the normal nx, ny, nz. A ray is followed in steps of half a cell along its
+    ``surface``: x, y, z, phi and the normal nx, ny, nz. A ray is followed in steps of half a cell along its
     direction; a step's cell is joined to the surface points of its cell; it hits the tangent plane of such a point in front of it and
-    within one cell of the point. ``period``: columns repeat by these numbers of cells.
+    within one cell of the point. Rays that have met nothing within ``reach`` cells and are still in the box, or on their way to it, are stored
+    and followed on, each time twice as far; ``FARTHEST`` cells without an end are an error. ``period``: columns repeat by these numbers of
+    cells. ``grid``: its periodic sides repeat and its mirrored ones turn; positions, directions and normals are those of the image that a ray
+    is in. An axis that is not in ``axes`` has one index, 0, and no end.
     """
-    steps = F.explode(F.sequence(F.lit(0), F.lit(2 * reach)))
+    box = surface.agg(*[f(a).alias(n + a) for a in AXES for n, f in (("low", F.min), ("high", F.max))]).first()
+    endless = {a for i, a in enumerate("xy") if period is not None or a not in axes or (grid is not None and (grid.of(a) is Boundary.PERIODIC or grid.of(a).mirrors))}
+    begin, end, found = 0, reach, None
+    while True:
+        met = _hits_within(rays, surface, begin, end, period, grid, axes)
+        if box["lowz"] is None:
+            return met
+        gone = F.lit(False)
+        for a in (x for x in AXES if x not in endless):
+            at, d = F.col(f"p{a}") + end * F.col(f"d{a}"), F.col(f"d{a}")
+            gone = gone | ((at > box["high" + a] + 1.5) & (d >= 0)) | ((at < box["low" + a] - 1.5) & (d <= 0))
+        staying = rays.where(~gone)
+        if not staying.take(1):
+            return met if found is None else found.unionByName(met)
+        met = stored(met, "met")
+        found = met if found is None else found.unionByName(met)
+        rays = stored(staying.select(*RAY).join(met.select(*RAY), RAY, "left_anti"), "flying")
+        if not rays.take(1):
+            return found
+        if end >= FARTHEST:
+            raise RuntimeError(f"rays fly on after {end} cells")
+        begin, end = end, min(FARTHEST, 3 * end - 2 * begin)
+
+
+def _hits_within(rays: DataFrame, surface: DataFrame, begin: int, end: int, period: tuple[int, int] | None, grid: Grid | None, axes: list[str]) -> DataFrame:
+    """First meetings at more than ``begin`` and at most ``end`` cells from the start of a ray."""
+    # a point that is met lies within two cells of the step that falls in its cell
+    steps = F.explode(F.sequence(F.lit(max(0, 2 * begin - 4)), F.lit(2 * end + 4)))
     r = rays.withColumn("__k", steps)
     s = F.col("__k") / 2.0
     cell = {a: F.floor(F.col(f"p{a}") + s * F.col(f"d{a}") + 0.5).cast("int") for a in "xyz"}
     r = r.select(*RAY, *[c.alias(f"c{a}") for a, c in cell.items()]).distinct()
-    keys = {"x": F.col("cx"), "y": F.col("cy")}
+    keys, turned = {"x": F.col("cx"), "y": F.col("cy")}, {}
+    if grid is not None:
+        turned = {a: grid.reversed(a, F.col(f"c{a}")) for a in "xy" if a in axes and grid.of(a).mirrors}
+        keys = {a: grid.wrap(a, c) if a in axes and a in grid.low else c for a, c in keys.items()}
     if period is not None:
         keys = {a: F.pmod(c, F.lit(n)).cast("int") for (a, c), n in zip(keys.items(), period, strict=True)}
+    keys = {a: c if a in axes else F.lit(0) for a, c in keys.items()}
     r = r.withColumns({"kx": keys["x"], "ky": keys["y"]})
     m = r.join(surface.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.col("z").alias("cz"), "nx", "ny", "nz", F.col("phi").alias("phi")), ["kx", "ky", "cz"])
+    m = m.withColumns({f"n{a}": F.when(t, -F.col(f"n{a}")).otherwise(F.col(f"n{a}")) for a, t in turned.items()})
     facing = -(F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz"))
     gap = (F.col("px") - F.col("cx")) * F.col("nx") + (F.col("py") - F.col("cy")) * F.col("ny") + (F.col("pz") - F.col("cz")) * F.col("nz") + F.col("phi")
-    m = m.withColumn("cosine", facing).where("cosine > 0").withColumn("t", gap / F.col("cosine")).where("t > 1e-6")
+    m = m.withColumn("cosine", facing).where("cosine > 0").withColumn("t", gap / F.col("cosine")).where((F.col("t") > max(1e-6, begin)) & (F.col("t") <= end))
     far = sum(((F.col(f"p{a}") + F.col("t") * F.col(f"d{a}") - F.col(f"c{a}")) ** 2 for a in "xyz"), F.lit(0.0))
     m = m.where(far <= 1.0)
     hit = F.min(F.struct("t", F.col("kx").alias("ax"), F.col("ky").alias("ay"), F.col("cz").alias("az"), "nx", "ny", "nz", "cosine")).alias("hit")
@@ -75,16 +113,19 @@ def reemitted(hits: DataFrame, sticking: Column, stop: float, seed: int, order:
     return hits.where(left >= stop).select("pid", *[c.alias(f"p{a}") for c, a in zip(start, "xyz", strict=True)], *[c.alias(a) for c, a in zip(d, ("dx", "dy", "dz"), strict=True)], "flux", left.alias("weight"), (F.col("gen") + 1).alias("gen"))
 
 
-def traced(rays: DataFrame, surface: DataFrame, sticking: float, stop: float, seed: int, reach: int = 64, period: tuple[int, int] | None = None, most: int = 200) -> DataFrame:
-    """Rate by surface point after all generations. Every generation is a stored table, and the loop ends when none is left."""
+def traced(rays: DataFrame, surface: DataFrame, sticking: float, stop: float, seed: int, reach: int = 64, period: tuple[int, int] | None = None, most: int = 200, grid: Grid | None = None, axes: list[str] = AXES) -> DataFrame:
+    """Rate by surface point after all generations. Every generation is a stored table, and the loop ends when none is left; rays left after
+    ``most`` generations are an error."""
     total, now = None, rays
     for _ in range(most):
-        hits = stored(first_hits(now, surface, reach, period), "hits")
+        hits = stored(first_hits(now, surface, reach, period, grid, axes), "hits")
         part = deposited(hits, F.lit(sticking))
         total = part if total is None else total.unionByName(part)
         now = stored(reemitted(hits, F.lit(sticking), stop, seed), "rays")
         if not now.take(1):
             break
+    else:
+        raise RuntimeError(f"rays fly on after {most} generations")
     return total.groupBy("ax", "ay", "az").agg(F.sum("rate").alias("rate"))
 
 

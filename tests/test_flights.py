@@ -1,0 +1,54 @@
+"""Rays that fly far, through sides that repeat or mirror, and generations that don't end."""
+
+import pytest
+
+from isofield.functions.grid import Boundary, Grid
+from isofield.operators import particles
+
+RAYS = "pid bigint, px double, py double, pz double, dx double, dy double, dz double, flux double, weight double, gen int"
+POINTS = "x int, y int, z int, phi double, nx double, ny double, nz double"
+
+
+def hits(spark, rays, points, **kind):
+    r = spark.createDataFrame([(i, *map(float, x), 1.0, 1.0, 0) for i, x in enumerate(rays)], RAYS)
+    got = particles.first_hits(r, spark.createDataFrame(points, POINTS), **kind).collect()
+    return {x["pid"]: (x["ax"], x["ay"], x["az"], round(x["t"], 6)) for x in got}
+
+
+def test_a_deep_floor_is_met(spark):
+    """Floors 10, 200 and 900 cells down, and one ray that leaves."""
+    points = [(0, 0, 0, 0.0, 0.0, 0.0, 1.0), (5, 0, -190, 0.0, 0.0, 0.0, 1.0), (9, 0, -890, 0.0, 0.0, 0.0, 1.0)]
+    rays = [(x, 0, 10, 0, 0, -1) for x in (0, 5, 9)] + [(0, 0, 10, 0, 0, 1)]
+    assert hits(spark, rays, points) == {0: (0, 0, 0, 10.0), 1: (5, 0, -190, 200.0), 2: (9, 0, -890, 900.0)}
+
+
+def test_the_segment_does_not_matter(spark):
+    points = [(x, 0, -3 * x, 0.1, 0.0, 0.0, 1.0) for x in range(40)]
+    rays = [(0.3 * i, 0, 4, 0.6, 0, -0.8) for i in range(30)] + [(0.5 * i, 0, 2, 0, 0, -1) for i in range(30)]
+    assert hits(spark, rays, points, reach=1) == hits(spark, rays, points, reach=3) == hits(spark, rays, points, reach=500)
+
+
+@pytest.mark.parametrize("kind", [Boundary.PERIODIC, Boundary.REFLECTIVE])
+def test_sides_of_the_grid(spark, kind):
+    """A slanting ray over a floor 8 cells wide and 75 below meets the image of the point that lies 100 cells to the side."""
+    grid = Grid({"x": 0, "y": 0}, {"x": 8, "y": 8}, {"x": kind, "y": kind})
+    points = [(x, y, 0, 0.0, 0.0, 0.0, 1.0) for x in range(9) for y in range(9)]
+    assert hits(spark, [(1, 0, 75, 0.8, 0, -0.6)], points, grid=grid)[0] == ((101 % 8, 0, 0, 125.0) if kind is Boundary.PERIODIC else (abs((101 + 8) % 16 - 8), 0, 0, 125.0))
+
+
+def test_a_mirrored_wall_faces_the_other_way(spark):
+    grid = Grid({"x": 0, "y": 0}, {"x": 8, "y": 8}, {"x": Boundary.REFLECTIVE, "y": Boundary.REFLECTIVE})
+    wall = [(2, 4, z, 0.0, 1.0, 0.0, 0.0) for z in range(3)]
+    # the wall at 2 faces up x; its image at 14 faces down x
+    assert hits(spark, [(4, 4, 1, 1, 0, 0)], wall, grid=grid) == {0: (2, 4, 1, 10.0)}
+
+
+def test_two_dimensions_have_no_sides_along_y(spark):
+    assert hits(spark, [(3, 0, 30, 0, 0.8, -0.6)], [(3, 0, 0, 0.0, 0.0, 0.0, 1.0)], axes=["x", "z"]) == {0: (3, 0, 0, 50.0)}
+
+
+def test_generations_without_end(spark):
+    floor = spark.createDataFrame([(0, 0, z, 0.0, 0.0, 0.0, 1.0 if z == 0 else -1.0) for z in (0, 3)], POINTS)
+    rays = spark.createDataFrame([(i, 0.0, 0.0, 2.0, 0.0, 0.0, -1.0, 1.0, 1.0, 0) for i in range(50)], RAYS)
+    with pytest.raises(RuntimeError, match="2 generations"):
+        particles.traced(rays, floor, 0.0, 0.5, 1, period=(1, 1), most=2)
