@@ -104,12 +104,12 @@ JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h
 def mixture(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it: whole copies, and a last copy of the first words that are left.
 
-    Copies keep the doc_id. A row of which nothing is taken is left out, as the weights ask; a row without words
+    Equal rows of two sources are taken as each source asks. Copies keep the doc_id. A row of which nothing is taken is left out, as the weights ask; a row without words
     stays once. A column n_chars is set anew where a text was cut.
     """
-    took = mixed(docs).groupBy("doc_id", "mix_key").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
+    took = mixed(docs).groupBy("doc_id", "source", "mix_key").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
     own = docs.withColumn("__key", mix_hash(F.col("doc_id"), F.col("text")))
-    out = own.alias("d").join(took.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.__key = t.mix_key")).select("d.*", "__size", "__taken")
+    out = own.alias("d").join(took.alias("t"), F.expr("d.doc_id <=> t.doc_id and cast(d.source as string) <=> t.source and d.__key = t.mix_key")).select("d.*", "__size", "__taken")
     left = F.when(F.col("__size") > 0, F.expr("__taken % nullif(__size, 0)")).otherwise(0)
     whole = F.when(F.col("__size") > 0, F.expr("__taken div nullif(__size, 0)")).otherwise(1)
     # one entry a copy: its number of words, -1 for all; at most three
