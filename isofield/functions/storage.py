@@ -17,12 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to shared storage and read back.
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet to shared storage (compressed by ``codec``, else as the session says) and read back.
 
     An executor that is lost later costs a reread, not a recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
