@@ -1,6 +1,6 @@
 """Toxic passages: maximum-scoring segments over token log-odds, with extreme-value calibration.
 
-Fit (on at most ``SAMPLE`` labelled documents of each class): how many toxic and clean documents hold a feature,
+Fit (on about ``SAMPLE`` labelled documents of each class at most): how many toxic and clean documents hold a feature,
 turned into log-odds with an informative Dirichlet prior and their z-scores. Features of a token are the word
 and its prefixes of 4 to 6 letters, so that an inflected form not seen in the sample is known by its stem.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import held_out, pick, stored
 from .wordhash import NOT_SPACE, chunks, shingles, words
 
-#: Labelled documents of each class that the fit takes at most.
+#: Labelled documents of each class that the fit takes at most, give or take the chance of a hash threshold.
 SAMPLE = 10_000
 #: A feature counts beyond this many standard deviations; how far it counts is left to the prior, which shrinks rare ones.
 LEAST_Z = 2.0
@@ -75,24 +75,38 @@ class Memo(dict):
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal segments (start, end, sum) with a positive sum, in one pass."""
-    out: list[list[float]] = []  # start, end, sum before it, sum after it
+    """All maximal segments (start, end, sum) with a positive sum, in time linear in the scores.
+
+    Every segment kept knows the nearest earlier one that begins at a lower running sum, so a search leaps from one
+    to the next and never passes the same segment twice.
+    """
+    begin: list[int] = []
+    end: list[int] = []
+    low: list[float] = []  # running sum before a segment
+    high: list[float] = []  # and after it
+    lower: list[int] = []  # the nearest earlier segment with a smaller ``low``; -1: none
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        start, low, high = i, before, total
+        first, floor = i, before
+        j = len(begin) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= low:
-                j -= 1
-            if j < 0 or out[j][3] >= high:
-                out.append([start, i + 1, low, high])
+            while j >= 0 and low[j] >= floor:
+                j = lower[j]
+            if j < 0 or high[j] >= total:
                 break
-            start, low = out[j][0], out[j][2]
-            del out[j:]
-    return [(int(a), int(b), d - c) for a, b, c, d in out]
+            # joined with segment j and all between; what lies lower than that one is known
+            first, floor, back = begin[j], low[j], lower[j]
+            del begin[j:], end[j:], low[j:], high[j:], lower[j:]
+            j = back
+        begin.append(first)
+        end.append(i + 1)
+        low.append(floor)
+        high.append(total)
+        lower.append(j)
+    return [(a, b, h - g) for a, b, g, h in zip(begin, end, low, high, strict=True)]
 
 
 def evidence(model: Model, scores: list[float]) -> tuple[float, list[tuple[int, int, float]]]:
@@ -114,13 +128,19 @@ def probability(model: Model, x: float) -> float:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, int, int]:
-    """Texts of the sample with their class and part (0: features, 1: curve), near copies thinned; class sizes."""
+    """(text, toxic, least, part) of the sample, and the sizes of both classes.
+
+    A class of more than ``sample`` labelled documents gives those whose hash is below a threshold, about ``sample`` of them; a smaller one gives
+    all. Of texts of one class with the same smallest 3-word shingle (nearly always copies of each other) the smallest one
+    teaches. part: 0 for features, 1 for the curve.
+    """
     own = pick(labels, doc_id="bigint", toxic="int").where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
     own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id", F.lit(11))
-    chosen = own.where("toxic = 1").orderBy(order, "doc_id").limit(sample).union(own.where("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    # at most 2 * sample rows of two numbers are broadcast
+    place = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
+    share = F.when(F.col("toxic") == 1, F.lit(sample / max(sample, sizes.get(1, 0)))).otherwise(F.lit(sample / max(sample, sizes.get(0, 0))))
+    chosen = own.where(place < share * F.lit(float(1 << 40)))
+    # about 2 * sample rows of two numbers are broadcast
     rows = pick(docs, doc_id="bigint", text="string").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +157,11 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model; without labelled documents of both classes one that gives every document the known share."""
+    """The model; without labelled documents of both classes one that gives every document the known share.
+
+    It learns from about ``sample`` labelled documents of each class at most, and of texts of one class that share their
+    smallest 3-word shingle from one, so that a text with thousands of copies counts once.
+    """
     rows, n_toxic, n_clean = _sampled(docs, labels, sample)
     model = Model(curve=(math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -2.0, 0.0))
     if not (n_toxic and n_clean):
@@ -156,20 +180,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     counts = stored(counts.where("t + c > 1"), "toxic-features")
     docs_in = {r["toxic"]: r["count"] for r in rows.where("part = 0").groupBy("toxic").count().collect()}
     nt, nc = docs_in.get(1, 0) + 1.0, docs_in.get(0, 0) + 1.0
-    told = rows.sparkSession.sparkContext.broadcast(_models(counts, nt, nc))
+    models = _models(counts, nt, nc)
+    told = rows.sparkSession.sparkContext.broadcast(models)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos = [Memo(m) for m in told.value]
         for b in batches:
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                found = tokens(text)
+            bins: Counter = Counter()
+            for text in b.column("text").to_pylist():
                 for i, memo in enumerate(memos):
-                    s = [memo[t] for t in found]
-                    bins = Counter(round(x, 1) for x in s) if not toxic else Counter()
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([toxic], pa.int32()), pa.array([len(s)], pa.int64()), pa.array([[x[2] for x in segments(s)]], pa.list_(pa.float64())), pa.array([list(bins)], pa.list_(pa.float64())), pa.array([list(bins.values())], pa.list_(pa.int64()))], ["prior", "toxic", "n", "sums", "bins", "counts"])
+                    bins.update((i, round(memo[t], 1)) for t in tokens(text))
+            keys = list(bins)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.float64()), pa.array([bins[k] for k in keys], pa.int64())], ["prior", "score", "n"])
+
+    curve = rows.where("part = 1").select("text", "toxic")
+    clean: list[Counter] = [Counter() for _ in models]
+    for r in curve.where("toxic = 0").select("text").mapInArrow(scored, "prior int, score double, n bigint").groupBy("prior", "score").agg(F.sum("n").alias("n")).collect():  # one row a prior and tenth
+        clean[r["prior"]][r["score"]] = r["n"]
+    for m, found in zip(models, clean, strict=True):
+        m.rate, m.scale = _extreme(found, max((o for o, _ in m.odds.values()), default=1.0) + BACKGROUND)
+    ready = rows.sparkSession.sparkContext.broadcast(models)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos = [Memo(m) for m in ready.value]
+        for b in batches:
+            found = [[evidence(memo.model, [memo[t] for t in own])[0] for memo in memos] for own in map(tokens, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["toxic", "evidence"])
 
-    held = rows.where("part = 1").select("text", "toxic").mapInArrow(scored, "prior int, toxic int, n bigint, sums array<double>, bins array<double>, counts array<bigint>").toPandas()  # at most 2 * sample rows of numbers a prior
-    tried = [_calibrated(m, held[held["prior"] == i], n_toxic / n_clean) for i, m in enumerate(told.value)]
+    held = curve.mapInArrow(weighed, "toxic int, evidence array<double>").toPandas()  # about 2 * sample rows of a few numbers at most
+    xs, y = np.log1p(np.array(held["evidence"].to_list(), float).reshape(-1, len(models))), held["toxic"].to_numpy().astype(float)
+    tried = [_calibrated(m, xs[:, i], y, n_toxic / n_clean) for i, m in enumerate(models)]
     return min(tried, key=lambda x: x[0])[1]
 
 
@@ -186,26 +226,14 @@ def _models(counts: DataFrame, nt: float, nc: float) -> list[Model]:
     return [Model(odds={r["feature"]: (r["of"][i]["odds"], r["of"][i]["z"]) for r in kept if r["of"][i]}) for i in range(len(PRIORS))]
 
 
-def _calibrated(model: Model, held: pd.DataFrame, ratio: float) -> tuple[float, Model]:
-    """(loss on the curve part, ``model`` with statistics and curve from it)."""
-    total: Counter = Counter()
-    for bins, counts in zip(held["bins"], held["counts"], strict=True):
-        for x, c in zip(bins, counts, strict=True):
-            total[x] += int(c)
-    model.rate, model.scale = _extreme(total, max((o for o, _ in model.odds.values()), default=1.0) + BACKGROUND)
-    xs = np.array([math.log1p(sum(_logs(model, n, s))) for n, s in zip(held["n"], held["sums"], strict=True)])
-    y = held["toxic"].to_numpy().astype(float)
+def _calibrated(model: Model, xs: np.ndarray, y: np.ndarray, ratio: float) -> tuple[float, Model]:
+    """(loss on the curve part, ``model`` with its curve)."""
     model.curve = _logistic(xs, y, ratio)
     p = np.clip(1 / (1 + np.exp(-np.clip(model.curve[0] + model.curve[1] * xs, -50, 50))), 1e-9, 1 - 1e-9)
     weight = np.where(y > 0, ratio * (1 - y).sum() / max(1.0, y.sum()), 1.0)
     return float(-(weight * np.log(np.where(y > 0, p, 1 - p))).sum()), model
 
 
-def _logs(model: Model, n: int, sums) -> list[float]:
-    p = [-math.expm1(-model.scale * n * math.exp(-min(700.0, model.rate * s))) for s in sums]
-    return [min(700.0, -math.log(max(x, 1e-300))) for x in p if x < 0.5]
-
-
 def _extreme(clean: Counter, largest: float) -> tuple[float, float]:
     """(lambda, K) for the scores of clean tokens; one token of the largest score is added, so that lambda is finite."""
     scores = np.array([*clean, max(largest, 0.1)])
