@@ -1,19 +1,24 @@
 """Main text of web pages by scoring the element tree.
 
-Paragraph-like blocks pass points (for length and commas) to their ancestors, less with every level; an element's
-points count by one minus its link density. The best container and siblings that score well with it are kept; menus,
+Paragraph-like blocks pass points (for length and commas) to their ancestors, less with every level (``SHARES``, then ``FADE`` for each
+level more); an element's points count by one minus its link density. The best container and siblings that score well with it are kept; menus,
 headers, footers, sidebars, notices, adverts, forms, comments and the like are left out wherever they stand. Element names, roles and
 hidden marks are final. A class or id is not: a name of the text itself beside it, a <main> inside, or more text
 than the rest of the page with few links lets an element in (the last not for ``ASIDE``, what readers or third parties say).
-One pass over the pages; each page is parsed on its own.
+If nothing is left of a page, class and id names are disregarded altogether.
+
+One pass over the pages; each page is parsed on its own, in time linear in its length however deep its elements nest: what is asked
+of ancestors is kept at every element, and sums run once from the leaves to the root.
 """
 
 from __future__ import annotations
 
 import heapq
 import html
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,17 +44,34 @@ ASIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored p
 #: A class that begins so tells of what the page has or lacks, not what the element is.
 ABOUT = set("has no not non with without".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:>|\Z)", re.S)
+#: Part of a paragraph's points that reaches the ancestor so many levels up, and what is left of it for each level beyond.
+SHARES = [1.0, 0.5, *(1 / (3 * n) for n in range(2, 9))]
+FADE = 0.9
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>])*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
 
+#: Elements that hold an open paragraph back from what follows, and those that ``ENDS`` looks for.
+P_HOLDERS = frozenset("p div article section td li main".split())
+SCOPES = [(name, own | stop) for name, (own, stop) in ENDS.items()]
+
+
 class Node:
-    __slots__ = ("name", "parent", "parts", "points", "weight", "leave", "hold", "soft", "aside")
+    __slots__ = ("name", "parent", "parts", "hold", "leave", "soft", "aside", "inner", "scopes")
 
     def __init__(self, name: str, parent: Node | None, called: list[set[str]] = (), hidden: bool = False):  # noqa: F821
         """``called``: the words of each class and id; ``hidden``: out by another attribute."""
-        self.name, self.parent, self.parts, self.points = name, parent, [], 0.0
+        self.name, self.parent, self.parts = name, parent, []
+        #: whether an <article> or <main> stands around it
+        self.inner = parent is not None and (parent.inner or parent.name in ("article", "main"))
+        self.scopes = parent.scopes if parent else {}
+        of = [k for k, names in SCOPES if name in names]
+        if name in P_HOLDERS:
+            of.append("p")
+        if of:
+            self.scopes = {**self.scopes, **dict.fromkeys(of, self)}
         self.hold = name in ("article", "main") or any(c & HOLD for c in called)
         told = [c & LEAVE for c in called]
         own = name not in ("html", "body", "article", "main") and any(told) and not any(c & HOLD and not t for c, t in zip(called, told, strict=True))
@@ -62,41 +84,36 @@ class Node:
 def parse(page: str) -> Node:
     """The element tree; forgives missing and stray end tags, and pages that break off anywhere."""
     root = Node("html", None)
-    here, at, raw = root, 0, ""
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
+    here, at = root, 0
+    open_: dict[str, list[Node]] = {}  # open elements by name, the innermost last
+
+    def close(node: Node) -> None:
+        nonlocal here
+        while True:
+            open_[here.name].pop()
+            here, last = here.parent, here
+            if last is node:
+                return
+
+    while m := _TOKEN.search(page, at):
         token = m.group()
         if m.start() > at:
             here.parts.append(page[at : m.start()])
         at = m.end()
         if token[1] in "!?":
             continue
-        closing = token[1] == "/"
         found = re.match(r"</?([A-Za-z][^\s/>]*)", token)
         name = found[1].lower()
-        if closing:
-            node = here
-            while node is not root and node.name != name:
-                node = node.parent
-            if node is not root:
-                here = node.parent
+        if token[1] == "/":
+            if open_.get(name):
+                close(open_[name][-1])
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P:
-            node = here
-            while node is not root and node.name not in ("p", "div", "article", "section", "td", "li", "body", "main"):
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        if name in ENDS:
-            own, stop = ENDS[name]
-            node = here
-            while node is not root and node.name not in stop and node.name not in own:
-                node = node.parent
-            if node is not root and node.name in own:
-                here = node.parent
+        if name in CLOSES_P and (p := here.scopes.get("p")) and p.name == "p":
+            close(p)
+        if name in ENDS and (x := here.scopes.get(name)) and x.name in ENDS[name][0]:
+            close(x)
         called, hidden = [], False
         if len(token) > len(found[0]) + 1:
             for key, value in _ATTRIBUTE.findall(token[len(found[0]) : -1 if token.endswith(">") else None]):
@@ -117,16 +134,14 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif not token.endswith("/>"):
             here = node
+            open_.setdefault(name, []).append(node)
     if at < len(page):
-        rest = page[at:]
-        here.parts.append(rest if not re.match(r"</?[A-Za-z!]|</?\Z", rest) else "")
+        here.parts.append(page[at:])
     return root
 
 
 def _left_out(node: Node) -> bool:
-    if node.name == "header":
-        return not any(x.name in ("article", "main") for x in _up(node))
-    return node.leave
+    return not node.inner if node.name == "header" else node.leave
 
 
 def _up(node: Node) -> Iterator[Node]:
@@ -180,8 +195,46 @@ def _sizes(root: Node) -> dict[int, tuple[int, int]]:
     return sizes
 
 
-def _points(own: str) -> int:
-    return 1 + own.count(",") + min(3, len(own) // 100)
+def _points(commas: int, length: int) -> int:
+    return 1 + commas + min(3, length // 100)
+
+
+@dataclass(slots=True)
+class Flow:
+    """What a stretch of text amounts to once its white space is single: words, letters in them, commas, and whether it begins and ends with
+    white space."""
+
+    words: int = 0
+    letters: int = 0
+    commas: int = 0
+    open: bool = True
+    shut: bool = True
+
+    def add(self, other: Flow) -> None:  # noqa: F821
+        if not other.words:
+            self.shut = self.shut or other.open
+            return
+        if not self.words:
+            self.open = self.shut or other.open
+        elif not (self.shut or other.open):
+            self.words -= 1
+        self.words += other.words
+        self.letters += other.letters
+        self.commas += other.commas
+        self.shut = other.shut
+
+    def gap(self) -> None:
+        self.shut = True
+
+    @property
+    def length(self) -> int:
+        return self.letters + max(0, self.words - 1)
+
+
+def _flow(text: str) -> Flow:
+    text = html.unescape(text)
+    own = text.split()
+    return Flow(len(own), sum(map(len, own)), text.count(","), text[:1].isspace(), text[-1:].isspace()) if own else Flow(0, 0, 0, text != "", text != "")
 
 
 def _let_in(root: Node) -> None:
@@ -193,29 +246,34 @@ def _let_in(root: Node) -> None:
         stack += [p for p in node.parts if not isinstance(p, str) and (p.soft or not _left_out(p))]
     if not any(n.soft for n in order):
         return
-    # text of its own, points of its paragraphs, size, size within links, whether it holds a <main>
-    own = {id(n): [[], 0, 0, 0, n.name == "main"] for n in order}
+    # pieces of text of its own, their length and commas; points of its paragraphs, size, size within links, whether it holds a <main>
+    own = {id(n): [0, 0, 0, 0, 0, 0, n.name == "main"] for n in order}
     for node in reversed(order):
-        texts, _, _, _, main = x = own[id(node)]
-        texts += [t for p in node.parts if isinstance(p, str) and (t := p.strip())]
-        size = sum(map(len, texts))
-        x[2] += size
+        x = own[id(node)]
+        for p in node.parts:
+            if isinstance(p, str) and (t := p.strip()):
+                x[0] += 1
+                x[1] += len(t)
+                x[2] += t.count(",")
+        size = x[1]
+        x[4] += size
         if node.name == "a":
-            x[3] = x[2]
+            x[5] = x[4]
         flows = node.name in PARAGRAPH or node.name in BLOCK or node.name == "div" or node is root
-        if flows and texts and x[3] <= 0.6 * x[2]:
-            x[1] += _points(" ".join(texts))
+        if flows and x[0] and x[5] <= 0.6 * x[4]:
+            x[3] += _points(x[2], x[1] + x[0] - 1)
         up = own[id(node.parent)] if node is not root else None
         if up:
             if not flows:
-                up[0] += texts
-                up[2] += x[2] - size
+                for i in range(3):
+                    up[i] += x[i]
+                up[4] += x[4] - size
             else:
-                up[2] += x[2]
+                up[4] += x[4]
             # what stays out adds nothing to those around it
-            up[1] += 0 if node.aside else x[1]
-            up[3] += x[3]
-            up[4] |= main
+            up[3] += 0 if node.aside else x[3]
+            up[5] += x[5]
+            up[6] |= x[6]
     inside, edge = 0, []
 
     def enter(node: Node) -> None:
@@ -223,53 +281,91 @@ def _let_in(root: Node) -> None:
         stack = [node]
         while stack:
             n = stack.pop()
-            inside += own[id(n)][1]
+            inside += own[id(n)][3]
             for p in n.parts:
                 if isinstance(p, str) or id(p) not in own:
                     continue
-                inside -= 0 if p.aside else own[id(p)][1]
-                if p.soft and own[id(p)][4]:
+                inside -= 0 if p.aside else own[id(p)][3]
+                if p.soft and own[id(p)][6]:
                     p.leave = False
                 if not p.leave:
                     stack.append(p)
                 elif not p.aside:
-                    heapq.heappush(edge, (-own[id(p)][1], len(edge), id(p), p))
+                    heapq.heappush(edge, (-own[id(p)][3], len(edge), id(p), p))
 
     enter(root)
     while edge and -edge[0][0] > inside:
         node = heapq.heappop(edge)[-1]
-        _, _, size, links, _ = own[id(node)]
+        size, links = own[id(node)][4:6]
         if links < 0.25 * max(1, size):
             node.leave = False
             enter(node)
 
 
-def main_text(page: str | None) -> str:
-    """The article of a page; empty for null, empty or text-free pages."""
-    if not page:
-        return ""
-    root = parse(page)
-    _let_in(root)
+def _scores(nodes: list[Node], density: Callable[[Node], float]) -> dict[int, float]:
+    """Points of every element that has a paragraph in it (or is one with text of its own); ``nodes``: parents before children."""
+    flows = {id(n): Flow() for n in nodes}
+    # points of what lies so many levels below, and of all farther below, faded
+    levels: dict[int, list[float]] = {}
+    far: dict[int, float] = {}
+    depth = len(SHARES)
+    out: dict[int, float] = {}
+    for node in reversed(nodes):
+        key = id(node)
+        flow = flows[key]
+        own_length = own_commas = n_own = 0
+        for p in node.parts:
+            if isinstance(p, str):
+                flow.add(_flow(p))
+                if p.strip():
+                    n_own += 1
+                own_length += len(p) + 1
+                own_commas += p.count(",")
+            elif id(p) in flows:
+                if p.name in BLOCK or p.name == "br":
+                    flow.gap()
+                flow.add(flows.pop(id(p)))
+                if p.name in BLOCK:
+                    flow.gap()
+        held = levels.setdefault(key, [0.0] * depth) if key in levels else None
+        direct = n_own and node.name in ("div", "section", "article", "main")
+        points = 0
+        if density(node) <= 0.6:
+            if direct:
+                points = _points(own_commas, own_length - 1)
+            elif node.name in PARAGRAPH and flow.words:
+                points = _points(flow.commas, flow.length)
+        if points:
+            if held is None:
+                held = levels[key] = [0.0] * depth
+            # a paragraph gives its parent what a <div> with text of its own keeps for itself
+            if direct:
+                held[0] += points
+        if held is not None:
+            out[key] = sum(map(operator.mul, held, SHARES)) + far.get(key, 0.0)
+        if node.parent is not None and held is not None:
+            up = levels.setdefault(id(node.parent), [0.0] * depth)
+            for i in range(depth - 1):
+                up[i + 1] += held[i]
+            if points and not direct:
+                up[0] += points
+            far[id(node.parent)] = far.get(id(node.parent), 0.0) + FADE * (SHARES[-1] * held[-1] + far.pop(key, 0.0))
+            del levels[key]
+    return out
+
+
+def _main_text(root: Node) -> str:
     sizes = _sizes(root)
     density = lambda n: sizes[id(n)][1] / max(1, sizes[id(n)][0])
     nodes = list(_walk(root))
-    scored: dict[int, Node] = {}
-    for node in nodes:
-        direct = node.name in ("div", "section", "article", "main") and any(isinstance(p, str) and p.strip() for p in node.parts)
-        if node.name not in PARAGRAPH and not direct:
-            continue
-        own = " ".join(p for p in node.parts if isinstance(p, str)) if direct else text_of(node)
-        if not own.strip() or density(node) > 0.6:
-            continue
-        points = _points(own)
-        for level, up in enumerate([node, *_up(node)] if direct else _up(node)):
-            up.points += points * (1 if level == 0 else 0.5 if level == 1 else 1 / (level * 3))
-            scored[id(up)] = up
+    points = _scores(nodes, density)
+    scored = [n for n in reversed(nodes) if id(n) in points]
     if not scored:
         holders = [n for n in nodes if n.hold]
         return text_of(holders[0] if holders else root)
-    value = lambda n: (n.points + (25 if n.name in ("article", "main") else 5 * n.hold)) * (1 - density(n))
-    best = max(scored.values(), key=value)
+    value = lambda n: (points.get(id(n), 0.0) + (25 if n.name in ("article", "main") else 5 * n.hold)) * (1 - density(n))
+    # the first of equal ones, the inner one before the one around it
+    best = max(scored, key=value)
     if best.parent is None:
         return text_of(best)
     # an article that only wraps its parts is better than one of the parts
@@ -281,7 +377,7 @@ def main_text(page: str | None) -> str:
     for part in best.parent.parts if best.parent else []:
         if isinstance(part, str) or _left_out(part):
             continue
-        if part is best or (id(part) in scored and value(part) >= least and (part.name == best.name or density(part) < 0.5)):
+        if part is best or (id(part) in points and value(part) >= least and (part.name == best.name or density(part) < 0.5)):
             chosen.append(part)
         elif best.name in ("article", "main") or not sizes[id(part)][0]:
             continue
@@ -290,6 +386,24 @@ def main_text(page: str | None) -> str:
     return " ".join(t for t in map(text_of, chosen) if t)
 
 
+def main_text(page: str | None) -> str:
+    """The article of a page; empty for null, empty or text-free pages."""
+    if not page:
+        return ""
+    root = parse(page)
+    _let_in(root)
+    text = _main_text(root)
+    if not text:
+        stack, back = [root], False
+        while stack:
+            n = stack.pop()
+            if n.soft and n.leave:
+                n.leave, back = False, True
+            stack += [p for p in n.parts if not isinstance(p, str)]
+        text = _main_text(root) if back else text
+    return text
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (main text of the whole html, empty if none) and n_chars (its code points).
 
