@@ -1,11 +1,12 @@
 """Language of a text: scripts narrow the candidates, then Viterbi over per-word scores labels spans.
 
-Fit, on at most ``SAMPLE`` documents of each language: counts of letter trigrams (with word ends) and the scripts that
+Fit, on about ``SAMPLE`` documents of each language at most: counts of letter trigrams (with word ends) and the scripts that
 make up a hundredth of a language's letters. A word's score in a language is its log-likelihood under the trigrams.
 
 Labelling is one pass without a shuffle. A word's candidates are the languages that use its script (all, if none does). The
-best path pays ``SWITCH`` for each change of language. Where no stretch of words gains more than one switch over the
-best single language, that language alone is the optimal path; only other texts go through the full recurrence.
+best path pays ``SWITCH`` for each change of language. The best single language is the optimal path if against it no stretch of words gains
+more than one switch and the best beginning and the best ending together gain no more than one: a path with m changes then has m - 1
+stretches within, a beginning and an ending, which gain m switches at most and pay m. Only other texts go through the full recurrence.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, pick
 
-#: Documents of each language that the fit takes at most.
+#: Documents of each language that the fit takes at most, give or take the chance of a hash threshold.
 SAMPLE = 800
 #: Cost, in nats, of a change of language between two words.
 SWITCH = 12.0
@@ -125,7 +126,8 @@ def best_path(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     if k == 1:
         return np.zeros(n, np.int64)
     gain = np.concatenate([np.zeros((1, k)), np.cumsum(s - s[:, [best]], axis=0)])
-    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch:
+    ending = gain[-1] - gain.min(axis=0)
+    if (gain - np.minimum.accumulate(gain, axis=0)).max() <= switch and gain.max() + ending.max() <= switch:
         return np.full(n, best)
     rows, back, v = s.tolist(), [], s[0].tolist()
     for t in range(1, n):
@@ -159,12 +161,17 @@ def label(memo: Memo, text: str | None) -> tuple[str, float, list[dict]]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from text and non-null lang of documents outside the held-out fold, at most ``sample`` ids a language."""
+    """Learns from text and non-null lang of documents outside the held-out fold.
+
+    A language with more than ``sample`` of them gives those whose hash is below a threshold, about ``sample``; another gives all. Languages are
+    counted first, one row each to the driver: the model holds a row for each as well.
+    """
     own = pick(docs, doc_id="bigint", text="string", lang="string").where("text is not null and lang is not null and doc_id is not null").where(~held_out("doc_id"))
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    ids = own.select("doc_id", "lang").withColumn("r", F.row_number().over(w)).where(F.col("r") <= min(sample, 999)).select("doc_id", "lang").distinct()
-    # at most ``sample`` rows of an id and a name for each language are broadcast
-    chosen = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
+    large = [x for lang, n in sorted(sizes.items()) if n > sample for x in (F.lit(lang), F.lit(int(sample / n * (1 << 40))))]
+    place = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40))
+    limit = F.try_element_at(F.create_map(*large), F.col("lang")) if large else F.lit(None).cast("bigint")
+    chosen = own.where(place < F.coalesce(limit, F.lit(1 << 40))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
