@@ -8,7 +8,7 @@ Plan at scale: texts are read once for sketches; all that is shuffled is a sketc
 set and 32 band keys for it. Equal sets meet by aggregation, never as pairs. Texts are read again only for
 distinct sets that share a band with another one. Within a bucket links go to one hub, at first to the
 member whose bands are most common; only buckets that still hold several components are taken up again: what is apart
-from the hub is compared with everything else around that hub, block by block within a task, which gives links and no pairs. So a group of n copies costs
+from the hub is compared with everything else around that hub, block by block within a task, first by sketches, which gives links and no pairs. So a group of n copies costs
 order n rows, and no link between different texts is lost after banding.
 """
 
@@ -52,11 +52,10 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return registers.astype("<u2")
 
 
-def expected_collisions(n: float, m: float) -> float:
-    """Registers that agree by chance for sets of n and m members (published approximation for HyperMinHash)."""
-    n, m = max(n, m), min(n, m)
-    ratio = 4 * (n / m) / (1 + n / m) ** 2
-    return 0.169919487159739093975315012348 * 2.0 ** (INDEX_BITS - MANTISSA_BITS) * ratio
+def expected_collisions(n, m):
+    """Registers that agree by chance for sets of n and m members (published approximation for HyperMinHash); numbers or arrays."""
+    ratio = np.maximum(n, m) / np.minimum(n, m)
+    return 0.169919487159739093975315012348 * 2.0 ** (INDEX_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
 
 
 def estimate(a: bytes, b: bytes, n: int, m: int) -> float:
@@ -114,6 +113,16 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node binary, members array<bigint>")
 
 
+def _agree(same: np.ndarray, n: np.ndarray, m: np.ndarray | float) -> np.ndarray:
+    """Whether sketches that share ``same`` registers, of sets of n and m members, may belong to similar sets."""
+    chance = expected_collisions(n, m)
+    return (same - chance) / (REGISTERS - chance) >= LEAST_ESTIMATE
+
+
+def _registers(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), "<u2").reshape(-1, REGISTERS)
+
+
 def _estimated(pairs: DataFrame) -> DataFrame:
     """Of pairs (u, v, nu, nv, su, sv) those whose estimate and sizes allow a link."""
 
@@ -121,21 +130,23 @@ def _estimated(pairs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            a, c = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
+            a, c = (_registers(b.column(i).to_pylist()) for i in (4, 5))
             n, m = (b.column(i).to_numpy().astype(float) for i in (2, 3))
-            ratio = np.maximum(n, m) / np.minimum(n, m)
-            chance = 0.169919487159739093975315012348 * 2.0 ** (INDEX_BITS - MANTISSA_BITS) * 4 * ratio / (1 + ratio) ** 2
-            good = ((a == c).sum(axis=1) - chance) / (REGISTERS - chance) >= LEAST_ESTIMATE
-            yield b.filter(pa.array(good)).select([0, 1, 2, 3])
+            yield b.filter(pa.array(_agree((a == c).sum(axis=1), n, m))).select([0, 1, 2, 3])
 
     return pairs.mapInArrow(run, "u binary, v binary, nu bigint, nv bigint")
 
 
-def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+_BLOCK_KEY = ["group", "mb", "ob"]
+_BLOCK_ROWS = "group bigint, mb int, ob int, ask boolean, hub binary, node binary, n bigint, root binary"
+
+
+def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of a bucket that its hub left in different components.
 
     A node that isn't in its hub's component meets every other node that shares a bucket of this hub, in blocks of about ``BLOCK`` rows on either
-    side, with whole sets. At most one link for each node, component and block comes back. Small groups share a task.
+    side. Sketches meet first; whole sets go only to the blocks in which the sketch has a likely partner of another
+    component, and only those of such nodes. At most one link for each node, component and block comes back. Small groups share a task.
     """
     now = entries.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("root")).join(hubs, "key")
     split = now.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("c")).where("a <> b and c > 2").select("key")
@@ -146,14 +157,30 @@ def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFr
     shared = max(1, around.count() // (4 * BLOCK))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     group = F.when(F.col("c") > BLOCK, F.xxhash64("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(shared)))
-    sizes = sizes.select("hub", group.alias("group"), blocks("c").alias("mbs"), blocks("o").alias("obs"))
-    full = around.join(sizes, "hub").join(members, "node")
+    # stored, so that the planner knows its size and deals the rows of a large hub by that
+    sizes = stored(sizes.select("hub", group.alias("group"), blocks("c").alias("mbs"), blocks("o").alias("obs")), "hub-sizes")
+    full = around.join(sizes, "hub").join(classes.select("node", "sketch"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["hub", "node", "n", "root", "members"]
+    columns = ["hub", "node", "n", "root", "sketch"]
     held_rows = full.select("group", own("mbs").alias("mb"), each("obs").alias("ob"), F.lit(False).alias("ask"), *columns)
     asks_rows = full.where("apart").select("group", each("mbs").alias("mb"), own("obs").alias("ob"), F.lit(True).alias("ask"), *columns)
 
+    def likely(rows: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(rows), bool)
+        ask, n, root = rows["ask"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
+        for at in rows.groupby("hub", sort=False).indices.values():
+            held, asks = at[~ask[at]], at[ask[at]]
+            if not len(held) or not len(asks):
+                continue
+            every = _registers(rows["sketch"].iloc[held].to_list())
+            for i, own in zip(asks, _registers(rows["sketch"].iloc[asks].to_list()), strict=True):
+                good = _agree((every == own).sum(axis=1), n[held], n[i]) & (100 * np.minimum(n[held], n[i]) >= percent * np.maximum(n[held], n[i])) & (root[held] != root[i])
+                if good.any():
+                    keep[i] = True
+                    keep[held[good]] = True
+        return rows.loc[keep, [*_BLOCK_KEY, "ask", "hub", "node", "n", "root"]]
+
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         u, v = [], []
         a, b = rows[~rows["ask"]], rows[rows["ask"]]
@@ -175,7 +202,9 @@ def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFr
                         v.append(node[i])
         return pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object)})
 
-    return stored(held_rows.union(asks_rows).groupBy("group", "mb", "ob").applyInPandas(compare, "u binary, v binary"), "links-of-the-rest")
+    hopeful = held_rows.union(asks_rows).groupBy(*_BLOCK_KEY).applyInPandas(likely, _BLOCK_ROWS)
+    hopeful = stored(hopeful, "likely")
+    return stored(hopeful.join(members, "node").groupBy(*_BLOCK_KEY).applyInPandas(compare, "u binary, v binary"), "links-of-the-rest")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -222,7 +251,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     checked = _estimated(pairs).join(left, "u").join(right, "v").where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
     links = stored(checked, "links-to-hubs")
     roots = connected_components(links)
-    rest = _rest(entries, hubs, roots, members, percent)
+    rest = _rest(entries, hubs, roots, members, classes, percent)
     if rest.take(1):
         roots = connected_components(links.union(rest))
 
@@ -241,10 +270,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     rows = stored(near_duplicates(docs, k, percent).where("kept and n_shingles > 0").select("doc_id", "text_key", "group_key"), "kept")
     single = rows.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("x.doc_id", "x.text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("text").cast("binary")))
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    stay = keyed.alias("d").where(words).join(single.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.__key = s.text_key"), "left_semi")
+    text = F.col("text")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text.cast("binary")).alias("text_key"), F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    stay = own.alias("d").where("worded").join(single.alias("s"), F.expr("d.doc_id <=> s.doc_id and d.text_key = s.text_key"), "left_semi")
     if rows.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").take(1):
-        names = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns if c != "doc_id"]
-        stay = stay.groupBy("doc_id", "__key").agg(*names)
-    return stay.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(~words))
+        stay = stay.groupBy("doc_id", "text_key").agg(F.first("row").alias("row"))
+    return stay.select("row").union(own.where("not worded").select("row")).select("row.*")
