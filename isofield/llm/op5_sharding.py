@@ -36,17 +36,41 @@ def _leaves(sums: DataFrame, low: int, high: int, limit: int) -> DataFrame:
 
 
 def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Per row: doc_id, n_bytes, shard (the bits of its bucket, with a piece number for buckets of one hash), depth,
+    """Per row of ``docs``: doc_id, n_bytes, shard (the bits of its bucket, with a piece number for buckets of one hash), depth,
     shard_bytes, shard_rows, oversize (true only where one row alone exceeds ``limit``).
 
     n_bytes: UTF-8 bytes of the text (null: 0). Null ids hash by their text. Repeated rows are told apart only by
     piece. Other columns are ignored. An empty table gives an empty result.
     """
+    out = _assigned(_sized(docs), limit)
+    sums = out.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return out.join(sums, "shard").select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows", ((F.col("n_bytes") > limit) & (F.col("shard_rows") == 1)).alias("oversize"))
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
+    """``docs`` as Parquet, a folder for each shard: shard=b and its bits, a dash in place of the slash before a piece number. A shard is
+    one task and one file, its rows in the order of their ids.
+
+    All columns of a row, whatever their names, are in the struct ``row``; rows come back as often as they came. An empty table writes no shard.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = _assigned(_sized(docs, row), limit).select(F.concat(F.lit("b"), F.translate("shard", "/", "-")).alias("shard"), "doc_id", "row")
+    out.repartition("shard").sortWithinPartitions("shard", "doc_id").select("shard", "row").write.partitionBy("shard").parquet(path)
+
+
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, n_bytes, h (hash), part (where a row is stored) and ``more`` columns, stored."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    text = F.col("text")
+    rows = own.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), shard_hash(F.col("doc_id"), text).alias("h"), *own.columns[2:])
+    return stored(rows.withColumn("part", F.spark_partition_id()), "sized")
+
+
+def _assigned(rows: DataFrame, limit: int) -> DataFrame:
+    """The columns of ``_sized`` but h and part, with shard and depth."""
     if limit < 1:
         raise ValueError("limit must be positive")
-    text = F.col("text")
-    rows = pick(docs, doc_id="bigint", text="string").select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), shard_hash(F.col("doc_id"), text).alias("h"))
-    rows = stored(rows.withColumn("part", F.spark_partition_id()), "sized")
+    held = [c for c in rows.columns if c not in ("h", "part")]
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     high = min(BITS, max(1, math.ceil(math.log2(max(1, total / limit)))) + 5)
     low, open_, done = 0, rows, []
@@ -55,10 +79,10 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         leaves = stored(_leaves(open_.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("bytes")), low, high, limit), "directory")
         placed = open_.withColumn("cell", cell).join(leaves, "cell")
         name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin(shiftright(cell, {high} - depth)), depth, '0')"))
-        done.append(placed.where("depth is not null").select("doc_id", "n_bytes", name.alias("shard"), "depth"))
+        done.append(placed.where("depth is not null").select(*held, name.alias("shard"), "depth"))
         if not leaves.where("depth is null").take(1):
             break
-        open_ = stored(placed.where("depth is null").select("doc_id", "n_bytes", "h", "part"), "open")
+        open_ = stored(placed.where("depth is null").select(*rows.columns), "open")
         if high == BITS:
             # rows of one hash: number them, first within each stored part, then from part to part
             counts = open_.groupBy("h", "part").agg(F.count("*").alias("n"))
@@ -66,14 +90,13 @@ def shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
             own = F.row_number().over(Window.partitionBy("h", "part").orderBy(F.lit(0))) - 1
             number = open_.withColumn("own", own).join(counts.select("h", "part", before.alias("before")), ["h", "part"])
             piece = F.expr(f"(own + before) div greatest({limit} div n_bytes, 1)")
-            done.append(number.select("doc_id", "n_bytes", F.concat(F.lpad(F.bin("h"), BITS, "0"), F.lit("/"), piece.cast("string")).alias("shard"), F.lit(BITS).alias("depth")))
+            done.append(number.select(*held, F.concat(F.lpad(F.bin("h"), BITS, "0"), F.lit("/"), piece.cast("string")).alias("shard"), F.lit(BITS).alias("depth")))
             break
         low, high = high + 1, min(BITS, high + STEP)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    sums = out.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return out.join(sums, "shard").select("doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows", ((F.col("n_bytes") > limit) & (F.col("shard_rows") == 1)).alias("oversize"))
+    return out
 
 
 def oracle(limit: int = LIMIT) -> str:
