@@ -1,13 +1,13 @@
 """Token ids in training order, as shards of fixed-stride binary records.
 
-Texts are tokenised once; within each task the ids of its documents, each ended by ``END``, run on and are cut into sequences
-of ``LENGTH`` ids, so a task pads one sequence at most. The sequences are stored and numbered (counts of the parts give the
-offsets). A keyed Feistel network over the next power of four, walked along its cycle until it falls below the number of
-sequences, gives each number its global slot: a permutation that needs no sort and no table. Records are dealt by range of
-slots, so shard s holds the slots from s * SHARD to (s + 1) * SHARD, and a record's place in it is its slot's remainder: a
-reader goes on from any slot by reading shard slot div SHARD from byte (slot mod SHARD) * stride.
-
-Every id crosses the network once.
+Texts are tokenised once and stored. Documents stand in the order of their ids (ties: text hash) and each ends with ``END``; sums of
+their lengths give every document its place in one long sequence of ids, which is cut into records of ``LENGTH``, the last one padded. So records don't
+depend on how the input is split. A keyed Feistel network over the next power of four, walked along its cycle until it falls below the number
+of records, gives each record its global slot: a permutation that needs no sort and no table. Shard s holds the slots from
+s * SHARD to (s + 1) * SHARD as one blob, and a record's place in it is its slot's remainder: a reader goes on from any
+slot by reading shard slot div SHARD from byte (slot mod SHARD) * stride.
+
+Every id crosses the network twice: to its document's place, and cut at record bounds to its shard, where it is written.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import numbered, pick, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to that vocabulary (a fixed value), and its free id, which ends a document.
@@ -94,75 +92,118 @@ def feistel(slot: np.ndarray, n: int, key: int = KEY, rounds: int = 6) -> np.nda
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
-    """(part, row, n_tokens, doc_ids, tokens): records of ``length`` ids; the last of a part is padded with END.
-
-    n_tokens: ids before the padding. doc_ids: the documents that have ids in it, in order. Null text counts as empty: END alone.
-    """
+def _placed(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, int]:
+    """(doc_id, tokens, before): ids of every document and how many ids stand before them; and how many there are in all."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    stride = 2 * length
     end = np.array([END], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Tokeniser(ranks.value)
-        part, row = TaskContext.get().partitionId(), 0
-        held, ids = b"", []
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([(encode(t) if t else b"") + end for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "text_key", "tokens"])
 
-        def batch(rows: list[tuple[int, list, bytes]]) -> pa.RecordBatch:
-            nonlocal row
-            row += len(rows)
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(row - len(rows), row), pa.int64()), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["part", "row", "n_tokens", "doc_ids", "tokens"])
+    rows = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
+    rows = stored(rows.mapInArrow(run, "doc_id bigint, text_key bigint, tokens binary").withColumn("row", F.monotonically_increasing_id()), "tokens", "zstd")
+    sizes = rows.select("row", F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", (F.octet_length("tokens") / 2).cast("bigint").alias("n"))
+    before = numbered(sizes, ["none", "doc_id", "text_key", "row"], "n", "token-sums").select("row", "before")
+    return rows.join(before, "row").select("doc_id", "tokens", "before"), sizes.agg(F.sum("n")).first()[0] or 0
 
-        for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                more = (encode(text) if text else b"") + end
-                ids.append(doc_id)
-                at = 0
-                while len(held) + len(more) - at >= stride:
-                    cut = at + stride - len(held)
-                    rows.append((length, ids, held + more[at:cut]))
-                    held, at = b"", cut
-                    ids = [doc_id] if at < len(more) else []
-                held += more[at:]
-                if len(rows) >= 512:
-                    yield batch(rows)
-                    rows = []
-            yield batch(rows)
-        if held:
-            yield batch([(len(held) // 2, ids, held + end * (length - len(held) // 2))])
-
-    return pick(docs, doc_id="bigint", text="string").mapInArrow(run, "part int, row bigint, n_tokens bigint, doc_ids array<bigint>, tokens binary")
 
+_PACKED = "shard bigint, first_slot bigint, records binary, n_tokens array<bigint>, doc_ids array<bigint>, docs_from array<int>"
 
-def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """One row a sequence, sorted by slot within range partitions: slot, shard, place (in the shard), n_tokens, doc_ids, tokens.
 
-    tokens: ``length`` little-endian uint16 ids. Slots are 0 to the number of sequences less one, each once. Every document
-    has at least its END id, whatever its text. A null doc_id stays null; repeated rows are documents of their own; other columns are ignored;
-    an empty table gives an empty result. Sequences depend on how the input is split into tasks; a stored result
-    doesn't change.
+def shards(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int | None = KEY) -> DataFrame:
+    """One row a shard, ready to be written: shard, first_slot, records (a blob of records of a fixed stride, in slot order), n_tokens (ids of
+    each record before the padding), doc_ids (documents that have ids in the records, in order) and docs_from (record i has those from docs_from[i] up to
+    docs_from[i + 1]). Without ``key`` records keep the order of the documents.
+
+    Ids are little-endian uint16. Slots are 0 to the number of records less one, each once. Every document has at least its END id, whatever its
+    text; null text counts as empty. A null doc_id stays null and comes last in the order before the permutation; repeated rows are
+    documents of their own; other columns are ignored; an empty table gives no shard. The same rows give the same bytes however the input is split.
     """
-    rows = stored(sequences(docs, vocabulary, length), "sequences")
-    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    total = rows.count()
+    rows, n_ids = _placed(docs, vocabulary)
+    stride, total = 2 * length, -(-n_ids // length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            ids, record, at, tokens = zip(*rows, strict=True)
+            record = np.array(record, np.int64)
+            slot = record if key is None else feistel(record, total, key)
+            return pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot % shard), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array(tokens, pa.binary())], ["shard", "place", "at", "doc_id", "tokens"])
+
+        for b in batches:
+            out, size = [], 0
+            for doc_id, tokens, before in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                record, at, done = before // length, before % length, 0
+                while done < len(tokens):
+                    part = tokens[done : done + stride - 2 * at]
+                    out.append((doc_id, record, at, part))
+                    size += len(part)
+                    record, at, done = record + 1, 0, done + len(part)
+                    if size > 4 << 20:
+                        yield batch(out)
+                        out, size = [], 0
+            if out:
+                yield batch(out)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, place, blob, n_tokens, doc_ids, docs_from = None, None, [], [], [], [0]
+
+        def padded() -> None:
+            if n_tokens and n_tokens[-1] < length:
+                blob.append(np.full(length - n_tokens[-1], END, "<u2").tobytes())
+
+        def row() -> pa.RecordBatch:
+            padded()
+            cells = ([now], [now * shard], [b"".join(blob)], [n_tokens], [doc_ids], [docs_from])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
+
+        for b in batches:
+            for s, p, _, doc_id, tokens in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if s != now:
+                    if blob:
+                        yield row()
+                    now, place, blob, n_tokens, doc_ids, docs_from = s, None, [], [], [], [0]
+                if p != place:
+                    padded()
+                    place = p
+                    n_tokens.append(0)
+                    docs_from.append(len(doc_ids))
+                blob.append(tokens)
+                n_tokens[-1] += len(tokens) // 2
+                doc_ids.append(doc_id)
+                docs_from[-1] += 1
+        if blob:
+            yield row()
 
-    @F.pandas_udf("bigint")
-    def slot_of(number: pd.Series) -> pd.Series:
-        return pd.Series(feistel(number.to_numpy(), total, key))
+    pieces = rows.mapInArrow(cut, "shard bigint, place bigint, at bigint, doc_id bigint, tokens binary")
+    return pieces.repartition("shard").sortWithinPartitions("shard", "place", "at").mapInArrow(pack, _PACKED)
 
-    # offsets: one row for each task that wrote
-    placed = rows.join(F.broadcast(offsets), "part").withColumn("slot", slot_of(F.col("offset") + F.col("row")))
-    n_parts = max(1, -(-total // shard))
-    first = F.floor(F.col("slot") / shard).cast("bigint")
-    out = placed.select("slot", first.alias("shard"), (F.col("slot") % shard).cast("int").alias("place"), "n_tokens", "doc_ids", "tokens")
-    return out.repartitionByRange(n_parts, "slot").sortWithinPartitions("slot")
+
+def _records(packed: DataFrame, length: int) -> DataFrame:
+    """One row a record of ``packed``: slot, shard, place, n_tokens, doc_ids, tokens."""
+    stride = 2 * length
+    rows = packed.select("shard", "first_slot", "records", "doc_ids", "docs_from", F.posexplode("n_tokens").alias("place", "n_tokens"))
+    first, end = (F.get("docs_from", F.col("place") + i) for i in (0, 1))
+    return rows.select((F.col("first_slot") + F.col("place")).alias("slot"), "shard", "place", "n_tokens", F.slice("doc_ids", first + 1, end - first).alias("doc_ids"), F.substr(F.col("records"), F.col("place") * stride + 1, F.lit(stride)).alias("tokens"))
+
+
+def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
+    """(part, row, n_tokens, doc_ids, tokens): the records in the order of the documents, ``SHARD`` a part."""
+    return _records(shards(docs, vocabulary, length, SHARD, None), length).select(F.col("shard").cast("int").alias("part"), F.col("place").cast("bigint").alias("row"), "n_tokens", "doc_ids", "tokens")
+
+
+def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
+    """``shards`` as one row a record: slot, shard, place (in the shard), n_tokens, doc_ids, tokens. Records of a shard stay in one task, in order."""
+    return _records(shards(docs, vocabulary, length, shard, key), length)
 
 
 def write_shards(ordered: DataFrame, path: str, shard: int = SHARD) -> None:
-    """One row a shard: its number, its first slot, and one blob of records of a fixed stride, in slot order."""
+    """Rows of ``training_order`` as one row a shard: its number, its first slot, and one blob of records of a fixed stride, in slot order.
+
+    For rows that were dealt or filtered since; ``shards`` gives the same without another shuffle.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, blob = None, None, []

@@ -48,7 +48,7 @@ def op8_mixing_(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_training_order_(spark: SparkSession, sf: str) -> DataFrame:
-    return op9_training_order.training_order(table(spark, sf, "documents"))
+    return op9_training_order.shards(table(spark, sf, "documents"))
 
 
 def op10_language_(spark: SparkSession, sf: str) -> DataFrame:
