@@ -6,13 +6,14 @@ Over that sequence stand a suffix array, the Burrows-Wheeler transform in a wave
 suffix position. All windows go through backward search together; occurrences are located by walking to a sampled
 suffix; their spans are merged per document.
 
-Plan: one pass over the documents, no shuffle. The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words;
-if there are more blocks than one, each takes a pass of its own over a stored table.
+Plan: windows are made by tasks and aggregated, so that each travels once with its items. They go to the tasks in blocks of about
+``BLOCK_WORDS`` words, of which the driver holds one. One pass over the documents, no shuffle; if there are more blocks than one, each takes
+a pass of its own over a stored table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,8 +25,8 @@ from .common import pick, stored
 from .wordhash import ALNUM, U, chunks, located, words
 
 WINDOW = 10
-#: Words of benchmark items that are sent to the tasks at once (8 bytes each and as much again for windows).
-BLOCK_WORDS = 2_000_000
+#: Words in the windows that are sent to the tasks at once (8 bytes each).
+BLOCK_WORDS = 10_000_000
 SAMPLED = 8
 
 
@@ -38,22 +39,32 @@ class Windows:
 
     @property
     def shortest(self) -> int:
-        return min(len(w[0]) for w, _ in self.groups)
-
-
-def windows_of(items: list[tuple[str | None, np.ndarray]], width: int) -> Windows | None:
-    """Windows of ``width`` consecutive words of each item; of a shorter one the whole, of an empty one none."""
-    owners: dict[bytes, set[str]] = {}
-    for name, w in items:
-        n = min(width, len(w))
-        for i in range(len(w) - n + 1 if n else 0):
-            owners.setdefault(w[i : i + n].tobytes(), set()).update(() if name is None else (name,))
-    if not owners:
-        return None
+        return min((len(w[0]) for w, _ in self.groups), default=1)
+
+
+def window_table(benchmark: DataFrame, width: int) -> DataFrame:
+    """(window, owners): distinct windows of ``width`` consecutive words of an item (of a shorter one the whole, of an empty one none) as eight bytes a
+    word, and the items that hold each; an item without an id marks words but owns nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words([text], ALNUM)[0]
+                n = min(width, len(w))
+                for at in range(0, len(w) - n + 1 if n else 0, 10_000):
+                    keys = [w[i : i + n].tobytes() for i in range(at, min(at + 10_000, len(w) - n + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([name] * len(keys), pa.string())], ["window", "item"])
+
+    items = pick(benchmark, item_id="string", text="binary").where("text is not null")
+    return items.mapInArrow(run, "window binary, item string").groupBy("window").agg(F.collect_set("item").alias("owners"))
+
+
+def windows_of(owners: dict[bytes, list[str]]) -> Windows:
+    """``Windows`` of window keys and the items of each."""
     rows: dict[int, list[bytes]] = {}
     for key in owners:
         rows.setdefault(len(key) // 8, []).append(key)
-    vocabulary = np.unique(np.concatenate([np.frombuffer(k, U) for k in owners]))
+    vocabulary = np.unique(np.concatenate([np.frombuffer(k, U) for k in owners])) if owners else np.zeros(0, U)
     groups = [(np.searchsorted(vocabulary, np.frombuffer(b"".join(keys), U)).reshape(-1, n) + 2, [tuple(owners[k]) for k in keys]) for n, keys in sorted(rows.items())]
     return Windows(vocabulary, groups)
 
@@ -147,6 +158,9 @@ def scan(texts: list[bytes | None], told: Windows) -> tuple[list[int], list[list
         starts.append(first)
         ends.append(end)
         sizes.append(len(w))
+        if not told.groups:
+            base += len(w)
+            continue
         symbol = np.searchsorted(told.vocabulary, w)
         symbol[symbol == len(told.vocabulary)] = 0
         inside = told.vocabulary[symbol] == w
@@ -194,19 +208,17 @@ def scan(texts: list[bytes | None], told: Windows) -> tuple[list[int], list[list
     return n_words, spans, in_bytes, items
 
 
-def _blocks(benchmark: DataFrame, width: int) -> Iterator[Windows]:
-    """Windows of the items, ``BLOCK_WORDS`` words at a time; the driver holds one block."""
-    block, size = [], 0
-    for r in pick(benchmark, item_id="string", text="binary").where("text is not null").toLocalIterator():
-        w = words([bytes(r["text"])], ALNUM)[0]
-        if size and size + len(w) > BLOCK_WORDS:
-            if found := windows_of(block, width):
-                yield found
-            block, size = [], 0
-        block.append((r["item_id"], w))
-        size += len(w)
-    if found := windows_of(block, width):
-        yield found
+def _blocks(benchmark: DataFrame, width: int) -> tuple[int, Callable[[int], Windows]]:
+    """How many blocks of windows there are (one at least), and a function that fetches one."""
+    found = stored(window_table(benchmark, width), "windows")
+    size = found.agg(F.sum(F.octet_length("window")).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // (8 * BLOCK_WORDS)))
+
+    def block(i: int) -> Windows:
+        own = found.where(F.pmod(F.xxhash64("window"), F.lit(n)) == i)
+        return windows_of({bytes(r["window"]): r["owners"] for r in own.toLocalIterator()})
+
+    return n, block
 
 
 _SPAN = "array<struct<first: bigint, end: bigint>>"
@@ -225,28 +237,19 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """``docs``, all columns, with a struct __found: n_words, spans and bytes (merged; in words and in bytes of the text), items."""
-    rest = docs.columns
-    nothing = F.lit(None).cast(f"struct<{_FOUND}>")
-    if "text" not in rest:
-        raise ValueError("documents need a column text")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("text").cast("binary").alias("text"), nothing.alias("found"))
+    """(row, text, found): ``row`` holds all columns of ``docs``; ``text`` its text as bytes; ``found`` n_words, spans and bytes (merged; in words and in
+    bytes of the text) and items."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(None).cast(f"struct<{_FOUND}>").alias("found"))
     schema = rows.schema
-    blocks = _blocks(benchmark, width)
-    told, more = next(blocks, None), True
-    while more:
-        following = next(blocks, None)
-        sent = docs.sparkSession.sparkContext.broadcast(told or Windows(np.zeros(0, U), []))
+    n, block = _blocks(benchmark, width)
+    for i in range(n):
+        sent = docs.sparkSession.sparkContext.broadcast(block(i))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             told = sent.value
             for b in batches:
                 texts, old = b.column(1).to_pylist(), b.column(2).to_pylist()
-                if told.groups:
-                    n, spans, in_bytes, items = scan(texts, told)
-                else:
-                    n = [len(words([t], ALNUM)[0]) if t else 0 for t in texts]
-                    spans, in_bytes, items = [[] for _ in n], [[] for _ in n], [set() for _ in n]
+                n, spans, in_bytes, items = scan(texts, told)
                 found = []
                 for i, was in enumerate(old):
                     known = [[(x["first"], x["end"]) for x in was[k]] if was else [] for k in ("spans", "bytes")]
@@ -255,10 +258,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> Data
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, kind)], ["row", "text", "found"])
 
         rows = rows.mapInArrow(run, schema)
-        if following is not None:
+        if i + 1 < n:
             rows = stored(rows, "passages")
-        told, more = following, following is not None
-    return rows.select("row.*", F.col("found").alias("__found"))
+    return rows
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -271,22 +273,54 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """
 
     found = passages(pick(docs, doc_id="bigint", text="string"), benchmark, width)
-    hit = F.aggregate("__found.spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["first"])
-    ids = F.array_sort("__found.items")
-    return found.select("doc_id", "__found.n_words", hit.alias("n_hit"), F.size("__found.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "__found.spans")
+    hit = F.aggregate("found.spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["first"])
+    ids = F.array_sort("found.items")
+    return found.select("row.doc_id", "found.n_words", hit.alias("n_hit"), F.size("found.items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"), "found.spans")
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """``text`` less the spans (in bytes, merged)."""
+    ends = [0, *(b for _, b in spans)]
+    starts = [*(a for a, _ in spans), len(text)]
+    return b"".join(text[a:b] for a, b in zip(ends, starts, strict=True))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs``, all columns, with the hit spans cut out of the texts (from the first byte of a span's first word to the end of its last).
 
-    Every row stays; texts without hits stay as they are. A column n_chars is set anew where a text was cut.
+    What stands left and right of a cut may form a window anew; such texts are scanned again until none occurs. Every row stays; texts without
+    hits stay as they are. A column n_chars is set anew where a text was cut. Columns may have any names.
     """
-    spans = F.col("__found.bytes")
-    raw = F.col("text").cast("binary")
-    gap = lambda i: F.substr(raw, F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"]).cast("int") + 1, (F.coalesce(F.get(spans, i)["first"], F.octet_length("text").cast("bigint")) - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])).cast("int"))
-    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: gap(i).cast("string")), "")
-    cut = F.size(spans) > 0
-    out = passages(docs, benchmark, width).withColumn("text", F.when(cut, kept).otherwise(F.col("text")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(False).alias("cut"))
+    schema = rows.schema
+    n, block = _blocks(benchmark, width)
+    while True:
+        if n > 1:
+            rows = stored(rows, "decontaminated")
+            before = rows.where("cut").agg(F.sum(F.octet_length("text")), F.count("*")).first()
+        for i in range(n):
+            sent = docs.sparkSession.sparkContext.broadcast(block(i))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                told = sent.value
+                for b in batches:
+                    texts, cut = b.column(1).to_pylist(), b.column(2).to_pylist()
+                    at = list(range(len(texts)))
+                    while at:
+                        spans = scan([texts[k] for k in at], told)[2]
+                        hit = [(k, s) for k, s in zip(at, spans, strict=True) if s]
+                        for k, s in hit:
+                            texts[k], cut[k] = without(texts[k], s), True
+                        at = [k for k, _ in hit]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), pa.array(cut, pa.bool_())], ["row", "text", "cut"])
+
+            rows = rows.mapInArrow(run, schema)
+            if n > 1:
+                rows = stored(rows, "decontaminated")
+        if n == 1 or rows.where("cut").agg(F.sum(F.octet_length("text")), F.count("*")).first() == before:
+            break
+    kind = docs.schema["text"].dataType
+    row = F.col("row").withField("text", F.when(F.col("cut"), F.col("text").cast("string").cast(kind)).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.when(F.col("cut"), F.length(F.col("text").cast("string")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
