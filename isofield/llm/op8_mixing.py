@@ -3,7 +3,8 @@
 Every row has a 60-bit hash of its id and text. Words are summed by source and the first twelve bits; the one bucket of a
 source in which its budget ends is summed again by the next twelve bits, and so on; the threshold that results is nested: a
 larger budget takes every row that a smaller one takes. Rows are then filtered by their hash alone; nothing is sorted.
-Shuffles carry one row for each task, source and bucket. All of it is DataFrame code.
+Shuffles carry one row for each task, source and bucket. Thresholds are stored, one row a source, so the planner broadcasts them where
+their size allows it and joins by source otherwise. All of it is DataFrame code.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import numbered, pick, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order (null last), over and over.
@@ -31,20 +32,22 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     dealt again among the others until none is above.
 
     With sources in order of most * size / weight, the level at which water stands is (rest of the budget) / (weights
-    of the sources not full); the first source that this level doesn't fill fixes it. One row a source.
+    of the sources not full); the first source that this level doesn't fill fixes it. One row a source; ranks and sums in order are
+    taken by ranges, so sources may be many.
     """
-    by = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by) - 1, F.lit(len(weights))) + 1).cast("int"))
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("w", w).withColumn("cap", F.col("source_size") * most)
-    s = s.withColumn("ratio", F.col("cap").cast("double") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    every = Window.partitionBy()
-    s = s.withColumn("total", F.sum("source_size").over(every).cast("double") * share)
-    s = s.withColumn("filled", F.sum("cap").over(order) - F.col("cap")).withColumn("open", F.sum("w").over(every) - F.sum("w").over(order) + F.col("w"))
-    s = s.withColumn("level", (F.col("total") - F.col("filled").cast("double")) / F.col("open").cast("double"))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("ratio", "level"))).over(every)["level"])
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull())
+    s = numbered(s, ["none", "source"], F.lit(1), "sources")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("before", F.lit(len(weights))) + 1).cast("int"))
+    s = s.withColumn("w", w).withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap").cast("double") / F.col("w")).drop("before")
+    order = ["ratio", "none", "source"]
+    s = numbered(s, order, "cap", "caps").withColumnRenamed("before", "filled")
+    s = stored(numbered(s, order, "w", "weights"), "levels")
+    total, every = s.agg(F.sum("source_size").cast("double") * share, F.sum("w")).first()
+    level = (F.lit(total) - F.col("filled").cast("double")) / (F.lit(every) - F.col("before")).cast("double")
+    s = s.withColumn("level", level)
+    found = s.agg(F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct("ratio", "level"))).alias("x")).first()["x"]
     cap = F.col("cap").cast("double")
-    return s.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("w"), cap), cap).alias("target"))
+    return s.select("source", "source_size", (F.least(F.lit(found["level"]) * F.col("w"), cap) if found else cap).alias("target"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -64,14 +67,14 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     state = state.withColumn("rest", F.floor(F.col("target") - (F.col("passes") * F.col("source_size")).cast("double")).cast("bigint"))
     state = state.withColumn("rest", F.greatest("rest", F.lit(0))).withColumn("prefix", F.lit(0).cast("bigint")).withColumn("unit", F.lit(0).cast("bigint"))
     for bits in range(STEP, BITS + 1, STEP):
-        inside = sized.alias("d").join(F.broadcast(state.where("rest > 0").select(F.col("source").alias("s"), "prefix")).alias("t"), F.expr(f"d.source <=> t.s and shiftright(d.mix_key, {BITS - bits + STEP}) = t.prefix"))
+        inside = sized.alias("d").join(state.where("rest > 0").select(F.col("source").alias("s"), "prefix").alias("t"), F.expr(f"d.source <=> t.s and shiftright(d.mix_key, {BITS - bits + STEP}) = t.prefix"))
         cells = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("d.mix_key", BITS - bits).alias("cell")).agg(F.sum("d.size").alias("words"))
         upto = F.sum("words").over(Window.partitionBy("source").orderBy("cell"))
         cells = cells.withColumn("below", upto - F.col("words"))
         now = state.alias("t").join(cells.alias("c"), F.expr("t.source <=> c.source and t.rest > 0 and c.below <= t.rest and t.rest < c.below + c.words"), "left")
         state = now.select(*[F.col(f"t.{c}").alias(c) for c in ("source", "source_size", "target", "passes")], (F.col("t.rest") - F.coalesce("c.below", F.lit(0))).alias("rest"), F.coalesce(F.col("c.cell"), F.shiftleft(F.col("t.prefix"), STEP)).alias("prefix"), F.coalesce(F.col("c.words"), F.lit(0)).cast("bigint").alias("unit"))
         state = stored(state, "thresholds")
-    out = sized.alias("d").join(F.broadcast(state).alias("t"), F.expr("d.source <=> t.source"))
+    out = sized.alias("d").join(state.alias("t"), F.expr("d.source <=> t.source"))
     part = F.when(F.col("mix_key") < F.col("prefix"), F.col("size")).when((F.col("mix_key") == F.col("prefix")) & (F.col("unit") > 0), F.expr("cast(cast(rest as decimal(38,0)) * size div unit as bigint)")).otherwise(0)
     return out.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", (F.col("passes") * F.col("size") + part).cast("bigint").alias("taken"), "d.mix_key")
 
@@ -105,19 +108,20 @@ def mixture(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each row as often as the mix takes it: whole copies, and a last copy of the first words that are left.
 
     Equal rows of two sources are taken as each source asks. Copies keep the doc_id. A row of which nothing is taken is left out, as the weights ask; a row without words
-    stays once. A column n_chars is set anew where a text was cut.
+    stays once. A column n_chars is set anew where a text was cut. Columns may have any names.
     """
-    took = mixed(docs).groupBy("doc_id", "source", "mix_key").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    own = docs.withColumn("__key", mix_hash(F.col("doc_id"), F.col("text")))
-    out = own.alias("d").join(took.alias("t"), F.expr("d.doc_id <=> t.doc_id and cast(d.source as string) <=> t.source and d.__key = t.mix_key")).select("d.*", "__size", "__taken")
-    left = F.when(F.col("__size") > 0, F.expr("__taken % nullif(__size, 0)")).otherwise(0)
-    whole = F.when(F.col("__size") > 0, F.expr("__taken div nullif(__size, 0)")).otherwise(1)
+    took = mixed(docs).groupBy("doc_id", "source", "mix_key").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), mix_hash(F.col("doc_id"), F.col("text")).alias("mix_key"))
+    out = own.alias("d").join(took.alias("t"), F.expr("d.doc_id <=> t.doc_id and d.source <=> t.source and d.mix_key = t.mix_key")).select("d.row", "t.size", "t.taken")
+    left = F.when(F.col("size") > 0, F.expr("taken % nullif(size, 0)")).otherwise(0)
+    whole = F.when(F.col("size") > 0, F.expr("taken div nullif(size, 0)")).otherwise(1)
     # one entry a copy: its number of words, -1 for all; at most three
     plan = F.concat(F.array_repeat(F.lit(-1).cast("bigint"), whole.cast("int")), F.when(left > 0, F.array(left.cast("bigint"))).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("__words", F.explode(plan))
-    cut = F.col("__words") >= 0
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.when(cut, F.col("__words")).otherwise(0).cast("int")), "")
-    out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    out = out.select("row", F.explode(plan).alias("words"))
+    cut, text = F.col("words") >= 0, F.col("row.text")
+    first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1)), 1, F.when(cut, F.col("words")).otherwise(0).cast("int")), "")
+    out = out.select("row", "words", F.when(cut, first).otherwise(text).alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return out.select(row.alias("row")).select("row.*")
