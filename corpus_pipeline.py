@@ -29,8 +29,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def training_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records in training order."""
-    return op9_training_order.training_order(docs)
+    """Shards of token records in training order, one row a shard."""
+    return op9_training_order.shards(docs)
 
 
 STAGES = [
