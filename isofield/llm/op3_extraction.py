@@ -335,13 +335,13 @@ def _scores(nodes: list[Node], density: Callable[[Node], float]) -> dict[int, fl
                 points = _points(own_commas, own_length - 1)
             elif node.name in PARAGRAPH and flow.words:
                 points = _points(flow.commas, flow.length)
-        if points:
-            if held is None:
-                held = levels[key] = [0.0] * depth
-            # a paragraph gives its parent what a <div> with text of its own keeps for itself
-            if direct:
-                held[0] += points
-        if held is not None:
+        scored = held is not None or bool(points and direct)
+        if points and held is None:
+            held = levels[key] = [0.0] * depth
+        # a paragraph gives its parent what a <div> with text of its own keeps for itself
+        if points and direct:
+            held[0] += points
+        if scored:
             out[key] = sum(map(operator.mul, held, SHARES)) + far.get(key, 0.0)
         if node.parent is not None and held is not None:
             up = levels.setdefault(id(node.parent), [0.0] * depth)
