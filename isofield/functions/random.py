@@ -1,4 +1,4 @@
-"""Random numbers that depend on nothing but their counters, and directions drawn with them.
+"""Random numbers that depend on nothing but their counters.
 
 A state is (previous * 48271) mod 2147483647 over the mixed counters, in whole numbers, so that any engine gives the same and a
 recomputed task draws the same again.
@@ -6,8 +6,6 @@ recomputed task draws the same again.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,30 +31,3 @@ def state_sql(seed: int, *counters: str) -> str:
 def uniform(seed: int, *counters: Column) -> Column:
     """A double in (0, 1)."""
     return state(seed, *counters) / float(MODULUS)
-
-
-def polar_cosine(u: Column, order: float = 1.0) -> Column:
-    """Cosine of the angle to the mean direction for a flux distribution cos**order: u ** (1 / (order + 1))."""
-    return F.pow(u, F.lit(1.0 / (order + 1)))
-
-
-def rotated(mean: tuple[Column, Column, Column], cosine: Column, azimuth: Column) -> tuple[Column, Column, Column]:
-    """The direction at a given angle and azimuth about the unit vector ``mean``."""
-    x, y, z = mean
-    sine = F.sqrt(F.greatest(1 - cosine * cosine, F.lit(0.0)))
-    a, b = sine * F.cos(azimuth), sine * F.sin(azimuth)
-    # a basis around mean that is safe for every direction of it
-    s = F.when(z >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    k = -1.0 / (s + z)
-    m = x * y * k
-    return (a * (1 + s * x * x * k) + b * m + cosine * x, a * (s * m) + b * (s + y * y * k) + cosine * y, a * (-s * x) + b * (-y) + cosine * z)
-
-
-def cosine_direction(mean: tuple[Column, Column, Column], u1: Column, u2: Column, order: float = 1.0) -> tuple[Column, Column, Column]:
-    return rotated(mean, polar_cosine(u1, order), 2 * math.pi * u2)
-
-
-def gaussian_offset(u1: Column, u2: Column, fwhm: float) -> tuple[Column, Column]:
-    """A point about the origin with a Gaussian profile of the given full width at half maximum."""
-    r = F.sqrt(-2 * F.log(u1)) * (fwhm / (2 * math.sqrt(2 * math.log(2))))
-    return r * F.cos(2 * math.pi * u2), r * F.sin(2 * math.pi * u2)

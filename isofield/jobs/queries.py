@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import random
 from ..functions.grid import AXES, KEY, Boundary, Grid, quantise
-from ..operators import algebra, analytics, meshing, motion
+from ..operators import algebra, analytics, meshing
 from ..operators.stencil import cells
 from ..operators.weno import weno_slopes
 from ..sources.heightfield import SQL, carved, heights, level_set
@@ -65,10 +65,10 @@ def band_summary(spark, sf):
 
 
 def _combined(how: str, value: str):
-    @query(f"{SIDES}, r AS (SELECT 0 AS layer, x, y, z, {value} AS phi FROM s WHERE abs({value}) < 1099511627776) SELECT layer, {COUNTS} FROM r GROUP BY layer")
+    @query(f"{SIDES}, r AS (SELECT 0 AS layer, x, y, z, {value} AS phi FROM s WHERE abs({value}) < 1099511627776) SELECT layer, x, y, z, phi FROM r")
     def run(spark, sf):
         ls = level_set(spark, sf)
-        return algebra.summary(algebra.combine(_layer(ls, 0), _layer(ls, 2), how))
+        return algebra.combine(_layer(ls, 0), _layer(ls, 2), how).select(*KEY, "phi")
 
     QUERIES[how], ORACLES[how] = QUERIES.pop("run"), ORACLES.pop("run")
 
@@ -78,10 +78,10 @@ _combined("intersection", "greatest(pa, pb)")
 _combined("difference", "greatest(pa, -pb)")
 
 
-@query(f"{SIDES}, un AS (SELECT 0 AS layer, x, y, z, least(pa, pb) AS phi FROM s WHERE abs(least(pa, pb)) < 1099511627776), {SIGNS.format(src='un')} SELECT layer, {COUNTS} FROM pr GROUP BY layer")
+@query(f"{SIDES}, un AS (SELECT 0 AS layer, x, y, z, least(pa, pb) AS phi FROM s WHERE abs(least(pa, pb)) < 1099511627776), {SIGNS.format(src='un')} SELECT layer, x, y, z, phi FROM pr")
 def union_prune(spark, sf):
     ls = level_set(spark, sf)
-    return algebra.summary(algebra.prune(algebra.combine(_layer(ls, 0), _layer(ls, 2), "union")))
+    return algebra.prune(algebra.combine(_layer(ls, 0), _layer(ls, 2), "union")).select(*KEY, "phi")
 
 
 @query(f"WITH {SQL} SELECT layer, count(*)::BIGINT AS n_points, sum((abs(phi) * 2 <= 1000)::INT)::BIGINT AS n_active, sum(-phi)::BIGINT AS sum_phi FROM ls GROUP BY layer")
@@ -234,7 +234,7 @@ SELECT 3 AS n_layers, count(*)::BIGINT AS n_points, sum(coalesce(p1 - p2, 0))::B
 def layer_thickness(spark, sf):
     """Thickness of what lies between the layers at active points of the top one: the distances at which rates change."""
     ls = level_set(spark, sf).withColumn("rate", F.lit(-1.0))
-    top = motion.layered_rates(ls.withColumn("phi", F.col("phi") / 1000.0)).select("x", "y", "z", "rates")
+    top = analytics.layered_rates(ls.withColumn("phi", F.col("phi") / 1000.0)).select("x", "y", "z", "rates")
     gap = lambda i: F.coalesce(F.round((F.get("rates", F.lit(i))["stop"] - F.when(F.lit(i) == 0, F.col("phi")).otherwise(F.get("rates", F.lit(i - 1))["stop"])) * 1000).cast("bigint"), F.lit(0))
     top = top.withColumn("phi", F.lit(None).cast("double"))
     own = ls.where("layer = 2").select("x", "y", "z", (F.col("phi") / 1000.0).alias("__p"))

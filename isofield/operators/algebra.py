@@ -17,11 +17,12 @@ FAR = 1 << 40
 def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
     """(layer, x, y, z, pa, pb): both values at every point that either holds; an absent one is FAR or -FAR by its side's column.
 
-    Both sides meet in one aggregation by point and one window by column. A side without rows in a column is outside there.
+    Both sides meet in one shuffle by column, which serves the aggregation by point and the window by column. A side without rows in a
+    column is outside there.
     """
     kind = a.schema["phi"].dataType
     rows = a.select(*KEY, F.col("phi").alias("pa"), F.lit(None).cast(kind).alias("pb")).unionByName(b.select(*KEY, F.lit(None).cast(kind).alias("pa"), F.col("phi").cast(kind).alias("pb")))
-    at = rows.groupBy(*KEY).agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    at = rows.repartition("layer", "x", "y").groupBy(*KEY).agg(F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     column = Window.partitionBy("layer", "x", "y").orderBy("z")
     down, up = column.rowsBetween(Window.unboundedPreceding, Window.currentRow), column.rowsBetween(Window.currentRow, Window.unboundedFollowing)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,3 +165,42 @@ def interpolated(x: Column, table: list[tuple[float, float]]) -> Column:
     for (a, ya), (b, yb) in reversed(list(zip(table, table[1:], strict=False))):
         out = F.when(x < b, F.lit(float(ya)) + (x - F.lit(float(a))) * F.lit((yb - ya) / (b - a))).otherwise(out)
     return F.when(x <= table[0][0], F.lit(float(table[0][1]))).otherwise(out)
+
+
+def layered_rates(points: DataFrame) -> DataFrame:
+    """Active points of the top layer (x, y, z, phi) with rates: an array of (rate, stop) from the top down.
+
+    ``points`` has a column rate on every layer's row. A layer's rate holds until phi has risen to the next layer's value (stop); the lowest has none.
+    """
+    top = points.agg(F.max("layer")).first()[0]
+    down = Window.partitionBy("x", "y", "z").orderBy(F.col("layer").desc())
+    s = points.withColumn("stop", F.lead("phi").over(down))
+    g = s.groupBy("x", "y", "z").agg(F.max(F.when(F.col("layer") == top, F.col("phi"))).alias("phi"), F.array_sort(F.collect_list(F.struct((-F.col("layer")).alias("order"), "rate", "stop"))).alias("rates"))
+    return active(g.where(F.col("phi").isNotNull()), 1.0)
+
+
+#: Crystal directions at the corners of the two triangles into which symmetry folds all directions.
+NEAR_100, NEAR_111 = [(1, 0, 0), (1, 1, 0), (3, 1, 1)], [(1, 1, 1), (1, 1, 0), (3, 1, 1)]
+
+
+def crystal_rate(rates: dict[tuple[int, int, int], Column], first: tuple[float, float, float] = (1, 0, 0), second: tuple[float, float, float] = (0, 1, 0)) -> Column:
+    """Rate along the normal (nx, ny, nz) of a cubic crystal from rates of the directions 100, 110, 111 and 311.
+
+    The normal in crystal axes (``first``, and ``second`` made orthogonal to it), without signs and in falling order, is a sum of
+    the corners of one of the two triangles with weights that aren't negative. Corner rates count by those weights, in the plane
+    in which the largest component is 1.
+    """
+    a = np.array(first, float) / np.linalg.norm(first)
+    b = np.array(second, float) - a * np.dot(a, second)
+    b /= np.linalg.norm(b)
+    along = [F.abs(sum((F.col(f"n{x}") * F.lit(float(v)) for x, v in zip("xyz", axis, strict=True)), F.lit(0.0))) for axis in (a, b, np.cross(a, b))]
+    folded = F.sort_array(F.array(*along), asc=False)
+
+    def weights(corners: list[tuple[int, int, int]]) -> list[Column]:
+        inverse = np.linalg.inv(np.array(corners, float).T)
+        return [sum((folded[i] * F.lit(float(v)) for i, v in enumerate(row)), F.lit(0.0)) for row in inverse]
+
+    def mixed(corners: list[tuple[int, int, int]]) -> Column:
+        return sum((w * F.lit(float(c[0])) * rates[c] for w, c in zip(weights(corners), corners, strict=True)), F.lit(0.0)) / folded[0]
+
+    return F.when(weights(NEAR_100)[0] > 0, mixed(NEAR_100)).otherwise(mixed(NEAR_111))

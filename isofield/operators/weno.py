@@ -21,13 +21,25 @@ def weno3(d: list[Column]) -> Column:
 
 
 def weno5(d: list[Column]) -> Column:
-    """Slope from five differences in a row, the one farthest upwind first."""
-    fits = [(2.0 * a + 11.0 * c - 7.0 * b) / 6.0 if i == 0 else (5.0 * b - a + 2.0 * c) / 6.0 if i == 1 else (2.0 * a + 5.0 * b - c) / 6.0 for i, (a, b, c) in enumerate(zip(d, d[1:], d[2:], strict=False))]
-    bends = [a - 2.0 * b + c for a, b, c in zip(d, d[1:], d[2:], strict=False)]
-    tilts = [d[0] - 4.0 * d[1] + 3.0 * d[2], d[1] - d[3], 3.0 * d[2] - 4.0 * d[3] + d[4]]
-    rough = [EPSILON + 13.0 / 12.0 * b * b + t * t / 4.0 for b, t in zip(bends, tilts, strict=True)]
-    share = [F.lit(ideal) / (s * s) for ideal, s in zip((0.1, 0.6, 0.3), rough, strict=True)]
-    return (share[0] * fits[0] + share[1] * fits[1] + share[2] * fits[2]) / (share[0] + share[1] + share[2])
+    """Slope from five differences v1 to v5 in a row, the one farthest upwind first.
+
+    Three parabolas fit three differences each; a fit counts by its ideal weight over its roughness (to the first power).
+    """
+    v1, v2, v3, v4, v5 = d
+    left = (2.0 * v1 - 7.0 * v2 + 11.0 * v3) / 6.0
+    centre = (-v2 + 5.0 * v3 + 2.0 * v4) / 6.0
+    right = (2.0 * v3 + 5.0 * v4 - v5) / 6.0
+
+    def roughness(bend: Column, tilt: Column) -> Column:
+        return 13.0 / 12.0 * bend * bend + tilt * tilt / 4.0
+
+    rough_left = roughness(v1 - 2.0 * v2 + v3, v1 - 4.0 * v2 + 3.0 * v3)
+    rough_centre = roughness(v2 - 2.0 * v3 + v4, v2 - v4)
+    rough_right = roughness(v3 - 2.0 * v4 + v5, 3.0 * v3 - 4.0 * v4 + v5)
+    weight_left = F.lit(0.1) / (EPSILON + rough_left)
+    weight_centre = F.lit(0.6) / (EPSILON + rough_centre)
+    weight_right = F.lit(0.3) / (EPSILON + rough_right)
+    return (weight_left * left + weight_centre * centre + weight_right * right) / (weight_left + weight_centre + weight_right)
 
 
 def weno_slopes(points: DataFrame, order: int = 3, axes: list[str] = AXES, grid: Grid | None = None) -> DataFrame:

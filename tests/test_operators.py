@@ -5,10 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from isofield.functions import models, random
+from isofield.functions import random
 from isofield.functions.grid import KEY, Boundary, Grid, dequantise, quantise, stored_bits
-from isofield.jobs.simulate import Process, planarized, run
-from isofield.operators import algebra, analytics, meshing, motion, particles
+from isofield.operators import algebra, analytics, meshing
 from isofield.operators.components import connected_components
 from isofield.operators.weno import weno_slopes
 from isofield.sources import meshes, parameters, shapes, writers
@@ -111,40 +110,6 @@ def test_distance_transform(spark):
     assert abs(abs(d[5, 2]) - 0.25) < 1e-9 and abs(abs(d[5, 3]) - 0.75) < 1e-9 and d[5, 2] * d[5, 3] < 0
 
 
-def test_plane_moves(spark):
-    out, taken = run(shapes.plane(spark, G, "z", 0.2), [Process("ConstantRates", 1.0, {"constant_rates": [0.8]}, outputs=[0.5])], G)
-    near = out.where(F.abs("phi") <= 0.5).agg(F.min(F.col("z") - F.col("phi")), F.max(F.col("z") - F.col("phi"))).first()
-    assert abs(near[0] - 1.0) < 1e-6 and abs(near[1] - 1.0) < 1e-6
-    assert abs(sum(s.dt for s in taken) - 1.0) < 1e-9 and any(s.output for s in taken)
-
-
-def test_rates_through_layers(spark):
-    rows = [(0, 0, 0, 0, 0.3, -1.0), (1, 0, 0, 0, 0.1, -2.0)]
-    p = motion.layered_rates(spark.createDataFrame(rows, "layer int, x int, y int, z int, phi double, rate double"))
-    # 0.2 cells at rate 2 take 0.1 s, then 0.1 s at rate 1
-    assert abs(p.select(motion.consumed(0.2).alias("p")).first()[0] - 0.4) < 1e-9
-    assert abs(motion.time_step(p, 0.4) - (0.2 / 2 + 0.2 / 1)) < 1e-9
-
-
-def test_rebuild_carries_data(spark):
-    moved = spark.createDataFrame([(0, 0, 0, 0, -0.8, "a"), (0, 0, 0, 2, 3.0, "b")], "layer int, x int, y int, z int, phi double, tag string")
-    got = {(r["x"], r["y"], r["z"]): (round(r["phi"], 6), r["tag"]) for r in motion.rebuild(moved, ["tag"]).collect()}
-    assert got[0, 0, 1] == (0.2, "a")
-
-
-def test_planarized(spark):
-    out = planarized(shapes.plane(spark, G, "z", 3.0), 1.0)
-    assert out.where("phi < 0").agg(F.max("z")).first()[0] <= 1
-
-
-def test_flux_on_a_plane(spark):
-    g = Grid({"x": 0, "y": 0, "z": -3}, {"x": 3, "y": 3, "z": 3})
-    flat = analytics.normals(shapes.plane(spark, g, "z", 0.0).where("x between 0 and 3"), g).where(F.abs("phi") <= 0.5)
-    rays = particles.generate(spark.range(16).select(F.col("id").alias("place"), (F.col("id") % 4).alias("x"), (F.col("id") / 4).cast("int").alias("y"), F.lit(2).alias("z")), 50, 1.0, 3, 20.0)
-    rate = particles.traced(rays, flat, 1.0, 0.5, 1, 8, (4, 4)).agg(F.sum("rate"), F.count("*")).first()
-    assert abs(rate[0] - 16) < 1.6 and rate[1] == 16
-
-
 def test_random_is_a_function_of_its_counters(spark):
     u = spark.range(20000).select(random.uniform(5, F.col("id"), F.lit(2)).alias("u"))
     m = u.agg(F.avg("u"), F.stddev("u"), F.min("u"), F.max("u"), F.countDistinct("u")).first()
@@ -163,23 +128,6 @@ def test_quantised(spark):
     assert [stored_bits(b) for b in (1, 2, 3, 5, 9, 60, 99)] == [1, 2, 4, 8, 16, 64, 64]
 
 
-def test_crystal_rates(spark):
-    p = {"rates100": [1.0], "rates110": [2.0], "rates111": [3.0], "rates311": [4.0]}
-    s = 1 / math.sqrt(3)
-    d = spark.createDataFrame([(1.0, 0.0, 0.0, 0), (math.sqrt(0.5), math.sqrt(0.5), 0.0, 0), (s, s, s, 0)], "nx double, ny double, nz double, material int")
-    v = [r[0] for r in d.select(models.model("WetEtching").velocity(p)).collect()]
-    assert [round(x, 6) for x in v] == [-1, -2, -3]
-    with pytest.raises(ValueError):
-        models.model("Nothing")
-
-
-def test_plasma_balance(spark):
-    d = spark.createDataFrame([([1.0, 2.0, 3.0, 1e13, 1e16, 0.0], 0)], "rates array<double>, material int")
-    m = models.model("SF6_O2PlasmaEtching")
-    c = d.select(F.array(*m.coverages({})).alias("coverages"), "rates", "material")
-    assert all(0 <= x <= 1 for x in c.first()[0]) and c.select(m.velocity({})).first()[0] < 0
-
-
 def test_parameters(tmp_path):
     text = '''// a comment
     geometry_file = "a.dx"; /* more */ grid_delta=0.5e-6; cfl_condition = 0.5; num_dimensions=2; default_disk_orientation={0,0};
@@ -232,15 +180,6 @@ def test_weno_slopes_converge(spark, order):
         weno_slopes(line, 4)
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_runge_kutta_plane(spark, order):
-    plane = spark.range(-4, 5).select(F.lit(0).alias("layer"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.col("id").cast("int").alias("z"), F.col("id").cast("double").alias("phi"))
-    out = points(motion.runge_kutta(plane, lambda p: p.withColumn("phi", F.col("phi") - 0.25), order))
-    assert out == {(0, 0, 0, z): z - 0.25 for z in range(-4, 5)}
-    decay = points(motion.runge_kutta(plane, lambda p: p.withColumn("phi", F.col("phi") * 0.9), order))
-    assert abs(decay[0, 0, 0, 4] / 4 - math.exp(-0.1)) < (6e-3, 2e-4, 5e-6)[order - 1]
-
-
 def test_writers(spark, two, tmp_path):
     a, _ = two
     writers.write_points(a, str(tmp_path / "points"))
@@ -250,3 +189,20 @@ def test_writers(spark, two, tmp_path):
     lines = [line.split(" ") for p in sorted((tmp_path / "rates").glob("part-*")) for line in p.read_text().splitlines()]
     assert len(lines) == rates.count() and all(len(r) == 4 and float(r[3]) == pytest.approx(float(r[0]) * 5) for r in lines)
     assert [float(r[2]) for r in lines] == sorted(float(r[2]) for r in lines)
+
+
+def test_layered_rates(spark):
+    rows = [(1, 0, 0, 0, 0.1, -2.0), (0, 0, 0, 0, 0.3, -1.0)]
+    p = analytics.layered_rates(spark.createDataFrame(rows, "layer int, x int, y int, z int, phi double, rate double")).collect()
+    assert [(x["rate"], x["stop"]) for x in p[0]["rates"]] == [(-2.0, 0.3), (-1.0, None)]
+
+
+def test_crystal_rate(spark):
+    known = {(1, 0, 0): 1.0, (1, 1, 0): 2.0, (1, 1, 1): 0.5, (3, 1, 1): 3.0}
+    rows = []
+    for (a, b, c), r in known.items():
+        size = math.sqrt(a * a + b * b + c * c)
+        rows += [(x / size, y / size, z / size, r) for x, y, z in ((a, b, c), (-c, a, b), (b, -c, -a))]
+    d = spark.createDataFrame(rows, "nx double, ny double, nz double, r double")
+    got = d.select("r", analytics.crystal_rate({k: F.lit(v) for k, v in known.items()}).alias("v")).collect()
+    assert all(abs(x["r"] - x["v"]) < 1e-9 for x in got)
