@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES
+from ..functions.numbering import numbered
 from .stencil import cells
 
 
@@ -40,11 +41,12 @@ def triangles_of(code: int) -> list[list[list[int]]]:
     return out
 
 
-def surface(points: DataFrame, axes: list[str]) -> DataFrame:
+def surface(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
     """(layer, x, y, z, part, nodes): segments (two axes) or triangles (three) of the surface, by cell.
 
     A node is a struct of its edge (lowest corner and the step to the other), so elements that share an edge share the node, and t: where on
-    the edge phi is 0. Cells of which a cut edge lacks a value are left out. The case table has one entry a case, made
+    the edge phi is 0. A corner that no row holds lies beyond the band and counts ``far`` by its sign, so that the surface
+    is whole where it is steeper than the band. The case table has one entry a case, made
     from the rules above, and is broadcast (256 rows at most).
     """
     n = len(axes)
@@ -58,19 +60,39 @@ def surface(points: DataFrame, axes: list[str]) -> DataFrame:
 
     def node(e: Column) -> Column:
         a, b = e[0], e[1]
-        pa, pb = at(a)["phi"].cast("double"), at(b)["phi"].cast("double")
+        pa, pb = (F.coalesce(at(k)["phi"].cast("double"), at(k)["sign"] * F.lit(float(far))) for k in (a, b))
         low = [(F.col(x) + (bit(a, axes.index(x)) if x in axes else F.lit(0))).cast("int").alias(x) for x in AXES]
         step = [(bit(b, axes.index(x)) - bit(a, axes.index(x)) if x in axes else F.lit(0)).cast("int").alias(f"d{x}") for x in AXES]
         return F.struct(*low, *step, F.try_divide(pa, pa - pb).alias("t"))
 
-    c = c.select("layer", *AXES, "part", F.transform("edges", node).alias("nodes"))
-    return c.where(F.forall("nodes", lambda x: x["t"].isNotNull()))
+    return c.select("layer", *AXES, "part", F.transform("edges", node).alias("nodes"))
 
 
 def surface_nodes(elements: DataFrame) -> DataFrame:
-    """Distinct nodes of ``surface`` with coordinates px, py, pz; an edge that several cells cut is one node."""
+    """Distinct nodes of ``surface`` with coordinates px, py, pz; an edge that several cells cut is one node.
+
+    ox, oy, oz: the end of the edge nearer to the surface (the first of equal ones), whose data a node takes.
+    """
     nodes = elements.select("layer", F.explode("nodes").alias("n")).select("layer", "n.*").groupBy("layer", *AXES, "dx", "dy", "dz").agg(F.min("t").alias("t"))
-    return nodes.withColumns({f"p{a}": F.col(a) + F.col("t") * F.col(f"d{a}") for a in AXES})
+    owner = {f"o{a}": (F.col(a) + F.when(F.col("t") <= 0.5, 0).otherwise(F.col(f"d{a}"))).cast("int") for a in AXES}
+    return nodes.withColumns({f"p{a}": F.col(a) + F.col("t") * F.col(f"d{a}") for a in AXES} | owner)
+
+
+def indexed(elements: DataFrame, data: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``surface`` as a mesh: nodes (node_id from 0, layer, x, y, z and the columns of ``data``) and elements (elem_id from 0, layer, nodes).
+
+    ``data``: layer, x, y, z and series of points (velocities, rates, coverages, material); a node takes those of its owner.
+    """
+    edge = ["layer", *AXES, "dx", "dy", "dz"]
+    nodes = numbered(surface_nodes(elements), edge, name="nodes").withColumnRenamed("before", "node_id")
+    parts = numbered(elements, ["layer", *AXES, "part"], name="elements").withColumnRenamed("before", "elem_id")
+    corners = parts.select("elem_id", "layer", F.posexplode("nodes").alias("at", "n")).select("elem_id", "layer", "at", *[F.col(f"n.{c}").alias(c) for c in edge[1:]])
+    met = corners.join(nodes.select(*edge, "node_id"), edge)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("at", "node_id"))), lambda x: x["node_id"])
+    out = nodes.select("node_id", "layer", *[F.col(f"p{a}").alias(a) for a in AXES], *[f"o{a}" for a in AXES])
+    if data is not None:
+        out = out.join(data.withColumnsRenamed({a: f"o{a}" for a in AXES}), ["layer", *[f"o{a}" for a in AXES]], "left")
+    return out.drop(*[f"o{a}" for a in AXES]), met.groupBy("elem_id", "layer").agg(ids.alias("nodes"))
 
 
 def materials(elements: DataFrame) -> DataFrame:
@@ -137,3 +159,133 @@ def distances(segments: DataFrame, layer: int = 0) -> DataFrame:
         rows = s.select(F.lit(layer).alias("layer"), cols["x"].alias("x"), F.lit(0).alias("y"), cols["z"].alias("z"), phi.alias("phi"))
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("layer", "x", "y", "z").agg(F.min_by("phi", F.struct(F.abs("phi"), F.col("phi"))).alias("phi"))
+
+
+def cornered(elements: DataFrame, nodes: DataFrame, ids: str = "nodes") -> DataFrame:
+    """``elements`` with ``at``: the coordinates (struct of x, y, z) of the node ids in the array ``ids``, in order. One join."""
+    rows = elements.withColumn("__row", F.monotonically_increasing_id()) if "elem_id" not in elements.columns else elements.withColumn("__row", F.col("elem_id"))
+    each = rows.select("*", F.posexplode(ids).alias("__k", "__id"))
+    met = each.join(nodes.select(F.col("node_id").alias("__id"), F.struct(*AXES).alias("__at")), "__id")
+    held = [F.first(c).alias(c) for c in elements.columns]
+    return met.groupBy("__row").agg(*held, F.transform(F.array_sort(F.collect_list(F.struct("__k", "__at"))), lambda x: x["__at"]).alias("at")).drop("__row")
+
+
+def minus(a: Column, b: Column) -> list[Column]:
+    return [a[x] - b[x] for x in AXES]
+
+
+def cross(u: list[Column], v: list[Column]) -> list[Column]:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def dot(u: list[Column], v: list[Column]) -> Column:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+def triangle_normal(at: Column) -> list[Column]:
+    """Twice the area of a triangle (array of x, y, z) as a vector, to the side from which its corners run counterclockwise."""
+    return cross(minus(at[1], at[0]), minus(at[2], at[0]))
+
+
+def signed_volume(at: Column) -> Column:
+    """Volume of a tetrahedron (array of x, y, z), negative if its last corner lies behind the first three."""
+    return dot(triangle_normal(at), minus(at[3], at[0])) / 6.0
+
+
+def orientation(at: Column) -> Column:
+    """1, -1 or 0 by the sign of the volume."""
+    return F.signum(signed_volume(at)).cast("int")
+
+
+def oriented_interfaces(elements: DataFrame, nodes: DataFrame, removed: dict[str, tuple[float | None, float | None]] | None = None, eps: float = 1e-6) -> DataFrame:
+    """(face, at, mat_low, mat_high): faces of tetrahedra between different materials with their corners, in the order that points out of the side with the
+    lower material; the outside has one material more than the largest.
+
+    Faces that lie, within ``eps``, on a removed side of the domain (``removed``: low and high coordinate by axis, null for a side that stays) are
+    left out. One join for coordinates, one aggregation by face.
+    """
+    t = cornered(elements, nodes)
+    order = lambda k, a: F.array(*[a[i] for i in range(4) if i != k])
+    faces = t.select("material", F.explode(F.array(*[F.struct(order(k, F.col("nodes")).alias("ids"), order(k, F.col("at")).alias("at"), F.col("at")[k].alias("apex")) for k in range(4)])).alias("f")).select("material", "f.*")
+    faces = faces.withColumn("face", F.array_sort("ids"))
+    behind = dot(triangle_normal(F.col("at")), minus(F.col("apex"), F.col("at")[0])) < 0
+    faces = faces.withColumn("at", F.when(behind, F.col("at")).otherwise(F.array(F.col("at")[0], F.col("at")[2], F.col("at")[1])))
+    outside = elements.agg((F.max("material") + 1).alias("outside"))
+    g = faces.groupBy("face").agg(F.min(F.struct("material", "at")).alias("low"), F.max("material").alias("mat_high"), F.count("*").alias("n"))
+    # one row, whatever the mesh
+    g = g.join(F.broadcast(outside), F.lit(True)).withColumn("mat_high", F.when(F.col("n") == 1, F.col("outside")).otherwise(F.col("mat_high")))
+    out = g.select("face", "low.at", F.col("low.material").alias("mat_low"), "mat_high").where("mat_low <> mat_high")
+
+    def on(axis: str, side: float) -> Column:
+        return F.forall("at", lambda p: F.abs(p[axis] - F.lit(float(side))) <= eps)
+
+    for axis, sides in (removed or {}).items():
+        for side in sides:
+            out = out if side is None else out.where(~on(axis, side))
+    return out
+
+
+def cumulative_hulls(faces: DataFrame) -> DataFrame:
+    """(material, face) of the hull of all materials up to each one: faces (face, material) that occur an odd number of times at or below it.
+
+    Faces are counted once, and each count holds until the next material of that face; one shuffle by face.
+    """
+    own = faces.groupBy("face", "material").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("face").orderBy("material"))
+    after = F.lead("material").over(Window.partitionBy("face").orderBy("material"))
+    spans = own.select("face", F.col("material").alias("from"), upto.alias("n"), after.alias("to")).where("n % 2 = 1")
+    last = faces.agg(F.max("material")).first()[0]
+    span = F.explode(F.sequence("from", F.coalesce(F.col("to") - 1, F.lit(last)).cast("int")))
+    out = spans.select(F.col("from").cast("int").alias("from"), "to", "face").select(span.alias("material"), "face") if last is not None else spans.select(F.col("from").alias("material"), "face")
+    return out.join(faces.select("material").distinct(), "material", "left_semi").select("material", "face")
+
+
+def grid_bounds(nodes: DataFrame, delta: float = 1.0, eps: float = 1e-6, axes: list[str] = AXES) -> DataFrame:
+    """low_x, high_x and so on: the grid indices inside the box of ``nodes``; a side within ``eps`` of an index is on it."""
+    box = bounding_box(nodes, axes)
+    sides = [f for a in axes for f in (F.ceil(F.col(f"min_{a}") / delta - eps).cast("int").alias(f"low_{a}"), F.floor(F.col(f"max_{a}") / delta + eps).cast("int").alias(f"high_{a}"))]
+    return box.select(*sides)
+
+
+def triangle_distances(triangles: DataFrame, along: list[str] = AXES) -> DataFrame:
+    """Level set (layer, x, y, z, phi) from triangles (layer and at: three corners in cells, whose order points out of the solid).
+
+    Every triangle meets the grid lines along each axis in its bounding box; each meeting gives the grid points before and after it with their
+    signed axis distance; of several values at a point the nearest counts (ties: the smaller). ``prune`` the result for a band of one
+    cell. An explosion to the grid lines of each triangle, an aggregation by point; lines run through edges and corners as well.
+    """
+    out = None
+    for a in along:
+        b, c = [x for x in ("x", "y", "z", "x", "y")[AXES.index(a) + 1 : AXES.index(a) + 3]]
+        at = F.col("at")
+        low = {x: F.least(*[at[i][x] for i in range(3)]) for x in (b, c)}
+        high = {x: F.greatest(*[at[i][x] for i in range(3)]) for x in (b, c)}
+        rows = triangles.select("layer", "at", triangle_normal(at)[AXES.index(a)].alias("n")).where("n <> 0")
+        for x in (b, c):
+            inside = (F.ceil(low[x]) <= F.floor(high[x]))
+            rows = rows.where(inside).withColumn(x, F.explode(F.sequence(F.ceil(low[x]).cast("int"), F.floor(high[x]).cast("int"))))
+        # twice the areas of the three parts into which the line cuts the triangle's projection
+        part = lambda i, j: (at[i][b] - F.col(b)) * (at[j][c] - F.col(c)) - (at[j][b] - F.col(b)) * (at[i][c] - F.col(c))  # noqa: B023, E731
+        w = [part(1, 2), part(2, 0), part(0, 1)]
+        whole = w[0] + w[1] + w[2]
+        rows = rows.where(F.least(*[x * F.signum(whole) for x in w]) >= 0)
+        hit = (w[0] * at[0][a] + w[1] * at[1][a] + w[2] * at[2][a]) / whole
+        rows = rows.select("layer", b, c, "n", hit.alias("hit")).withColumn(a, F.explode(F.array_distinct(F.array(F.floor("hit"), F.ceil("hit"))).cast("array<int>")))
+        rows = rows.select("layer", *AXES, ((F.col(a) - F.col("hit")) * F.signum("n")).alias("phi"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("layer", *AXES).agg(F.min_by("phi", F.struct(F.abs("phi"), F.col("phi"))).alias("phi"))
+
+
+def level_sets_of(elements: DataFrame, nodes: DataFrame, delta: float = 1.0, removed: dict[str, tuple[float | None, float | None]] | None = None, eps: float = 1e-6) -> DataFrame:
+    """Level sets from a volume mesh of tetrahedra: layer m is the solid of all materials up to m (materials from 0), in cells of ``delta``.
+
+    Interfaces, then the surfaces of each material, then distances; points of which no neighbour has the other sign are not pruned.
+    """
+    scaled = nodes.select("node_id", *[(F.col(a) / float(delta)).alias(a) for a in AXES])
+    cells_removed = {a: tuple(None if s is None else s / delta for s in sides) for a, sides in (removed or {}).items()}
+    faces = oriented_interfaces(elements, scaled, cells_removed, eps / delta)
+    top = elements.agg(F.max("material")).first()[0]
+    if top is None:
+        return triangle_distances(faces)
+    m = F.explode(F.sequence("mat_low", F.least(F.col("mat_high"), F.lit(top + 1)) - 1))
+    return triangle_distances(faces.where(F.col("mat_low") <= top).select(m.alias("layer"), "at"))

@@ -15,15 +15,17 @@ from ..functions.storage import stored
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(no, line): the lines of one text file with their numbers from 0.
+    """(no, line): the lines of a text file, or of a folder of parts in order of their names, with their numbers from 0.
 
-    Parts of the file get their offsets from a count of lines by part; only that table (a row a part) is summed in one place.
+    Blocks of the files get their offsets from a count of lines by block; only that table (a row a block) is summed in one place.
     """
-    rows = stored(spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "lines")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("offset"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    return rows.withColumn("own", own).join(F.broadcast(offsets), "part").select((F.col("own") + F.col("offset")).alias("no"), F.trim("value").alias("line"))
+    block = ["file", "start"]
+    text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = stored(text.withColumn("at", F.monotonically_increasing_id()), "lines")
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"))
+    offsets = sizes.select(*block, (F.sum("n").over(Window.orderBy(*block)) - F.col("n")).alias("offset"))
+    own = F.row_number().over(Window.partitionBy(*block).orderBy("at")) - 1
+    return rows.withColumn("own", own).join(F.broadcast(offsets), block).select((F.col("own") + F.col("offset")).alias("no"), F.trim("value").alias("line"))
 
 
 def _numbers(line: Column | str, kind: str) -> Column:

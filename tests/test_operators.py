@@ -137,7 +137,7 @@ def test_parameters(tmp_path):
     p = parameters.read(str(tmp_path / "par.txt"))
     assert p["boundary_conditions"] == [["PERIODIC", "PERIODIC"], ["INFINITE", "INFINITE"]] and p["default_disc_orientation"] == [0, 0]
     assert parameters.output_times(p["processes"][0]) == [1, 3, 5, 7, 9]
-    assert Process.of(p["processes"][0]).parameters["direction"] == [0, -1, 0]
+    assert p["processes"][0]["parameters"]["direction"] == [0, -1, 0]
     for bad in ("a = 1; a = 2;", "a = {1", "}", "= 3"):
         with pytest.raises(ValueError):
             parameters.parse(bad)
