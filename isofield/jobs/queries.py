@@ -172,7 +172,13 @@ def sign_runs(spark, sf):
     return analytics.runs(carved(level_set(spark, sf)))
 
 
-@query()
+@query(f"""{RUNS.replace('WITH', 'WITH RECURSIVE', 1)},
+p AS (SELECT *, ((layer * 1000000::BIGINT + x) * 1000 + y) * 100 + run AS id FROM rn WHERE sgn > 0),
+e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON a.layer = b.layer AND b.x = a.x + 1 AND b.y = a.y WHERE a.z_from <= b.z_to AND b.z_from <= a.z_to
+      UNION ALL SELECT a.id, b.id FROM p a JOIN p b ON a.layer = b.layer AND b.x = a.x AND b.y = a.y + 1 WHERE a.z_from <= b.z_to AND b.z_from <= a.z_to),
+l AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+reach(id) AS (SELECT id FROM p WHERE z_to = 1073741824 UNION SELECT l.v FROM reach JOIN l ON l.u = reach.id)
+SELECT layer, x, y, run::INT AS run, z_from, z_to, id IN (SELECT id FROM reach) AS connected FROM p""")
 def connectivity(spark, sf):
     return analytics.connected(carved(level_set(spark, sf)))
 
@@ -186,17 +192,70 @@ def gradient(spark, sf):
     return analytics.active(analytics.gradient(level_set(spark, sf))).select(*KEY, "g2x", "g2y", "g2z")
 
 
-@query()
-def point_normals(spark, sf):
-    ls = level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)
-    return analytics.normals(ls).where(F.abs("phi") <= 0.5)
+def _axis(a: str) -> str:
+    """Slope along an axis in SQL: the mean of both one-sided differences, at an extremum the larger."""
+    up, down = f"coalesce({a}1 - phi, phi - {a}0, 0)", f"coalesce(phi - {a}0, {a}1 - phi, 0)"
+    return f"CASE WHEN ({up}) * ({down}) < 0 THEN greatest({up}, {down}) ELSE (({up}) + ({down})) / 2 END AS g{a}"
+
+
+def _most(a: str) -> str:
+    return f"CASE WHEN abs(n{a}) > 1e-12 THEN (1 - 0.5::DOUBLE * sqrt(greatest(1 - n{a} * n{a}, 0))) / abs(n{a}) ELSE 'inf'::DOUBLE END"
 
 
-@query()
+MICRO = lambda c: F.round(F.col(c) * 1e6).cast("bigint").alias(c)
+
+
+@query(f"""WITH {SQL}, d AS (SELECT layer, x, y, z, phi / 1000.0::DOUBLE AS phi FROM ls),
+n AS (SELECT d.*, a.phi AS x1, b.phi AS x0, c.phi AS y1, e.phi AS y0, f.phi AS z1, g.phi AS z0 FROM d
+  LEFT JOIN d a ON a.layer = d.layer AND a.x = d.x + 1 AND a.y = d.y AND a.z = d.z LEFT JOIN d b ON b.layer = d.layer AND b.x = d.x - 1 AND b.y = d.y AND b.z = d.z
+  LEFT JOIN d c ON c.layer = d.layer AND c.x = d.x AND c.y = d.y + 1 AND c.z = d.z LEFT JOIN d e ON e.layer = d.layer AND e.x = d.x AND e.y = d.y - 1 AND e.z = d.z
+  LEFT JOIN d f ON f.layer = d.layer AND f.x = d.x AND f.y = d.y AND f.z = d.z + 1 LEFT JOIN d g ON g.layer = d.layer AND g.x = d.x AND g.y = d.y AND g.z = d.z - 1
+  WHERE abs(d.phi) <= 0.5),
+s AS (SELECT *, {_axis('x')}, {_axis('y')}, {_axis('z')} FROM n),
+t AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS size FROM s),
+u AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE gx / size END AS nx, CASE WHEN size = 0 THEN 0 ELSE gy / size END AS ny, CASE WHEN size = 0 THEN 1 ELSE gz / size END AS nz,
+             CASE WHEN size = 0 THEN 0 ELSE -phi / size END AS d0 FROM t),
+v AS (SELECT *, least(greatest(d0, -({_most('x')})), {_most('x')}) AS d1 FROM u), w AS (SELECT *, least(greatest(d1, -({_most('y')})), {_most('y')}) AS d2 FROM v)
+SELECT layer, x, y, z, round(nx * 1e6)::BIGINT AS nx, round(ny * 1e6)::BIGINT AS ny, round(nz * 1e6)::BIGINT AS nz,
+       round(least(greatest(d2, -({_most('z')})), {_most('z')}) * 1e6)::BIGINT AS dist FROM w""")
+def point_normals(spark, sf):
+    """Unit normals and receptor distances of active points, in millionths."""
+    ls = level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)
+    n = analytics.normals(ls).where(F.abs("phi") <= 0.5)
+    return n.select(*KEY, *map(MICRO, ("nx", "ny", "nz", "dist")))
+
+
+def _cycle(src: str, out: str, width: int) -> str:
+    """One cycle of ``expand`` in SQL, from band ``src`` to band ``out``."""
+    near = "PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN"
+    return f"""{out}q AS (SELECT layer, unnest([x - 1, x + 1, x, x, x, x]) AS x, unnest([y, y, y - 1, y + 1, y, y]) AS y, unnest([z, z, z, z, z - 1, z + 1]) AS z, phi FROM {src}),
+{out}g AS (SELECT layer, x, y, z, min(phi) + 1000 AS up, max(phi) - 1000 AS down FROM {out}q GROUP BY layer, x, y, z),
+{out}m AS (SELECT layer, x, y, z, phi, 0 AS k, NULL::BIGINT AS up, NULL::BIGINT AS down FROM ls UNION ALL
+           SELECT layer, x, y, z, NULL, 1, up, down FROM {out}g ANTI JOIN {src} USING (layer, x, y, z)),
+{out}w AS (SELECT *, coalesce(last_value(phi IGNORE NULLS) OVER ({near} UNBOUNDED PRECEDING AND CURRENT ROW), first_value(phi IGNORE NULLS) OVER ({near} CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM {out}m),
+{out}e AS (SELECT layer, x, y, z, CASE WHEN near >= 0 THEN up ELSE down END AS phi FROM {out}w WHERE k = 1 AND near IS NOT NULL),
+{out} AS (SELECT layer, x, y, z, phi FROM {src} UNION ALL SELECT * FROM {out}e WHERE abs(phi) * 2 <= {width})"""
+
+
+#: Offsets of the 18-point stencil by name.
+OFFSETS = {f"{a}{'m' if s < 0 else 'p'}": {a: s} for a in AXES for s in (-1, 1)} | {f"{a}{'m' if s < 0 else 'p'}{b}{'m' if t < 0 else 'p'}": {a: s, b: t} for a, b in analytics.CROSS for s in (-1, 1) for t in (-1, 1)}
+
+
+@query(f"""WITH {SQL}, {_cycle('ls', 'b1', 5000)}, {_cycle('b1', 'b2', 7000)},
+o AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {d.get('x', 0)}, {d.get('y', 0)}, {d.get('z', 0)})" for n, d in OFFSETS.items())}) AS v(n, dx, dy, dz)),
+q AS (SELECT p.*, o.n, p.x + dx AS hx, p.y + dy AS hy, p.z + dz AS hz FROM (SELECT * FROM b2 WHERE abs(phi) * 2 <= 1000) p CROSS JOIN o),
+j AS (SELECT q.layer, q.x, q.y, q.z, q.phi, q.n, h.phi AS v FROM q JOIN b2 h ON h.layer = q.layer AND h.x = q.hx AND h.y = q.hy AND h.z = q.hz),
+r AS (SELECT layer, x, y, z, any_value(phi) / 1000.0::DOUBLE AS phi, {', '.join(f"max(v) FILTER (n = '{n}') / 1000.0::DOUBLE AS {n}" for n in OFFSETS)} FROM j GROUP BY layer, x, y, z HAVING count(*) = 18),
+s AS (SELECT *, (xp - xm) / 2 AS sx, (yp - ym) / 2 AS sy, (zp - zm) / 2 AS sz, xp - 2 * phi + xm AS xx, yp - 2 * phi + ym AS yy, zp - 2 * phi + zm AS zz,
+        (xpyp - xpym - xmyp + xmym) / 4 AS xy, (xpzp - xpzm - xmzp + xmzm) / 4 AS xz, (ypzp - ypzm - ymzp + ymzm) / 4 AS yz FROM r),
+t AS (SELECT *, sx * sx + sy * sy + sz * sz AS total FROM s)
+SELECT layer, x, y, z, CASE WHEN total > 0 THEN round((xx * (sy * sy + sz * sz) + yy * (sx * sx + sz * sz) + zz * (sx * sx + sy * sy) - 2 * (sx * sy * xy + sx * sz * xz + sy * sz * yz))
+       / (2 * pow(total, 1.5)) * 1e6) END::BIGINT AS curvature FROM t""")
 def mean_curvature(spark, sf):
-    """Of active points, in a band that is wide enough for the eighteen neighbours."""
+    """Of active points, in millionths, in a band that is wide enough for the eighteen neighbours; null where there is no slope."""
     wide = algebra.expand(level_set(spark, sf), 7000, 1000, start=3000).withColumn("phi", F.col("phi") / 1000.0)
-    return analytics.curvature(wide).where(F.abs("phi") <= 0.5)
+    c = analytics.curvature(wide).where(F.abs("phi") <= 0.5)
+    return c.select(*KEY, F.when(F.abs("curvature") < 1e12, F.round(F.col("curvature") * 1e6).cast("bigint")).alias("curvature"))
 
 
 CELLS = f"""WITH {SQL}, k AS (SELECT unnest(range(0, 8)) AS c),
@@ -218,14 +277,50 @@ def sign_change_cells(spark, sf):
     return cells(level_set(spark, sf)).where("code not in (0, 255)").select(*KEY, "code")
 
 
-@query()
+def _elements(corners: int, shapes: str) -> str:
+    """SQL that adds to ``cl`` its corners' values and signs, and from them the elements by ``shapes`` (a list of lists of edges)."""
+    return f"""vals AS (SELECT w.layer, cx AS x, cy AS y, cz AS z, list(near >= 0 ORDER BY c) AS up,
+         list(coalesce(l.phi, CASE WHEN near < 0 THEN -1500 ELSE 1500 END) ORDER BY c) AS v
+       FROM w LEFT JOIN ls l ON l.layer = w.layer AND l.x = w.x AND l.y = w.y AND l.z = w.z WHERE k = 1 GROUP BY w.layer, cx, cy, cz HAVING count(near) = {corners}),
+parts AS ({shapes}),
+edges AS (SELECT layer, x, y, z, v, list_transform(part, lambda e: [least(e[1], e[2]), greatest(e[1], e[2])]) AS part FROM (SELECT layer, x, y, z, v, unnest(part) AS part FROM parts))"""
+
+
+def _edge(i: int) -> str:
+    a, b = f"part[{i}][1]", f"part[{i}][2]"
+    return f"({a} * 8 + {b})::INT AS edge{i}, round(v[{a} + 1]::DOUBLE / (v[{a} + 1] - v[{b} + 1])::DOUBLE * 1e6)::BIGINT AS t{i}"
+
+
+def _flat(elements: DataFrame, axes: list[str]) -> DataFrame:
+    """Elements by cell with their nodes as edge (8 times the lower corner and the higher one) and t in millionths."""
+    cols = []
+    for i in range(len(axes)):
+        n = F.col("nodes")[i]
+        low = sum((n[a] - F.col(a)) * (1 << k) for k, a in enumerate(axes))
+        cols += [(low * 9 + sum(n[f"d{a}"] * (1 << k) for k, a in enumerate(axes))).cast("int").alias(f"edge{i + 1}"), F.round(n["t"] * 1e6).cast("bigint").alias(f"t{i + 1}")]
+    return elements.select(*KEY, *cols)
+
+
+TETRAHEDRA = "[[0, 1, 3, 7], [0, 1, 5, 7], [0, 2, 3, 7], [0, 2, 6, 7], [0, 4, 5, 7], [0, 4, 6, 7]]"
+
+
+@query(CELLS + ", " + _elements(8, f"""SELECT layer, x, y, z, v, CASE len(u) WHEN 1 THEN [[[u[1], d[1]], [u[1], d[2]], [u[1], d[3]]]] WHEN 3 THEN [[[d[1], u[1]], [d[1], u[2]], [d[1], u[3]]]]
+  WHEN 2 THEN [[[u[1], d[1]], [u[1], d[2]], [u[2], d[1]]], [[u[1], d[2]], [u[2], d[1]], [u[2], d[2]]]] END AS part
+  FROM (SELECT *, list_filter(t, lambda c: up[c + 1]) AS u, list_filter(t, lambda c: NOT up[c + 1]) AS d FROM (SELECT *, unnest({TETRAHEDRA}) AS t FROM vals)) WHERE len(u) BETWEEN 1 AND 3""") + f""" SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, {_edge(1)}, {_edge(2)}, {_edge(3)} FROM edges""")
 def surface_triangles(spark, sf):
-    return meshing.surface(level_set(spark, sf), AXES)
+    """All triangles of the surface by cell, with the edges that they cut and where."""
+    return _flat(meshing.surface(level_set(spark, sf), AXES), AXES)
+
+
+#: As CELLS, for squares in x and z.
+SQUARES = CELLS.replace("range(0, 8)", "range(0, 4)").replace("y - (c >> 1 & 1) AS y, z - (c >> 2 & 1) AS z", "y, z - (c >> 1 & 1) AS z").replace("y + (c >> 1 & 1) AS y, z + (c >> 2 & 1) AS z", "y, z + (c >> 1 & 1) AS z").replace("HAVING count(near) = 8", "HAVING count(near) = 4")
 
 
-@query()
+@query(SQUARES + ", " + _elements(4, """SELECT layer, x, y, z, v, CASE len(cut) WHEN 2 THEN [cut] ELSE list_transform(list_filter([0, 1, 2, 3], lambda c: up[c + 1]), lambda c: list_filter(cut, lambda e: e[1] = c OR e[2] = c)) END AS part
+  FROM (SELECT *, list_filter([[0, 1], [1, 3], [2, 3], [0, 2]], lambda e: up[e[1] + 1] <> up[e[2] + 1]) AS cut FROM vals) WHERE len(cut) > 0""") + f""" SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, {_edge(1)}, {_edge(2)} FROM edges""")
 def surface_segments(spark, sf):
-    return meshing.surface(level_set(spark, sf), ["x", "z"])
+    """All segments of the surface in the planes of x and z, by cell."""
+    return _flat(meshing.surface(level_set(spark, sf), ["x", "z"]), ["x", "z"])
 
 
 @query(f"""WITH {SQL}, p AS (SELECT x, y, z, max(phi) FILTER (layer = 2) AS phi, list(struct_pack(l := layer, phi := phi) ORDER BY layer DESC) AS held FROM ls GROUP BY x, y, z),
@@ -275,6 +370,37 @@ g AS (SELECT a, b, min(material) AS mat_low, max(material) AS mat_high, count(*)
 fc AS (SELECT a, b, mat_low, CASE WHEN n = 1 THEN (SELECT max(material) + 1 FROM el) ELSE mat_high END::INT AS mat_high FROM g)"""
 
 
+def _top_mesh(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Nodes at the heights of the top layer, in cells, and the triangles between them of which all corners are there."""
+    h = heights(spark, sf).where("layer = 2")
+    nodes = h.select(F.expr("x * 64 + y").cast("int").alias("node_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), (F.col("h") / 1000.0).alias("z"))
+    corners = meshing.cornered(_mesh(spark, sf).withColumn("elem_id", F.monotonically_increasing_id()), nodes)
+    return nodes, corners.where(F.size("at") == 3)
+
+
+TOP = f"""WITH {SQL}, t AS (SELECT x, y, h FROM hf WHERE layer = 2),
+tr AS (SELECT a.x AS x1, a.y AS y1, a.h AS h1, b.x AS x2, b.y AS y2, b.h AS h2, c.x AS x3, c.y AS y3, c.h AS h3 FROM t a JOIN t b ON b.x = a.x + 1 AND b.y = a.y JOIN t c ON c.x = a.x + 1 AND c.y = a.y + 1
+       UNION ALL SELECT a.x, a.y, a.h, b.x, b.y, b.h, c.x, c.y, c.h FROM t a JOIN t b ON b.x = a.x + 1 AND b.y = a.y + 1 JOIN t c ON c.x = a.x AND c.y = a.y + 1)"""
+
+
+@query(f"""{TOP} SELECT x1 * 64 + y1 AS node, x2 * 64 + y2 AS second, ((y2 - y1) * (h3 - h1) - (h2 - h1) * (y3 - y1))::BIGINT AS nx, ((h2 - h1) * (x3 - x1) - (x2 - x1) * (h3 - h1))::BIGINT AS ny,
+       ((x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1))::BIGINT * 1000 AS nz FROM tr""")
+def triangle_normals(spark, sf):
+    """Normals (twice the area) of the triangles over the top layer, in thousandths."""
+    _, t = _top_mesh(spark, sf)
+    n = [F.round(c * 1000).cast("bigint").alias(f"n{a}") for a, c in zip(AXES, meshing.triangle_normal(F.col("at")), strict=True)]
+    return t.select(F.col("nodes")[0].alias("node"), F.col("nodes")[1].alias("second"), *n)
+
+
+@query(f"""{TOP}, n AS (SELECT DISTINCT unnest([x1, x2, x3]) AS x, unnest([y1, y2, y3]) AS y, unnest([h1, h2, h3]) AS h FROM tr),
+z AS (SELECT DISTINCT x, y, h, unnest([h // 1000, (h + 999) // 1000]) AS z FROM n) SELECT x, y, z::INT AS z, (1000 * z - h)::BIGINT AS phi FROM z""")
+def triangle_distances_up(spark, sf):
+    """The level set of the triangles over the top layer along z, in thousandths: grid points below and above each column's height."""
+    _, t = _top_mesh(spark, sf)
+    d = meshing.triangle_distances(t.select(F.lit(0).alias("layer"), "at"), ["z"])
+    return d.select("x", "y", "z", F.round(F.col("phi") * 1000).cast("bigint").alias("phi"))
+
+
 @query(f"{MESH} SELECT a::INT AS node_a, b::INT AS node_b, mat_low, mat_high FROM fc WHERE mat_low <> mat_high")
 def material_faces(spark, sf):
     f = meshing.interfaces(_mesh(spark, sf))

@@ -6,6 +6,8 @@ all offsets share the shuffle. The sign of an absent point is that of the neares
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,16 +62,17 @@ def cells(points: DataFrame, axes: list[str] = AXES) -> DataFrame:
     each corner, null where absent.
     """
     n = 1 << len(axes)
-    all_corners = F.array(*[F.lit(c) for c in range(n)])
-    touched = points.select("layer", *AXES, F.explode(all_corners).alias("c"))
+    steps = [d for d in product((-1, 0, 1), repeat=len(axes))]
+    around = F.array(*[F.struct(*[F.lit(d[axes.index(a)] if a in axes else 0).alias(a) for a in AXES]) for d in steps])
+    # every point that is a corner of a touched cell, once
+    asks = points.select("layer", *AXES, F.explode(around).alias("d")).select("layer", *[(F.col(a) + F.col(f"d.{a}")).cast("int").alias(a) for a in AXES]).distinct()
+    found = probed(points, asks).where("sign is not null").select("*", F.explode(F.array(*[F.lit(c) for c in range(n)])).alias("c"))
     shift = lambda a: F.shiftright("c", axes.index(a)).bitwiseAND(1) if a in axes else F.lit(0)
-    touched = touched.select("layer", *[(F.col(a) - shift(a)).cast("int").alias(a) for a in AXES]).distinct()
-    asks = touched.select("layer", *AXES, F.explode(all_corners).alias("c"))
-    asks = asks.select("layer", *[(F.col(a) + shift(a)).cast("int").alias(a) for a in AXES], F.struct(*AXES, "c").alias("cell"))
-    found = probed(points, asks)
-    out = found.groupBy("layer", *[F.col(f"cell.{a}").alias(a) for a in AXES]).agg(
-        F.sum(F.when(F.col("sign") > 0, F.pow(F.lit(2), F.col("cell.c")).cast("int")).otherwise(0)).cast("int").alias("code"),
-        F.count("sign").alias("known"),
-        F.array_sort(F.collect_list(F.struct(F.col("cell.c").alias("c"), F.col("phi").alias("phi"), F.col("sign").alias("sign")))).alias("corners"),
+    corner = found.select("layer", *[(F.col(a) - shift(a)).cast("int").alias(a) for a in AXES], "c", "sign", "phi")
+    out = corner.groupBy(*KEY).agg(
+        F.sum(F.when(F.col("sign") > 0, F.expr("shiftleft(1, c)")).otherwise(0)).cast("int").alias("code"),
+        F.count("*").alias("known"),
+        F.count("phi").alias("held"),
+        F.array_sort(F.collect_list(F.struct("c", "phi", "sign"))).alias("corners"),
     )
-    return out.where(F.col("known") == n).drop("known")
+    return out.where((F.col("known") == n) & (F.col("held") > 0)).drop("known", "held")
