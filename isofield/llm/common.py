@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.storage import shared_dir, stored
 
 __all__ = ["held_out", "numbered", "pick", "shared_dir", "stored", "table"]
@@ -23,18 +24,3 @@ def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text leaves 0 modulo 5; a null id is held out, so that it never teaches."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(True))
-
-
-def numbered(df: DataFrame, order: list[str], weight: str | Column, name: str) -> DataFrame:
-    """``df`` stored in the given order with ``before``: the sum of ``weight`` over all earlier rows (ties: any order).
-
-    Rows are dealt by range, summed within each part, and parts are joined to their offsets (one row a part), so
-    no task holds more than a part. ``weight`` is a column of whole numbers.
-    """
-    w = F.col(weight) if isinstance(weight, str) else weight
-    ranged = df.withColumn("__w", w.cast("bigint")).repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), name)
-    parts = rows.groupBy("__part").agg(F.sum("__w").alias("__sum"))
-    offsets = parts.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__offset"))
-    inner = F.sum("__w").over(Window.partitionBy("__part").orderBy("__at")) - F.col("__w")
-    return rows.withColumn("__inner", inner).join(F.broadcast(offsets), "__part").withColumn("before", F.col("__offset") + F.col("__inner")).drop("__w", "__part", "__at", "__inner", "__offset")
