@@ -103,14 +103,14 @@ w AS (SELECT *, coalesce(last_value(phi IGNORE NULLS) OVER (PARTITION BY layer,
                          first_value(phi IGNORE NULLS) OVER (PARTITION BY layer, x, y ORDER BY z, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS near FROM m),
 e AS (SELECT layer, x, y, z, CASE WHEN near >= 0 THEN up ELSE down END AS phi FROM w WHERE k = 1 AND near IS NOT NULL),
 r AS (SELECT layer, x, y, z, phi FROM a0 UNION ALL SELECT * FROM e WHERE abs(phi) * 2 <= 3000)
-SELECT layer, {COUNTS} FROM r GROUP BY layer""")
+SELECT layer, x, y, z, phi FROM r""")
 def expand(spark, sf):
-    return algebra.summary(algebra.expand(algebra.reduce_width(level_set(spark, sf), 1000), 3000))
+    return algebra.expand(algebra.reduce_width(level_set(spark, sf), 1000), 3000).select(*KEY, "phi")
 
 
-@query(f"WITH {SQL} SELECT layer, {COUNTS} FROM ls WHERE abs(phi) * 2 <= 1200 GROUP BY layer")
+@query(f"WITH {SQL} SELECT layer, x, y, z, phi FROM ls WHERE abs(phi) * 2 <= 1200")
 def reduce_band(spark, sf):
-    return algebra.summary(algebra.reduce_width(level_set(spark, sf), 1200))
+    return algebra.reduce_width(level_set(spark, sf), 1200).select(*KEY, "phi")
 
 
 @query(f"WITH {SQL} SELECT a.x, a.y, a.z, 2 * a.phi - 3 * b.phi AS phi FROM ls a JOIN ls b USING (x, y, z) WHERE a.layer = 0 AND b.layer = 1")
@@ -119,15 +119,10 @@ def linear_combination(spark, sf):
     return algebra.linear_combination(_layer(ls, 0), _layer(ls, 1), 2, -3).select(*AXES, "phi")
 
 
-@query(f"{SIDES} SELECT count(*) FILTER ((pa < 0) <> (pb < 0))::BIGINT AS other_sign, count(*) FILTER (pa > pb)::BIGINT AS above, count(*) FILTER (pa < pb)::BIGINT AS below FROM s")
+@query(f"{SIDES} SELECT x, y, z, (pa < 0) <> (pb < 0) AS other_sign, pa > pb AS above, pa < pb AS below FROM s")
 def compare_layers(spark, sf):
     ls = level_set(spark, sf)
-    a, b = _layer(ls, 0), _layer(ls, 2)
-    found = None
-    for test, name in (("signs", "other_sign"), ("le", "above"), ("ge", "below")):
-        n = algebra.violations(a, b, test).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        found = n if found is None else found.union(n)
-    return found.groupBy().pivot("name", ["other_sign", "above", "below"]).agg(F.max("n"))
+    return algebra.compared(_layer(ls, 0), _layer(ls, 2)).drop("layer")
 
 
 @query(f"""WITH {SQL}, t AS (SELECT x, y, z, phi FROM ls WHERE layer = 2 AND abs(phi) * 2 <= 1000),

@@ -54,11 +54,14 @@ def linear_combination(a: DataFrame, b: DataFrame, p, q) -> DataFrame:
     return a.join(right, KEY).select(*KEY, (p * F.col("phi") + q * F.col("__b")).alias("phi"))
 
 
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """At every point that either side holds: whether signs differ (other_sign), a > b (above) and a < b (below). One shuffle for all three."""
+    return _sides(a, b).select(*KEY, ((F.col("pa") < 0) != (F.col("pb") < 0)).alias("other_sign"), (F.col("pa") > F.col("pb")).alias("above"), (F.col("pa") < F.col("pb")).alias("below"))
+
+
 def violations(a: DataFrame, b: DataFrame, test: str) -> DataFrame:
     """Points at which ``test`` fails: signs (equal signs), le (a <= b) or ge; a and b relate so if there are none."""
-    both = _sides(a, b)
-    bad = {"signs": (F.col("pa") < 0) != (F.col("pb") < 0), "le": F.col("pa") > F.col("pb"), "ge": F.col("pa") < F.col("pb")}[test]
-    return both.where(bad)
+    return compared(a, b).where({"signs": "other_sign", "le": "above", "ge": "below"}[test]).select(*KEY)
 
 
 def prune(points: DataFrame) -> DataFrame:
