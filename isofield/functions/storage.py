@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Without that setting a local master gets a temporary folder; a cluster, whose machines would
+    not share one, gets an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="isofield-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

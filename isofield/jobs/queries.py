@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import random
 from ..functions.grid import AXES, KEY, Boundary, Grid, quantise
-from ..operators import algebra, analytics, meshing
-from ..operators.stencil import cells
+from ..operators import algebra, analytics, incell, meshing
+from ..operators.stencil import cells, probed
 from ..operators.weno import weno_slopes
-from ..sources.heightfield import SQL, carved, heights, level_set
+from ..sources.heightfield import FLAT_SQL, SQL, carved, flat_level_set, heights, level_set
 from ..streaming import streamed_rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -482,3 +482,117 @@ def weno_slopes_x(spark, sf):
     """Slopes of third order along x in millionths, where both are known."""
     s = weno_slopes(level_set(spark, sf), 3, ["x"]).where("x_below is not null and x_above is not null")
     return s.select(*KEY, F.round(F.col("x_below") * 1000).cast("bigint").alias("below"), F.round(F.col("x_above") * 1000).cast("bigint").alias("above"))
+
+
+def _weno_sql(order: int, axis: str) -> str:
+    """Rows of the flat field whose line of neighbours along ``axis`` is whole, with their differences, and the slopes in millionths."""
+    reach = 2 if order == 3 else 3
+    held = ", ".join(f"lag(phi, {i}) OVER o AS m{i}, lead(phi, {i}) OVER o AS q{i}" for i in range(1, reach + 1))
+    whole = f"lag({axis}, {reach}) OVER o = {axis} - {reach} AND lead({axis}, {reach}) OVER o = {axis} + {reach} AS whole"
+    line = [f"m{i}" for i in range(reach, 0, -1)] + ["phi"] + [f"q{i}" for i in range(1, reach + 1)]
+    diffs = ", ".join(f"({b} - {a})::DOUBLE AS d{i + 1}" for i, (a, b) in enumerate(zip(line, line[1:], strict=False)))
+
+    def third(far, near, ahead):
+        r = f"((1e-6::DOUBLE + ({far} - {near}) * ({far} - {near})) / (1e-6::DOUBLE + ({near} - {ahead}) * ({near} - {ahead})))"
+        return f"({near} + {ahead} - ({far} - 2.0::DOUBLE * {near} + {ahead}) / (1.0::DOUBLE + 2.0::DOUBLE * {r} * {r})) / 2.0::DOUBLE"
+
+    def fifth(a, b, c, d, e):
+        def weight(ideal, bend, tilt):
+            return f"({ideal}::DOUBLE / (1e-6::DOUBLE + (13.0::DOUBLE / 12.0::DOUBLE * ({bend}) * ({bend}) + ({tilt}) * ({tilt}) / 4.0::DOUBLE)))"
+
+        left, centre, right = f"(2 * {a} - 7 * {b} + 11 * {c}) / 6.0::DOUBLE", f"(-{b} + 5 * {c} + 2 * {d}) / 6.0::DOUBLE", f"(2 * {c} + 5 * {d} - {e}) / 6.0::DOUBLE"
+        wl, wc, wr = weight("0.1", f"{a} - 2 * {b} + {c}", f"{a} - 4 * {b} + 3 * {c}"), weight("0.6", f"{b} - 2 * {c} + {d}", f"{b} - {d}"), weight("0.3", f"{c} - 2 * {d} + {e}", f"3 * {c} - 4 * {d} + {e}")
+        return f"({wl} * ({left}) + {wc} * ({centre}) + {wr} * ({right})) / ({wl} + {wc} + {wr})"
+
+    rule, n = (third, 3) if order == 3 else (fifth, 5)
+    d = [f"d{i}" for i in range(1, n + 2)]
+    below, above = rule(*d[:n]), rule(*d[::-1][:n])
+    lines = f"l AS (SELECT *, {held}, {whole} FROM fl WINDOW o AS (PARTITION BY {', '.join(k for k in KEY if k != axis)} ORDER BY {axis}))"
+    return f"WITH {SQL}, {FLAT_SQL}, {lines}, w AS (SELECT *, {diffs} FROM l WHERE whole) SELECT layer, x, y, z, round(({below}) * 1000)::BIGINT AS below, round(({above}) * 1000)::BIGINT AS above FROM w"
+
+
+def _flat_slopes(spark, sf, order: int, axis: str) -> DataFrame:
+    s = weno_slopes(flat_level_set(spark, sf), order, [axis]).where(f"{axis}_below is not null and {axis}_above is not null")
+    return s.select(*KEY, F.round(F.col(f"{axis}_below") * 1000).cast("bigint").alias("below"), F.round(F.col(f"{axis}_above") * 1000).cast("bigint").alias("above"))
+
+
+@query(_weno_sql(3, "y"))
+def weno_slopes_flat(spark, sf):
+    """Slopes of third order along y of the flat field, in millionths, where both are known."""
+    return _flat_slopes(spark, sf, 3, "y")
+
+
+@query(_weno_sql(5, "x"))
+def weno5_slopes_flat(spark, sf):
+    """Slopes of fifth order along x of the flat field, in millionths, where both are known."""
+    return _flat_slopes(spark, sf, 5, "x")
+
+
+@query(f"""WITH {SQL}, asks AS (
+  SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS layer, (l_partkey // 20)::INT AS x, l_quantity::INT AS y,
+         floor(l_extendedprice / 2000)::INT AS z FROM lineitem)
+SELECT k.l_orderkey, k.l_linenumber, k.layer, k.x, k.y, k.z, CASE WHEN coalesce(b.phi, a.phi) < 0 THEN -1 WHEN coalesce(b.phi, a.phi) IS NOT NULL THEN 1 END AS sign, CASE WHEN b.z = k.z THEN b.phi END AS phi
+FROM asks k ASOF LEFT JOIN ls b ON k.layer = b.layer AND k.x = b.x AND k.y = b.y AND k.z >= b.z
+     ASOF LEFT JOIN ls a ON k.layer = a.layer AND k.x = a.x AND k.y = a.y AND k.z <= a.z""")
+def point_lookup(spark, sf):
+    """Value and sign of the level set at a point for each lineitem."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    layer = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    asks = li.select(layer.alias("layer"), F.expr("cast(l_partkey div 20 as int)").alias("x"), F.col("l_quantity").cast("int").alias("y"), F.floor(F.col("l_extendedprice") / 2000).cast("int").alias("z"), "l_orderkey", "l_linenumber")
+    return probed(level_set(spark, sf), asks).select("l_orderkey", "l_linenumber", *KEY, "sign", "phi")
+
+
+#: Corners of cells that are wholly held, by bit mask, and their coefficients.
+RHO = f"""WITH {SQL}, {FLAT_SQL}, c AS (
+SELECT layer, (x - k % 2)::INT AS x, (y - k // 2 % 2)::INT AS y, (z - k // 4)::INT AS z, {", ".join(f"max(phi) FILTER (k = {k}) AS p{k}" for k in range(8))}
+FROM (SELECT *, unnest(range(8)) AS k FROM fl) GROUP BY ALL HAVING count(*) = 8),
+r AS (SELECT layer, x, y, z, p0 AS r0, p1 - p0 AS r1, p2 - p0 AS r2, p3 - p2 - p1 + p0 AS r3, p4 - p0 AS r4, p5 - p4 - p1 + p0 AS r5, p6 - p4 - p2 + p0 AS r6,
+             p7 - p6 - p5 - p3 + p4 + p2 + p1 - p0 AS r7 FROM c)"""
+
+
+@query(f"{RHO} SELECT * FROM r")
+def cell_coefficients(spark, sf):
+    """Trilinear coefficients of the flat field in every cell whose corners are all held."""
+    c = incell.whole_cells(flat_level_set(spark, sf))
+    return c.select(*KEY, *[F.col("rho")[k].cast("bigint").alias(f"r{k}") for k in range(8)])
+
+
+@query(f"""{RHO}, g AS (SELECT layer, x, y, z, r1 + 0.5::DOUBLE * r3 + 0.5::DOUBLE * r5 + 0.25::DOUBLE * r7 AS gx, r2 + 0.5::DOUBLE * r3 + 0.5::DOUBLE * r6 + 0.25::DOUBLE * r7 AS gy,
+        r4 + 0.5::DOUBLE * r5 + 0.5::DOUBLE * r6 + 0.25::DOUBLE * r7 AS gz FROM r)
+SELECT layer, x, y, z, round(gx / sqrt(gx * gx + gy * gy + gz * gz) * 1e6)::BIGINT AS nx, round(gy / sqrt(gx * gx + gy * gy + gz * gz) * 1e6)::BIGINT AS ny,
+       round(gz / sqrt(gx * gx + gy * gy + gz * gz) * 1e6)::BIGINT AS nz FROM g""")
+def cell_normals(spark, sf):
+    """Normals at the centres of those cells, in millionths."""
+    c = incell.whole_cells(flat_level_set(spark, sf))
+    n = incell.normal([F.col("rho")[k].cast("double") for k in range(8)], [F.lit(0.5)] * 3)
+    return c.select(*KEY, *[F.round(v * 1e6).cast("bigint").alias(f"n{a}") for a, v in zip(AXES, n, strict=True)])
+
+
+@query(f"""{RHO}, v AS (SELECT layer, x, y, z, r0 + 0.5::DOUBLE * r1 + 0.5::DOUBLE * r2 + 0.25::DOUBLE * r3 AS c, r4 + 0.5::DOUBLE * r5 + 0.5::DOUBLE * r6 + 0.25::DOUBLE * r7 AS m FROM r)
+SELECT layer, x, y, z, round((1 + c / m) * 1e6)::BIGINT AS t FROM v WHERE m > 0 AND c + m > 0 AND c <= 0""")
+def cell_entries(spark, sf):
+    """Where vertical rays from above through the centres of those cells enter the solid inside them, in millionths of a cell below the top."""
+    half, down = [F.lit(0.5), F.lit(0.5), F.lit(1.0)], [F.lit(0.0), F.lit(0.0), F.lit(-1.0)]
+    return incell.entries(flat_level_set(spark, sf), half, down).where("t > 0").select(*KEY, F.round(F.col("t") * 1e6).cast("bigint").alias("t"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, (l_quantity - 25)::DOUBLE AS d, round(l_tax * 100 - 4)::DOUBLE AS c, round(l_discount * 100 - 5)::DOUBLE AS b, (l_linenumber - 3)::DOUBLE AS a FROM lineitem),
+k AS (SELECT *, CASE WHEN abs(a) > 1e-10 * abs(d) THEN 3 WHEN abs(b) > 1e-10 * abs(d) THEN 2 WHEN abs(c) > 1e-10 * abs(d) THEN 1 ELSE 0 END AS deg FROM p),
+m AS (SELECT *, CASE deg WHEN 3 THEN b / a ELSE 0 END AS e, CASE deg WHEN 3 THEN c / a ELSE 0 END AS f, CASE deg WHEN 3 THEN d / a ELSE 0 END AS g, c * c - 4 * b * d AS disc FROM k),
+n AS (SELECT *, f - e * e / 3.0::DOUBLE AS p, 2 * e * e * e / 27.0::DOUBLE - e * f / 3.0::DOUBLE + g AS q FROM m),
+o AS (SELECT *, q * q / 4 + p * p * p / 27.0::DOUBLE AS under FROM n),
+s AS (SELECT *, CASE WHEN deg = 3 AND under < 0 THEN 2 * sqrt(-p / 3) ELSE 0 END AS rad,
+        CASE WHEN deg = 3 AND under < 0 THEN acos(greatest(-1, least(1, 3 * q / (p * 2 * sqrt(-p / 3))))) / 3 ELSE 0 END AS ang,
+        CASE WHEN deg = 3 AND under >= 0 THEN (CASE WHEN q > 0 THEN -1 ELSE 1 END) * cbrt(abs(q) / 2 + sqrt(under)) ELSE 0 END AS u,
+        CASE WHEN deg = 2 AND disc >= 0 THEN -0.5::DOUBLE * (c + (CASE WHEN c < 0 THEN -1 ELSE 1 END) * sqrt(disc)) END AS w FROM o),
+t AS (SELECT *, CASE WHEN deg = 3 AND under < 0 THEN list_sort([rad * cos(ang) - e / 3, rad * cos(ang - 2 * pi() / 3) - e / 3, rad * cos(ang - 4 * pi() / 3) - e / 3])
+        WHEN deg = 3 THEN [CASE WHEN u = 0 THEN -e / 3 ELSE u - p / (3 * u) - e / 3 END]
+        WHEN deg = 2 AND disc >= 0 THEN (CASE WHEN w = 0 THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE list_sort([w / b, d / w]) END)
+        WHEN deg = 1 THEN [-d / c] ELSE []::DOUBLE[] END AS x FROM s)
+SELECT l_orderkey, l_linenumber, len(x)::INT AS n_roots, round(x[1] * 1e5)::BIGINT AS r1, round(x[2] * 1e5)::BIGINT AS r2, round(x[3] * 1e5)::BIGINT AS r3 FROM t""")
+def polynomial_roots(spark, sf):
+    """Real roots, in hundred-thousandths, of a cubic for each lineitem; some of them are of a lower degree."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    c = [F.col("l_quantity") - 25, F.round(F.col("l_tax") * 100 - 4), F.round(F.col("l_discount") * 100 - 5), F.col("l_linenumber") - 3]
+    x = li.select("l_orderkey", "l_linenumber", incell.roots([v.cast("double") for v in c]).alias("x"))
+    return x.select("l_orderkey", "l_linenumber", F.size("x").alias("n_roots"), *[F.round(F.get("x", F.lit(i)) * 1e5).cast("bigint").alias(f"r{i + 1}") for i in range(3)])

@@ -51,3 +51,13 @@ def carved(points: DataFrame, low: int = 10, high: int = 14) -> DataFrame:
     slab = columns.select("layer", "x", "y", z.alias("z"))
     phi = F.greatest(low * 1000 - F.col("z") * 1000, F.col("z") * 1000 - high * 1000).cast("bigint")
     return combine(points, slab.select("layer", "x", "y", "z", phi.alias("phi")).where(F.abs("phi") <= BAND), "difference")
+
+
+def flat_level_set(spark: SparkSession, sf_dir: str, by: int = 50) -> DataFrame:
+    """The level set of heights divided by ``by``: neighbouring columns differ by less than the band, so most points have neighbours along x and y."""
+    return band(heights(spark, sf_dir).withColumn("h", F.expr(f"h div {int(by)}")))
+
+
+#: The same in SQL, after ``SQL``: a further common table expression ``fl``.
+FLAT_SQL = """ff AS (SELECT layer, x, y, h // 50 AS h FROM hf),
+fl AS MATERIALIZED (SELECT * FROM (SELECT layer, x, y, z::INT AS z, 1000 * z - h AS phi FROM (SELECT *, unnest(range(h // 1000 - 2, h // 1000 + 3)) AS z FROM ff)) WHERE abs(phi) <= 1500)"""
