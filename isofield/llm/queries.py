@@ -18,6 +18,11 @@ def op1_line_dedup_(spark: SparkSession, sf: str) -> DataFrame:
     return op1_line_dedup.deduplicated(table(spark, sf, "documents"))
 
 
+def whole_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator 1 by the whole definition: every line of a maximal repeated run goes, its short last lines too."""
+    return op1_line_dedup.deduplicated(table(spark, sf, "documents"), whole=True)
+
+
 def op2_toxicity_(spark: SparkSession, sf: str) -> DataFrame:
     return op2_toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels")).select("doc_id", "held_out", "score", "predicted", "n_passages")
 
@@ -57,6 +62,7 @@ def op10_language_(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup_,
+    "line_dedup_whole": whole_runs,
     "op2_toxicity": op2_toxicity_,
     "op3_html_extraction": op3_extraction_,
     "op4_hyperminhash": op4_near_dedup,
@@ -104,6 +110,7 @@ FROM w LEFT JOIN c ON c.r = w.r LEFT JOIN t ON t.r = w.r
 #: brute force, exact round trips or held-out accuracy.
 ORACLES: dict[str, str] = {
     "op1_line_dedup": op1_line_dedup.oracle(),
+    "line_dedup_whole": op1_line_dedup.whole_oracle(),
     "op4_hyperminhash": NEAR_ORACLE,
     "op5_sharding": op5_sharding.oracle(SHARD_LIMIT),
     "op7_decontamination": LEAKS_ORACLE,
