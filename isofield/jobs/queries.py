@@ -596,3 +596,19 @@ def polynomial_roots(spark, sf):
     c = [F.col("l_quantity") - 25, F.round(F.col("l_tax") * 100 - 4), F.round(F.col("l_discount") * 100 - 5), F.col("l_linenumber") - 3]
     x = li.select("l_orderkey", "l_linenumber", incell.roots([v.cast("double") for v in c]).alias("x"))
     return x.select("l_orderkey", "l_linenumber", F.size("x").alias("n_roots"), *[F.round(F.get("x", F.lit(i)) * 1e5).cast("bigint").alias(f"r{i + 1}") for i in range(3)])
+
+
+#: Values of the six tetrahedra of a cell, one list for each order of the axes from corner 0 to corner 7.
+TETRAHEDRA = "[" + ", ".join(f"[p0, p{a}, p{a + b}, p7]" for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))) + "]"
+
+
+@query(f"""{RHO}, t AS (SELECT layer, x, y, z, list_sort(unnest({TETRAHEDRA})) AS f FROM c),
+v AS (SELECT layer, x, y, z, len(list_filter(f, lambda p: p < 0)) AS k, f[1]::DOUBLE AS a, f[2]::DOUBLE AS b, f[3]::DOUBLE AS c, f[4]::DOUBLE AS d FROM t),
+s AS (SELECT layer, x, y, z, CASE k WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 1 THEN a / (a - b) * (a / (a - c)) * (a / (a - d)) WHEN 3 THEN 1 - d / (d - a) * (d / (d - b)) * (d / (d - c))
+        ELSE b / (b - c) * (b / (b - d)) + a / (a - c) * (1 - b / (b - c)) * (b / (b - d)) + a / (a - c) * (a / (a - d)) * (1 - b / (b - d)) END AS share FROM v)
+SELECT layer, x, y, z, round(sum(share) / 6 * 1e6)::BIGINT AS volume FROM s GROUP BY layer, x, y, z HAVING sum(share) > 0""")
+def solid_volumes(spark, sf):
+    """Volume inside the flat field in every cell whose corners are all held, in millionths, from its tetrahedra."""
+    points = flat_level_set(spark, sf)
+    v = meshing.sizes(meshing.solid(points)).groupBy(*KEY).agg(F.sum("size").alias("v"))
+    return v.join(incell.whole_cells(points).select(*KEY), KEY, "left_semi").where("v > 0").select(*KEY, F.round(F.col("v") * 1e6).cast("bigint").alias("volume"))

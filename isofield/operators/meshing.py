@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Callable
+from itertools import combinations, permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,31 @@ def triangles_of(code: int) -> list[list[list[int]]]:
     return out
 
 
+def simplices_of(code: int, n: int) -> list[list[list[int]]]:
+    """What is negative in a square (``n`` 2) or cube (3) for a case, as triangles or tetrahedra whose nodes are corners ([c, c]) or cut edges.
+
+    The cell is cut along paths from corner 0 to its opposite, one for each order of the axes. Of such a simplex, with corners a0, a1, ... inside
+    and b0, b1, ... outside, in order of their numbers, a part has a0 to aj and the cuts of a staircase from (aj, b0) to the
+    last pair. Neighbouring cells order a shared side alike, so they cut it alike.
+    """
+    out = []
+    for order in permutations([1 << i for i in range(n)]):
+        path = [sum(order[:i]) for i in range(n + 1)]
+        ins, outs = [c for c in path if not code >> c & 1], [c for c in path if code >> c & 1]
+        if not outs:
+            out.append([[c, c] for c in path])
+            continue
+        for j in range(len(ins)):
+            right, up = len(ins) - 1 - j, len(outs) - 1
+            for rights in combinations(range(right + up), right):
+                i, o, cuts = j, 0, [sorted((ins[j], outs[0]))]
+                for step in range(right + up):
+                    i, o = (i + 1, o) if step in rights else (i, o + 1)
+                    cuts.append(sorted((ins[i], outs[o])))
+                out.append([[c, c] for c in ins[: j + 1]] + cuts)
+    return out
+
+
 def surface(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
     """(layer, x, y, z, part, nodes): segments (two axes) or triangles (three) of the surface, by cell.
 
@@ -49,8 +75,36 @@ def surface(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
     is whole where it is steeper than the band. The case table has one entry a case, made
     from the rules above, and is broadcast (256 rows at most).
     """
+    return _elements(points, axes, segments_of if len(axes) == 2 else triangles_of, far)
+
+
+def solid(points: DataFrame, axes: list[str] = AXES, far: float = 1500) -> DataFrame:
+    """As ``surface``: triangles (two axes) or tetrahedra (three) of the inside, in every cell that the band touches; turned either way.
+
+    A node that is a corner has no step and t 0. The mesh is conforming. Cells deeper than the band have no row and no element;
+    a wider band (``algebra.expand``) reaches them. A material is the solid of its layer less the one below (``algebra.combine``).
+    """
+    return _elements(points, axes, lambda code: simplices_of(code, len(axes)), far)
+
+
+def sizes(elements: DataFrame) -> DataFrame:
+    """Elements of ``solid`` with ``size``: the area or volume in cells."""
+    def at(k: int) -> list[Column]:
+        n = F.get("nodes", F.lit(k))
+        return [n[a] + n["t"] * n[f"d{a}"] for a in AXES]
+
+    first = at(0)
+    u, v = ([q - p for p, q in zip(first, at(k), strict=True)] for k in (1, 2))
+    cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+    area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2.0
+    w = [q - p for p, q in zip(first, at(3), strict=True)]
+    volume = F.abs(cross[0] * w[0] + cross[1] * w[1] + cross[2] * w[2]) / 6.0
+    return elements.withColumn("size", F.when(F.size("nodes") == 3, area).otherwise(volume))
+
+
+def _elements(points: DataFrame, axes: list[str], rule: Callable[[int], list[list[list[int]]]], far: float) -> DataFrame:
+    """The elements that ``rule`` gives for the case of each cell."""
     n = len(axes)
-    rule = segments_of if n == 2 else triangles_of
     rows = [(code, parts) for code in range(1 << (1 << n)) if (parts := rule(code))]
     table = points.sparkSession.createDataFrame(rows, "code int, parts array<array<array<int>>>")
     c = cells(points, axes).join(F.broadcast(table), "code")
@@ -63,7 +117,7 @@ def surface(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
         pa, pb = (F.coalesce(at(k)["phi"].cast("double"), at(k)["sign"] * F.lit(float(far))) for k in (a, b))
         low = [(F.col(x) + (bit(a, axes.index(x)) if x in axes else F.lit(0))).cast("int").alias(x) for x in AXES]
         step = [(bit(b, axes.index(x)) - bit(a, axes.index(x)) if x in axes else F.lit(0)).cast("int").alias(f"d{x}") for x in AXES]
-        return F.struct(*low, *step, F.try_divide(pa, pa - pb).alias("t"))
+        return F.struct(*low, *step, F.when(a == b, 0.0).otherwise(F.try_divide(pa, pa - pb)).alias("t"))
 
     return c.select("layer", *AXES, "part", F.transform("edges", node).alias("nodes"))
 
