@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language
+from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language, op13_exact_dedup
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_language_(spark: SparkSession, sf: str) -> DataFrame:
     return op10_language.language(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_exact_dedup_(spark: SparkSession, sf: str) -> DataFrame:
+    return op13_exact_dedup.copies(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup_,
     "line_dedup_whole": whole_runs,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing_,
     "op9_training_order": op9_training_order_,
     "op10_language_id": op10_language_,
+    "op13_exact_dedup": op13_exact_dedup_,
 }
 
 NEAR_ORACLE = """
@@ -115,4 +120,5 @@ ORACLES: dict[str, str] = {
     "op5_sharding": op5_sharding.oracle(SHARD_LIMIT),
     "op7_decontamination": LEAKS_ORACLE,
     "op8_mixing": op8_mixing.ORACLE,
+    "op13_exact_dedup": op13_exact_dedup.ORACLE,
 }
