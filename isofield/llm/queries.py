@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language, op13_exact_dedup
+from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language, op12_conversation_repair, op13_exact_dedup
 from .common import table
 
 
@@ -60,6 +60,11 @@ def op10_language_(spark: SparkSession, sf: str) -> DataFrame:
     return op10_language.language(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return op12_conversation_repair.judged(op12_conversation_repair.damaged(rows), rows)
+
+
 def op13_exact_dedup_(spark: SparkSession, sf: str) -> DataFrame:
     return op13_exact_dedup.copies(table(spark, sf, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing_,
     "op9_training_order": op9_training_order_,
     "op10_language_id": op10_language_,
+    "op12_conversation_repair": op12_repair,
     "op13_exact_dedup": op13_exact_dedup_,
 }
 
@@ -120,5 +126,6 @@ ORACLES: dict[str, str] = {
     "op5_sharding": op5_sharding.oracle(SHARD_LIMIT),
     "op7_decontamination": LEAKS_ORACLE,
     "op8_mixing": op8_mixing.ORACLE,
+    "op12_conversation_repair": op12_conversation_repair.ORACLE,
     "op13_exact_dedup": op13_exact_dedup.ORACLE,
 }
