@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language, op12_conversation_repair, op13_exact_dedup
+from . import op1_line_dedup, op2_toxicity, op3_extraction, op4_hyperminhash, op5_sharding, op6_forest, op7_decontamination, op8_mixing, op9_training_order, op10_language, op11_lexical_search, op12_conversation_repair, op13_exact_dedup
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_language_(spark: SparkSession, sf: str) -> DataFrame:
     return op10_language.language(table(spark, sf, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_search(spark: SparkSession, sf: str) -> DataFrame:
+    return op11_lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations")
     return op12_conversation_repair.judged(op12_conversation_repair.damaged(rows), rows)
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing_,
     "op9_training_order": op9_training_order_,
     "op10_language_id": op10_language_,
+    "op11_lexical_search": op11_search,
     "op12_conversation_repair": op12_repair,
     "op13_exact_dedup": op13_exact_dedup_,
 }
@@ -126,6 +131,7 @@ ORACLES: dict[str, str] = {
     "op5_sharding": op5_sharding.oracle(SHARD_LIMIT),
     "op7_decontamination": LEAKS_ORACLE,
     "op8_mixing": op8_mixing.ORACLE,
+    "op11_lexical_search": op11_lexical_search.ORACLE,
     "op12_conversation_repair": op12_conversation_repair.ORACLE,
     "op13_exact_dedup": op13_exact_dedup.ORACLE,
 }
