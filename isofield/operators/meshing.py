@@ -330,11 +330,16 @@ def triangle_distances(triangles: DataFrame, along: list[str] = AXES) -> DataFra
     return out.groupBy("layer", *AXES).agg(F.min_by("phi", F.struct(F.abs("phi"), F.col("phi"))).alias("phi"))
 
 
-def level_sets_of(elements: DataFrame, nodes: DataFrame, delta: float = 1.0, removed: dict[str, tuple[float | None, float | None]] | None = None, eps: float = 1e-6) -> DataFrame:
-    """Level sets from a volume mesh of tetrahedra: layer m is the solid of all materials up to m (materials from 0), in cells of ``delta``.
+def level_sets_of(elements: DataFrame, nodes: DataFrame, delta: float = 1.0, removed: dict[str, tuple[float | None, float | None]] | None = None, eps: float = 1e-6, axes: list[str] = AXES, high: dict[str, int] | None = None) -> DataFrame:
+    """Level sets from a volume mesh of tetrahedra, or of triangles on two ``axes``: layer m is the solid of all materials up to m, in cells of ``delta``.
 
-    Interfaces, then the surfaces of each material, then distances; points of which no neighbour has the other sign are not pruned.
+    Interfaces, then the surfaces of each material, then distances; points of which no neighbour has the other sign are not pruned. Tetrahedra go by the
+    orientation of their faces, triangles by crossings (see ``parity``, where ``high`` is explained).
     """
+    if len(axes) == 2:
+        from .parity import volumes_to_level_sets
+
+        return volumes_to_level_sets(elements, nodes, axes, delta=delta, removed=removed, eps=eps, high=high)
     scaled = nodes.select("node_id", *[(F.col(a) / float(delta)).alias(a) for a in AXES])
     cells_removed = {a: tuple(None if s is None else s / delta for s in sides) for a, sides in (removed or {}).items()}
     faces = oriented_interfaces(elements, scaled, cells_removed, eps / delta)
