@@ -612,3 +612,6 @@ def solid_volumes(spark, sf):
     points = flat_level_set(spark, sf)
     v = meshing.sizes(meshing.solid(points)).groupBy(*KEY).agg(F.sum("size").alias("v"))
     return v.join(incell.whole_cells(points).select(*KEY), KEY, "left_semi").where("v > 0").select(*KEY, F.round(F.col("v") * 1e6).cast("bigint").alias("volume"))
+
+
+from . import geometry  # noqa: E402, F401  (registers its queries)

@@ -26,7 +26,8 @@ def crossings(elements: DataFrame, along: str, axes: list[str] = AXES, high: dic
     ``high``: the domain's last index by axis. One explosion to the lines in the box of each element; no shuffle.
     """
     others = _sides(along, axes)
-    at, n = F.col("at"), len(axes)
+    n = len(axes)
+    at = [F.get("at", F.lit(i)) for i in range(n)]  # without errors where a filter of sizes comes later
     rows = elements
     for b in others:
         low, top = F.least(*[at[i][b] for i in range(n)]), F.greatest(*[at[i][b] for i in range(n)])
