@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY, axis_neighbours
+from .blocks import pruned
 from .stencil import neighbour_signs, probed
 
 FAR = 1 << 40
@@ -66,9 +67,7 @@ def violations(a: DataFrame, b: DataFrame, test: str) -> DataFrame:
 
 def prune(points: DataFrame) -> DataFrame:
     """Points of which an axis neighbour has the other sign; a neighbour beyond an open edge has none."""
-    other = (F.col("own") < 0) != (F.col("sign") < 0)
-    keep = neighbour_signs(points).groupBy(*KEY).agg(F.max(F.coalesce(other, F.lit(False)).cast("int")).alias("k"), F.first("own").alias("phi"))
-    return keep.where("k = 1").select(*KEY, "phi")
+    return pruned(points)
 
 
 def reduce_width(points: DataFrame, width) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY, Grid
+from .blocks import offset_values
 from .components import connected_components
 from .stencil import neighbour_values
 
@@ -59,14 +60,10 @@ def normals(points: DataFrame, grid: Grid | None = None, axes: list[str] = AXES,
 def second_differences(points: DataFrame) -> DataFrame:
     """First and second differences of the 18-point stencil: f_x .. (twice the slope), f_xx .., f_xy .. (four times the mixed one).
 
-    One explosion to all 18 offsets, one equi-join, one aggregation. Only points that have the whole stencil come back.
+    One shuffle by block. Only points that have the whole stencil come back.
     """
     steps = [{a: s} for a in AXES for s in (-1, 1)] + [{a: s, b: t} for a, b in CROSS for s in (-1, 1) for t in (-1, 1)]
-    offsets = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(d.get(a, 0)).alias(a) for a in AXES]) for i, d in enumerate(steps)])
-    asks = points.select(*KEY, F.explode(offsets).alias("o")).select(*KEY, "o.i", *[(F.col(a) + F.col(f"o.{a}")).cast("int").alias(f"n{a}") for a in AXES])
-    held = points.select("layer", *[F.col(a).alias(f"n{a}") for a in AXES], F.col("phi").alias("v"))
-    found = asks.join(held, ["layer", "nx", "ny", "nz"]).groupBy(*KEY).agg(*[F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"v{i}") for i in range(len(steps))], F.count("*").alias("n"))
-    v = points.join(found.where(F.col("n") == len(steps)), KEY)
+    v = offset_values(points.select(*KEY, "phi"), {f"v{i}": tuple(d.get(a, 0) for a in AXES) for i, d in enumerate(steps)}).dropna()
     at = {tuple(sorted(d.items())): F.col(f"v{i}") for i, d in enumerate(steps)}
     one = lambda a, s: at[((a, s),)]
     two = lambda a, s, b, t: at[tuple(sorted({a: s, b: t}.items()))]

@@ -1,17 +1,15 @@
 """Stencils on sparse level sets: neighbour values, and signs of points that no row holds.
 
-A neighbour is reached by an equi-join on (layer, x, y, z): rows are exploded to the keys of their neighbours once and
-all offsets share the shuffle. The sign of an absent point is that of the nearest row below in its column, else of the nearest above.
+Neighbours within a reach are found in blocks with borders (see ``blocks``), single points by a window over their column. The sign of an absent point is that of the nearest row below in its column, else of the nearest above.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY, Grid, axis_neighbours
+from .blocks import cell_corners, offset_values
 
 
 def neighbour_values(points: DataFrame, reach: int = 1, grid: Grid | None = None) -> DataFrame:
@@ -19,14 +17,7 @@ def neighbour_values(points: DataFrame, reach: int = 1, grid: Grid | None = None
 
     With a grid, neighbours beyond its bounds are looked up where its boundary kinds map them.
     """
-    names = {(a, s): f"{a}{'m' if s < 0 else 'p'}{abs(s)}" for a in AXES for s in range(-reach, reach + 1) if s}
-    asks = axis_neighbours(points.select(*KEY), reach)
-    if grid is not None:
-        asks = asks.withColumns({f"n{a}": grid.wrap(a, f"n{a}") for a in AXES if a != grid.open_axis})
-    held = points.select("layer", *[F.col(a).alias(f"n{a}") for a in AXES], F.col("phi").alias("__v"))
-    found = asks.join(held, ["layer", *[f"n{a}" for a in AXES]])
-    each = [F.max(F.when((F.col("axis") == a) & (F.col("step") == s), F.col("__v"))).alias(n) for (a, s), n in names.items()]
-    return points.join(found.groupBy(*KEY).agg(*each), KEY, "left")
+    return offset_values(points, {f"{a}{'m' if s < 0 else 'p'}{abs(s)}": tuple(s if b == a else 0 for b in AXES) for a in AXES for s in range(-reach, reach + 1) if s}, grid)
 
 
 def probed(points: DataFrame, probes: DataFrame) -> DataFrame:
@@ -61,18 +52,4 @@ def cells(points: DataFrame, axes: list[str] = AXES) -> DataFrame:
     code: sum of 2**c over corners c that are not negative; corner c lies at +1 along axes[b] where bit b of c is set. corners: phi of
     each corner, null where absent.
     """
-    n = 1 << len(axes)
-    steps = [d for d in product((-1, 0, 1), repeat=len(axes))]
-    around = F.array(*[F.struct(*[F.lit(d[axes.index(a)] if a in axes else 0).alias(a) for a in AXES]) for d in steps])
-    # every point that is a corner of a touched cell, once
-    asks = points.select("layer", *AXES, F.explode(around).alias("d")).select("layer", *[(F.col(a) + F.col(f"d.{a}")).cast("int").alias(a) for a in AXES]).distinct()
-    found = probed(points, asks).where("sign is not null").select("*", F.explode(F.array(*[F.lit(c) for c in range(n)])).alias("c"))
-    shift = lambda a: F.shiftright("c", axes.index(a)).bitwiseAND(1) if a in axes else F.lit(0)
-    corner = found.select("layer", *[(F.col(a) - shift(a)).cast("int").alias(a) for a in AXES], "c", "sign", "phi")
-    out = corner.groupBy(*KEY).agg(
-        F.sum(F.when(F.col("sign") > 0, F.expr("shiftleft(1, c)")).otherwise(0)).cast("int").alias("code"),
-        F.count("*").alias("known"),
-        F.count("phi").alias("held"),
-        F.array_sort(F.collect_list(F.struct("c", "phi", "sign"))).alias("corners"),
-    )
-    return out.where((F.col("known") == n) & (F.col("held") > 0)).drop("known", "held")
+    return cell_corners(points, axes)
