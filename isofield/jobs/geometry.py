@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
-from ..operators import parity
+from ..operators import filling, parity
+from ..sources.heightfield import SQL, low_level_set
 from .queries import MESH, TOP, _mesh, _top_mesh, query
 
 #: A solid for each part: |x - cx| + |y - cy| + |z - cz| <= r. The offsets keep every grid line off its corners and edges.
@@ -89,3 +90,27 @@ def flat_volume_level_sets(spark, sf):
     nodes = ids.select("node_id", *[(at[a] + SHIFT[a] / 100).alias(a) for a in at])
     out = parity.volumes_to_level_sets(_mesh(spark, sf), nodes, ["x", "z"])
     return out.select("layer", "x", "z", F.round(F.col("phi") * 100).cast("bigint").alias("phi"))
+
+
+#: Where columns of cells begin in the queries of volumes.
+FLOOR = -3
+
+#: Cell columns of the low field with all corners in all layers: sums of the corner heights by layer, and the cells in which they lie.
+COLUMNS = f"""WITH {SQL}, g AS (SELECT layer, x, y, h // 10 AS h FROM hf),
+k AS (SELECT a.layer, a.x, a.y, 2 * a.h + 2 * d.h + b.h + c.h AS s, least(a.h, b.h, c.h, d.h) AS lo, greatest(a.h, b.h, c.h, d.h) AS hi
+      FROM g a JOIN g b ON b.layer = a.layer AND b.x = a.x + 1 AND b.y = a.y JOIN g c ON c.layer = a.layer AND c.x = a.x AND c.y = a.y + 1 JOIN g d ON d.layer = a.layer AND d.x = a.x + 1 AND d.y = a.y + 1),
+w AS (SELECT layer, x, y, s, (lo + 999) // 1000 - 1 AS first, (hi + 999) // 1000 - 1 AS last, lag(s) OVER o AS below, lag((hi + 999) // 1000 - 1) OVER o AS under, count(*) OVER (PARTITION BY x, y) AS n
+      FROM k WINDOW o AS (PARTITION BY x, y ORDER BY layer))"""
+
+
+@query(f"""{COLUMNS} SELECT x, y, layer AS material, round((s - coalesce(below, {FLOOR} * 6000)) / 6000::DOUBLE * 1e6)::BIGINT AS volume FROM w WHERE n = 3 AND s > coalesce(below, {FLOOR} * 6000)""")
+def material_volumes(spark, sf):
+    """Volume of each material in every column of cells of the low field, in millionths, from its tetrahedra and boxes."""
+    v = filling.filled(low_level_set(spark, sf), low=FLOOR).groupBy("x", "y", "material").agg(F.round(F.sum(filling.extent(F.col("nodes"))) * 1e6).cast("bigint").alias("volume"))
+    return v.where("volume > 0")
+
+
+@query(f"""{COLUMNS} SELECT x, y, coalesce(under + 1, {FLOOR})::INT AS z, (first - coalesce(under + 1, {FLOOR}))::INT AS height, layer AS material FROM w WHERE n = 3 AND first > coalesce(under + 1, {FLOOR})""")
+def material_boxes(spark, sf):
+    """The boxes of one material, over and under the cells that the layers' surfaces cross."""
+    return filling.pieces(low_level_set(spark, sf), low=FLOOR).where("material >= 0").select("x", "y", "z", "height", "material")

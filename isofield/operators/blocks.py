@@ -106,7 +106,12 @@ def by_block(points: DataFrame, reach: int, work: Callable[[Block], pa.Table], s
     def run(table: pa.Table) -> pa.Table:
         return work(Block(table, reach))
 
-    return dealt.groupBy("layer", "__bx", "__by").applyInArrow(run, schema)
+    return spread(dealt, "layer", "__bx", "__by").groupBy("layer", "__bx", "__by").applyInArrow(run, schema)
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many partitions as the session shuffles to: small rows make much work here, which merged partitions would keep together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def offset_values(points: DataFrame, offsets: dict[str, tuple[int, int, int]], grid: Grid | None = None) -> DataFrame:

@@ -24,11 +24,12 @@ def heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("h", F.max("h").over(below))
 
 
-def band(surface: DataFrame) -> DataFrame:
-    """The level set (layer, x, y, z, phi) of a height field: three or four rows a column and layer, made in place."""
-    z = F.explode(F.expr("sequence(cast(h div 1000 as int) - 2, cast(h div 1000 as int) + 2)"))
+def band(surface: DataFrame, width: int = BAND) -> DataFrame:
+    """The level set (layer, x, y, z, phi) of a height field up to ``width`` from it: three or four rows a column and layer unless told, made in place."""
+    reach = width // 1000 + 1
+    z = F.explode(F.expr(f"sequence(cast(h div 1000 as int) - {reach}, cast(h div 1000 as int) + {reach})"))
     out = surface.select("layer", "x", "y", z.alias("z"), "h")
-    return out.select("layer", "x", "y", "z", (F.col("z").cast("bigint") * 1000 - F.col("h")).alias("phi")).where(F.abs("phi") <= BAND)
+    return out.select("layer", "x", "y", "z", (F.col("z").cast("bigint") * 1000 - F.col("h")).alias("phi")).where(F.abs("phi") <= width)
 
 
 def level_set(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,11 @@ def flat_level_set(spark: SparkSession, sf_dir: str, by: int = 50) -> DataFrame:
     return band(heights(spark, sf_dir).withColumn("h", F.expr(f"h div {int(by)}")))
 
 
+def low_level_set(spark: SparkSession, sf_dir: str, by: int = 10, width: int = 8000) -> DataFrame:
+    """The level set of heights divided by ``by``, with a band wider than any difference of heights: corners of cells at the surface are all held."""
+    return band(heights(spark, sf_dir).withColumn("h", F.expr(f"h div {int(by)}")), width)
+
+
 #: The same in SQL, after ``SQL``: a further common table expression ``fl``.
 FLAT_SQL = """ff AS (SELECT layer, x, y, h // 50 AS h FROM hf),
 fl AS MATERIALIZED (SELECT * FROM (SELECT layer, x, y, z::INT AS z, 1000 * z - h AS phi FROM (SELECT *, unnest(range(h // 1000 - 2, h // 1000 + 3)) AS z FROM ff)) WHERE abs(phi) <= 1500)"""
