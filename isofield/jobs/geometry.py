@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
-from ..operators import filling, parity
-from ..sources.heightfield import SQL, low_level_set
-from .queries import MESH, TOP, _mesh, _top_mesh, query
+from ..functions.asof import interpolate
+from ..operators import algebra, filling, layers, meshing, parity
+from ..sources.heightfield import SQL, level_set, low_level_set
+from .queries import MESH, SIGNS, TOP, _mesh, _top_mesh, query
 
 #: A solid for each part: |x - cx| + |y - cy| + |z - cz| <= r. The offsets keep every grid line off its corners and edges.
 SOLIDS = """(((p_partkey * 37) % 1000) + 0.5::DOUBLE) / 1000 AS cx, (((p_partkey * 91) % 1000) + 0.25::DOUBLE) / 1000 AS cy, (((p_partkey * 53) % 1000) + 0.125::DOUBLE) / 1000 AS cz,
@@ -114,3 +115,72 @@ def material_volumes(spark, sf):
 def material_boxes(spark, sf):
     """The boxes of one material, over and under the cells that the layers' surfaces cross."""
     return filling.pieces(low_level_set(spark, sf), low=FLOOR).where("material >= 0").select("x", "y", "z", "height", "material")
+
+
+@query("""WITH t AS (SELECT x, max(y) AS y FROM (SELECT round(o_totalprice * 100)::BIGINT::DOUBLE AS x, (o_custkey % 1000)::DOUBLE AS y FROM orders) GROUP BY x),
+li AS (SELECT l_orderkey, l_linenumber, (round(l_extendedprice * 100)::BIGINT * 3)::DOUBLE AS v FROM lineitem),
+m AS (SELECT li.*, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM li ASOF LEFT JOIN t a ON li.v >= a.x ASOF LEFT JOIN t b ON li.v < b.x)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE y0 + (v - x0) * ((y1 - y0) / (x1 - x0)) END * 1e3)::BIGINT AS value FROM m""")
+def interpolate_long(spark, sf):
+    """A curve with an entry for each order, at three times each line's price, in thousandths."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.round(F.col("o_totalprice") * 100).cast("bigint").alias("x"), (F.col("o_custkey") % 1000).alias("y"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.round(F.col("l_extendedprice") * 100).cast("bigint") * 3).alias("v"))
+    out = interpolate(li, F.col("v"), orders, "value")
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("value") * 1000).cast("bigint").alias("value"))
+
+
+@query(f"""WITH {SQL}, a0 AS (SELECT layer, x, y, z FROM ls WHERE abs(phi) * 2 <= 1000),
+q AS (SELECT DISTINCT layer, x + dx AS x, y + dy AS y, z + dz AS z FROM a0, (VALUES (-1), (1)) a(dx), (VALUES (-1), (1)) b(dy), (VALUES (-1), (1)) c(dz)),
+n AS (SELECT * FROM q ANTI JOIN ls USING (layer, x, y, z)),
+e AS (SELECT layer, unnest([x - 1, x + 1, x, x, x, x]) AS x, unnest([y, y, y - 1, y + 1, y, y]) AS y, unnest([z, z, z, z, z - 1, z + 1]) AS z, phi FROM ls),
+g AS (SELECT layer, x, y, z, min(phi) + 1000 AS up, max(phi) - 1000 AS down FROM e GROUP BY layer, x, y, z),
+k AS (SELECT n.*, up, down FROM n JOIN g USING (layer, x, y, z)),
+m AS (SELECT k.*, coalesce(b.phi, a.phi) AS near FROM k ASOF LEFT JOIN ls b ON k.layer = b.layer AND k.x = b.x AND k.y = b.y AND k.z >= b.z
+      ASOF LEFT JOIN ls a ON k.layer = a.layer AND k.x = a.x AND k.y = a.y AND k.z <= a.z)
+SELECT layer, x, y, z, CASE WHEN near < 0 THEN down ELSE up END AS phi FROM m WHERE near IS NOT NULL UNION ALL SELECT layer, x, y, z, phi FROM ls""")
+def voxel_corners(spark, sf):
+    """The level set with the absent points diagonal to active ones."""
+    return algebra.add_voxel_corners(level_set(spark, sf)).select(*KEY, "phi")
+
+
+#: Places of customers in boxes of 1,500, in whole hundredths of a cell.
+PLACES = "(c_custkey * 7919) % 1009 AS x, (c_custkey * 104729) % 997 AS y, (round(c_acctbal * 100)::BIGINT % 991 + 991) % 991 + (c_custkey // 1500) * 3000 AS z"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, {PLACES} FROM customer),
+e AS MATERIALIZED (SELECT a.id AS u, b.id AS v FROM p a JOIN p b ON b.x BETWEEN a.x - 35 AND a.x + 35 AND abs(a.y - b.y) <= 35 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2 <= 35 * 35 AND a.id <> b.id),
+reach(id, node) AS (SELECT id, id FROM p UNION SELECT reach.id, e.v FROM reach JOIN e ON e.u = reach.node)
+SELECT id::BIGINT AS node_id, min(node)::BIGINT AS merged_id FROM reach GROUP BY id""")
+def merged_places(spark, sf):
+    """Nodes at the customers' places, merged within 35 hundredths of a cell."""
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    at = [F.expr(e) for e in ("(c_custkey * 7919) % 1009 AS x", "(c_custkey * 104729) % 997 AS y", "pmod(cast(round(c_acctbal * 100) as bigint), 991) + (c_custkey div 1500) * 3000 AS z")]
+    nodes = c.select(F.col("c_custkey").cast("bigint").alias("node_id"), *at)
+    return meshing.merged_nodes(nodes.select("node_id", *[F.col(a).cast("double").alias(a) for a in AXES]), 35.0)
+
+
+@query(f"""WITH o AS (SELECT p_partkey::INT AS layer, {SOLIDS} FROM part)
+SELECT layer, i::INT AS sx, j::INT AS sy, k::INT AS sz, round(r * r * 1e4)::BIGINT AS area FROM o, (VALUES (-1), (1)) a(i), (VALUES (-1), (1)) b(j), (VALUES (-1), (1)) c(k)""")
+def turned_solids(spark, sf):
+    """Triangles of the parts' solids, turned outward: the side to which each one's normal points, and its part of the normal along each axis, in ten thousandths."""
+    t = _solid_surfaces(spark, sf).withColumn("elem_id", F.monotonically_increasing_id())
+    ids = F.transform("at", lambda p: F.xxhash64("layer", p["x"], p["y"], p["z"]))  # noqa: B023
+    t = t.select("layer", "elem_id", "at", ids.alias("nodes"))
+    t = t.select("layer", F.crc32(F.concat_ws(",", "layer", F.array_sort("nodes").cast("array<string>")).cast("binary")).alias("h"), "at", "nodes")
+    t = t.select("layer", (F.col("layer").cast("bigint") * (1 << 32) + F.col("h")).alias("elem_id"), "at", "nodes")
+    nodes = t.select(F.explode(F.arrays_zip("nodes", "at")).alias("n")).select(F.col("n.nodes").alias("node_id"), "n.at.*").distinct()
+    out = meshing.cornered(meshing.turned(t.select("layer", "elem_id", "nodes"), nodes), nodes)
+    n = meshing.triangle_normal(F.col("at"))
+    return out.select("layer", *[F.signum(v).cast("int").alias(f"s{a}") for a, v in zip(AXES, n, strict=True)], F.round(F.abs(n[0]) * 1e4).cast("bigint").alias("area"))
+
+
+@query(f"""WITH {SQL}, pl AS (SELECT layer, x, y, z::INT AS z, 1000 * z - 20000 AS phi FROM (SELECT layer, x, y, unnest([19, 20, 21]) AS z FROM (SELECT DISTINCT x, y FROM ls), (SELECT DISTINCT layer FROM ls))),
+u AS (SELECT layer, x, y, z, max(a) AS a, max(b) AS b FROM (SELECT layer, x, y, z, phi AS a, NULL::BIGINT AS b FROM ls UNION ALL SELECT layer, x, y, z, NULL, phi FROM pl) GROUP BY layer, x, y, z),
+n AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER d, first_value(a IGNORE NULLS) OVER p) AS na, coalesce(last_value(b IGNORE NULLS) OVER d, first_value(b IGNORE NULLS) OVER p) AS nb FROM u
+      WINDOW d AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT layer, x, y, z, greatest(coalesce(a, CASE WHEN na < 0 THEN -1099511627776 ELSE 1099511627776 END), coalesce(b, CASE WHEN nb < 0 THEN -1099511627776 ELSE 1099511627776 END)) AS phi FROM n),
+cut AS (SELECT * FROM s WHERE abs(phi) < 1099511627776), {SIGNS.format(src='cut')}
+SELECT layer, x, y, z, phi FROM pr UNION ALL SELECT 3, x, y, z, phi FROM pl WHERE layer = 0""")
+def planarised_layers(spark, sf):
+    """All layers levelled at 20 cells, and a new one that fills up to there."""
+    return layers.planarised(level_set(spark, sf), 20000, fill=True).select(*KEY, "phi")

@@ -95,14 +95,17 @@ def expand(points: DataFrame, width, unit=1000, start=None) -> DataFrame:
 
 
 def add_voxel_corners(points: DataFrame, unit=1000, axes: list[str] = AXES) -> DataFrame:
-    """``points`` and the absent points diagonal (one step on every axis) to an active one, valued from their axis neighbours."""
+    """``points`` and the absent points diagonal (one step on every axis) to an active one, valued from their axis neighbours.
+
+    A point in a column without rows, beyond an open edge, has no sign and is not added.
+    """
     steps = F.array(*[F.struct(*[F.lit(1 if c >> i & 1 else -1).alias(a) for i, a in enumerate(axes)]) for c in range(1 << len(axes))])
     active = points.where(F.abs("phi") * 2 <= unit).withColumn("__d", F.explode(steps))
     asked = active.select("layer", *[(F.col(a) + F.col(f"__d.{a}")).cast("int").alias(a) if a in axes else F.col(a) for a in AXES]).distinct()
     asked = asked.join(points.select(*KEY), KEY, "left_anti")
     near = axis_neighbours(points.select(*KEY, "phi"), 1, axes).select("layer", *[F.col(f"n{a}").alias(a) for a in AXES], "phi")
     value = near.groupBy(*KEY).agg((F.min("phi") + unit).alias("up"), (F.max("phi") - unit).alias("down"))
-    new = probed(points, asked.join(value, KEY))
+    new = probed(points, asked.join(value, KEY)).where("sign is not null")
     return points.select(*KEY, "phi").unionByName(new.select(*KEY, F.when(F.col("sign") > 0, F.col("up")).otherwise(F.col("down")).cast(points.schema["phi"].dataType).alias("phi")))
 
 

@@ -155,13 +155,21 @@ def nearest_corner(corners: Column) -> Column:
 
 
 def interpolated(x: Column, table: list[tuple[float, float]]) -> Column:
-    """Piecewise-linear interpolation in a short table sorted by its first entry, held at the ends."""
+    """Piecewise-linear interpolation in a table sorted by its first entry, held at the ends.
+
+    For tables that fit in a query's plan (some thousand entries): two literal arrays and a binary search. ``functions.asof.interpolate`` takes a table as a data frame.
+    """
     if not table:
         raise ValueError("the table is empty")
-    out = F.lit(float(table[-1][1]))
-    for (a, ya), (b, yb) in reversed(list(zip(table, table[1:], strict=False))):
-        out = F.when(x < b, F.lit(float(ya)) + (x - F.lit(float(a))) * F.lit((yb - ya) / (b - a))).otherwise(out)
-    return F.when(x <= table[0][0], F.lit(float(table[0][1]))).otherwise(out)
+    xs, ys = (F.array(*[F.lit(float(r[i])) for r in table]) for i in (0, 1))
+    n = len(table)
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    # how many entries are at or below x
+    below = F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= n) & (F.get(xs, p + s - 1) <= x), p + s).otherwise(p))
+    at = F.greatest(F.least(below, F.lit(n - 1)), F.lit(1))
+    x0, x1, y0, y1 = F.get(xs, at - 1), F.get(xs, at), F.get(ys, at - 1), F.get(ys, at)
+    inner = y0 + (x - x0) * ((y1 - y0) / (x1 - x0))
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(x <= table[0][0], F.lit(float(table[0][1]))).when(x >= table[-1][0], F.lit(float(table[-1][1]))).otherwise(inner)
 
 
 def layered_rates(points: DataFrame) -> DataFrame:

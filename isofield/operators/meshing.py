@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import combinations, permutations
+from itertools import combinations, permutations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES
 from ..functions.numbering import numbered
+from .components import connected_components
 from .stencil import cells
 
 
@@ -184,10 +185,66 @@ def bounding_box(nodes: DataFrame, axes: list[str] = AXES) -> DataFrame:
 
 
 def merged_nodes(nodes: DataFrame, eps: float, axes: list[str] = AXES) -> DataFrame:
-    """(node_id, merged_id): nodes that fall into one cell of width ``eps`` become the one with the smallest id."""
-    keys = [F.round(F.col(a) / eps).cast("bigint").alias(f"k{a}") for a in axes]
-    n = nodes.select("node_id", *keys)
-    return n.join(n.groupBy(*[f"k{a}" for a in axes]).agg(F.min("node_id").alias("merged_id")), [f"k{a}" for a in axes]).select("node_id", "merged_id")
+    """(node_id, merged_id): nodes that a chain of steps of at most ``eps`` joins become the one with the smallest id.
+
+    Nodes at the same place are joined first, so that however many there are make one. The rest meet in bins of width ``eps``: a node is sent to its own bin
+    and to half of the bins around it, where distances are tested; what is linked goes by connected components. A bin should hold few places, which a
+    tolerance well below the size of the elements gives.
+    """
+    places = nodes.groupBy(*axes).agg(F.min("node_id").alias("place"))
+    bins = [F.floor(F.col(a) / eps).cast("bigint").alias(f"b{a}") for a in axes]
+    around = [d for d in product((-1, 0, 1), repeat=len(axes)) if d >= (0,) * len(axes)]
+    offsets = F.array(*[F.struct(*[F.lit(i).alias(a) for a, i in zip(axes, d, strict=True)]) for d in around])
+    held = places.select("place", *axes, *bins)
+    asks = held.select(F.col("place").alias("u"), *[F.col(a).alias(f"u{a}") for a in axes], *[F.col(f"b{a}").alias(f"h{a}") for a in axes], F.explode(offsets).alias("d"))
+    asks = asks.select("u", *[f"u{a}" for a in axes], *[(F.col(f"h{a}") + F.col(f"d.{a}")).alias(f"b{a}") for a in axes])
+    apart = sum(((F.col(a) - F.col(f"u{a}")) * (F.col(a) - F.col(f"u{a}")) for a in axes), F.lit(0.0))
+    links = asks.join(held, [f"b{a}" for a in axes]).where((F.col("u") != F.col("place")) & (apart <= eps * eps)).select("u", F.col("place").alias("v"))
+    roots = connected_components(links).select(F.col("node").alias("place"), "root")
+    own = nodes.select("node_id", *axes).join(places, axes).select("node_id", "place")
+    return own.join(roots, "place", "left").select("node_id", F.coalesce("root", "place").alias("merged_id"))
+
+
+def merged(elements: DataFrame, ids: DataFrame) -> DataFrame:
+    """``elements`` (nodes and more) with nodes replaced by ``ids`` (node_id, merged_id), without those that lose their extent."""
+    rows = elements.withColumn("__row", F.monotonically_increasing_id())
+    met = rows.select("*", F.posexplode("nodes").alias("__k", "node_id")).join(ids, "node_id")
+    held = [F.first(c).alias(c) for c in elements.columns if c != "nodes"]
+    out = met.groupBy("__row").agg(*held, F.transform(F.array_sort(F.collect_list(F.struct("__k", "merged_id"))), lambda x: x["merged_id"]).alias("nodes"))
+    return without_degenerate(out.select(*elements.columns))
+
+
+def turned(elements: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``elements`` (elem_id, nodes: three ids) turned alike: of two triangles at an edge each runs along it the other way. With ``nodes`` (node_id, x, y, z), closed
+    surfaces are turned outward.
+
+    Every triangle counts twice, once for each way round; an edge of two triangles links the ways that agree. Connected components of these are the pieces of the
+    surface, each in both ways, and the one that keeps the triangle with the smallest id is taken. A one-sided surface holds both ways in one component: an
+    error. Edges of three or more triangles link nothing; a triangle by itself stays. Two triangles that meet in several edges are linked by each.
+    """
+    t = elements.select("elem_id", "nodes")
+    sides = F.array(*[F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a < b).alias("up")) for a, b in ((F.col("nodes")[i], F.col("nodes")[(i + 1) % 3]) for i in range(3))])
+    edges = t.select("elem_id", F.explode(sides).alias("s")).groupBy("s.a", "s.b").agg(F.min(F.struct("elem_id", "s.up")).alias("p"), F.max(F.struct("elem_id", "s.up")).alias("q"), F.count("*").alias("n"))
+    pairs = edges.where("n = 2 and p.elem_id <> q.elem_id").select(F.col("p.elem_id").alias("p"), F.col("q.elem_id").alias("q"), (F.col("p.up") == F.col("q.up")).cast("int").alias("other"))
+    # a way round: twice the id, and one more for the reverse
+    links = pairs.select(F.explode(F.array(*[F.struct((F.col("p") * 2 + w).alias("u"), (F.col("q") * 2 + F.abs(F.col("other") - w)).alias("v")) for w in (0, 1)])).alias("l")).select("l.u", "l.v")
+    roots = connected_components(links.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")))
+    ways = roots.groupBy(F.expr("node div 2").alias("elem_id")).agg(F.max(F.when(F.col("node") % 2 == 0, F.col("root"))).alias("kept"), F.max(F.when(F.col("node") % 2 == 1, F.col("root"))).alias("reverse"))
+    if ways.where("kept = reverse").take(1):
+        raise ValueError("a one-sided surface has no outside")
+    found = t.join(ways, "elem_id", "left").select("elem_id", "nodes", F.coalesce(F.col("reverse") < F.col("kept"), F.lit(False)).alias("flip"), F.coalesce(F.least("kept", "reverse"), F.col("elem_id") * 2).alias("piece"))
+    if nodes is not None:
+        ways = found.select("elem_id", "piece", "flip")
+        size = cornered(elements.select("elem_id", "nodes"), nodes).join(ways, "elem_id")
+        # six times the volume between a triangle and the origin
+        at = F.col("at")
+        six = dot(cross([at[0][a] for a in AXES], [at[1][a] for a in AXES]), [at[2][a] for a in AXES])
+        volume = size.groupBy("piece").agg(F.sum(F.when(F.col("flip"), -six).otherwise(six)).alias("volume"))
+        loose = edges.where("n <> 2").select(F.explode(F.array("p.elem_id", "q.elem_id")).alias("elem_id")).join(ways, "elem_id").select("piece").distinct().withColumn("open", F.lit(True))
+        found = found.join(volume, "piece", "left").join(loose, "piece", "left").withColumn("flip", F.col("flip") != (F.col("open").isNull() & (F.col("volume") < 0)))
+    reverse = found.select("elem_id", "flip")
+    old = F.col("nodes")
+    return elements.join(reverse, "elem_id").withColumn("nodes", F.when(F.col("flip"), F.array(old[0], old[2], old[1])).otherwise(old)).select(*elements.columns)
 
 
 def without_degenerate(elements: DataFrame) -> DataFrame:
