@@ -1,11 +1,12 @@
 """Main text of web pages by scoring the element tree.
 
 Paragraph-like blocks pass points (for length and commas) to their ancestors, less with every level (``SHARES``, then ``FADE`` for each
-level more); an element's points count by one minus its link density. The best container and siblings that score well with it are kept; menus,
-headers, footers, sidebars, notices, adverts, forms, comments and the like are left out wherever they stand. Element names, roles and
-hidden marks are final. A class or id is not: a name of the text itself beside it, a <main> inside, or more text
-than the rest of the page with few links lets an element in (the last not for ``ASIDE``, what readers or third parties say).
-If nothing is left of a page, class and id names are disregarded altogether.
+level more); an element's points count by one minus its link density. The best container is kept, with what stands beside it: paragraphs however short,
+loose text, and whatever else says something, unless much of it is links. Menus, headers, footers, sidebars, notices, adverts, forms, comments
+and the like are left out wherever they stand. Most element names and hidden marks are final. A class, an id, a role, or being a form or
+dialog is not: a name of the text itself beside it, a <main> inside, or more text than the rest of the page with few links
+lets an element in (the last not for a role nor for ``ASIDE``, what readers or third parties say). If nothing is left of a page, class and id names are
+disregarded altogether.
 
 One pass over the pages; each page is parsed on its own, in time linear in its length however deep its elements nest: what is asked
 of ancestors is kept at every element, and sums run once from the leaves to the root.
@@ -28,7 +29,15 @@ from .common import pick
 # Element names of HTML by the part they play here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style template noscript textarea title iframe xmp noembed noframes".split())
-SKIP = RAW | set("head nav footer aside form button select option svg math canvas object audio video map dialog menu fieldset datalist label input".split())
+SKIP = RAW | set("head nav footer aside button select option svg math canvas object audio video map menu datalist input".split())
+#: Left out unless they hold the page's text, as some servers wrap a whole page in a form.
+WRAPS = set("form fieldset dialog".split())
+#: Text that a form needs, besides being most of its page's, in characters.
+LEAST_WRAPPED = 250
+#: Parts of tables, whose rows belong together.
+TABLE = set("td th tr tbody thead tfoot".split())
+#: What is beside the best container without a paragraph of its own needs so many characters.
+LEAST_BESIDE = 25
 BLOCK = set("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = set("p pre blockquote td dd li h2 h3 h4 h5 h6".split())
 #: Elements of running text, which belong to the container beside them whatever they score.
@@ -59,10 +68,10 @@ SCOPES = [(name, own | stop) for name, (own, stop) in ENDS.items()]
 
 
 class Node:
-    __slots__ = ("name", "parent", "parts", "hold", "leave", "soft", "aside", "inner", "scopes")
+    __slots__ = ("name", "parent", "parts", "hold", "leave", "soft", "aside", "wraps", "inner", "scopes")
 
-    def __init__(self, name: str, parent: Node | None, called: list[set[str]] = (), hidden: bool = False):  # noqa: F821
-        """``called``: the words of each class and id; ``hidden``: out by another attribute."""
+    def __init__(self, name: str, parent: Node | None, called: list[set[str]] = (), hidden: bool = False, roles: set[str] = frozenset()):  # noqa: F821
+        """``called``: the words of each class and id; ``hidden``: out by another attribute; ``roles``: words of its roles."""
         self.name, self.parent, self.parts = name, parent, []
         #: whether an <article> or <main> stands around it
         self.inner = parent is not None and (parent.inner or parent.name in ("article", "main"))
@@ -72,13 +81,18 @@ class Node:
             of.append("p")
         if of:
             self.scopes = {**self.scopes, **dict.fromkeys(of, self)}
-        self.hold = name in ("article", "main") or any(c & HOLD for c in called)
+        self.hold = name in ("article", "main") or bool(roles & HOLD) or any(c & HOLD for c in called)
         told = [c & LEAVE for c in called]
         own = name not in ("html", "body", "article", "main") and any(told) and not any(c & HOLD and not t for c, t in zip(called, told, strict=True))
-        self.aside = own and any(t & ASIDE for t in told)
-        self.leave = name in SKIP or hidden or own
-        #: left out by class or id alone
-        self.soft = own and not (name in SKIP or name == "header" or hidden)
+        # a role says what an element is; only a role of the text, or a <main> inside, speaks against it
+        role = name not in ("html", "body", "article", "main") and bool(roles & LEAVE) and not roles & HOLD
+        self.aside = role or (own and any(t & ASIDE for t in told))
+        own = (own or role) and not (roles & HOLD and not role)
+        wraps = name in WRAPS
+        self.leave = name in SKIP or hidden or own or wraps
+        #: left out by class, id or role alone, or as a form
+        self.soft = (own or wraps) and not (name in SKIP or name == "header" or hidden)
+        self.wraps = wraps
 
 
 def parse(page: str) -> Node:
@@ -114,7 +128,7 @@ def parse(page: str) -> Node:
             close(p)
         if name in ENDS and (x := here.scopes.get(name)) and x.name in ENDS[name][0]:
             close(x)
-        called, hidden = [], False
+        called, hidden, roles = [], False, set()
         if len(token) > len(found[0]) + 1:
             for key, value in _ATTRIBUTE.findall(token[len(found[0]) : -1 if token.endswith(">") else None]):
                 key = key.lower()
@@ -122,10 +136,10 @@ def parse(page: str) -> Node:
                     names = [_WORDS.findall(c) for c in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value.strip("\"'")).lower().split()]
                     called += [set(c) for c in names if c and c[0] not in ABOUT]
                 elif key == "role":
-                    hidden = hidden or (name not in ("html", "body", "article", "main") and not LEAVE.isdisjoint(_WORDS.findall(value.lower())))
+                    roles.update(_WORDS.findall(value.lower()))
                 elif key == "hidden" or (key == "aria-hidden" and "true" in value) or (key == "style" and re.search(r"display\s*:\s*none", value)):
                     hidden = True
-        node = Node(name, here, called, hidden)
+        node = Node(name, here, called, hidden, roles)
         here.parts.append(node)
         if name in VOID:
             continue
@@ -297,7 +311,7 @@ def _let_in(root: Node) -> None:
     while edge and -edge[0][0] > inside:
         node = heapq.heappop(edge)[-1]
         size, links = own[id(node)][4:6]
-        if links < 0.25 * max(1, size):
+        if links < 0.25 * max(1, size) and not (node.wraps and size < LEAST_WRAPPED):
             node.leave = False
             enter(node)
 
@@ -372,18 +386,45 @@ def _main_text(root: Node) -> str:
     for up in _up(best):
         if up.name in ("article", "main") and value(up) >= 0.3 * value(best):
             best = up
+    return text_of(_with_neighbours(best, sizes, points, value))
+
+
+def _with_neighbours(best: Node, sizes: dict[int, tuple[int, int]], points: dict[int, float], value: Callable[[Node], float]) -> Node:
+    """An element that holds ``best`` and what belongs to it: siblings and loose text, for parts of a table also other rows."""
+    whole = best.name in ("article", "main")  # what is beside it is rather another text
     least = max(10.0, 0.2 * value(best))
-    chosen = []
-    for part in best.parent.parts if best.parent else []:
-        if isinstance(part, str) or _left_out(part):
-            continue
-        if part is best or (id(part) in points and value(part) >= least and (part.name == best.name or density(part) < 0.5)):
-            chosen.append(part)
-        elif best.name in ("article", "main") or not sizes[id(part)][0]:
-            continue
-        elif part.name in ("h1", "h2") or (part.name in BESIDE and density(part) < 0.25):
-            chosen.append(part)
-    return " ".join(t for t in map(text_of, chosen) if t)
+
+    def belongs(part: Node) -> bool:
+        size, links = sizes[id(part)]
+        if whole:
+            return id(part) in points and value(part) >= least and (part.name == best.name or links < 0.5 * size)
+        if not size or links >= 0.5 * size:
+            return False
+        return id(part) in points or (links < 0.25 * size and (part.name in BESIDE or part.name in ("h1", "h2") or size >= LEAST_BESIDE))
+
+    here, kept = best, best
+    while here.parent is not None:
+        out, run = Node(here.parent.name, None), []
+
+        def flush(out: Node = out, run: list = run) -> None:
+            """Loose text with the inline elements in it, unless it is mostly links."""
+            size = sum(len(p.strip()) if isinstance(p, str) else sizes[id(p)][0] for p in run)
+            if not whole and 2 * sum(sizes[id(p)][1] for p in run if not isinstance(p, str)) < size:
+                out.parts += run
+            run.clear()
+
+        for part in here.parent.parts:
+            if isinstance(part, str) or (part is not here and part.name not in BLOCK and not _left_out(part)):
+                run.append(part)
+            elif part is here or not _left_out(part):
+                flush()
+                if part is here or belongs(part):
+                    out.parts += [" ", kept if part is here else part, " "]
+        flush()
+        here, kept = here.parent, out
+        if best.name not in TABLE or here.name not in TABLE:
+            return kept
+    return kept
 
 
 def main_text(page: str | None) -> str:
@@ -397,7 +438,7 @@ def main_text(page: str | None) -> str:
         stack, back = [root], False
         while stack:
             n = stack.pop()
-            if n.soft and n.leave:
+            if n.soft and n.leave and not n.wraps:
                 n.leave, back = False, True
             stack += [p for p in n.parts if not isinstance(p, str)]
         text = _main_text(root) if back else text
