@@ -1,10 +1,12 @@
 """Nearest neighbours by inner product with an LSH forest (hash-prefix forest).
 
-Vectors are dealt into blocks of at most ``BLOCK`` rows, queries into blocks of ``QUERIES``. A block of vectors has its own forest: for
-each of ``TREES`` trees, the sorted array of 32-bit hash strings (signs of random projections). A query descends in every
+Vectors are dealt into blocks of at most ``BLOCK`` rows, queries into blocks of ``QUERIES``. Within a block the mean vector is taken off, which adds the same to all
+inner products of a query, and vectors are laid in strata of nearly equal length, the longest first. A stratum has its own forest, in
+which each vector has one more component that makes all of them as long as the longest, so that the angle to a query follows the inner product. For
+each of ``TREES`` trees there is the sorted array of 32-bit hash strings (signs of random projections). A query descends in every
 tree to the longest prefix that some row shares; then all trees ascend together, one bit at a time, until the candidates, counted
-over the trees, are at least ``VISITED`` times the block's distinct vectors. Inner products are taken of a query with its candidates only; the best
-of each block go on, a fixed number a query and block, and are merged.
+over the trees, are at least ``VISITED`` times the stratum's distinct vectors. A stratum whose longest vector can't reach the nearest found so far is skipped, which loses
+nothing. Inner products are taken of a query with its candidates only; the best of each block go on, a fixed number a query and block, and are merged.
 
 Queries go to every block, which is the stated query set against all rows. No group is larger than a block.
 """
@@ -12,6 +14,7 @@ Queries go to every block, which is the stated query set against all rows. No gr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,12 +25,15 @@ from .common import stored
 
 TREES, DEPTH = 96, 32
 BLOCK, QUERIES = 8192, 4096
-#: Candidates that a query visits in a block, counted once for each tree that brings them: this share of the block's rows,
-#: and no fewer than ``LEAST`` in a small block. With it recall at 20 is over 0.9 even on vectors without structure.
-VISITED, LEAST = 0.45, 2_000
+#: Candidates that a query visits in a stratum, counted once for each tree that brings them: this share of its vectors, and no fewer than ``LEAST``.
+#: With it recall at 20 is over 0.9 even on vectors without structure, of any lengths, or with a direction in common.
+VISITED, LEAST = 0.45, 800
+#: A stratum's vectors are at least this part as long as its longest, and it has so many at most; shorter ones join a stratum of fewer than ``FEW``.
+ALIKE, STRATUM, FEW = 0.8, 2048, 64
 NEAREST = 20
 
 
+@lru_cache(maxsize=4)
 def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng(20240229 + dim).standard_normal((dim, TREES * DEPTH))
 
@@ -71,6 +77,43 @@ def candidates(tree: list[tuple[np.ndarray, np.ndarray]], h: np.ndarray, wanted:
         yield np.flatnonzero(mask)
 
 
+def strata(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Vectors by falling length, in parts of nearly equal ones."""
+    order = np.argsort(-length, kind="stable")
+    falling, a = -length[order], 0
+    while a < len(order):
+        alike = int(np.searchsorted(falling, falling[a] * ALIKE, side="right"))
+        b = min(max(alike, a + FEW), a + STRATUM, len(order))
+        yield order[a:b]
+        a = b
+
+
+def visited(u: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the numbers of the vectors ``u`` that it visits; ``k``: how many best ones a stratum has to beat."""
+    x = u / np.abs(u).max()
+    x = x - x.mean(axis=0)
+    length = np.linalg.norm(x, axis=1)
+    q = q / np.abs(q).max(axis=1, keepdims=True)
+    asked, q_length = hashes(np.hstack([q, np.zeros((len(q), 1))])), np.linalg.norm(q, axis=1)
+    # twice what rounding can move a product
+    slack = 4 * u.shape[1] * np.finfo(float).eps * q_length * length.max()
+    best = np.full((len(q), k), -np.inf)
+    seen: list[list[np.ndarray]] = [[] for _ in q]
+    for own in strata(length):
+        longest = length[own].max()
+        live = np.flatnonzero(q_length * longest >= best[:, 0] - slack)
+        if not len(live):
+            break
+        h = hashes(np.hstack([x[own], np.sqrt(np.maximum(0.0, longest * longest - length[own] ** 2))[:, None]]))
+        tree = [(h[o, t], o) for t, o in enumerate(np.argsort(h, axis=0, kind="stable").T)]
+        for i, found in zip(live.tolist(), candidates(tree, asked[live], min(TREES * len(own), max(VISITED * len(own), LEAST, 4 * k))), strict=True):
+            found = own[found]
+            seen[i].append(found)
+            # in order, so that the first is the worst of the best
+            best[i] = np.sort(np.partition(np.concatenate([best[i], x[found] @ q[i]]), -k)[-k:])
+    return [np.concatenate(s) if s else np.zeros(0, np.int64) for s in seen]
+
+
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows, components added in order, so that equal vectors give equal scores everywhere."""
     out = np.zeros(len(a))
@@ -101,12 +144,10 @@ def search_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFram
         order = order[np.arange(len(order)) - np.searchsorted(entry[order], entry[order]) <= k]
         bounds = np.searchsorted(entry[order], np.arange(len(first) + 1))
         u = v[first]
-        h = hashes(u)
-        tree = [(h[o, t], o) for t, o in enumerate(np.argsort(h, axis=0, kind="stable").T)]
         with np.errstate(over="ignore", invalid="ignore"):
             # twice what rounding can move a sum of so many products of so long vectors
             slack = 4 * dim * np.finfo(float).eps * np.linalg.norm(q, axis=1) * np.linalg.norm(u, axis=1).max()
-            for i, seen in enumerate(candidates(tree, hashes(q), min(TREES * len(u), max(VISITED * len(u), LEAST, 4 * k)))):
+            for i, seen in enumerate(visited(u, q, k + 1)):
                 if len(seen) > k + 1:  # one entry may hold the query's own row alone
                     near = u[seen] @ q[i]
                     seen = seen[~(near < np.partition(near, len(near) - k - 1)[len(near) - k - 1] - slack[i])]
