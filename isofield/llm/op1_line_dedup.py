@@ -6,8 +6,8 @@ join on position and one aggregation. Runs that occur once leave at once, so eve
 
 An interval of suffixes whose common prefix is at least n lines long is the set of positions with equal ranks for n lines. A
 position is a later copy if its shortest run of at least ``min_words`` words belongs to such an interval and isn't the interval's
-first. Shortest runs that begin at a line leave the last lines of a maximal repeated run where those hold fewer words; this is the rule of the SQL
-and of the registered query. With ``whole``, shortest runs that end at a line count as well: every line of a maximal repeated
+first. Shortest runs that begin at a line leave the last lines of a maximal repeated run where those hold fewer words. With ``whole``, as the
+registered query asks, shortest runs that end at a line count as well: every line of a maximal repeated
 run of that many words or more is then in one of the two kinds, and their union is the union of all such runs, less their first
 copies. The doubling stops at the longest shortest run (a few rounds), not at the longest repeat.
 
