@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
 from ..functions.asof import interpolate
-from ..operators import algebra, filling, layers, meshing, parity
-from ..sources.heightfield import SQL, level_set, low_level_set
-from .queries import MESH, SIGNS, TOP, _mesh, _top_mesh, query
+from ..operators import algebra, analytics, filling, layers, meshing, parity
+from ..sources.heightfield import FLAT_SQL, SQL, flat_level_set, level_set, low_level_set
+from .queries import MESH, SIGNS, TOP, _mesh, _top_mesh, normals_sql, query
 
 #: A solid for each part: |x - cx| + |y - cy| + |z - cz| <= r. The offsets keep every grid line off its corners and edges.
 SOLIDS = """(((p_partkey * 37) % 1000) + 0.5::DOUBLE) / 1000 AS cx, (((p_partkey * 91) % 1000) + 0.25::DOUBLE) / 1000 AS cy, (((p_partkey * 53) % 1000) + 0.125::DOUBLE) / 1000 AS cz,
@@ -184,3 +184,24 @@ SELECT layer, x, y, z, phi FROM pr UNION ALL SELECT 3, x, y, z, phi FROM pl WHER
 def planarised_layers(spark, sf):
     """All layers levelled at 20 cells, and a new one that fills up to there."""
     return layers.planarised(level_set(spark, sf), 20000, fill=True).select(*KEY, "phi")
+
+
+#: Cells of the flat field that a row touches and whose corners all have a sign, by their code.
+FLAT_CELLS = """k8 AS (SELECT unnest(range(0, 8)) AS c),
+tc AS (SELECT DISTINCT layer, x - (c & 1) AS x, y - (c >> 1 & 1) AS y, z - (c >> 2 & 1) AS z FROM fl, k8),
+q8 AS (SELECT layer, x AS cx, y AS cy, z AS cz, c, x + (c & 1) AS x, y + (c >> 1 & 1) AS y, z + (c >> 2 & 1) AS z FROM tc, k8),
+s8 AS (SELECT q8.layer, cx, cy, cz, c, coalesce(b.phi, a.phi) AS near FROM q8 ASOF LEFT JOIN fl b ON q8.layer = b.layer AND q8.x = b.x AND q8.y = b.y AND q8.z >= b.z
+       ASOF LEFT JOIN fl a ON q8.layer = a.layer AND q8.x = a.x AND q8.y = a.y AND q8.z <= a.z),
+cl AS (SELECT layer, cx AS x, cy AS y, cz AS z, sum(CASE WHEN near >= 0 THEN 1 << c ELSE 0 END)::INT AS code FROM s8 GROUP BY layer, cx, cy, cz HAVING count(near) = 8)"""
+
+#: Whether the disc of an active point reaches into the cell of which the point is corner c.
+REACH = " AND ".join(f"n{a} * dist + (c >> {i} & 1) + 0.5::DOUBLE * sqrt(greatest(1 - n{a} * n{a}, 0)) >= 0 AND n{a} * dist + (c >> {i} & 1) - 0.5::DOUBLE * sqrt(greatest(1 - n{a} * n{a}, 0)) <= 1" for i, a in enumerate(AXES))
+
+
+@query(f"""WITH {SQL}, {FLAT_SQL}, {normals_sql('fl')}, {FLAT_CELLS},
+rc AS (SELECT layer, x - (c & 1) AS x, y - (c >> 1 & 1) AS y, z - (c >> 2 & 1) AS z, bool_or({REACH}) AS disc FROM nr, k8 GROUP BY ALL)
+SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, code, disc FROM cl JOIN rc USING (layer, x, y, z) WHERE disc OR code NOT IN (0, 255)""")
+def disc_cells(spark, sf):
+    """Cells of the flat field in which its sign changes or into which the disc of an active corner reaches."""
+    flat = flat_level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)
+    return analytics.disc_cells(flat).select(*KEY, "code", "disc")

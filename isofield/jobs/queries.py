@@ -200,7 +200,9 @@ def _most(a: str) -> str:
 MICRO = lambda c: F.round(F.col(c) * 1e6).cast("bigint").alias(c)
 
 
-@query(f"""WITH {SQL}, d AS (SELECT layer, x, y, z, phi / 1000.0::DOUBLE AS phi FROM ls),
+def normals_sql(src: str) -> str:
+    """Unit normals and receptor distances of the active points of ``src`` in SQL: common table expressions that end in ``nr``."""
+    return f"""d AS (SELECT layer, x, y, z, phi / 1000.0::DOUBLE AS phi FROM {src}),
 n AS (SELECT d.*, a.phi AS x1, b.phi AS x0, c.phi AS y1, e.phi AS y0, f.phi AS z1, g.phi AS z0 FROM d
   LEFT JOIN d a ON a.layer = d.layer AND a.x = d.x + 1 AND a.y = d.y AND a.z = d.z LEFT JOIN d b ON b.layer = d.layer AND b.x = d.x - 1 AND b.y = d.y AND b.z = d.z
   LEFT JOIN d c ON c.layer = d.layer AND c.x = d.x AND c.y = d.y + 1 AND c.z = d.z LEFT JOIN d e ON e.layer = d.layer AND e.x = d.x AND e.y = d.y - 1 AND e.z = d.z
@@ -210,9 +212,12 @@ s AS (SELECT *, {_axis('x')}, {_axis('y')}, {_axis('z')} FROM n),
 t AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS size FROM s),
 u AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE gx / size END AS nx, CASE WHEN size = 0 THEN 0 ELSE gy / size END AS ny, CASE WHEN size = 0 THEN 1 ELSE gz / size END AS nz,
              CASE WHEN size = 0 THEN 0 ELSE -phi / size END AS d0 FROM t),
-v AS (SELECT *, least(greatest(d0, -({_most('x')})), {_most('x')}) AS d1 FROM u), w AS (SELECT *, least(greatest(d1, -({_most('y')})), {_most('y')}) AS d2 FROM v)
-SELECT layer, x, y, z, round(nx * 1e6)::BIGINT AS nx, round(ny * 1e6)::BIGINT AS ny, round(nz * 1e6)::BIGINT AS nz,
-       round(least(greatest(d2, -({_most('z')})), {_most('z')}) * 1e6)::BIGINT AS dist FROM w""")
+v AS (SELECT *, least(greatest(d0, -({_most('x')})), {_most('x')}) AS d1 FROM u), w AS (SELECT *, least(greatest(d1, -({_most('y')})), {_most('y')}) AS d2 FROM v),
+nr AS (SELECT layer, x, y, z, nx, ny, nz, least(greatest(d2, -({_most('z')})), {_most('z')}) AS dist FROM w)"""
+
+
+@query(f"""WITH {SQL}, {normals_sql('ls')}
+SELECT layer, x, y, z, round(nx * 1e6)::BIGINT AS nx, round(ny * 1e6)::BIGINT AS ny, round(nz * 1e6)::BIGINT AS nz, round(dist * 1e6)::BIGINT AS dist FROM nr""")
 def point_normals(spark, sf):
     """Unit normals and receptor distances of active points, in millionths."""
     ls = level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)

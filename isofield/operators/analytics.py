@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import AXES, KEY, Grid
 from .blocks import offset_values
 from .components import connected_components
-from .stencil import neighbour_values
+from .stencil import cells, neighbour_values
 
 #: Offsets of the 18-point stencil: six along an axis and twelve along two.
 CROSS = [(a, b) for i, a in enumerate(AXES) for b in AXES[i + 1 :]]
@@ -57,6 +57,29 @@ def normals(points: DataFrame, grid: Grid | None = None, axes: list[str] = AXES,
     return v.select(*KEY, "phi", *[f"n{a}" for a in AXES], dist.alias("dist"))
 
 
+def disc_cells(points: DataFrame, radius: float = 0.5, axes: list[str] = AXES, facing: dict[str, float] | None = None) -> DataFrame:
+    """Cells (layer, x, y, z, code, corners; see ``stencil.cells``) with ``disc``: those at an active corner in which the sign changes or into which the receptor
+    disc of an active corner reaches (disc true); phi in cells.
+
+    A disc of ``radius`` around the point at the normal times ``dist`` spans radius * sqrt(1 - n**2) on each axis to either side; it reaches into a cell if it does on
+    every axis. Each active point tests its own cells in place, without a join; flags and cells then meet by cell.
+    """
+    n = normals(points, None, axes, facing, radius).where(F.abs("phi") <= 0.5)
+
+    def cell(c: int) -> Column:
+        bit = {a: c >> axes.index(a) & 1 if a in axes else 0 for a in AXES}
+        inside = F.lit(True)
+        for a in axes:
+            middle = F.col(f"n{a}") * F.col("dist") + bit[a]
+            span = radius * F.sqrt(F.greatest(1 - F.col(f"n{a}") * F.col(f"n{a}"), F.lit(0.0)))
+            inside = inside & (middle + span >= 0) & (middle - span <= 1)
+        return F.struct(*[(F.col(a) - bit[a]).cast("int").alias(a) for a in AXES], inside.alias("disc"))
+
+    reached = n.select("layer", F.explode(F.array(*[cell(c) for c in range(1 << len(axes))])).alias("c")).select("layer", "c.*").groupBy(*KEY).agg(F.max("disc").alias("disc"))
+    found = cells(points, axes).join(reached, KEY)
+    return found.where(F.col("disc") | ((F.col("code") != 0) & (F.col("code") != (1 << (1 << len(axes))) - 1)))
+
+
 def second_differences(points: DataFrame) -> DataFrame:
     """First and second differences of the 18-point stencil: f_x .. (twice the slope), f_xx .., f_xy .. (four times the mixed one).
 
