@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
 from ..functions.asof import interpolate
-from ..operators import algebra, analytics, filling, layers, meshing, parity
+from ..operators import algebra, analytics, filling, layers, meshing, numbers, parity
 from ..sources.heightfield import FLAT_SQL, SQL, flat_level_set, level_set, low_level_set
 from .queries import MESH, SIGNS, TOP, _mesh, _top_mesh, normals_sql, query
 
@@ -43,6 +43,9 @@ def surface_parity(spark, sf):
 
 BASE = -0.5
 
+#: Numbers of a stored part in the queries, so that small tables have several.
+NUMBERS = 1000
+
 
 def _closed_top(spark, sf) -> tuple[DataFrame, dict[str, int]]:
     """The triangles over the top layer, closed below by a base and by walls where an edge has one triangle; and the last column by axis."""
@@ -205,3 +208,22 @@ def disc_cells(spark, sf):
     """Cells of the flat field in which its sign changes or into which the disc of an active corner reaches."""
     flat = flat_level_set(spark, sf).withColumn("phi", F.col("phi") / 1000.0)
     return analytics.disc_cells(flat).select(*KEY, "code", "disc")
+
+
+@query(f"""WITH {SQL}, n AS (SELECT row_number() OVER (ORDER BY layer, x, y, z) - 1 AS id, layer, x, y, z, phi FROM ls WHERE abs(phi) * 2 <= 1000),
+a AS (SELECT l_orderkey, l_linenumber, (l_orderkey * 7919 + l_linenumber) % (SELECT count(*) + 100 FROM n) AS id FROM lineitem)
+SELECT a.l_orderkey, a.l_linenumber, a.id::BIGINT AS id, n.layer, n.x, n.y, n.z, n.phi FROM a LEFT JOIN n ON n.id = a.id""")
+def points_by_number(spark, sf):
+    """The active point with a number for each line of lineitem; some numbers are beyond the last."""
+    index = numbers.number_points(analytics.active(level_set(spark, sf)), NUMBERS)
+    n = index.count() + 100
+    asks = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", ((F.col("l_orderkey") * 7919 + F.col("l_linenumber")) % n).alias("id"))
+    return numbers.points_of(index, asks, NUMBERS).select("l_orderkey", "l_linenumber", "id", *KEY, "phi")
+
+
+@query(f"""WITH {SQL}, n AS (SELECT row_number() OVER (ORDER BY layer, x, y, z) - 1 AS id, layer, x, y, z FROM ls WHERE abs(phi) * 2 <= 1000)
+SELECT ls.layer, ls.x, ls.y, ls.z, n.id::BIGINT AS id FROM ls LEFT JOIN n ON n.layer = ls.layer AND n.x = ls.x AND n.y = ls.y AND n.z = ls.z""")
+def numbers_by_point(spark, sf):
+    """The number of every point of the band, null where it isn't active."""
+    points = level_set(spark, sf)
+    return numbers.numbers_of(numbers.number_points(analytics.active(points), NUMBERS), points.select(*KEY)).select(*KEY, "id")
