@@ -604,10 +604,10 @@ def polynomial_roots(spark, sf):
 
 
 #: Values of the six tetrahedra of a cell, one list for each order of the axes from corner 0 to corner 7.
-TETRAHEDRA = "[" + ", ".join(f"[p0, p{a}, p{a + b}, p7]" for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))) + "]"
+CORNER_VALUES = "[" + ", ".join(f"[p0, p{a}, p{a + b}, p7]" for a, b in ((1, 2), (1, 4), (2, 1), (2, 4), (4, 1), (4, 2))) + "]"
 
 
-@query(f"""{RHO}, t AS (SELECT layer, x, y, z, list_sort(unnest({TETRAHEDRA})) AS f FROM c),
+@query(f"""{RHO}, t AS (SELECT layer, x, y, z, list_sort(unnest({CORNER_VALUES})) AS f FROM c),
 v AS (SELECT layer, x, y, z, len(list_filter(f, lambda p: p < 0)) AS k, f[1]::DOUBLE AS a, f[2]::DOUBLE AS b, f[3]::DOUBLE AS c, f[4]::DOUBLE AS d FROM t),
 s AS (SELECT layer, x, y, z, CASE k WHEN 0 THEN 0 WHEN 4 THEN 1 WHEN 1 THEN a / (a - b) * (a / (a - c)) * (a / (a - d)) WHEN 3 THEN 1 - d / (d - a) * (d / (d - b)) * (d / (d - c))
         ELSE b / (b - c) * (b / (b - d)) + a / (a - c) * (1 - b / (b - c)) * (b / (b - d)) + a / (a - c) * (a / (a - d)) * (1 - b / (b - d)) END AS share FROM v)
