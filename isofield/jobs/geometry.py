@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
 from ..functions.asof import interpolate
-from ..operators import algebra, analytics, filling, layers, meshing, numbers, parity
-from ..sources.heightfield import FLAT_SQL, SQL, flat_level_set, level_set, low_level_set
-from .queries import MESH, SIGNS, TOP, _mesh, _top_mesh, normals_sql, query
+from ..operators import algebra, analytics, consistency, filling, layers, meshing, numbers, parity
+from ..sources.heightfield import FLAT_SQL, SQL, carved, flat_level_set, level_set, low_level_set
+from .queries import CARVED, MESH, SIGNS, TOP, _mesh, _top_mesh, normals_sql, query
 
 #: A solid for each part: |x - cx| + |y - cy| + |z - cz| <= r. The offsets keep every grid line off its corners and edges.
 SOLIDS = """(((p_partkey * 37) % 1000) + 0.5::DOUBLE) / 1000 AS cx, (((p_partkey * 91) % 1000) + 0.25::DOUBLE) / 1000 AS cy, (((p_partkey * 53) % 1000) + 0.125::DOUBLE) / 1000 AS cz,
@@ -227,3 +227,21 @@ def numbers_by_point(spark, sf):
     """The number of every point of the band, null where it isn't active."""
     points = level_set(spark, sf)
     return numbers.numbers_of(numbers.number_points(analytics.active(points), NUMBERS), points.select(*KEY)).select(*KEY, "id")
+
+
+@query(f"""{CARVED}, ph AS (SELECT layer, x, y, z, phi, CASE WHEN phi < 0 THEN -1 ELSE 1 END AS sgn, CASE WHEN phi < 0 THEN -1 ELSE 1 END * greatest((2 * abs(phi) + 999) // 2000, 0) AS state FROM cv),
+st AS (SELECT * FROM (VALUES ('x', -1, -1, 0, 0), ('x', 1, 1, 0, 0), ('y', -1, 0, -1, 0), ('y', 1, 0, 1, 0), ('z', -1, 0, 0, -1), ('z', 1, 0, 0, 1)) v(axis, step, dx, dy, dz)),
+q AS (SELECT p.layer, p.x AS ox, p.y AS oy, p.z AS oz, p.phi, p.state, axis, step, p.x + dx AS x, p.y + dy AS y, p.z + dz AS z FROM ph p, st),
+m AS (SELECT q.*, b.z AS bz, b.state AS other, coalesce(b.sgn, a.sgn) AS sgn FROM q ASOF LEFT JOIN ph b ON q.layer = b.layer AND q.x = b.x AND q.y = b.y AND q.z >= b.z
+      ASOF LEFT JOIN ph a ON q.layer = a.layer AND q.x = a.x AND q.y = a.y AND q.z <= a.z),
+f AS (SELECT layer, ox AS x, oy AS y, oz AS z, CASE WHEN bz = m.z THEN (CASE WHEN abs(state - other) > 1 THEN 'values' END)
+        WHEN sgn > 0 AND phi < -500 THEN 'negative' WHEN sgn < 0 AND phi > 500 THEN 'positive' END AS fault, axis, step FROM m),
+gp AS (SELECT layer, x, y, z + 1 AS f, coalesce(lead(z) OVER o - 1, 1073741824) AS t, sgn FROM ph WINDOW o AS (PARTITION BY layer, x, y ORDER BY z)
+       UNION ALL SELECT layer, x, y, -1073741824, min(z) - 1, arg_min(sgn, z) FROM ph GROUP BY layer, x, y),
+gg AS (SELECT * FROM gp WHERE f <= t),
+r AS (SELECT a.layer, a.x, a.y, greatest(a.f, b.f) AS z, 'runs' AS fault, CASE WHEN b.x > a.x THEN 'x' ELSE 'y' END AS axis, 1 AS step
+      FROM gg a JOIN (SELECT *, unnest([x - 1, x]) AS nx, unnest([y, y - 1]) AS ny FROM gg) b ON b.layer = a.layer AND b.nx = a.x AND b.ny = a.y WHERE a.sgn <> b.sgn AND a.f <= b.t AND b.f <= a.t)
+SELECT layer, x, y, z::INT AS z, fault, axis, step FROM f WHERE fault IS NOT NULL UNION ALL SELECT layer, x, y, z::INT, fault, axis, step FROM r""")
+def field_faults(spark, sf):
+    """Faults of the carved field, which is steeper than its band in most places."""
+    return consistency.faults(carved(level_set(spark, sf)))
