@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY
 from ..functions.asof import interpolate
+from ..functions.numbering import numbered
+from ..functions.storage import shared_dir
 from ..operators import algebra, analytics, consistency, filling, layers, meshing, numbers, parity
+from ..sources import meshes, surfaces, writers
 from ..sources.heightfield import FLAT_SQL, SQL, carved, flat_level_set, level_set, low_level_set
 from .queries import CARVED, MESH, SIGNS, TOP, _mesh, _top_mesh, normals_sql, query
 
@@ -245,3 +250,32 @@ SELECT layer, x, y, z::INT AS z, fault, axis, step FROM f WHERE fault IS NOT NUL
 def field_faults(spark, sf):
     """Faults of the carved field, which is steeper than its band in most places."""
     return consistency.faults(carved(level_set(spark, sf)))
+
+
+def _numbered_top(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The mesh over the top layer with dense numbers: nodes (node_id, x, y, z) and elements (elem_id, nodes, material), as writers ask for."""
+    own, t = _top_mesh(spark, sf)
+    places = numbered(own.withColumnRenamed("node_id", "place"), ["x", "y"], name="places").withColumnRenamed("before", "node_id")
+    each = t.withColumn("row", F.monotonically_increasing_id()).select("row", "material", F.posexplode("nodes").alias("k", "place")).join(places.select("place", "node_id"), "place")
+    tri = each.groupBy("row", "material").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    elements = numbered(tri.select("material", "nodes"), ["nodes"], name="triangles").withColumnRenamed("before", "elem_id")
+    return places.select("node_id", *AXES), elements.select("elem_id", "nodes", "material")
+
+
+@query(f"""{TOP} SELECT f.form, x1, y1, h1::BIGINT AS h1, x2, y2, h2::BIGINT AS h2, x3, y3, h3::BIGINT AS h3, CASE WHEN f.form IN ('vtk', 'vtu') THEN h1 // 10000 END::INT AS material
+FROM tr, (VALUES ('dx'), ('vtk'), ('vtp'), ('vtu')) f(form)""")
+def mesh_files(spark, sf):
+    """The mesh over the top layer, written in four text formats and read back; heights in thousandths, materials where a format has them."""
+    nodes, elements = _numbered_top(spark, sf)
+    forms = {"dx": (writers.write_dx, meshes.read_dx), "vtk": (writers.write_vtk, meshes.read_vtk), "vtp": (writers.write_vtp, surfaces.read_vtp), "vtu": (writers.write_vtu, surfaces.read_vtu)}
+    out = None
+    for form, (write, read) in forms.items():
+        path = f"{shared_dir(spark)}/mesh-{uuid.uuid4().hex}"
+        write(nodes, elements, path)
+        n, e = read(spark, path)
+        material = F.col("material").cast("int") if form in ("vtk", "vtu") else F.lit(None).cast("int")
+        at = meshing.cornered(e, n)
+        cols = [c for i in range(3) for c in (*[F.round(F.col("at")[i][a]).cast("int").alias(f"{a}{i + 1}") for a in "xy"], F.round(F.col("at")[i]["z"] * 1000).cast("bigint").alias(f"h{i + 1}"))]
+        part = at.select(F.lit(form).alias("form"), *cols, material.alias("material"))
+        out = part if out is None else out.unionByName(part)
+    return out
