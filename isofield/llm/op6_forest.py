@@ -28,8 +28,8 @@ BLOCK, QUERIES = 8192, 4096
 #: Candidates that a query visits in a stratum, counted once for each tree that brings them: this share of its vectors, and no fewer than ``LEAST``.
 #: With it recall at 20 is over 0.9 even on vectors without structure, of any lengths, or with a direction in common.
 VISITED, LEAST = 0.45, 800
-#: A stratum's vectors are at least this part as long as its longest, and it has so many at most; shorter ones join a stratum of fewer than ``FEW``.
-ALIKE, STRATUM, FEW = 0.8, 2048, 64
+#: A stratum's vectors are at least this part as long as its longest; shorter ones join a stratum of fewer than ``FEW``.
+ALIKE, FEW = 0.8, 64
 NEAREST = 20
 
 
@@ -83,7 +83,7 @@ def strata(length: np.ndarray) -> Iterator[np.ndarray]:
     falling, a = -length[order], 0
     while a < len(order):
         alike = int(np.searchsorted(falling, falling[a] * ALIKE, side="right"))
-        b = min(max(alike, a + FEW), a + STRATUM, len(order))
+        b = min(max(alike, a + FEW), len(order))
         yield order[a:b]
         a = b
 
