@@ -279,3 +279,15 @@ def mesh_files(spark, sf):
         part = at.select(F.lit(form).alias("form"), *cols, material.alias("material"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query(f"""{TOP}, b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(h) AS h0, max(h) AS h1 FROM t),
+c AS (SELECT i, CASE WHEN i % 2 = 0 THEN 2 * x0 - x1 ELSE 2 * x1 - x0 END AS x, CASE WHEN i // 2 % 2 = 0 THEN 2 * y0 - y1 ELSE 2 * y1 - y0 END AS y, CASE WHEN i // 4 = 0 THEN 2 * h0 - h1 ELSE h0 END AS h FROM b, range(8) r(i)),
+p AS (SELECT unnest([[0, 1, 3, 7], [0, 1, 5, 7], [0, 2, 3, 7], [0, 2, 6, 7], [0, 4, 5, 7], [0, 4, 6, 7]]) AS n, unnest(range(6)) AS e),
+k AS (SELECT e, unnest(n) AS i, unnest(range(4)) AS k FROM p)
+SELECT e::BIGINT AS elem_id, k::INT AS corner, c.x::BIGINT AS x, c.y::BIGINT AS y, c.h::BIGINT AS h FROM k JOIN c ON c.i = k.i""")
+def wafer_below_top(spark, sf):
+    """The corners of the wafer under the mesh over the top layer, by tetrahedron; heights in thousandths."""
+    nodes, elements = meshing.wafer_below(_top_mesh(spark, sf)[0])
+    at = meshing.cornered(elements, nodes).select("elem_id", F.posexplode("at").alias("corner", "p"))
+    return at.select("elem_id", "corner", *[F.round(F.col(f"p.{a}")).cast("bigint").alias(a) for a in "xy"], F.round(F.col("p.z") * 1000).cast("bigint").alias("h"))

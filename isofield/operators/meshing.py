@@ -336,6 +336,20 @@ def oriented_interfaces(elements: DataFrame, nodes: DataFrame, removed: dict[str
     return out
 
 
+def wafer_below(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A wafer under a mesh (node_id, x, y, z): nodes (node_id, x, y, z) and elements (elem_id, nodes, material 1) of a box of six conforming tetrahedra.
+
+    Along x and y the box reaches past the mesh by its extent on either side; along z it hangs below the mesh, as thick as the mesh is high. One row of
+    extents, whatever the mesh; an empty mesh gives none.
+    """
+    box = bounding_box(nodes).where("min_x is not null")
+    wide = {a: (2 * F.col(f"min_{a}") - F.col(f"max_{a}"), (F.col("min_z") if a == "z" else 2 * F.col(f"max_{a}") - F.col(f"min_{a}"))) for a in AXES}
+    corners = F.array(*[F.struct(F.lit(c).cast("bigint").alias("node_id"), *[wide[a][c >> i & 1].alias(a) for i, a in enumerate(AXES)]) for c in range(8)])
+    paths = [[sum(order[:i]) for i in range(4)] for order in permutations((1, 2, 4))]
+    parts = F.array(*[F.struct(F.lit(i).cast("bigint").alias("elem_id"), F.array(*[F.lit(c) for c in p]).alias("nodes"), F.lit(1).alias("material")) for i, p in enumerate(paths)])
+    return box.select(F.explode(corners).alias("n")).select("n.*"), box.select(F.explode(parts).alias("e")).select("e.*")
+
+
 def cumulative_hulls(faces: DataFrame) -> DataFrame:
     """(material, face) of the hull of all materials up to each one: faces (face, material) that occur an odd number of times at or below it.
 

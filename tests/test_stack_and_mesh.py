@@ -181,3 +181,13 @@ def test_turned(spark):
         meshing.turned(spark.createDataFrame(band, "elem_id int, nodes array<int>"))
     alone = spark.createDataFrame([(1, [5, 6, 7]), (2, [7, 8, 9])], "elem_id int, nodes array<int>")
     assert {tuple(x) for x in meshing.turned(alone).selectExpr("elem_id", "nodes[0]", "nodes[1]").collect()} == {(1, 5, 6), (2, 7, 8)}
+
+
+def test_wafer_below(spark):
+    mesh = spark.createDataFrame([(0, 1.0, 10.0, 5.0), (1, 3.0, 16.0, 9.0), (2, 2.0, 11.0, 6.0)], "node_id int, x double, y double, z double")
+    nodes, elements = meshing.wafer_below(mesh)
+    assert {tuple(r[1:]) for r in nodes.collect()} == {(x, y, z) for x in (-1.0, 5.0) for y in (4.0, 22.0) for z in (1.0, 5.0)}
+    volume = meshing.cornered(elements, nodes).agg(F.sum(F.abs(meshing.signed_volume(F.col("at"))))).first()[0]
+    assert volume == pytest.approx(6 * 18 * 4) and elements.where("material = 1").count() == 6
+    none = meshing.wafer_below(mesh.limit(0))
+    assert none[0].count() == 0 and none[1].count() == 0
