@@ -25,9 +25,9 @@ from .common import stored
 
 TREES, DEPTH = 96, 32
 BLOCK, QUERIES = 8192, 4096
-#: Candidates that a query visits in a stratum, counted once for each tree that brings them: this share of its vectors, and no fewer than ``LEAST``.
-#: With it recall at 20 is over 0.9 even on vectors without structure, of any lengths, or with a direction in common.
-VISITED, LEAST = 0.45, 800
+#: Candidates that a query visits in a stratum, counted once for each tree that brings them: this share of its vectors, no fewer than ``FEWEST``, and its part
+#: of ``LEAST`` in a small block. With it recall at 20 is over 0.9 even on vectors without structure, of any lengths, or with a direction in common.
+VISITED, LEAST, FEWEST = 0.45, 3_000, 800
 #: A stratum's vectors are at least this part as long as its longest; shorter ones join a stratum of fewer than ``FEW``.
 ALIKE, FEW = 0.8, 64
 NEAREST = 20
@@ -106,7 +106,7 @@ def visited(u: np.ndarray, q: np.ndarray, k: int) -> list[np.ndarray]:
             break
         h = hashes(np.hstack([x[own], np.sqrt(np.maximum(0.0, longest * longest - length[own] ** 2))[:, None]]))
         tree = [(h[o, t], o) for t, o in enumerate(np.argsort(h, axis=0, kind="stable").T)]
-        for i, found in zip(live.tolist(), candidates(tree, asked[live], min(TREES * len(own), max(VISITED * len(own), LEAST, 4 * k))), strict=True):
+        for i, found in zip(live.tolist(), candidates(tree, asked[live], min(TREES * len(own), max(VISITED * len(own), LEAST * len(own) / len(u), FEWEST, 4 * k))), strict=True):
             found = own[found]
             seen[i].append(found)
             # in order, so that the first is the worst of the best
