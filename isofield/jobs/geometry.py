@@ -291,3 +291,23 @@ def wafer_below_top(spark, sf):
     nodes, elements = meshing.wafer_below(_top_mesh(spark, sf)[0])
     at = meshing.cornered(elements, nodes).select("elem_id", F.posexplode("at").alias("corner", "p"))
     return at.select("elem_id", "corner", *[F.round(F.col(f"p.{a}")).cast("bigint").alias(a) for a in "xy"], F.round(F.col("p.z") * 1000).cast("bigint").alias("h"))
+
+
+def _slab(points: DataFrame) -> DataFrame:
+    """(x, y, z, phi) of a slab between 10 and 14 at odd x."""
+    columns = points.where("x % 2 = 1").select("x", "y").distinct()
+    z = columns.withColumn("z", F.explode(F.sequence(F.lit(9), F.lit(15))))
+    return z.withColumn("phi", F.greatest(10000 - F.col("z") * 1000, F.col("z") * 1000 - 14000).cast("bigint")).where(F.abs("phi") <= 1500)
+
+
+@query(f"""WITH {SQL}, sb AS (SELECT layer, x, y, z::INT AS z, greatest(10000 - z * 1000, z * 1000 - 14000) AS phi FROM (SELECT layer, x, y, unnest(range(9, 16)) AS z FROM (SELECT DISTINCT x, y FROM ls WHERE x % 2 = 1), (VALUES (1), (2)) v(layer)) WHERE abs(greatest(10000 - z * 1000, z * 1000 - 14000)) <= 1500),
+u AS (SELECT layer, x, y, z, max(a) AS a, max(b) AS b FROM (SELECT layer, x, y, z, phi AS a, NULL::BIGINT AS b FROM ls WHERE layer > 0 UNION ALL SELECT layer, x, y, z, NULL, phi FROM sb) GROUP BY layer, x, y, z),
+n AS (SELECT *, coalesce(last_value(a IGNORE NULLS) OVER d, first_value(a IGNORE NULLS) OVER p) AS na, coalesce(last_value(b IGNORE NULLS) OVER d, first_value(b IGNORE NULLS) OVER p) AS nb FROM u
+      WINDOW d AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), p AS (PARTITION BY layer, x, y ORDER BY z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+s AS (SELECT layer, x, y, z, least(coalesce(a, CASE WHEN na < 0 THEN -1099511627776 ELSE 1099511627776 END), coalesce(b, CASE WHEN nb < 0 THEN -1099511627776 ELSE 1099511627776 END)) AS phi FROM n),
+joined AS (SELECT * FROM s WHERE abs(phi) < 1099511627776), {SIGNS.format(src='joined')}
+SELECT layer, x, y, z, phi FROM pr UNION ALL SELECT layer, x, y, z, phi FROM ls WHERE layer = 0""")
+def boolean_layers(spark, sf):
+    """The two upper layers joined with a slab and pruned, the lowest as it is."""
+    points = level_set(spark, sf)
+    return layers.boolean(points, _slab(points), 2).select(*KEY, "phi")
