@@ -20,12 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, stored
+from .common import held_out, pick, pieces, stored
 from .wordhash import NOT_SPACE, chunks, shingles, words
 
 #: Labelled documents of each class that the fit takes at most, give or take the chance of a hash threshold.
@@ -298,11 +297,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """``docs``, with all its columns, less the documents that are predicted toxic. One pass, no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
 
-    @F.pandas_udf("double")
-    def value(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def value(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo(model.value)
         get = memo.__getitem__
-        for s in texts:
-            yield s.map(lambda t: probability(model.value, evidence(model.value, list(map(get, tokens(t))))[0] if t else 0.0)).astype(float)
+        for a in texts:
+            own = (t for b in pieces([pa.RecordBatch.from_arrays([a], ["text"])], 0) for t in b.column(0).to_pylist())
+            yield pa.array([probability(model.value, evidence(model.value, list(map(get, tokens(t))))[0] if t else 0.0) for t in own], pa.float64())
 
     return docs.where(value(F.col("text").cast("string")) < 0.5)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, pieces, stored
 from ..operators.components import connected_components
 from .wordhash import NOT_SPACE, U, chunks, mix, shingles, words
 
@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 4
 LEAST_ESTIMATE = 0.45
 #: Rows of a block in the comparison of what hubs leave apart.
 BLOCK = 1000
+#: Members of the sets of a block, beyond which it is cut further (8 bytes each); one set stays whole.
+MEMBERS = 1_000_000
 
 _ORDER = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U) + U(77)).reshape(REGISTERS, REGISTERS), axis=1)
 _EDGES = (np.arange(REGISTERS, dtype=U) << U(64 - INDEX_BITS)).astype(U)
@@ -83,7 +85,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_key, n_shingles, node, sketch); node and sketch are null for a set without members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             n, node, sk = [], [], []
             for s in _sets(b.column(2).to_pylist(), k):
                 n.append(len(s))
@@ -98,7 +100,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     """(node, members): the whole shingle set of each text, as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 0):
             node, members, size = [], [], 0
             for s in _sets(b.column(0).to_pylist(), k):
                 if len(s):
@@ -144,8 +146,8 @@ _BLOCK_ROWS = "group bigint, mb int, ob int, ask boolean, hub binary, node binar
 def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) between members of a bucket that its hub left in different components.
 
-    A node that isn't in its hub's component meets every other node that shares a bucket of this hub, in blocks of about ``BLOCK`` rows on either
-    side. Sketches meet first; whole sets go only to the blocks in which the sketch has a likely partner of another
+    A node that isn't in its hub's component meets every other node that shares a bucket of this hub, in blocks of about ``BLOCK`` rows, or fewer if
+    their sets have more than ``MEMBERS`` members, on either side. Sketches meet first; whole sets go only to the blocks in which the sketch has a likely partner of another
     component, and only those of such nodes. At most one link for each node, component and block comes back. Small groups share a task.
     """
     now = entries.join(roots.withColumnRenamed("root", "found"), "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("root")).join(hubs, "key")
@@ -153,10 +155,12 @@ def _rest(entries: DataFrame, hubs: DataFrame, roots: DataFrame, members: DataFr
     hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
     around = now.where("node <> hub").join(split, "key").select("hub", "node", "n", "root").distinct().join(hub_root, "hub", "left")
     around = stored(around.withColumn("apart", F.col("root") != F.coalesce("hub_root", "hub")).drop("hub_root"), "around-hubs")
-    sizes = around.groupBy("hub").agg(F.count("*").alias("c"), F.sum(F.col("apart").cast("int")).alias("o")).where("o > 0 and c > 1")
-    shared = max(1, around.count() // (4 * BLOCK))
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    group = F.when(F.col("c") > BLOCK, F.xxhash64("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(shared)))
+    apart = F.col("apart").cast("int")
+    sizes = around.groupBy("hub").agg(F.count("*").alias("c"), F.sum(apart).alias("o"), F.sum("n").alias("cn"), F.sum(apart * F.col("n")).alias("on")).where("o > 0 and c > 1")
+    n_rows, n_members = around.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shared = max(1, n_rows // (4 * BLOCK), n_members // (4 * MEMBERS))
+    blocks = lambda c: F.ceil(F.greatest(F.col(c) / BLOCK, F.col(c + "n") / MEMBERS)).cast("int")
+    group = F.when((F.col("c") > BLOCK) | (F.col("cn") > MEMBERS), F.xxhash64("hub")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(shared)))
     # stored, so that the planner knows its size and deals the rows of a large hub by that
     sizes = stored(sizes.select("hub", group.alias("group"), blocks("c").alias("mbs"), blocks("o").alias("obs")), "hub-sizes")
     full = around.join(sizes, "hub").join(classes.select("node", "sketch"), "node")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, stored
+from .common import pick, pieces, stored
 from .wordhash import ALNUM, U, chunks, located, words
 
 WINDOW = 10
@@ -303,7 +303,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 told = sent.value
-                for b in batches:
+                for b in pieces(batches, 1):
                     texts, cut = b.column(1).to_pylist(), b.column(2).to_pylist()
                     at = list(range(len(texts)))
                     while at:

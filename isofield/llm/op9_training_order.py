@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, stored
+from .common import numbered, pick, pieces, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The splitting pattern that belongs to that vocabulary (a fixed value), and its free id, which ends a document.
@@ -99,7 +99,7 @@ def _placed(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Tokeniser(ranks.value)
-        for b in batches:
+        for b in pieces(batches, 2):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([(encode(t) if t else b"") + end for t in b.column(2).to_pylist()], pa.binary())], ["doc_id", "text_key", "tokens"])
 
     rows = pick(docs, doc_id="bigint", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
