@@ -615,7 +615,8 @@ SELECT layer, x, y, z, round(sum(share) / 6 * 1e6)::BIGINT AS volume FROM s GROU
 def solid_volumes(spark, sf):
     """Volume inside the flat field in every cell whose corners are all held, in millionths, from its tetrahedra."""
     points = flat_level_set(spark, sf)
-    v = meshing.sizes(meshing.solid(points)).groupBy(*KEY).agg(F.sum("size").alias("v"))
+    parts = F.array_sort(F.collect_list(F.struct("part", "size")))  # a few dozen a cell, added in order
+    v = meshing.sizes(meshing.solid(points)).groupBy(*KEY).agg(F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["size"]).alias("v"))
     return v.join(incell.whole_cells(points).select(*KEY), KEY, "left_semi").where("v > 0").select(*KEY, F.round(F.col("v") * 1e6).cast("bigint").alias("volume"))
 
 

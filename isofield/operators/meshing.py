@@ -89,16 +89,15 @@ def solid(points: DataFrame, axes: list[str] = AXES, far: float = 1500) -> DataF
 
 
 def sizes(elements: DataFrame) -> DataFrame:
-    """Elements of ``solid`` with ``size``: the area or volume in cells."""
-    def at(k: int) -> list[Column]:
-        n = F.get("nodes", F.lit(k))
-        return [n[a] + n["t"] * n[f"d{a}"] for a in AXES]
+    """Elements of ``solid`` with ``size``: the area or volume in cells. Sides are taken from whole steps and shares of edges, so digits don't depend on the place."""
+    n = lambda k: F.get("nodes", F.lit(k))
 
-    first = at(0)
-    u, v = ([q - p for p, q in zip(first, at(k), strict=True)] for k in (1, 2))
+    def side(k: int) -> list[Column]:
+        return [(n(k)[a] - n(0)[a]) + (n(k)["t"] * n(k)[f"d{a}"] - n(0)["t"] * n(0)[f"d{a}"]) for a in AXES]
+
+    u, v, w = (side(k) for k in (1, 2, 3))
     cross = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2.0
-    w = [q - p for p, q in zip(first, at(3), strict=True)]
     volume = F.abs(cross[0] * w[0] + cross[1] * w[1] + cross[2] * w[2]) / 6.0
     return elements.withColumn("size", F.when(F.size("nodes") == 3, area).otherwise(volume))
 

@@ -52,3 +52,12 @@ def test_two_axes(spark):
     e = meshing.solid(d, ["x", "z"])
     assert math.isclose(volume(e, 0), 3 * 1.25) and e.select(F.size("nodes")).distinct().count() == 1
     assert meshing.solid(d.limit(0), ["x", "z"]).count() == 0
+
+
+def test_sizes_far_out(spark):
+    """Volumes by cell don't depend on where the cells lie."""
+    near = field(spark, 4, "1000 * (sqrt(x * x + y * y + z * z) - 2.7)", -4)
+    far = near.withColumn("x", (F.col("x") + 1_000_000_000).cast("int"))
+    total = lambda d, off: {(r.x - off, r.y, r.z): r.v for r in meshing.sizes(meshing.solid(d)).groupBy("x", "y", "z").agg(F.sum("size").alias("v")).collect()}
+    a, b = total(near, 0), total(far, 1_000_000_000)
+    assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
