@@ -141,7 +141,7 @@ def indexed(elements: DataFrame, data: DataFrame | None = None) -> tuple[DataFra
     nodes = numbered(surface_nodes(elements), edge, name="nodes").withColumnRenamed("before", "node_id")
     parts = numbered(elements, ["layer", *AXES, "part"], name="elements").withColumnRenamed("before", "elem_id")
     corners = parts.select("elem_id", "layer", F.posexplode("nodes").alias("at", "n")).select("elem_id", "layer", "at", *[F.col(f"n.{c}").alias(c) for c in edge[1:]])
-    met = corners.join(nodes.select(*edge, "node_id"), edge)
+    met = corners.join(_dealt(nodes.select(*edge, "node_id")), edge)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("at", "node_id"))), lambda x: x["node_id"])
     out = nodes.select("node_id", "layer", *[F.col(f"p{a}").alias(a) for a in AXES], *[f"o{a}" for a in AXES])
     if data is not None:
@@ -207,7 +207,7 @@ def merged_nodes(nodes: DataFrame, eps: float, axes: list[str] = AXES) -> DataFr
 def merged(elements: DataFrame, ids: DataFrame) -> DataFrame:
     """``elements`` (nodes and more) with nodes replaced by ``ids`` (node_id, merged_id), without those that lose their extent."""
     rows = elements.withColumn("__row", F.monotonically_increasing_id())
-    met = rows.select("*", F.posexplode("nodes").alias("__k", "node_id")).join(ids, "node_id")
+    met = rows.select("*", F.posexplode("nodes").alias("__k", "node_id")).join(_dealt(ids), "node_id")
     held = [F.first(c).alias(c) for c in elements.columns if c != "nodes"]
     out = met.groupBy("__row").agg(*held, F.transform(F.array_sort(F.collect_list(F.struct("__k", "merged_id"))), lambda x: x["merged_id"]).alias("nodes"))
     return without_degenerate(out.select(*elements.columns))
@@ -231,19 +231,25 @@ def turned(elements: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     ways = roots.groupBy(F.expr("node div 2").alias("elem_id")).agg(F.max(F.when(F.col("node") % 2 == 0, F.col("root"))).alias("kept"), F.max(F.when(F.col("node") % 2 == 1, F.col("root"))).alias("reverse"))
     if ways.where("kept = reverse").take(1):
         raise ValueError("a one-sided surface has no outside")
-    found = t.join(ways, "elem_id", "left").select("elem_id", "nodes", F.coalesce(F.col("reverse") < F.col("kept"), F.lit(False)).alias("flip"), F.coalesce(F.least("kept", "reverse"), F.col("elem_id") * 2).alias("piece"))
+    found = t.join(_dealt(ways), "elem_id", "left").select("elem_id", "nodes", F.coalesce(F.col("reverse") < F.col("kept"), F.lit(False)).alias("flip"), F.coalesce(F.least("kept", "reverse"), F.col("elem_id") * 2).alias("piece"))
     if nodes is not None:
         ways = found.select("elem_id", "piece", "flip")
-        size = cornered(elements.select("elem_id", "nodes"), nodes).join(ways, "elem_id")
+        size = cornered(elements.select("elem_id", "nodes"), nodes).join(_dealt(ways), "elem_id")
         # six times the volume between a triangle and the origin
         at = F.col("at")
         six = dot(cross([at[0][a] for a in AXES], [at[1][a] for a in AXES]), [at[2][a] for a in AXES])
         volume = size.groupBy("piece").agg(F.sum(F.when(F.col("flip"), -six).otherwise(six)).alias("volume"))
-        loose = edges.where("n <> 2").select(F.explode(F.array("p.elem_id", "q.elem_id")).alias("elem_id")).join(ways, "elem_id").select("piece").distinct().withColumn("open", F.lit(True))
-        found = found.join(volume, "piece", "left").join(loose, "piece", "left").withColumn("flip", F.col("flip") != (F.col("open").isNull() & (F.col("volume") < 0)))
+        loose = edges.where("n <> 2").select(F.explode(F.array("p.elem_id", "q.elem_id")).alias("elem_id")).join(_dealt(ways), "elem_id").select("piece").distinct().withColumn("open", F.lit(True))
+        found = found.join(_dealt(volume), "piece", "left").join(_dealt(loose), "piece", "left").withColumn("flip", F.col("flip") != (F.col("open").isNull() & (F.col("volume") < 0)))
     reverse = found.select("elem_id", "flip")
     old = F.col("nodes")
-    return elements.join(reverse, "elem_id").withColumn("nodes", F.when(F.col("flip"), F.array(old[0], old[2], old[1])).otherwise(old)).select(*elements.columns)
+    return elements.join(_dealt(reverse), "elem_id").withColumn("nodes", F.when(F.col("flip"), F.array(old[0], old[2], old[1])).otherwise(old)).select(*elements.columns)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The side of a join that grows with the mesh: never sent whole to the driver. The planner takes an explosion for no longer than what it explodes,
+    so it would broadcast the elements made from a small table."""
+    return rows.hint("merge")
 
 
 def without_degenerate(elements: DataFrame) -> DataFrame:
@@ -275,7 +281,7 @@ def cornered(elements: DataFrame, nodes: DataFrame, ids: str = "nodes") -> DataF
     """``elements`` with ``at``: the coordinates (struct of x, y, z) of the node ids in the array ``ids``, in order. One join."""
     rows = elements.withColumn("__row", F.monotonically_increasing_id()) if "elem_id" not in elements.columns else elements.withColumn("__row", F.col("elem_id"))
     each = rows.select("*", F.posexplode(ids).alias("__k", "__id"))
-    met = each.join(nodes.select(F.col("node_id").alias("__id"), F.struct(*AXES).alias("__at")), "__id")
+    met = each.join(_dealt(nodes.select(F.col("node_id").alias("__id"), F.struct(*AXES).alias("__at"))), "__id")
     held = [F.first(c).alias(c) for c in elements.columns]
     return met.groupBy("__row").agg(*held, F.transform(F.array_sort(F.collect_list(F.struct("__k", "__at"))), lambda x: x["__at"]).alias("at")).drop("__row")
 

@@ -191,3 +191,13 @@ def test_wafer_below(spark):
     assert volume == pytest.approx(6 * 18 * 4) and elements.where("material = 1").count() == 6
     none = meshing.wafer_below(mesh.limit(0))
     assert none[0].count() == 0 and none[1].count() == 0
+
+
+def test_meshes_are_not_broadcast(spark):
+    """Elements and nodes that are exploded from a small table count as small; no plan may send them whole to the driver."""
+    some = spark.range(3).select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "id")
+    elements = some.select((F.col("id") * 10 + F.col("k")).alias("elem_id"), F.array(*[F.col("id") * 100 + F.col("k") + i for i in range(3)]).alias("nodes"))
+    nodes = elements.select(F.explode("nodes").alias("node_id")).select("node_id", *[(F.col("node_id") % m).cast("double").alias(a) for a, m in (("x", 7), ("y", 5), ("z", 3))])
+    ids = nodes.select("node_id", F.col("node_id").alias("merged_id"))
+    for out in (meshing.cornered(elements, nodes), meshing.turned(elements), meshing.turned(elements, nodes.distinct()), meshing.merged(elements, ids)):
+        assert "Broadcast" not in out._jdf.queryExecution().sparkPlan().toString()
