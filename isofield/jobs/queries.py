@@ -253,8 +253,7 @@ SELECT layer, x, y, z, CASE WHEN total > 0 THEN round((xx * (sy * sy + sz * sz)
        / (2 * pow(total, 1.5)) * 1e6) END::BIGINT AS curvature FROM t""")
 def mean_curvature(spark, sf):
     """Of active points, in millionths, in a band that is wide enough for the eighteen neighbours; null where there is no slope."""
-    wide = algebra.expand(level_set(spark, sf), 7000, 1000, start=3000).withColumn("phi", F.col("phi") / 1000.0)
-    c = analytics.curvature(wide).where(F.abs("phi") <= 0.5)
+    c = analytics.curvature(level_set(spark, sf), (7000, 1000, 3000))
     return c.select(*KEY, F.when(F.abs("curvature") < 1e12, F.round(F.col("curvature") * 1e6).cast("bigint")).alias("curvature"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import AXES, KEY, axis_neighbours
-from .blocks import pruned
+from .blocks import pruned, widened
 from .stencil import neighbour_signs, probed
 
 FAR = 1 << 40
@@ -79,19 +79,10 @@ def expand(points: DataFrame, width, unit=1000, start=None) -> DataFrame:
     """A band ``width`` wide: points within half of it stay as they are (from ``start``, one cell, on); every cycle another positive point gets the least
     neighbour value plus one cell, another negative one the largest less one, if that is within the cycle's limit.
 
-    The number of cycles is fixed by the widths; each is one aggregation of neighbour values and one column window for signs.
+    The number of cycles is fixed by the widths; all take place in blocks with borders, after one shuffle.
     """
     now = unit if start is None else start
-    kind = points.schema["phi"].dataType
-    rows = points.where(F.abs("phi") * 2 <= now)
-    while now < width:
-        now = min(now + 2 * unit, width)
-        near = axis_neighbours(rows.select(*KEY, "phi")).select("layer", *[F.col(f"n{a}").alias(a) for a in AXES], "phi")
-        reach = near.groupBy(*KEY).agg((F.min("phi") + unit).alias("up"), (F.max("phi") - unit).alias("down"))
-        new = probed(points, reach.join(rows.select(*KEY), KEY, "left_anti")).where("sign is not null")
-        value = F.when(F.col("sign") > 0, F.col("up")).otherwise(F.col("down")).cast(kind)
-        rows = rows.select(*KEY, "phi").unionByName(new.select(*KEY, value.alias("phi")).where(F.abs("phi") * 2 <= now))
-    return rows
+    return widened(points, width, unit, now) if now < width else points.where(F.abs("phi") * 2 <= now)
 
 
 def add_voxel_corners(points: DataFrame, unit=1000, axes: list[str] = AXES) -> DataFrame:

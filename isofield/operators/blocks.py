@@ -64,6 +64,31 @@ class Block:
         near = np.where(under, below, above)
         return np.where(under | over, np.where(self.phi[self.row[near]] < 0, -1, 1), 0)
 
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """The places (three rows of indices) that ``_key`` gave."""
+        column, z = np.divmod(key, self.width[2])
+        return np.stack([*np.divmod(column, self.width[1]), z]) + self.low[:, None]
+
+    def widened(self, width, unit, start) -> tuple[np.ndarray, np.ndarray]:
+        """(key, phi), sorted by key, of the band made ``width`` wide; see ``algebra.expand``. Right at places from which the block holds all columns within as many steps as there are cycles."""
+        own = self.phi[self.row]
+        kept = np.abs(own) * 2 <= start
+        key, phi, now = self.key[kept], own[kept], start
+        while now < width and len(key):
+            now = min(now + 2 * unit, width)
+            near = np.concatenate([key + s * step for step in (self.width[1] * self.width[2], self.width[2], 1) for s in (-1, 1)])
+            order = np.argsort(near)
+            near, value = near[order], np.tile(phi, 6)[order]
+            head = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+            up, down, near = np.minimum.reduceat(value, head) + unit, np.maximum.reduceat(value, head) - unit, near[head]
+            sign = self.sign(self.place(near))
+            value = np.where(sign > 0, up, down).astype(phi.dtype)
+            new = (sign != 0) & (np.abs(value) * 2 <= now) & ~np.isin(near, key)
+            key, phi = np.append(key, near[new]), np.append(phi, value[new])
+            order = np.argsort(key, kind="stable")
+            key, phi = key[order], phi[order]
+        return key, phi
+
     def values(self, rows: np.ndarray) -> pa.Array:
         """phi of table rows as an Arrow array, null for -1."""
         return pa.array(self.phi[np.maximum(rows, 0)] if len(self.phi) else np.zeros(len(rows), self.phi.dtype), self.kind, mask=rows < 0)
@@ -99,11 +124,20 @@ def by_block(points: DataFrame, reach: int, work: Callable[[Block], pa.Table], s
         raise ValueError("a block must be wider than twice the reach")
     cell = lambda a, s: F.expr(f"floor((__i{a} + {s}) / {size})").cast("int")
     blocks = F.array_distinct(F.array(*[F.struct(cell("x", s).alias("x"), cell("y", t).alias("y")) for s in (-reach, reach) for t in (-reach, reach)]))
-    rows = _entries(points.dropna(subset=[*KEY, "phi"]), reach, grid)
-    home = F.col("__own") & (F.col("__b.x") == cell("x", 0)) & (F.col("__b.y") == cell("y", 0))
-    dealt = rows.withColumn("__b", F.explode(blocks)).withColumn("__own", home).withColumn("__bx", F.col("__b.x")).withColumn("__by", F.col("__b.y")).drop("__b")
+    rows, kept = points.dropna(subset=[*KEY, "phi"]), points.columns
+    rows = _entries(rows, reach, grid) if grid is not None else rows.withColumns({f"__i{a}": F.col(a) for a in AXES})
+    dealt = rows.withColumn("__b", F.explode(blocks)).withColumn("__bx", F.col("__b.x")).withColumn("__by", F.col("__b.y"))
+    if grid is None:
+        # what a task can tell by itself isn't shuffled
+        dealt = dealt.select(*kept, "__bx", "__by")
+    else:
+        dealt = dealt.withColumn("__own", F.col("__own") & (F.col("__bx") == cell("x", 0)) & (F.col("__by") == cell("y", 0))).drop("__b")
 
     def run(table: pa.Table) -> pa.Table:
+        if grid is None:
+            home = [table[a].to_numpy() // size == table[f"__b{a}"].to_numpy() for a in "xy"]
+            for name, c in (*((f"__i{a}", table[a]) for a in AXES), ("__own", pa.array(home[0] & home[1])), ("__held", pa.array(np.ones(len(table), bool)))):
+                table = table.append_column(name, c)
         return work(Block(table, reach))
 
     return spread(dealt, "layer", "__bx", "__by").groupBy("layer", "__bx", "__by").applyInArrow(run, schema)
@@ -128,6 +162,40 @@ def offset_values(points: DataFrame, offsets: dict[str, tuple[int, int, int]], g
     return by_block(points, reach, work, schema, grid)
 
 
+def cycles(width, unit, start) -> int:
+    """How many cycles widen a band from ``start`` to ``width``."""
+    n = 0
+    while start < width:
+        start, n = min(start + 2 * unit, width), n + 1
+    return n
+
+
+def widened(points: DataFrame, width, unit, start, offsets: dict[str, tuple[int, int, int]] | None = None, within=None) -> DataFrame:
+    """(layer, x, y, z, phi) of the band made ``width`` wide (see ``algebra.expand``) with a column for each offset: phi of the wide band there, null if absent;
+    ``within``: of points up to so far from the surface only. One shuffle for all cycles and the offsets: blocks have borders as wide as all of them together."""
+    own, offsets = points.select(*KEY, "phi"), offsets or {}
+    schema = T.StructType([*own.schema.fields, *[T.StructField(n, own.schema["phi"].dataType) for n in offsets]])
+    reach = max(1, cycles(width, unit, start) + max((abs(s) for o in offsets.values() for s in o), default=0))
+    size = max(SIZE, 4 * reach)
+
+    def work(b: Block) -> pa.Table:
+        key, phi = b.widened(width, unit, start)
+        at = b.place(key)
+        home = (at[0] // size == b.table["__bx"][0].as_py()) & (at[1] // size == b.table["__by"][0].as_py())
+        if within is not None:
+            home &= np.abs(phi) <= within
+        at, found = at[:, home], []
+        for o in offsets.values():
+            k = b._key(at + np.array(o)[:, None])
+            p = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
+            there = key[p] == k if len(key) else np.zeros(0, bool)
+            found.append(pa.array(phi[p] if len(key) else phi, b.kind, mask=~there))
+        layer = pa.array(np.full(at.shape[1], b.table["layer"][0].as_py()), b.table["layer"].type)
+        return pa.Table.from_arrays([layer, *(pa.array(v).cast(b.table[a].type) for a, v in zip(AXES, at, strict=True)), pa.array(phi[home], b.kind), *found], names=schema.names)
+
+    return by_block(own, reach, work, schema, None, size)
+
+
 def pruned(points: DataFrame) -> DataFrame:
     """(layer, x, y, z, phi) of points of which an axis neighbour has the other sign."""
     own = points.select(*KEY, "phi")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isofield.functions.grid import AXES, Boundary, Grid
-from isofield.operators import algebra, blocks, stencil
+from isofield.operators import algebra, analytics, blocks, stencil
 
 
 def field(seed, n=700, low=-40, high=45):
@@ -94,3 +94,45 @@ def test_empty_null_and_reach(points):
     assert blocks.offset_values(df.withColumn("phi", F.when(F.col("x") > 0, F.col("phi"))), {"a": (1, 0, 0)}).count() == sum(k[1] > 0 for k in held)
     with pytest.raises(ValueError, match="reach"):
         blocks.offset_values(df, {"a": (16, 0, 0)})
+
+
+def _expanded(rows, width, unit, start):
+    """``algebra.expand`` in plain Python: rows {(layer, x, y, z): phi}."""
+    columns = {}
+    for (layer, x, y, z), v in rows.items():
+        columns.setdefault((layer, x, y), []).append((z, v))
+    out, now = {k: v for k, v in rows.items() if abs(v) * 2 <= start}, start
+    while now < width:
+        now, near = min(now + 2 * unit, width), {}
+        for (layer, x, y, z), v in out.items():
+            for d in ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)):
+                near.setdefault((layer, x + d[0], y + d[1], z + d[2]), []).append(v)
+        for k, v in near.items():
+            column = columns.get(k[:3])
+            if k in out or not column:
+                continue
+            below = [c for c in column if c[0] <= k[3]]
+            sign = (max(below) if below else min(column))[1]
+            value = max(v) - unit if sign < 0 else min(v) + unit
+            if abs(value) * 2 <= now:
+                out[k] = value
+    return out
+
+
+def test_widened_in_one_shuffle(spark):
+    """Bands across block borders, below zero and with holes, against plain Python; all cycles and the stencil behind them take one shuffle."""
+    r = random.Random(5)
+    rows = {(layer, x, y, z): 1000 * z - h for layer in (0, 1) for x in range(-37, 38) for y in range(28, 36) if r.random() < 0.8 for h in [r.randrange(-6000, 6000)] for z in range(-8, 9) if abs(1000 * z - h) <= 2500}
+    d = spark.createDataFrame([(*k, v) for k, v in rows.items()], "layer int, x int, y int, z int, phi bigint")
+    for start, width in ((3000, 7000), (1000, 9000), (1000, 2500)):
+        out = algebra.expand(d, width, 1000, start=start)
+        assert {(q.layer, q.x, q.y, q.z): q.phi for q in out.collect()} == _expanded(rows, width, 1000, start)
+    real = algebra.expand(d.withColumn("phi", F.col("phi") / 1000.0), 7.0, 1.0, start=3.0)
+    want = _expanded({k: v / 1000.0 for k, v in rows.items()}, 7.0, 1.0, 3.0)
+    assert {(q.layer, q.x, q.y, q.z): q.phi for q in real.collect()} == want
+    fused = analytics.curvature(d, (7000, 1000, 3000))
+    wide = algebra.expand(d, 7000, 1000, start=3000).withColumn("phi", F.col("phi") / 1000.0)
+    apart = analytics.curvature(wide).where("abs(phi) <= 0.5")
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, apart.collect())) and fused.count() > 0
+    for out in (algebra.expand(d, 9000, 1000), fused):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
