@@ -135,14 +135,19 @@ def by_block(points: DataFrame, reach: int, work: Callable[[Block], pa.Table], s
 
     def run(table: pa.Table) -> pa.Table:
         if grid is None:
-            home = [table[a].to_numpy() // size == table[f"__b{a}"].to_numpy() for a in "xy"]
-            for name, c in (*((f"__i{a}", table[a]) for a in AXES), ("__own", pa.array(home[0] & home[1])), ("__held", pa.array(np.ones(len(table), bool)))):
-                table = table.append_column(name, c)
+            table = placed(table, np.logical_and(*(table[a].to_numpy() // size == table[f"__b{a}"].to_numpy() for a in "xy")))
         return work(Block(table, reach))
 
     return spread(dealt, "layer", "__bx", "__by").groupBy("layer", "__bx", "__by").applyInArrow(run, schema)
 
 
+def placed(table: pa.Table, own: np.ndarray) -> pa.Table:
+    """A block's rows with the columns that ``Block`` asks for, where all stand at their own indices and are looked up there."""
+    for name, c in (*((f"__i{a}", table[a]) for a in AXES), ("__own", pa.array(own)), ("__held", pa.array(np.ones(len(table), bool)))):
+        table = table.append_column(name, c)
+    return table
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` dealt by ``keys`` to as many partitions as the session shuffles to: small rows make much work here, which merged partitions would keep together."""
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -4,11 +4,12 @@ Layers contain those below them, so material m is what layer m holds and layer m
 simplices, and these are clipped by each layer in turn, from the top one down, at nodes that neighbouring pieces share; neighbouring materials so
 meet in the same faces. Between such cells a column of cells has one material, and stays one box however high it is.
 
-One shuffle deals columns of all layers to blocks (see ``blocks``), where array work finds the cells and boxes; clipping is made of column functions.
+One shuffle deals columns of all layers to blocks (see ``blocks``), where array work finds the cells and boxes; clipping is array work on batches of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, permutations
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql import types as T
 
 from ..functions.grid import AXES
 from . import meshing
-from .blocks import Block, spread
+from .blocks import Block, placed, spread
 
-#: Columns of a block along x and y; few, as every cell makes many elements.
-SIZE = 8
+#: Columns of a block along x and y; few, as it holds all layers.
+SIZE = 16
+#: Cells that are clipped at once.
+CLIPPED = 4096
 #: A value at a cut that is this small beside those that it comes from is 0.
 NOISE = 1e-12
 #: Nodes that agree to so many places are one.
@@ -146,82 +149,135 @@ def _block(table: pa.Table, axes: list[str], layers: list[int], far: float, low:
     return pa.Table.from_arrays([ints(x[k], x[bk]), ints(y[k], y[bk]), ints(z, bz), ints(whole, bh), pa.array(np.concatenate([whole * -1, names[bm]]).astype(np.int32)), lists], names=_PIECES.names)
 
 
-def pieces(points: DataFrame, axes: list[str] = AXES, far: float = 1500, low: int | None = None, high: int | None = None) -> DataFrame:
+def layers_of(points: DataFrame) -> list[int]:
+    return sorted(r[0] for r in points.select("layer").distinct().collect())
+
+
+def pieces(points: DataFrame, axes: list[str] = AXES, far: float = 1500, low: int | None = None, high: int | None = None, layers: list[int] | None = None) -> DataFrame:
     """(x, y, z, height, material, v): cells in which a layer changes its sign (material -1; v: values of all layers at the corners, a layer after the other,
     absent ones ``far`` by their sign) and boxes of one material between them (v empty).
 
     Columns of cells reach from ``low`` to ``high`` (grid indices); without them, boxes that have no end there are left out. A cell column is filled if all
-    of its corner columns have rows in every layer. One shuffle by block; the layers' numbers, a handful, come to the driver.
+    of its corner columns have rows in every layer. One shuffle by block; the layers' numbers, a handful, come to the driver, unless they are given.
     """
-    layers = sorted(r[0] for r in points.select("layer").distinct().collect())
+    layers = layers_of(points) if layers is None else layers
     own = points.select("layer", *[F.col(a).cast("int").alias(a) for a in AXES], F.col("phi").cast("double").alias("phi")).dropna()
-    rows = own.withColumns({f"__i{a}": F.col(a) for a in AXES} | {"__own": F.lit(True), "__held": F.lit(True)})
     cell = lambda a, s: F.expr(f"floor(({a} - {s}) / {SIZE})").cast("int")
-    dealt = rows.withColumn("__b", F.explode(F.array_distinct(F.array(*[F.struct(cell("x", s).alias("x"), cell("y", t).alias("y")) for s in (0, 1) for t in (0, 1)]))))
+    dealt = own.withColumn("__b", F.explode(F.array_distinct(F.array(*[F.struct(cell("x", s).alias("x"), cell("y", t).alias("y")) for s in (0, 1) for t in (0, 1)]))))
     dealt = dealt.withColumn("__bx", F.col("__b.x")).withColumn("__by", F.col("__b.y")).drop("__b")
 
     def run(table: pa.Table) -> pa.Table:
-        return _block(table, axes, layers, far, low, high)
+        return _block(placed(table, np.ones(len(table), bool)), axes, layers, far, low, high)
 
     return spread(dealt, "__bx", "__by").groupBy("__bx", "__by").applyInArrow(run, _PIECES)
 
 
-def _simplices(axes: list[str], height: Column, v: Column | None, n_layers: int) -> Column:
-    """The simplices of a cell or box as arrays of nodes (x, y, z and v: the layers' values), along paths from the lowest corner to the highest."""
-    n = 1 << len(axes)
+def _paths(axes: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The simplices of a cell, as corner numbers along paths from the lowest corner to the highest; and where the corners stand."""
+    corner = np.array([[c >> axes.index(a) & 1 if a in axes else 0 for a in AXES] for c in range(1 << len(axes))], float)
+    return np.array([[sum(order[:i]) for i in range(len(axes) + 1)] for order in permutations([1 << i for i in range(len(axes))])]), corner
 
-    def node(c: int) -> Column:
-        at = {a: c >> axes.index(a) & 1 if a in axes else 0 for a in AXES}
-        place = [(F.col(a) + (height * at[a] if a == "z" else at[a])).cast("double").alias(a) for a in AXES]
-        return F.struct(*place, (F.array(*[F.get(v, F.lit(i * n + c)) for i in range(n_layers)]) if v is not None else F.array().cast("array<double>")).alias("v"))
 
-    paths = [[sum(order[:i]) for i in range(len(axes) + 1)] for order in permutations([1 << i for i in range(len(axes))])]
-    return F.array(*[F.array(*[node(c) for c in p]) for p in paths])
+def _clipped(v: np.ndarray, axes: list[str], layers: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The elements of cells with the layers' values ``v`` (cell, layer, corner) at their corners: the cell's row, the material and the nodes from the cell's lowest corner."""
+    d, n = len(axes), len(layers)
+    paths, corner = _paths(axes)
+    cell = np.repeat(np.arange(len(v)), len(paths))
+    at = np.tile(corner[paths], (len(v), 1, 1))
+    v = np.moveaxis(v[:, :, paths], 1, 3).reshape(-1, d + 1, n)
+    done = []
+    for i in range(n - 1, -1, -1):
+        code = ((v[:, :, i] >= 0).astype(np.int64) << np.arange(d + 1)).sum(axis=1)
+        left = []
+        for c in np.unique(code):
+            rows = np.flatnonzero(code == c)
+            for inside, pairs in pieces_of(int(c), d):
+                # outside the top layer there is no material; outside another one, that of the layer above it
+                if not inside and i == n - 1:
+                    continue
+                a, b = np.array(pairs).T
+                p, pv = at[rows][:, a], v[rows][:, a]
+                if (a != b).any():
+                    q, qv = at[rows][:, b], v[rows][:, b]
+                    x, y = pv[:, :, i], qv[:, :, i]
+                    t = np.divide(x, x - y, out=np.zeros_like(x), where=x != y)[:, :, None]
+                    # what layers have in common stays common: a value that cancels is 0, and a cut at a node is the node
+                    value = pv + t * (qv - pv)
+                    value[np.abs(value) <= NOISE * (np.abs(pv) + np.abs(qv))] = 0.0
+                    first = ((a == b) | (x == 0))[:, :, None]
+                    second = (y == 0)[:, :, None]
+                    p, pv = np.where(first, p, np.where(second, q, p + t * (q - p))), np.where(first, pv, np.where(second, qv, value))
+                (left if inside else done).append((cell[rows], p, pv) if inside else (cell[rows], np.full(len(rows), layers[i + 1]), p))
+        cell, at, v = (np.concatenate(c) for c in zip(*left, strict=True)) if left else (cell[:0], at[:0], v[:0])
+    done.append((cell, np.full(len(cell), layers[0] if layers else 0), at))
+    cell, material, at = (np.concatenate(c) for c in zip(*done, strict=True))
+    digits = np.round(at, DIGITS)
+    apart = np.ones(len(at), bool)
+    for i, j in combinations(range(d + 1), 2):
+        apart &= (digits[:, i] != digits[:, j]).any(axis=1)
+    apart &= _extents(at, axes) > 0
+    return cell[apart], material[apart], at[apart]
+
+
+def _extents(at: np.ndarray, axes: list[str]) -> np.ndarray:
+    """``extent`` of nodes (element, node, axis)."""
+    sides = at[:, 1:, [AXES.index(a) for a in axes]] - at[:, :1, [AXES.index(a) for a in axes]]
+    if len(axes) == 2:
+        return np.abs(sides[:, 0, 0] * sides[:, 1, 1] - sides[:, 0, 1] * sides[:, 1, 0]) / 2.0
+    return np.abs((np.cross(sides[:, 0], sides[:, 1]) * sides[:, 2]).sum(axis=1)) / 6.0
+
+
+def _elements(batches: Iterator[pa.RecordBatch], axes: list[str], layers: list[int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """From batches of ``pieces``, some thousand at a time: these rows and, of their elements, the row, the material and the nodes from the row's lowest corner."""
+    paths, corner = _paths(axes)
+    for whole in batches:
+        for start in range(0, len(whole), CLIPPED):
+            batch = whole.slice(start, CLIPPED)
+            material = batch["material"].to_numpy()
+            cut, box = np.flatnonzero(material < 0), np.flatnonzero(material >= 0)
+            v = batch["v"].take(pa.array(cut)).flatten().to_numpy().reshape(len(cut), len(layers), 1 << len(axes))
+            cell, kind, at = _clipped(v, axes, layers)
+            tall = np.tile(corner[paths], (len(box), 1, 1))
+            tall[:, :, 2] *= np.repeat(batch["height"].to_numpy()[box], len(paths))[:, None]
+            yield batch, np.append(np.repeat(box, len(paths)), cut[cell]), np.append(np.repeat(material[box], len(paths)), kind), np.concatenate([tall, at])
 
 
 def filled(points: DataFrame, axes: list[str] = AXES, far: float = 1500, low: int | None = None, high: int | None = None, split: bool = False) -> DataFrame:
     """(material, x, y, z, height, nodes): triangles (two axes) or tetrahedra (three) of every material; nodes: structs of x, y, z in cells.
 
     A material has the number of its layer. Elements without extent are left out. ``split``: boxes are cut into cells at last, for a mesh that conforms everywhere;
-    else a box is six tetrahedra of its whole height. Arguments as for ``pieces``. Clipping is narrow; its case table of 32 rows is broadcast.
+    else a box is six tetrahedra of its whole height. Arguments as for ``pieces``. Clipping is narrow.
     """
-    d = len(axes)
-    found = pieces(points, axes, far, low, high)
-    layers = sorted(r[0] for r in points.select("layer").distinct().collect())
+    layers = layers_of(points)
+    found = pieces(points, axes, far, low, high, layers)
     if split:
         found = found.withColumn("z", F.explode(F.sequence("z", F.col("z") + F.col("height") - 1))).withColumn("height", F.lit(1))
-    n = len(layers)
-    box = found.where("material >= 0").select("material", *AXES, "height", F.explode(_simplices(axes, F.col("height"), None, n)).alias("nodes"))
-    cut = found.where("material < 0").select("material", *AXES, "height", F.explode(_simplices(axes, F.lit(1), F.col("v"), n)).alias("nodes"))
-    rows = [(code, [{"inside": i, "nodes": p} for i, p in pieces_of(code, d)]) for code in range(1 << (d + 1))]
-    table = F.broadcast(points.sparkSession.createDataFrame(rows, "code int, parts array<struct<inside:boolean,nodes:array<array<int>>>>"))
-    old = F.col("nodes")
-
-    def node(e: Column, i: int) -> Column:
-        p, q = old[e[0]], old[e[1]]
-        t = F.try_divide(p["v"][i], p["v"][i] - q["v"][i])
-        # what layers have in common stays common: a value that cancels is 0, and a cut at a node is the node
-        value = lambda a, b: F.when(F.abs(a + t * (b - a)) <= NOISE * (F.abs(a) + F.abs(b)), 0.0).otherwise(a + t * (b - a))
-        between = F.struct(*[(p[a] + t * (q[a] - p[a])).alias(a) for a in AXES], F.zip_with(p["v"], q["v"], value).alias("v"))
-        return F.when((e[0] == e[1]) | (p["v"][i] == 0), p).when(q["v"][i] == 0, q).otherwise(between)
+    names = ["material", *AXES, "height"]
 
-    for i in range(n - 1, -1, -1):
-        # a piece that has its material already counts as wholly outside
-        code = F.aggregate(F.sequence(F.lit(0), F.lit(d)), F.lit(0), lambda s, k: s + F.when(old[k]["v"][i] >= 0, F.pow(F.lit(2), k).cast("int")).otherwise(0))  # noqa: B023
-        open_ = F.col("material") < 0
-        # nodes are made before the explosion, so that nothing behind it makes them again
-        parts = F.transform("parts", lambda part: F.struct(part["inside"].alias("inside"), F.transform(part["nodes"], lambda e: node(e, i)).alias("nodes")))  # noqa: B023
-        cut = cut.withColumn("code", F.when(open_, code).otherwise((1 << (d + 1)) - 1)).join(table, "code").withColumn("part", F.explode(parts))
-        # outside the top layer there is no material; outside another one, that of the layer above it
-        if i == n - 1:
-            cut = cut.where("part.inside")
-        material = F.when(open_ & ~F.col("part.inside"), F.lit(layers[i + 1] if i + 1 < n else -1)).otherwise(F.col("material"))
-        cut = cut.select(material.alias("material"), *AXES, "height", F.col("part.nodes").alias("nodes"))
-    cut = cut.withColumn("material", F.when(F.col("material") < 0, layers[0] if layers else 0).otherwise(F.col("material")))
-    bare = F.transform("nodes", lambda p: F.struct(*[p[a].alias(a) for a in AXES]))
-    apart = F.array_distinct(F.transform("nodes", lambda p: F.struct(*[F.round(p[a], DIGITS) for a in AXES])))
-    cut = cut.where((F.size(apart) == d + 1) & (extent(F.col("nodes"), axes) > 0))
-    return box.unionByName(cut).select("material", *AXES, "height", bare.alias("nodes"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, material, at in _elements(batches, axes, layers):
+            held = {c: batch[c].take(pa.array(row)) for c in (*AXES, "height")} | {"material": pa.array(material.astype(np.int32))}
+            place = pa.StructArray.from_arrays([pa.array((at[:, :, i] + batch[a].to_numpy()[row][:, None]).reshape(-1)) for i, a in enumerate(AXES)], names=list(AXES))
+            nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * at.shape[1]), place)
+            yield pa.RecordBatch.from_arrays([*(held[c] for c in names), nodes], names=[*names, "nodes"])
+
+    return found.mapInArrow(run, ", ".join(f"{c} int" for c in names) + ", nodes array<struct<x:double,y:double,z:double>>")
+
+
+def volumes(points: DataFrame, axes: list[str] = AXES, far: float = 1500, low: int | None = None, high: int | None = None) -> DataFrame:
+    """(x, y, material, extent): area or volume, in cells, of the elements of ``filled`` in each column of cells, summed where they are made. Arguments as for ``pieces``.
+
+    Sides are taken within a cell, so digits don't depend on the place.
+    """
+    layers = layers_of(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, row, material, at in _elements(batches, axes, layers):
+            t = pa.table({"x": batch["x"].take(pa.array(row)), "y": batch["y"].take(pa.array(row)), "material": pa.array(material.astype(np.int32)), "extent": pa.array(_extents(at, axes))})
+            yield from t.group_by(["x", "y", "material"]).aggregate([("extent", "sum")]).select(["x", "y", "material", "extent_sum"]).rename_columns(["x", "y", "material", "extent"]).to_batches()
+
+    found = pieces(points, axes, far, low, high, layers).mapInArrow(run, "x int, y int, material int, extent double")
+    return found.groupBy("x", "y", "material").agg(F.sum("extent").alias("extent"))
 
 
 def extent(nodes: Column, axes: list[str] = AXES) -> Column:

@@ -116,3 +116,18 @@ def test_steep_sides_and_empty(spark):
     assert total == pytest.approx(2 * 22.5 + 2 * 2.5 + 2 * (2.5 + 20 * 0.5), abs=0.5)
     none = stack(spark, h).limit(0)
     assert filling.filled(none).count() == 0 and filling.pieces(none).count() == 0
+
+
+def test_volumes_where_they_are_made(spark, heights):
+    """Sums by column of cells, far out too, are those of the layers' means; nothing is joined for them, and one sum crosses the shuffle for each."""
+    far = stack(spark, heights, 14.0).withColumn("x", (F.col("x") + 1_000_000_000).cast("int"))
+    out = filling.volumes(far, far=20.0, low=-5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "explode(nodes" not in plan
+    got = {(v.x - 1_000_000_000, v.y, v.material): v.extent for v in out.collect()}
+    h = heights
+    mean = lambda x, y, m: (2 * h[x, y][m] + 2 * h[x + 1, y + 1][m] + h[x + 1, y][m] + h[x, y + 1][m]) / 6
+    for x, y in product(range(-3, 3), range(30, 35)):
+        for m in range(3):
+            assert got.pop((x, y, m), 0.0) == pytest.approx(mean(x, y, m) - (mean(x, y, m - 1) if m else -5.0), abs=1e-12)
+    assert not got
