@@ -290,14 +290,16 @@ def _edge(i: int) -> str:
     return f"({a} * 8 + {b})::INT AS edge{i}, round(v[{a} + 1]::DOUBLE / (v[{a} + 1] - v[{b} + 1])::DOUBLE * 1e6)::BIGINT AS t{i}"
 
 
-def _flat(elements: DataFrame, axes: list[str]) -> DataFrame:
+def _flat(cuts: DataFrame, axes: list[str]) -> DataFrame:
     """Elements by cell with their nodes as edge (8 times the lower corner and the higher one) and t in millionths."""
-    cols = []
+    cols, n = [], 1 << len(axes)
     for i in range(len(axes)):
-        n = F.col("nodes")[i]
-        low = sum((n[a] - F.col(a)) * (1 << k) for k, a in enumerate(axes))
-        cols += [(low * 9 + sum(n[f"d{a}"] * (1 << k) for k, a in enumerate(axes))).cast("int").alias(f"edge{i + 1}"), F.round(n["t"] * 1e6).cast("bigint").alias(f"t{i + 1}")]
-    return elements.select(*KEY, *cols)
+        e = F.get("edges", F.lit(i))
+        v = F.get("t", F.lit(i)) * 1e6
+        # round() of values that aren't negative, without its decimals
+        whole = F.floor(v) + F.when(v - F.floor(v) >= 0.5, 1).otherwise(0)
+        cols += [(F.shiftright(e, len(axes)) * 8 + e.bitwiseAND(n - 1)).cast("int").alias(f"edge{i + 1}"), whole.cast("bigint").alias(f"t{i + 1}")]
+    return cuts.select(*KEY, *cols)
 
 
 TETRAHEDRA = "[[0, 1, 3, 7], [0, 1, 5, 7], [0, 2, 3, 7], [0, 2, 6, 7], [0, 4, 5, 7], [0, 4, 6, 7]]"
@@ -308,7 +310,7 @@ TETRAHEDRA = "[[0, 1, 3, 7], [0, 1, 5, 7], [0, 2, 3, 7], [0, 2, 6, 7], [0, 4, 5,
   FROM (SELECT *, list_filter(t, lambda c: up[c + 1]) AS u, list_filter(t, lambda c: NOT up[c + 1]) AS d FROM (SELECT *, unnest({TETRAHEDRA}) AS t FROM vals)) WHERE len(u) BETWEEN 1 AND 3""") + f""" SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, {_edge(1)}, {_edge(2)}, {_edge(3)} FROM edges""")
 def surface_triangles(spark, sf):
     """All triangles of the surface by cell, with the edges that they cut and where."""
-    return _flat(meshing.surface(level_set(spark, sf), AXES), AXES)
+    return _flat(meshing.cuts(level_set(spark, sf), AXES), AXES)
 
 
 #: As CELLS, for squares in x and z.
@@ -319,7 +321,7 @@ SQUARES = CELLS.replace("range(0, 8)", "range(0, 4)").replace("y - (c >> 1 & 1)
   FROM (SELECT *, list_filter([[0, 1], [1, 3], [2, 3], [0, 2]], lambda e: up[e[1] + 1] <> up[e[2] + 1]) AS cut FROM vals) WHERE len(cut) > 0""") + f""" SELECT layer, x::INT AS x, y::INT AS y, z::INT AS z, {_edge(1)}, {_edge(2)} FROM edges""")
 def surface_segments(spark, sf):
     """All segments of the surface in the planes of x and z, by cell."""
-    return _flat(meshing.surface(level_set(spark, sf), ["x", "z"]), ["x", "z"])
+    return _flat(meshing.cuts(level_set(spark, sf), ["x", "z"]), ["x", "z"])
 
 
 @query(f"""WITH {SQL}, p AS (SELECT x, y, z, max(phi) FILTER (layer = 2) AS phi, list(struct_pack(l := layer, phi := phi) ORDER BY layer DESC) AS held FROM ls GROUP BY x, y, z),

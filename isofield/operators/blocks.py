@@ -220,25 +220,59 @@ def pruned(points: DataFrame) -> DataFrame:
     return by_block(own, 1, work, own.schema)
 
 
+def _cells(b: Block, axes: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of a block that a row touches and whose corners all have a sign: lowest corners, signs by cell and corner, and rows of the corners (-1 if absent)."""
+    n = 1 << len(axes)
+    shift = np.array([[c >> axes.index(a) & 1 if a in axes else 0 for c in range(n)] for a in AXES])
+    # cells whose lowest corner is one of the block's own columns
+    home = [b.table[c][0].as_py() if len(b.table) else 0 for c in ("__bx", "__by")]
+    low = (b.at[:, :, None] - shift[:, None, :]).reshape(3, -1)
+    low = low[:, (low[0] // SIZE == home[0]) & (low[1] // SIZE == home[1])]
+    low = b.place(np.unique(b._key(low)))
+    at = (low[:, :, None] + shift[:, None, :]).reshape(3, -1)
+    sign = b.sign(at).reshape(-1, n)
+    known = (sign != 0).all(axis=1)
+    return low[:, known], sign[known], b.find(at.reshape(3, -1, n)[:, known].reshape(3, -1)).reshape(-1, n)
+
+
+def cell_parts(points: DataFrame, axes: list[str], parts: dict[int, list[list[list[int]]]], far: float) -> DataFrame:
+    """(layer, x, y, z, part, edges, t): the parts that ``parts`` has for the case of each cell, made where the cell is. A node of a part is a pair of corners,
+    in edges as corners' number times the first and the second, and t: where on the edge phi is 0, 0 at a corner. A corner that no row holds counts ``far`` by its sign."""
+    n, own = 1 << len(axes), points.select("layer", *[F.col(a).cast("int").alias(a) for a in AXES], "phi")
+    schema = T.StructType([*[own.schema[k] for k in KEY], T.StructField("part", T.IntegerType()), T.StructField("edges", T.ArrayType(T.IntegerType())), T.StructField("t", T.ArrayType(T.DoubleType()))])
+    bits = 1 << np.arange(n)
+    many = np.array([len(parts.get(code, ())) for code in range(1 << n)])
+    first = np.cumsum(many) - many
+    pairs = np.array([p for code in range(1 << n) for p in parts.get(code, ())])
+
+    def work(b: Block) -> pa.Table:
+        low, sign, held = _cells(b, axes)
+        code = (sign > 0) @ bits
+        cell = np.repeat(np.arange(len(code)), many[code])
+        part = np.arange(len(cell)) - np.repeat(np.cumsum(many[code]) - many[code], many[code])
+        v = np.where(held >= 0, b.phi[np.maximum(held, 0)].astype(float), far * sign)
+        edge = pairs[first[code[cell]] + part]
+        p, q = v[cell[:, None], edge[:, :, 0]], v[cell[:, None], edge[:, :, 1]]
+        same = edge[:, :, 0] == edge[:, :, 1]
+        t = np.where(same, 0.0, np.divide(p, p - q, out=np.zeros_like(p), where=~same))
+        ends = pa.array(np.arange(len(cell) + 1, dtype=np.int32) * pairs.shape[1])
+        lists = [pa.ListArray.from_arrays(ends, pa.array(c.reshape(-1))) for c in ((edge[:, :, 0] * n + edge[:, :, 1]).astype(np.int32), t)]
+        layer = pa.array(np.full(len(cell), b.table["layer"][0].as_py() if len(b.table) else 0), pa.int32())
+        return pa.Table.from_arrays([layer, *(pa.array(a[cell].astype(np.int32)) for a in low), pa.array(part.astype(np.int32)), *lists], names=schema.names)
+
+    return by_block(own, 1, work, schema)
+
+
 def cell_corners(points: DataFrame, axes: list[str]) -> DataFrame:
     """(layer, x, y, z, code, corners) of the cells that a row touches and whose corners all have a sign; see ``stencil.cells``."""
     n, own = 1 << len(axes), points.select("layer", *[F.col(a).cast("int").alias(a) for a in AXES], "phi")
-    shift = np.array([[c >> axes.index(a) & 1 if a in axes else 0 for c in range(n)] for a in AXES])
     corner = T.StructType([T.StructField("c", T.IntegerType()), T.StructField("phi", own.schema["phi"].dataType), T.StructField("sign", T.IntegerType())])
     schema = T.StructType([*[own.schema[k] for k in KEY], T.StructField("code", T.IntegerType()), T.StructField("corners", T.ArrayType(corner))])
     bits = 1 << np.arange(n)
 
     def work(b: Block) -> pa.Table:
-        # cells whose lowest corner is one of the block's own columns
-        home = [b.table[c][0].as_py() if len(b.table) else 0 for c in ("__bx", "__by")]
-        low = (b.at[:, :, None] - shift[:, None, :]).reshape(3, -1)
-        low = low[:, (low[0] // SIZE == home[0]) & (low[1] // SIZE == home[1])]
-        low = np.unique(low, axis=1)
-        at = (low[:, :, None] + shift[:, None, :]).reshape(3, -1)
-        sign = b.sign(at).reshape(-1, n)
-        known = (sign != 0).all(axis=1)
-        low, sign = low[:, known], sign[known]
-        held = b.find(at.reshape(3, -1, n)[:, known].reshape(3, -1))
+        low, sign, held = _cells(b, axes)
+        held = held.reshape(-1)
         each = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(n, dtype=np.int32), len(sign))), b.values(held), pa.array(sign.reshape(-1).astype(np.int32))], names=["c", "phi", "sign"])
         corners = pa.ListArray.from_arrays(pa.array(np.arange(len(sign) + 1, dtype=np.int32) * n), each)
         layer = pa.array(np.full(len(sign), b.table["layer"][0].as_py() if len(b.table) else 0), pa.int32())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import AXES
 from ..functions.numbering import numbered
 from .components import connected_components
-from .stencil import cells
+from .blocks import cell_parts
 
 
 def segments_of(code: int) -> list[list[list[int]]]:
@@ -74,9 +74,14 @@ def surface(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
     A node is a struct of its edge (lowest corner and the step to the other), so elements that share an edge share the node, and t: where on
     the edge phi is 0. A corner that no row holds lies beyond the band and counts ``far`` by its sign, so that the surface
     is whole where it is steeper than the band. The case table has one entry a case, made
-    from the rules above, and is broadcast (256 rows at most).
+    from the rules above (256 at most).
     """
-    return _elements(points, axes, segments_of if len(axes) == 2 else triangles_of, far)
+    return _elements(cuts(points, axes, far), axes)
+
+
+def cuts(points: DataFrame, axes: list[str], far: float = 1500) -> DataFrame:
+    """``surface`` with its nodes as they are within the cell: edges (of corners a and b, 4 or 8 times a and b) and t, for those who need no more."""
+    return cell_parts(points, axes, _cases(segments_of if len(axes) == 2 else triangles_of, axes), far)
 
 
 def solid(points: DataFrame, axes: list[str] = AXES, far: float = 1500) -> DataFrame:
@@ -85,7 +90,7 @@ def solid(points: DataFrame, axes: list[str] = AXES, far: float = 1500) -> DataF
     A node that is a corner has no step and t 0. The mesh is conforming. Cells deeper than the band have no row and no element;
     a wider band (``algebra.expand``) reaches them. A material is the solid of its layer less the one below (``algebra.combine``).
     """
-    return _elements(points, axes, lambda code: simplices_of(code, len(axes)), far)
+    return _elements(cell_parts(points, axes, _cases(lambda code: simplices_of(code, len(axes)), axes), far), axes)
 
 
 def sizes(elements: DataFrame) -> DataFrame:
@@ -102,24 +107,21 @@ def sizes(elements: DataFrame) -> DataFrame:
     return elements.withColumn("size", F.when(F.size("nodes") == 3, area).otherwise(volume))
 
 
-def _elements(points: DataFrame, axes: list[str], rule: Callable[[int], list[list[list[int]]]], far: float) -> DataFrame:
-    """The elements that ``rule`` gives for the case of each cell."""
-    n = len(axes)
-    rows = [(code, parts) for code in range(1 << (1 << n)) if (parts := rule(code))]
-    table = points.sparkSession.createDataFrame(rows, "code int, parts array<array<array<int>>>")
-    c = cells(points, axes).join(F.broadcast(table), "code")
-    c = c.select("layer", *AXES, "corners", F.posexplode("parts").alias("part", "edges"))
-    at = lambda k: F.element_at("corners", k + 1)
+def _cases(rule: Callable[[int], list[list[list[int]]]], axes: list[str]) -> dict[int, list[list[list[int]]]]:
+    return {code: rule(code) for code in range(1 << (1 << len(axes)))}
+
+
+def _elements(parts: DataFrame, axes: list[str]) -> DataFrame:
+    """Elements with their nodes on the grid, from ``cell_parts``."""
     bit = lambda k, i: F.shiftright(k, i).bitwiseAND(1)
 
-    def node(e: Column) -> Column:
-        a, b = e[0], e[1]
-        pa, pb = (F.coalesce(at(k)["phi"].cast("double"), at(k)["sign"] * F.lit(float(far))) for k in (a, b))
+    def node(e: Column, t: Column) -> Column:
+        a, b = F.shiftright(e, len(axes)), e.bitwiseAND((1 << len(axes)) - 1)
         low = [(F.col(x) + (bit(a, axes.index(x)) if x in axes else F.lit(0))).cast("int").alias(x) for x in AXES]
         step = [(bit(b, axes.index(x)) - bit(a, axes.index(x)) if x in axes else F.lit(0)).cast("int").alias(f"d{x}") for x in AXES]
-        return F.struct(*low, *step, F.when(a == b, 0.0).otherwise(F.try_divide(pa, pa - pb)).alias("t"))
+        return F.struct(*low, *step, t.alias("t"))
 
-    return c.select("layer", *AXES, "part", F.transform("edges", node).alias("nodes"))
+    return parts.select("layer", *AXES, "part", F.zip_with("edges", "t", node).alias("nodes"))
 
 
 def surface_nodes(elements: DataFrame) -> DataFrame:

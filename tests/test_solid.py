@@ -61,3 +61,24 @@ def test_sizes_far_out(spark):
     total = lambda d, off: {(r.x - off, r.y, r.z): r.v for r in meshing.sizes(meshing.solid(d)).groupBy("x", "y", "z").agg(F.sum("size").alias("v")).collect()}
     a, b = total(near, 0), total(far, 1_000_000_000)
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-12
+
+
+def test_parts_are_made_in_blocks(spark):
+    """Triangles and segments by the rules, without corners that are sent on, exploded and joined to a table of cases."""
+    d = field(spark, 3, "1000 * z - 700 - 300 * x + 900 * (y % 2)", -3).where("abs(phi) <= 1500")
+    held = {(r.x, r.y, r.z): r.phi for r in d.collect()}
+    for axes, rule in ((AXES, meshing.triangles_of), (["x", "z"], meshing.segments_of)):
+        out = meshing.cuts(d, axes)
+        for e in (out, meshing.surface(d, axes)):
+            plan = e._jdf.queryExecution().executedPlan().toString()
+            assert "Join" not in plan and "posexplode" not in plan
+        n, got = 1 << len(axes), {}
+        for r in out.collect():
+            got.setdefault((r.x, r.y, r.z), {})[r.part] = list(zip(r.edges, r.t))
+        assert len(got) > 20
+        for at, parts in got.items():
+            corners = [tuple(at[i] + (c >> axes.index(a) & 1 if a in axes else 0) for i, a in enumerate(AXES)) for c in range(n)]
+            near = [held[min((k for k in held if k[:2] == c[:2]), key=lambda k: (k[2] > c[2], abs(k[2] - c[2])))] for c in corners]  # noqa: B023
+            v = [held.get(c, -1500 if s < 0 else 1500) for c, s in zip(corners, near)]
+            want = rule(sum(1 << c for c in range(n) if near[c] >= 0))
+            assert [[(a * n + b, v[a] / (v[a] - v[b])) for a, b in p] for p in want] == [parts[k] for k in sorted(parts)]
