@@ -22,10 +22,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     block = ["file", "start"]
     text = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     rows = stored(text.withColumn("at", F.monotonically_increasing_id()), "lines")
-    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"))
-    offsets = sizes.select(*block, (F.sum("n").over(Window.orderBy(*block)) - F.col("n")).alias("offset"))
-    own = F.row_number().over(Window.partitionBy(*block).orderBy("at")) - 1
-    return rows.withColumn("own", own).join(F.broadcast(offsets), block).select((F.col("own") + F.col("offset")).alias("no"), F.trim("value").alias("line"))
+    # a block's lines were numbered one after the other, by one task, so their places need no sorting
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    offsets = sizes.select(*block, (F.sum("n").over(Window.orderBy(*block)) - F.col("n") - F.col("first")).alias("offset"))
+    return rows.join(F.broadcast(offsets), block).select((F.col("at") + F.col("offset")).alias("no"), F.trim("value").alias("line"))
 
 
 def _numbers(line: Column | str, kind: str) -> Column:

@@ -15,17 +15,33 @@ from ..functions.numbering import numbered
 from .meshes import _numbers, _section, lines
 
 
+def _each(rows: DataFrame) -> DataFrame:
+    """(no, each): the words of lines that have some."""
+    return rows.select("no", F.filter(F.split("line", r"\s+"), lambda x: x != "").alias("each")).where(F.size("each") > 0)
+
+
+def _even(rows: DataFrame) -> tuple[DataFrame, int, int] | None:
+    """(i, each), how many lines there are and how many words each has, if they follow each other and all have as many; one row comes to the driver."""
+    each = _each(rows)
+    size = F.size("each")
+    least, most, first, last, n = each.agg(F.min(size), F.max(size), F.min("no"), F.max("no"), F.count("*")).first()
+    return (each.select((F.col("no") - first).alias("i"), "each"), n, most) if n and least == most and last - first + 1 == n else None
+
+
 def stream(rows: DataFrame, kind: str = "double") -> DataFrame:
-    """(i, v): the numbers of consecutive lines (no, line) in order, from 0."""
-    split = F.filter(F.split("line", r"\s+"), lambda x: x != "")
-    n = numbered(rows.select("no", split.alias("each")).where(F.size("each") > 0), ["no"], F.size("each"), "stream")
+    """(i, v): the numbers of consecutive lines (no, line) in order, from 0. Lines of equally many numbers say by their own number which these are."""
+    even = _even(rows)
+    n = even[0].select((F.col("i") * even[2]).alias("before"), "each") if even else numbered(_each(rows), ["no"], F.size("each"), "stream")
     return n.select("before", F.posexplode("each").alias("at", "v")).select((F.col("before") + F.col("at")).alias("i"), F.col("v").try_cast(kind).alias("v"))
 
 
-def _coordinates(v: DataFrame) -> DataFrame:
-    """(node_id, x, y, z) of a stream of three numbers a node."""
+def _coordinates(rows: DataFrame) -> DataFrame:
+    """(node_id, x, y, z) of consecutive lines that hold three numbers a node, on one line or not."""
+    even = _even(rows)
+    if even and even[2] == 3:
+        return even[0].select(F.col("i").alias("node_id"), *[F.col("each")[k].try_cast("double").alias(a) for k, a in enumerate("xyz")])
     part = [F.max(F.when(F.col("i") % 3 == k, F.col("v"))).alias(a) for k, a in enumerate("xyz")]
-    return v.groupBy(F.expr("i div 3").alias("node_id")).agg(*part)
+    return stream(rows).groupBy(F.expr("i div 3").alias("node_id")).agg(*part)
 
 
 def read_vtk_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +56,7 @@ def read_vtk_surface(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         raise ValueError("not a surface of polygons or lines")
     end = lambda no: min((h["no"] for h in heads if h["no"] > no), default=1 << 62) - 1
     span = lambda no: rows.where(F.col("no").between(no + 1, end(no)))
-    nodes = _coordinates(stream(span(at["POINTS"][0])))
+    nodes = _coordinates(span(at["POINTS"][0]))
     elements = _section(rows, shapes[0] + 1, int(shapes[1][1])).select(F.col("i").alias("elem_id"), F.slice(_numbers("line", "int"), 2, 1 << 20).alias("nodes"))
     if "POINT_DATA" in at and "LOOKUP_TABLE" in at and at["LOOKUP_TABLE"][0] > at["POINT_DATA"][0]:
         values = stream(span(at["LOOKUP_TABLE"][0])).select(F.col("i").alias("node_id"), F.col("v").alias("value"))
@@ -70,6 +86,13 @@ def _arrays(rows: DataFrame) -> dict[str, DataFrame]:
 def _shapes(connectivity: DataFrame, offsets: DataFrame) -> DataFrame:
     """(elem_id, nodes): the ids of each element, whose offsets say where it ends."""
     ends = stream(offsets, "bigint").select(F.col("i").alias("elem_id"), F.col("v").alias("end"))
+    even = _even(connectivity)
+    if even:
+        each, lines_, width = even
+        n, whole = ends.agg(F.count("*"), F.count(F.when(F.col("end") == (F.col("elem_id") + 1) * width, 1))).first()
+        if n == whole == lines_:
+            # an element a line
+            return each.select(F.col("i").alias("elem_id"), F.transform("each", lambda x: x.try_cast("int")).alias("nodes"))
     starts = ends.select((F.col("elem_id") + 1).alias("elem_id"), F.col("end").alias("start"))
     spans = ends.join(starts, "elem_id", "left").withColumn("start", F.coalesce("start", F.lit(0)))
     at = spans.select("elem_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
@@ -83,7 +106,7 @@ def read_vtp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     kind = next((k for k in ("Polys", "Lines") if f"{k}/connectivity" in found), None)
     if "Points" not in found or not kind:
         raise ValueError("no points, or neither polygons nor lines")
-    nodes = _coordinates(stream(found["Points"]))
+    nodes = _coordinates(found["Points"])
     for key, rows in found.items():
         if key.startswith("PointData/"):
             nodes = nodes.join(stream(rows).select(F.col("i").alias("node_id"), F.col("v").alias(key[10:])), "node_id", "left")
@@ -100,7 +123,7 @@ def read_vtu(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         elements = elements.join(stream(found["CellData/Material"], "int").select(F.col("i").alias("elem_id"), F.col("v").alias("material")), "elem_id")
     else:
         elements = elements.withColumn("material", F.lit(1))
-    return _coordinates(stream(found["Points"])), elements
+    return _coordinates(found["Points"]), elements
 
 
 def read_grd(spark: SparkSession, path: str, dimensions: int = 3) -> tuple[DataFrame, DataFrame]:

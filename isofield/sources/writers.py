@@ -35,7 +35,8 @@ def _text(sections: list[DataFrame], path: str) -> None:
 
 def _head(like: DataFrame, *lines: str) -> DataFrame:
     """The given lines as a section."""
-    return like.sparkSession.createDataFrame(list(enumerate(lines)), "i bigint, line string")
+    texts = F.array(*[F.lit(x) for x in lines])
+    return like.sparkSession.range(0, 1, 1, 1).select(F.posexplode(texts).alias("i", "line")).select(F.col("i").cast("bigint").alias("i"), "line")
 
 
 def _joined(*parts) -> Column:

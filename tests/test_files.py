@@ -128,3 +128,23 @@ def test_parts_are_read_in_order(spark, tmp_path):
         want += own
     got = meshes.lines(spark, str(tmp_path / "f")).collect()
     assert [r["line"] for r in sorted(got, key=lambda r: r["no"])] == want and sorted(r["no"] for r in got) == list(range(len(want)))
+
+
+def test_even_lines_need_no_joins(spark, tmp_path):
+    """Meshes with as many numbers on every line are read without sorting, joining or grouping them; others give the same."""
+    nodes = spark.range(50).select(F.col("id").alias("node_id"), *[(F.col("id") * k / 8).alias(a) for a, k in (("x", 1), ("y", 3), ("z", 5))])
+    elements = spark.range(48).select(F.col("id").alias("elem_id"), F.array(*[F.col("id") + k for k in range(3)]).alias("nodes"), (F.col("id") % 4).alias("material"))
+    path = str(tmp_path / "even")
+    writers.write_vtu(nodes, elements, path)
+    want = [sorted(tuple(map(str, r)) for r in d.collect()) for d in (nodes, elements.select("elem_id", "nodes", "material"))]
+    found = surfaces.read_vtu(spark, path)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "max(CASE" not in plan(found[0]) and "Window [row_number" not in plan(found[0])
+    assert "collect_list" not in plan(found[1]) and "Window [row_number" not in plan(found[1])
+    text = "\n".join("\n".join(p.read_text().splitlines()) for p in sorted((tmp_path / "even").glob("part-*")) if p.stat().st_size)
+    # numbers of the first element run on over two lines, those of two nodes stand on one
+    one, two = text.index("\n0 1 2\n"), text.index("\n0.0 0.0 0.0\n")
+    uneven = text[:two] + "\n0.0 0.0 0.0 " + text[two + len("\n0.0 0.0 0.0\n") : one] + "\n0\n1 2\n" + text[one + len("\n0 1 2\n") :]
+    (tmp_path / "uneven.vtu").write_text(uneven)
+    for got in (found, surfaces.read_vtu(spark, str(tmp_path / "uneven.vtu"))):
+        assert [sorted(tuple(map(str, r)) for r in d.select(c).collect()) for d, c in zip(got, (["node_id", "x", "y", "z"], ["elem_id", "nodes", "material"]), strict=True)] == want
